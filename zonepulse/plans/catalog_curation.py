@@ -1 +1,209 @@
-"""Registered queries (filled in below)."""
+"""Registered queries K6 and L1–L8 with oracle SQL.
+
+The oracle nests each detector's SQL as a sub-CTE, rebuilds the insight
+texts, and reproduces curation. Its de-duplication is the two-pass window
+form, which is exact for detector output (a summary names its metric before
+character 120); the Spark side runs the general greedy rule.
+"""
+
+from __future__ import annotations
+
+from zonepulse.operators import curation as C
+from zonepulse.plans.catalog_detectors import BODIES
+from zonepulse.plans.insights import collect_insights, run_insights
+from zonepulse.plans.registry import register
+from zonepulse.sources.adapter import zone_tables
+
+
+def _p2(x: str) -> str:
+    return f"printf('%.2f', {x})"
+
+
+def _nested(name: str) -> str:
+    return f"k_{name} AS (WITH {BODIES[name]}\nSELECT * FROM res)"
+
+
+INSIGHTS_CTE = ",\n".join(_nested(n) for n in ("anomalies", "trends", "benchmarking", "correlations", "opportunities")) + f""",
+ins AS (
+  SELECT CAST(0 * 1000 + "rank" AS BIGINT) AS insight_id, 0 AS detector_ord, "rank" AS emit_ord,
+         'anomalies' AS category, 'Large WoW ' || direction || ' in ' || metric AS title, metric,
+         country, city, zone, severity_score,
+         metric || ' in ' || zone || ' (' || city || ', ' || country || ') shows a ' || {_p2("pct_change * 100.0")}
+           || '% week-over-week ' || direction
+           || CASE WHEN sign_flip THEN ' with a sign flip; treat this as high-volatility movement.' ELSE '.' END AS summary,
+         confidence, CAST(1 AS BIGINT) AS affected_zones_count,
+         week_1_value, week_0_value, pct_change, baseline_abs, abs_delta, sign_flip
+  FROM k_anomalies
+  UNION ALL
+  SELECT CAST(1000 + "rank" AS BIGINT), 1, "rank", 'trends', 'Concerning deterioration trend in ' || metric, metric,
+         country, city, zone, severity_score,
+         metric || ' in ' || zone || ' (' || city || ', ' || country || ') has deteriorated for '
+           || CAST(run_length AS VARCHAR) || ' consecutive weeks.',
+         NULL, CAST(1 AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
+  FROM k_trends
+  UNION ALL
+  SELECT CAST(2000 + "rank" AS BIGINT), 2, "rank", 'benchmarking', zone || ' diverges from peers on ' || metric, metric,
+         country, city, zone, severity_score,
+         zone || ' is ' || {_p2("abs(gap_pct) * 100.0")} || '% ' || direction || ' peer average for ' || metric
+           || ' within comparable zones in ' || country || '.',
+         NULL, CAST(peer_count AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
+  FROM k_benchmarking
+  UNION ALL
+  SELECT CAST(3000 + "rank" AS BIGINT), 3, "rank", 'correlations',
+         metric_x || ' and ' || metric_y || ' show a strong ' || direction || ' relationship',
+         metric_x || ' vs ' || metric_y, country, NULL, NULL, severity_score,
+         'In ' || country || ', ' || metric_x || ' and ' || metric_y || ' are strongly ' || direction
+           || ' across zones (r=' || {_p2("correlation")} || ').',
+         NULL, CAST(sample_size AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
+  FROM k_correlations
+  UNION ALL
+  SELECT CAST(4000 + "rank" AS BIGINT), 4, "rank", 'opportunities',
+         CASE rule WHEN 1 THEN 'Growth momentum with quality risk' WHEN 2 THEN 'High quality with low penetration upside'
+                   ELSE 'Replication candidate zone' END,
+         CASE rule WHEN 1 THEN 'Orders + Perfect Orders' WHEN 2 THEN 'Perfect Orders + Lead Penetration'
+                   ELSE 'Gross Profit UE + Turbo Adoption' END,
+         country, city, zone, severity_score,
+         CASE rule WHEN 1 THEN 'Orders are growing quickly in ' || zone || ' while Perfect Orders are below the country median.'
+                   WHEN 2 THEN zone || ' combines strong quality with low penetration, suggesting expansion potential.'
+                   ELSE zone || ' is in the top decile for Gross Profit UE and above median Turbo Adoption in ' || country || '.' END,
+         NULL, CAST(1 AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
+  FROM k_opportunities
+),
+filtered AS (
+  SELECT * FROM ins
+  WHERE NOT (category = 'anomalies' AND (
+        lower(coalesce(confidence, '')) = 'low'
+     OR (abs(coalesce(baseline_abs, abs(coalesce(week_1_value, 0.0)))) < 0.05 AND abs(coalesce(abs_delta, coalesce(week_0_value, 0.0) - coalesce(week_1_value, 0.0))) < 0.05)
+     OR (abs(coalesce(pct_change, 0.0)) > 5.0 AND abs(coalesce(abs_delta, 0.0)) < 0.2)
+     OR abs(coalesce(abs_delta, 0.0)) < 0.01
+     OR (coalesce(sign_flip, false) AND abs(coalesce(abs_delta, 0.0)) < 0.2)))
+),
+scored AS (
+  SELECT *, floor((severity_score * 0.75
+           + CASE category WHEN 'opportunities' THEN 8.0 WHEN 'trends' THEN 7.0 WHEN 'anomalies' THEN 6.0
+                           WHEN 'benchmarking' THEN 5.0 ELSE 4.0 END
+           + least(12.0, greatest(1.0, CAST(affected_zones_count AS DOUBLE))) + 3.0) * 100.0 + 0.5) / 100.0 AS priority_score,
+         CASE WHEN coalesce(trim(zone), '') <> ''
+              THEN lower(trim(coalesce(country, ''))) || '|' || lower(trim(coalesce(city, ''))) || '|' || lower(trim(zone))
+              ELSE '' END AS zone_key,
+         lower(trim(regexp_replace(metric, '\\s+', ' ', 'g'))) AS metric_key,
+         substring(lower(trim(regexp_replace(summary, '\\s+', ' ', 'g'))), 1, 120) AS signature
+  FROM filtered
+),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY priority_score DESC, severity_score DESC, detector_ord, emit_ord) AS curation_rank
+  FROM scored
+),
+pass1 AS (
+  SELECT *, row_number() OVER (PARTITION BY category, zone_key, metric_key ORDER BY curation_rank) AS rn1 FROM ranked
+),
+pass2 AS (
+  SELECT *, row_number() OVER (PARTITION BY category, zone_key, signature ORDER BY curation_rank) AS rn2
+  FROM pass1 WHERE zone_key = '' OR rn1 = 1
+),
+deduped AS (
+  SELECT * EXCLUDE (curation_rank, rn1, rn2),
+         row_number() OVER (ORDER BY priority_score DESC, severity_score DESC, detector_ord, emit_ord) AS curation_rank
+  FROM pass2 WHERE zone_key = '' OR rn2 = 1
+),
+zone_capped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone_key ORDER BY curation_rank) AS zrn FROM deduped)
+  WHERE zone_key = '' OR zrn <= 1
+),
+div_src AS (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY curation_rank) AS cat_rn,
+         CASE category WHEN 'anomalies' THEN 0 WHEN 'trends' THEN 1 WHEN 'benchmarking' THEN 2
+                       WHEN 'correlations' THEN 3 ELSE 4 END AS cat_ord
+  FROM zone_capped
+),
+diversity AS (
+  SELECT *, row_number() OVER (ORDER BY pick_key) AS summary_ord FROM (
+    SELECT *, CASE WHEN cat_rn = 1 THEN cat_ord ELSE 1000 + curation_rank END AS pick_key
+    FROM div_src WHERE cat_rn <= 2 ORDER BY pick_key LIMIT 5)
+),
+top3 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY curation_rank) AS category_rank FROM deduped)
+  WHERE category_rank <= 3
+)"""
+
+
+def _sql(select: str) -> str:
+    return INSIGHTS_CTE + "\n" + select.strip()
+
+
+def _run(spark, sf_dir):
+    m, o = zone_tables(spark, sf_dir, materialize=True)
+    return run_insights(m, o)
+
+
+@register("insights", _sql("""
+SELECT insight_id, detector_ord, emit_ord, category, title, metric, country, city, zone,
+       round(severity_score, 6) AS severity_score, summary, confidence, affected_zones_count FROM ins"""))
+def insights(spark, sf_dir):
+    """K6: all detector findings as one insight table (titles and summaries included)."""
+    m, o = zone_tables(spark, sf_dir, materialize=True)
+    return collect_insights(m, o).select(
+        "insight_id", "detector_ord", "emit_ord", "category", "title", "metric", "country", "city", "zone",
+        "severity_score", "summary", "confidence", "affected_zones_count",
+    )
+
+
+@register("noise_filter", _sql("SELECT insight_id, category, metric, zone FROM filtered"))
+def noise_filter(spark, sf_dir):
+    """L1: findings that survive the noise filter."""
+    m, o = zone_tables(spark, sf_dir, materialize=True)
+    return C.filter_noise(collect_insights(m, o)).select("insight_id", "category", "metric", "zone")
+
+
+@register("priority_rank", _sql(
+    "SELECT insight_id, category, round(priority_score, 6) AS priority_score, CAST(curation_rank AS INTEGER) AS curation_rank FROM ranked"))
+def priority_rank(spark, sf_dir):
+    """L2 + L3: priority score and rank of the filtered findings."""
+    m, o = zone_tables(spark, sf_dir, materialize=True)
+    return C.ranked(C.filter_noise(collect_insights(m, o))).select(
+        "insight_id", "category", "priority_score", "curation_rank")
+
+
+@register("dedup", _sql(
+    "SELECT insight_id, category, zone, metric, CAST(curation_rank AS INTEGER) AS curation_rank FROM deduped"))
+def dedup(spark, sf_dir):
+    """L4: curated findings after de-duplication, re-ranked."""
+    return _run(spark, sf_dir).curated.select("insight_id", "category", "zone", "metric", "curation_rank")
+
+
+@register("zone_cap", _sql(
+    "SELECT insight_id, category, zone, CAST(curation_rank AS INTEGER) AS curation_rank FROM zone_capped"))
+def zone_cap(spark, sf_dir):
+    """Executive candidates, at most one per zone."""
+    return _run(spark, sf_dir).executive_candidates.select("insight_id", "category", "zone", "curation_rank")
+
+
+@register("diversity", _sql(
+    "SELECT insight_id, category, CAST(summary_ord AS INTEGER) AS summary_ord FROM diversity"))
+def diversity(spark, sf_dir):
+    """The executive summary selection (3..5 findings, category-diverse)."""
+    return _run(spark, sf_dir).executive_summary.select("insight_id", "category", "summary_ord")
+
+
+@register("category_top3", _sql(
+    "SELECT insight_id, category, CAST(category_rank AS INTEGER) AS category_rank FROM top3"))
+def category_top3(spark, sf_dir):
+    """Top three findings per category."""
+    return _run(spark, sf_dir).by_category.select("insight_id", "category", "category_rank")
+
+
+@register("curation_counts", _sql("""
+SELECT stage, category, CAST(count(x) AS BIGINT) AS "count" FROM (
+  SELECT s.stage, s.category, t.x FROM (VALUES ('raw', ''), ('post_filter', ''), ('post_dedup', ''),
+      ('executive_summary', ''), ('by_category', 'anomalies'), ('by_category', 'trends'),
+      ('by_category', 'benchmarking'), ('by_category', 'correlations'), ('by_category', 'opportunities')) s(stage, category)
+  LEFT JOIN (
+    SELECT 'raw' AS stage, '' AS category, 1 AS x FROM ins
+    UNION ALL SELECT 'post_filter', '', 1 FROM filtered
+    UNION ALL SELECT 'post_dedup', '', 1 FROM deduped
+    UNION ALL SELECT 'executive_summary', '', 1 FROM diversity
+    UNION ALL SELECT 'by_category', category, 1 FROM top3) t
+  ON s.stage = t.stage AND s.category = t.category) GROUP BY stage, category"""))
+def curation_counts(spark, sf_dir):
+    """Counts per curation stage and per category section."""
+    return _run(spark, sf_dir).counts

@@ -14,6 +14,16 @@ base AS (
   SELECT country, city, zone, metric, week, "value" FROM orders_long WHERE {NOT_NULL})"""
 
 
+BODIES: dict[str, str] = {}
+
+
+def detector_sql(name: str, body: str, doubles: list[str]) -> str:
+    """Body ends with an unrounded CTE ``res``; the registered SQL rounds doubles."""
+    BODIES[name] = body
+    repl = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    return body + f"\nSELECT * REPLACE ({repl}) FROM res"
+
+
 def clamp_sql(x: str) -> str:
     return f"least(greatest({x}, 0.0), 100.0)"
 
@@ -24,7 +34,7 @@ def r2_sql(x: str) -> str:
 
 @register(
     "anomalies",
-    BASE_UNION + """,
+    detector_sql("anomalies", BASE_UNION + """,
 g AS (SELECT country, city, zone, metric,
              avg(CASE WHEN week = 0 THEN "value" END) AS w0,
              avg(CASE WHEN week = 1 THEN "value" END) AS w1
@@ -42,13 +52,13 @@ s AS (SELECT *, CASE WHEN bl < 0.3 AND abs(pct) > 2.5 THEN 'low' WHEN pts >= 5 T
                      WHEN pts >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM f),
 k AS (SELECT *, """ + clamp_sql("(abs(pct) * 180.0 + least(d, 2.0) * 20.0) * (CASE WHEN flip THEN 0.85 ELSE 1.0 END) * (CASE WHEN confidence = 'medium' THEN 0.93 ELSE 1.0 END)") + """ AS sev
       FROM s WHERE confidence IN ('high', 'medium')),
-r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, pct DESC, country, city, zone, metric) AS rnk FROM k)
-SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric,
-       round(w0, 6) AS week_0_value, round(w1, 6) AS week_1_value, round(pct, 6) AS pct_change,
-       round(d, 6) AS abs_delta, round(bl, 6) AS baseline_abs, flip AS sign_flip, confidence,
+r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, pct DESC, country, city, zone, metric) AS rnk FROM k),
+res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric,
+       w0 AS week_0_value, w1 AS week_1_value, pct AS pct_change,
+       d AS abs_delta, bl AS baseline_abs, flip AS sign_flip, confidence,
        CASE WHEN pct > 0 THEN 'improvement' ELSE 'deterioration' END AS direction,
-       round(sev, 6) AS severity, round(""" + r2_sql("sev") + """, 6) AS severity_score
-FROM r WHERE rnk <= 250""",
+       sev AS severity, """ + r2_sql("sev") + """ AS severity_score
+FROM r WHERE rnk <= 250)""", ["week_0_value", "week_1_value", "pct_change", "abs_delta", "baseline_abs", "severity", "severity_score"]),
 )
 def anomalies(spark, sf_dir):
     """K1: week-over-week anomalies (cap 250)."""
@@ -58,7 +68,7 @@ def anomalies(spark, sf_dir):
 
 @register(
     "trends",
-    f"""
+    detector_sql("trends", f"""
 wk AS (SELECT country, city, zone, metric, week, avg("value") AS v FROM metrics_long WHERE {NOT_NULL}
        GROUP BY country, city, zone, metric, week),
 st AS (SELECT *, lag(week) OVER w AS pw, lag(v) OVER w AS pv,
@@ -79,12 +89,12 @@ t AS (SELECT *, CASE WHEN abs(start_value) > 1e-9 THEN (end_value - start_value)
       FROM best WHERE pick = 1 AND run_length >= 3),
 k AS (SELECT *, {clamp_sql("least(100.0, run_length * 15.0 + coalesce(abs(net) * 120.0, 0.0))")} AS sev FROM t),
 k2 AS (SELECT *, {r2_sql("sev")} AS sev2 FROM k),
-r AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, city, zone, metric) AS rnk FROM k2)
-SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, run_length, start_week, end_week,
-       round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(net, 6) AS net_change_pct,
+r AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, city, zone, metric) AS rnk FROM k2),
+res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, run_length, start_week, end_week,
+       start_value, end_value, net AS net_change_pct,
        metric NOT IN ('Restaurants Markdowns / GMV', 'Non-Pro PTC > OP') AS higher_is_better,
-       round(sev, 6) AS severity, round(sev2, 6) AS severity_score
-FROM r WHERE rnk <= 200""",
+       sev AS severity, sev2 AS severity_score
+FROM r WHERE rnk <= 200)""", ["start_value", "end_value", "net_change_pct", "severity", "severity_score"]),
 )
 def trends(spark, sf_dir):
     """K2: longest deteriorating runs of ≥3 weeks (cap 200)."""
@@ -94,7 +104,7 @@ def trends(spark, sf_dir):
 
 @register(
     "benchmarking",
-    f"""
+    detector_sql("benchmarking", f"""
 base AS (
   SELECT country, city, zone, zone_type, metric, week, "value" FROM metrics_long WHERE {NOT_NULL}
   UNION ALL
@@ -107,12 +117,12 @@ st AS (SELECT bucket, sum(v) AS ps, count(v) AS pc FROM b GROUP BY bucket),
 j AS (SELECT b.*, ps, pc, (ps - v) / greatest(pc - 1, 1) AS pm FROM b JOIN st USING (bucket) WHERE pc >= 5),
 g AS (SELECT *, (v - pm) / abs(pm) AS gap FROM j WHERE pc > 1 AND abs(pm) > 1e-9),
 k AS (SELECT *, {clamp_sql("least(abs(gap) * 180.0, 100.0)")} AS sev FROM g WHERE abs(gap) >= 0.15),
-r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, country, city, zone, metric, zone_type NULLS LAST) AS rnk FROM k)
-SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, zone_type, round(v, 6) AS zone_value,
-       round(pm, 6) AS peer_mean, round(gap, 6) AS gap_pct, pc AS peer_count,
+r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, country, city, zone, metric, zone_type NULLS LAST) AS rnk FROM k),
+res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, zone_type, v AS zone_value,
+       pm AS peer_mean, gap AS gap_pct, pc AS peer_count,
        CASE WHEN gap > 0 THEN 'above' ELSE 'below' END AS direction,
-       round(sev, 6) AS severity, round({r2_sql("sev")}, 6) AS severity_score
-FROM r WHERE rnk <= 200""",
+       sev AS severity, {r2_sql("sev")} AS severity_score
+FROM r WHERE rnk <= 200)""", ["zone_value", "peer_mean", "gap_pct", "severity", "severity_score"]),
 )
 def benchmarking(spark, sf_dir):
     """K3: zones ≥15% away from their peer group's mean (cap 200)."""
@@ -129,7 +139,7 @@ _PAIRS_SQL = "\n  UNION ALL ".join(
 
 @register(
     "correlations",
-    BASE_UNION + """,
+    detector_sql("correlations", BASE_UNION + """,
 snap AS (SELECT country, city, zone, metric, avg("value") AS v FROM base
          WHERE week = 0 AND metric IN ('Gross Profit UE', 'Lead Penetration', 'Orders', 'Perfect Orders')
          GROUP BY country, city, zone, metric),
@@ -147,11 +157,11 @@ c AS (SELECT *, CASE WHEN sx > 0 AND sy > 0 THEN rr END AS r FROM st),
 k AS (SELECT *, """ + clamp_sql("least(100.0, abs(r) * 100.0 + least(20.0, n * 0.5))") + """ AS sev
       FROM c WHERE n >= 8 AND r IS NOT NULL AND abs(r) >= 0.45),
 k2 AS (SELECT *, """ + r2_sql("sev") + """ AS sev2 FROM k),
-rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, pair) AS rnk FROM k2)
-SELECT CAST(rnk AS INTEGER) AS "rank", country, pair, metric_x, metric_y, round(r, 6) AS correlation,
+rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, pair) AS rnk FROM k2),
+res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, pair, metric_x, metric_y, r AS correlation,
        n AS sample_size, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction,
-       round(sev, 6) AS severity, round(sev2, 6) AS severity_score
-FROM rk WHERE rnk <= 100""",
+       sev AS severity, sev2 AS severity_score
+FROM rk WHERE rnk <= 100)""", ["correlation", "severity", "severity_score"]),
 )
 def correlations(spark, sf_dir):
     """K4: metric-pair correlations per country at week 0 (cap 100)."""
@@ -247,14 +257,13 @@ def _padded(name, cols):
 
 @register(
     "opportunities",
-    (_RULE1 + "," + _RULE2.replace(MSNAP + ",", "") + "," + _RULE3.replace(MSNAP + ",", "") + f""",
+    detector_sql("opportunities", (_RULE1 + "," + _RULE2.replace(MSNAP + ",", "") + "," + _RULE3.replace(MSNAP + ",", "") + f""",
 allr AS ({_padded('rule1', _R1_COLS)} UNION ALL {_padded('rule2', _R2_COLS)} UNION ALL {_padded('rule3', _R3_COLS)}),
 k AS (SELECT *, {r2_sql('severity')} AS sev2 FROM allr),
-rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, rule, country, city, zone, zone_type) AS rnk FROM k)
-SELECT CAST(rnk AS INTEGER) AS "rank", rule, country, city, zone, zone_type,
-       {', '.join(f'round({c}, 6) AS {c}' for c in _ALL_OPP_COLS)},
-       round(severity, 6) AS severity, round(sev2, 6) AS severity_score
-FROM rk WHERE rnk <= 250"""),
+rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, rule, country, city, zone, zone_type) AS rnk FROM k),
+res AS (SELECT CAST(rnk AS INTEGER) AS "rank", rule, country, city, zone, zone_type,
+       {', '.join(_ALL_OPP_COLS)}, severity, sev2 AS severity_score
+FROM rk WHERE rnk <= 250)"""), _ALL_OPP_COLS + ["severity", "severity_score"]),
 )
 def opportunities(spark, sf_dir):
     """K5: the three opportunity rules together (cap 250)."""

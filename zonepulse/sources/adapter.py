@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonepulse.session import ensure_checkpoint_dir
 from zonepulse.sources.tables import read_table
 
 # Fixed values of the adapter (must equal the oracle SQL below).
@@ -156,13 +157,20 @@ def orders_long_from_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def zone_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """(metrics_long, orders_long) derived from the TPC-H-style tables.
 
     Both come from the same lazy fact plan; when one query uses both,
-    Spark reuses the shared exchanges instead of scanning twice.
+    Spark reuses the shared exchanges instead of scanning twice. With
+    ``materialize=True`` the fact table (zones × 9 weeks, independent of the
+    line-item volume) is checkpointed once to the shared checkpoint folder,
+    so several consumers (the five detectors) do not repeat the big join and
+    a lost executor does not send them back to the line items.
     """
     facts = zone_week_facts(spark, sf_dir)
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        facts = facts.checkpoint(eager=True)
     return metrics_long_from_facts(facts), orders_long_from_facts(facts)
 
 
