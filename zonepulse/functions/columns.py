@@ -61,12 +61,21 @@ def clamp(c, low: float, high: float) -> Column:
     return F.least(F.greatest(col(c), F.lit(low)), F.lit(high))
 
 
+def round_binary(c, digits: int = 6) -> Column:
+    """Half-away-from-zero rounding of the binary value (x·10^d rounded,
+    then divided), as SQL engines round doubles; ``round`` instead rounds the
+    shortest decimal string, which splits exact decimal ties differently."""
+    scale = float(10 ** digits)
+    x = col(c)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + 0.0
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column; used only at the edge for oracle comparison."""
     out = []
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(field.name), digits).alias(field.name))
+            out.append(round_binary(F.col(field.name), digits).alias(field.name))
         else:
             out.append(F.col(field.name))
     return df.select(*out)

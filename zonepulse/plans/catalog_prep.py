@@ -1 +1,121 @@
-"""Registered queries (filled in below)."""
+"""Registered prep queries B4–B9 and A5 with oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from zonepulse.operators import prep as P
+from zonepulse.plans.registry import register
+from zonepulse.sources import fixtures as X
+from zonepulse.sources.adapter import zone_tables
+
+
+@register("unpivot_metrics", """
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, 'l' || CAST(week AS VARCHAR) || 'w_roll' AS week_label,
+       round("value", 6) AS "value" FROM metrics_long""")
+def unpivot_metrics(spark, sf_dir):
+    """Wide metrics export (messy headers, roll set preferred) → metrics_long."""
+    m, _ = zone_tables(spark, sf_dir)
+    return P.reshape_metrics(X.wide_metrics(m))
+
+
+@register("unpivot_orders", """
+SELECT country, city, zone, metric, week, week_label, round("value", 6) AS "value" FROM orders_long""")
+def unpivot_orders(spark, sf_dir):
+    """Wide orders export (text cells, no METRIC column) → orders_long."""
+    _, o = zone_tables(spark, sf_dir)
+    return P.reshape_orders(X.wide_orders(o))
+
+
+@register("collapse_grain", """
+src AS (
+  SELECT *, 0 AS src_ord FROM metrics_long
+  UNION ALL
+  SELECT country, city, zone, NULL, NULL, metric, week, week_label, "value" + 1.0, 1 FROM metrics_long
+  WHERE country = 'ASIA' AND week = 4)
+SELECT country, city, zone,
+       first(zone_type ORDER BY src_ord) FILTER (WHERE zone_type IS NOT NULL) AS zone_type,
+       first(zone_prioritization ORDER BY src_ord) FILTER (WHERE zone_prioritization IS NOT NULL) AS zone_prioritization,
+       metric, week,
+       first(week_label ORDER BY src_ord) FILTER (WHERE week_label IS NOT NULL) AS week_label,
+       round(avg("value"), 6) AS "value"
+FROM src GROUP BY country, city, zone, metric, week""")
+def collapse_grain(spark, sf_dir):
+    """ASIA week-4 rows duplicated (value + 1, no zone attributes) and collapsed."""
+    m, _ = zone_tables(spark, sf_dir)
+    dup = m.filter((F.col("country") == "ASIA") & (F.col("week") == 4)).select(
+        "country", "city", "zone", F.lit(None).cast("string").alias("zone_type"),
+        F.lit(None).cast("string").alias("zone_prioritization"), "metric", "week", "week_label",
+        (F.col("value") + 1.0).alias("value"),
+    )
+    src = m.withColumn(P.ORD, F.lit(0)).unionByName(dup.withColumn(P.ORD, F.lit(1)))
+    return P.collapse_duplicate_grain(src)
+
+
+_DIRTY_SQL = """
+m0 AS (
+  SELECT country, city, zone,
+         CASE WHEN zone LIKE '%HOUSEHOLD' AND week = 3 THEN NULL ELSE zone_type END AS zone_type,
+         zone_prioritization, metric,
+         CASE WHEN city = 'NATION_0' THEN week + 9 ELSE week END AS week,
+         'l' || CAST(CASE WHEN city = 'NATION_0' THEN week + 9 ELSE week END AS VARCHAR) || 'w' AS week_label,
+         CASE WHEN city = 'NATION_1' THEN NULL ELSE "value" END AS "value"
+  FROM metrics_long),
+dirty_metrics AS (
+  SELECT * FROM m0
+  UNION ALL SELECT * FROM m0 WHERE week = 4 AND country = 'ASIA'
+  UNION ALL SELECT country, city, zone, NULL, NULL, metric, week, week_label, "value" FROM orders_long
+            WHERE city = 'NATION_2' AND week = 0),
+dirty_orders AS (
+  SELECT * FROM orders_long
+  UNION ALL SELECT country, city, zone || '_X', metric, week, week_label, "value" FROM orders_long WHERE city = 'NATION_3')"""
+
+
+@register("geo_lookup", _DIRTY_SQL + """
+SELECT country, city, zone,
+       first(zone_type ORDER BY week DESC, metric) FILTER (WHERE zone_type IS NOT NULL) AS zone_type,
+       first(zone_prioritization ORDER BY week DESC, metric) FILTER (WHERE zone_prioritization IS NOT NULL) AS zone_prioritization
+FROM dirty_metrics WHERE country IS NOT NULL AND city IS NOT NULL AND zone IS NOT NULL
+GROUP BY country, city, zone""")
+def geo_lookup(spark, sf_dir):
+    """First non-null zone attributes per zone, over the dirty metrics."""
+    m, _ = X.dirty_tables(spark, sf_dir)
+    return P.geography_lookup(m)
+
+
+@register("analytics_base", """
+lookup AS (
+  SELECT country, city, zone,
+         first(zone_type ORDER BY week DESC, metric) FILTER (WHERE zone_type IS NOT NULL) AS zone_type,
+         first(zone_prioritization ORDER BY week DESC, metric) FILTER (WHERE zone_prioritization IS NOT NULL) AS zone_prioritization
+  FROM metrics_long GROUP BY country, city, zone)
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, week_label, round("value", 6) AS "value"
+FROM metrics_long
+UNION ALL
+SELECT o.country, o.city, o.zone, l.zone_type, l.zone_prioritization, o.metric, o.week, o.week_label, round(o."value", 6)
+FROM orders_long o LEFT JOIN lookup l ON o.country = l.country AND o.city = l.city AND o.zone = l.zone""")
+def analytics_base(spark, sf_dir):
+    """Orders enriched with zone attributes, unioned with metrics."""
+    m, o = zone_tables(spark, sf_dir)
+    return P.analytics_base(m, o)
+
+
+@register("features", """
+SELECT country, city, zone, metric,
+       round(avg(CASE WHEN week = 0 THEN "value" END), 6) AS current_value,
+       round(avg(CASE WHEN week = 1 THEN "value" END), 6) AS value_1w_ago,
+       round(avg(CASE WHEN week = 5 THEN "value" END), 6) AS value_5w_ago,
+       round(avg(CASE WHEN week = 0 THEN "value" END) - avg(CASE WHEN week = 1 THEN "value" END), 6) AS delta_1w,
+       round(avg(CASE WHEN week = 0 THEN "value" END) - avg(CASE WHEN week = 5 THEN "value" END), 6) AS delta_5w
+FROM metrics_long GROUP BY country, city, zone, metric""")
+def features(spark, sf_dir):
+    """Point-in-time features per zone and metric."""
+    m, _ = zone_tables(spark, sf_dir)
+    return P.metrics_features(m)
+
+
+@register("fingerprint")
+def fingerprint(spark, sf_dir):
+    """A5: order-insensitive fingerprint of metrics_long (rows-only check)."""
+    m, _ = zone_tables(spark, sf_dir)
+    return P.fingerprint(m)

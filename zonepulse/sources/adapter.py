@@ -44,6 +44,7 @@ METRIC_NAMES = (
     "Restaurants Markdowns / GMV",
 )
 ZONE_COLUMNS = ("country", "city", "zone", "zone_type", "zone_prioritization")
+MONEY = T.DecimalType(15, 2)
 
 
 def zone_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,16 +76,21 @@ def _line_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_returnflag", "l_extendedprice", "l_discount", "l_tax"
     )
-    perfect = (F.col("l_returnflag") != "R").cast(T.DoubleType())
-    profit = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))
+    # Money columns carry cents; exact decimal sums make the metric values
+    # independent of summation order (partial aggregation, task layout).
+    price = F.col("l_extendedprice").cast(MONEY)
+    discount = F.col("l_discount").cast(MONEY)
+    tax = F.col("l_tax").cast(MONEY)
+    perfect = (F.col("l_returnflag") != "R").cast(T.LongType())
+    profit = price * (discount - tax)
     return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(perfect).alias("perfect_sum"),
         F.count(perfect).alias("perfect_cnt"),
         F.sum(profit).alias("profit_sum"),
         F.count(profit).alias("profit_cnt"),
-        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("markdown_sum"),
-        F.sum("l_extendedprice").alias("gmv_sum"),
+        F.sum(price * discount).alias("markdown_sum"),
+        F.sum(price).alias("gmv_sum"),
     )
 
 
@@ -123,7 +129,8 @@ def zone_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def ratio(num, den):
-        return F.try_divide(F.col(num).cast(T.DoubleType()), F.col(den).cast(T.DoubleType()))
+        den_d = F.col(den).cast(T.DoubleType())
+        return F.when(den_d != 0, F.col(num).cast(T.DoubleType()) / den_d)
 
     return agg.select(
         *ZONE_COLUMNS,
@@ -193,7 +200,8 @@ zone_orders AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 zone_lines AS (
-  SELECT z.*, l.l_returnflag, l.l_extendedprice, l.l_discount, l.l_tax
+  SELECT z.*, l.l_returnflag, CAST(l.l_extendedprice AS DECIMAL(15, 2)) AS price,
+         CAST(l.l_discount AS DECIMAL(15, 2)) AS disc, CAST(l.l_tax AS DECIMAL(15, 2)) AS tax
   FROM lineitem l JOIN zone_orders z ON l.l_orderkey = z.o_orderkey
   WHERE z.week BETWEEN 0 AND 8
 ),
@@ -201,9 +209,9 @@ zone_week AS (
   SELECT country, city, zone, zone_type, zone_prioritization, week,
          avg(CAST(l_returnflag <> 'R' AS DOUBLE)) AS m_perfect,
          avg(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE)) AS m_lead,
-         avg(l_extendedprice * (l_discount - l_tax)) / 1000.0 AS m_profit,
+         CAST(sum(price * (disc - tax)) AS DOUBLE) / count(price * (disc - tax)) / 1000.0 AS m_profit,
          avg(CAST(o_orderpriority = '1-URGENT' AS DOUBLE)) AS m_turbo,
-         sum(l_extendedprice * l_discount) / nullif(sum(l_extendedprice), 0) AS m_markdown,
+         CAST(sum(price * disc) AS DOUBLE) / nullif(CAST(sum(price) AS DOUBLE), 0) AS m_markdown,
          CAST(count(DISTINCT o_orderkey) AS DOUBLE) AS m_orders
   FROM zone_lines
   GROUP BY country, city, zone, zone_type, zone_prioritization, week
