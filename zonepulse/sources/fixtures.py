@@ -50,7 +50,7 @@ def wide_orders(orders_long: DataFrame) -> DataFrame:
     )
 
 
-def dirty_tables(spark: SparkSession, sf_dir: str):
+def dirty_tables(spark: SparkSession, sf_dir: str, materialize: bool = False):
     """(metrics, orders) with planted defects:
 
     * zone_type null for HOUSEHOLD zones in week 3 (geography conflict)
@@ -60,7 +60,7 @@ def dirty_tables(spark: SparkSession, sf_dir: str):
     * NATION_2 week-0 Orders rows copied into metrics (metric inventory)
     * NATION_3 orders copied under an unknown zone (unmatched enrichment)
     """
-    m, o = zone_tables(spark, sf_dir)
+    m, o = zone_tables(spark, sf_dir, materialize=materialize)
     shifted = F.when(F.col("city") == "NATION_0", F.col("week") + 9).otherwise(F.col("week"))
     m1 = m.select(
         "country", "city", "zone",
