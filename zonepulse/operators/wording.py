@@ -39,7 +39,9 @@ OPPORTUNITY_RULES = {
 
 
 def pct2(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    from zonepulse.functions.format import fixed
+
+    return fixed(c, 2)
 
 
 def anomaly_title(direction: Column, metric: Column) -> Column:
@@ -95,23 +97,36 @@ def opportunity_summary(rule, zone, country) -> Column:
 # ---------------------------------------------------------------------------
 # Recommendation hints (own wording).
 # ---------------------------------------------------------------------------
+# (metric contains, direction or None, text); the exact metric "orders" is
+# matched by ANOMALY_ORDERS_HINT; anything else gets ANOMALY_DEFAULT_HINT.
+ANOMALY_HINT_RULES = (
+    ("gross profit", "deterioration", "Break down last week's margin by price, discount, mix and variable cost to find what eroded it."),
+    ("gross profit", None, "Identify the price or cost lever behind the margin gain and trial it in comparable zones."),
+    ("perfect orders", None, "Review cancellations, delays and defects in the zone against its recent peers."),
+    ("lead penetration", None, "Check lead acquisition, merchant activation and assortment for a conversion bottleneck."),
+    ("adoption", None, "Check availability, demand coverage and local supply limits behind the adoption shift."),
+)
+ANOMALY_ORDERS_HINT = "Confirm the demand and supply drivers of the swing before changing spend or capacity."
+ANOMALY_DEFAULT_HINT = "Confirm the operational driver of this swing and give one owner a short corrective cycle."
+
+
 def anomaly_hint(metric: Column, direction: Column) -> Column:
     m = F.lower(metric)
-    return (
-        F.when(m.contains("gross profit") & (direction == "deterioration"),
-               F.lit("Break down last week's margin by price, discount, mix and variable cost to find what eroded it."))
-        .when(m.contains("gross profit"),
-              F.lit("Identify the price or cost lever behind the margin gain and trial it in comparable zones."))
-        .when(m.contains("perfect orders"),
-              F.lit("Review cancellations, delays and defects in the zone against its recent peers."))
-        .when(m.contains("lead penetration"),
-              F.lit("Check lead acquisition, merchant activation and assortment for a conversion bottleneck."))
-        .when(m.contains("adoption"),
-              F.lit("Check availability, demand coverage and local supply limits behind the adoption shift."))
-        .when(m == "orders",
-              F.lit("Confirm the demand and supply drivers of the swing before changing spend or capacity."))
-        .otherwise(F.lit("Confirm the operational driver of this swing and give one owner a short corrective cycle."))
-    )
+    out = F.when(m == "orders", F.lit(ANOMALY_ORDERS_HINT)).otherwise(F.lit(ANOMALY_DEFAULT_HINT))
+    for word, dirn, text in reversed(ANOMALY_HINT_RULES):
+        cond = m.contains(word) if dirn is None else m.contains(word) & (direction == dirn)
+        out = F.when(cond, F.lit(text)).otherwise(out)
+    return out
+
+
+def anomaly_hint_sql(metric: str, direction: str) -> str:
+    m = f"lower({metric})"
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    whens = []
+    for word, dirn, text in ANOMALY_HINT_RULES:
+        cond = f"contains({m}, '{word}')" + (f" AND {direction} = '{dirn}'" if dirn else "")
+        whens.append(f"WHEN {cond} THEN {q(text)}")
+    return f"CASE {' '.join(whens)} WHEN {m} = 'orders' THEN {q(ANOMALY_ORDERS_HINT)} ELSE {q(ANOMALY_DEFAULT_HINT)} END"
 
 
 TREND_HINT = "Review the whole deterioration window for a root cause and trial targeted fixes."

@@ -9,6 +9,8 @@ character 120); the Spark side runs the general greedy rule.
 from __future__ import annotations
 
 from zonepulse.operators import curation as C
+from zonepulse.operators import wording as W
+from zonepulse.operators.narrative import OPPORTUNITY_EVIDENCE
 from zonepulse.plans.catalog_detectors import BODIES
 from zonepulse.plans.insights import collect_insights, run_insights
 from zonepulse.plans.registry import register
@@ -23,51 +25,93 @@ def _nested(name: str) -> str:
     return f"k_{name} AS (WITH {BODIES[name]}\nSELECT * FROM res)"
 
 
-INSIGHTS_CTE = ",\n".join(_nested(n) for n in ("anomalies", "trends", "benchmarking", "correlations", "opportunities")) + f""",
+UNIFIED = [
+    ("insight_id", "BIGINT"), ("detector_ord", "INTEGER"), ("emit_ord", "INTEGER"), ("category", "VARCHAR"),
+    ("title", "VARCHAR"), ("metric", "VARCHAR"), ("country", "VARCHAR"), ("city", "VARCHAR"), ("zone", "VARCHAR"),
+    ("severity_score", "DOUBLE"), ("summary", "VARCHAR"), ("recommendation_hint", "VARCHAR"), ("confidence", "VARCHAR"),
+    ("affected_zones_count", "BIGINT"), ("direction", "VARCHAR"),
+    ("week_1_value", "DOUBLE"), ("week_0_value", "DOUBLE"), ("pct_change", "DOUBLE"), ("baseline_abs", "DOUBLE"),
+    ("abs_delta", "DOUBLE"), ("sign_flip", "BOOLEAN"), ("run_length", "BIGINT"), ("start_week", "INTEGER"),
+    ("end_week", "INTEGER"), ("start_value", "DOUBLE"), ("end_value", "DOUBLE"), ("net_change_pct", "DOUBLE"),
+    ("higher_is_better", "BOOLEAN"), ("zone_value", "DOUBLE"), ("peer_mean", "DOUBLE"), ("gap_pct", "DOUBLE"),
+    ("peer_count", "BIGINT"), ("zone_type", "VARCHAR"), ("metric_x", "VARCHAR"), ("metric_y", "VARCHAR"),
+    ("correlation", "DOUBLE"), ("sample_size", "BIGINT"),
+] + [(f, "DOUBLE") for f, _, _ in OPPORTUNITY_EVIDENCE]
+
+
+def _q(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+_OPP = {
+    "title": "CASE rule WHEN 1 THEN 'Growth momentum with quality risk' WHEN 2 THEN 'High quality with low penetration upside' ELSE 'Replication candidate zone' END",
+    "metric": "CASE rule WHEN 1 THEN 'Orders + Perfect Orders' WHEN 2 THEN 'Perfect Orders + Lead Penetration' ELSE 'Gross Profit UE + Turbo Adoption' END",
+    "summary": "CASE rule WHEN 1 THEN 'Orders are growing quickly in ' || zone || ' while Perfect Orders are below the country median.' "
+               "WHEN 2 THEN zone || ' combines strong quality with low penetration, suggesting expansion potential.' "
+               "ELSE zone || ' is in the top decile for Gross Profit UE and above median Turbo Adoption in ' || country || '.' END",
+    "recommendation_hint": "CASE rule " + " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in W.OPPORTUNITY_HINTS.items() if k < 3)
+                           + f" ELSE {_q(W.OPPORTUNITY_HINTS[3])} END",
+    "affected_zones_count": "1",
+}
+_OPP.update({f: f for f, _, _ in OPPORTUNITY_EVIDENCE})
+
+_SOURCES = [
+    ("anomalies", 0, {
+        "title": "'Large WoW ' || direction || ' in ' || metric", "metric": "metric",
+        "country": "country", "city": "city", "zone": "zone",
+        "summary": "metric || ' in ' || zone || ' (' || city || ', ' || country || ') shows a ' || printf('%.2f', pct_change * 100.0)"
+                   " || '% week-over-week ' || direction || CASE WHEN sign_flip THEN ' with a sign flip; treat this as high-volatility movement.' ELSE '.' END",
+        "recommendation_hint": W.anomaly_hint_sql("metric", "direction"),
+        "confidence": "confidence", "affected_zones_count": "1", "direction": "direction",
+        **{c: c for c in ("week_1_value", "week_0_value", "pct_change", "baseline_abs", "abs_delta", "sign_flip")},
+    }),
+    ("trends", 1, {
+        "title": "'Concerning deterioration trend in ' || metric", "metric": "metric",
+        "country": "country", "city": "city", "zone": "zone",
+        "summary": "metric || ' in ' || zone || ' (' || city || ', ' || country || ') has deteriorated for ' || CAST(run_length AS VARCHAR) || ' consecutive weeks.'",
+        "recommendation_hint": _q(W.TREND_HINT), "affected_zones_count": "1",
+        **{c: c for c in ("run_length", "start_week", "end_week", "start_value", "end_value", "net_change_pct", "higher_is_better")},
+    }),
+    ("benchmarking", 2, {
+        "title": "zone || ' diverges from peers on ' || metric", "metric": "metric",
+        "country": "country", "city": "city", "zone": "zone",
+        "summary": "zone || ' is ' || printf('%.2f', abs(gap_pct) * 100.0) || '% ' || direction || ' peer average for ' || metric || ' within comparable zones in ' || country || '.'",
+        "recommendation_hint": _q(W.BENCHMARK_HINT), "affected_zones_count": "peer_count",
+        **{c: c for c in ("zone_value", "peer_mean", "gap_pct", "peer_count", "zone_type")},
+    }),
+    ("correlations", 3, {
+        "title": "metric_x || ' and ' || metric_y || ' show a strong ' || direction || ' relationship'",
+        "metric": "metric_x || ' vs ' || metric_y", "country": "country",
+        "summary": "'In ' || country || ', ' || metric_x || ' and ' || metric_y || ' are strongly ' || direction || ' across zones (r=' || printf('%.2f', correlation) || ').'",
+        "recommendation_hint": _q(W.CORRELATION_HINT), "affected_zones_count": "sample_size",
+        **{c: c for c in ("metric_x", "metric_y", "correlation", "sample_size")},
+    }),
+    ("opportunities", 4, dict(_OPP, country="country", city="city", zone="zone")),
+]
+
+
+def _branch(category: str, ord_: int, mapping: dict) -> str:
+    cols = []
+    for name, typ in UNIFIED:
+        if name == "insight_id":
+            expr = f'{ord_ * 1000} + "rank"'
+        elif name == "detector_ord":
+            expr = str(ord_)
+        elif name == "emit_ord":
+            expr = '"rank"'
+        elif name == "category":
+            expr = f"'{category}'"
+        elif name == "severity_score":
+            expr = "severity_score"
+        else:
+            expr = mapping.get(name, "NULL")
+        cols.append(f"CAST({expr} AS {typ}) AS {name}")
+    return f"SELECT {', '.join(cols)} FROM k_{category}"
+
+
+INSIGHTS_CTE = ",\n".join(_nested(n) for n in ("anomalies", "trends", "benchmarking", "correlations", "opportunities")) + """,
 ins AS (
-  SELECT CAST(0 * 1000 + "rank" AS BIGINT) AS insight_id, 0 AS detector_ord, "rank" AS emit_ord,
-         'anomalies' AS category, 'Large WoW ' || direction || ' in ' || metric AS title, metric,
-         country, city, zone, severity_score,
-         metric || ' in ' || zone || ' (' || city || ', ' || country || ') shows a ' || {_p2("pct_change * 100.0")}
-           || '% week-over-week ' || direction
-           || CASE WHEN sign_flip THEN ' with a sign flip; treat this as high-volatility movement.' ELSE '.' END AS summary,
-         confidence, CAST(1 AS BIGINT) AS affected_zones_count,
-         week_1_value, week_0_value, pct_change, baseline_abs, abs_delta, sign_flip
-  FROM k_anomalies
-  UNION ALL
-  SELECT CAST(1000 + "rank" AS BIGINT), 1, "rank", 'trends', 'Concerning deterioration trend in ' || metric, metric,
-         country, city, zone, severity_score,
-         metric || ' in ' || zone || ' (' || city || ', ' || country || ') has deteriorated for '
-           || CAST(run_length AS VARCHAR) || ' consecutive weeks.',
-         NULL, CAST(1 AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
-  FROM k_trends
-  UNION ALL
-  SELECT CAST(2000 + "rank" AS BIGINT), 2, "rank", 'benchmarking', zone || ' diverges from peers on ' || metric, metric,
-         country, city, zone, severity_score,
-         zone || ' is ' || {_p2("abs(gap_pct) * 100.0")} || '% ' || direction || ' peer average for ' || metric
-           || ' within comparable zones in ' || country || '.',
-         NULL, CAST(peer_count AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
-  FROM k_benchmarking
-  UNION ALL
-  SELECT CAST(3000 + "rank" AS BIGINT), 3, "rank", 'correlations',
-         metric_x || ' and ' || metric_y || ' show a strong ' || direction || ' relationship',
-         metric_x || ' vs ' || metric_y, country, NULL, NULL, severity_score,
-         'In ' || country || ', ' || metric_x || ' and ' || metric_y || ' are strongly ' || direction
-           || ' across zones (r=' || {_p2("correlation")} || ').',
-         NULL, CAST(sample_size AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
-  FROM k_correlations
-  UNION ALL
-  SELECT CAST(4000 + "rank" AS BIGINT), 4, "rank", 'opportunities',
-         CASE rule WHEN 1 THEN 'Growth momentum with quality risk' WHEN 2 THEN 'High quality with low penetration upside'
-                   ELSE 'Replication candidate zone' END,
-         CASE rule WHEN 1 THEN 'Orders + Perfect Orders' WHEN 2 THEN 'Perfect Orders + Lead Penetration'
-                   ELSE 'Gross Profit UE + Turbo Adoption' END,
-         country, city, zone, severity_score,
-         CASE rule WHEN 1 THEN 'Orders are growing quickly in ' || zone || ' while Perfect Orders are below the country median.'
-                   WHEN 2 THEN zone || ' combines strong quality with low penetration, suggesting expansion potential.'
-                   ELSE zone || ' is in the top decile for Gross Profit UE and above median Turbo Adoption in ' || country || '.' END,
-         NULL, CAST(1 AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL
-  FROM k_opportunities
+  """ + "\n  UNION ALL\n  ".join(_branch(c, o, m) for c, o, m in _SOURCES) + """
 ),
 filtered AS (
   SELECT * FROM ins

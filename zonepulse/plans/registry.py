@@ -43,6 +43,7 @@ def load_all() -> None:
     from zonepulse.plans import (  # noqa: F401
         catalog_curation,
         catalog_detectors,
+        catalog_narrative,
         catalog_prep,
         catalog_quality,
         catalog_queries,
