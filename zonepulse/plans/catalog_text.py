@@ -1 +1,103 @@
-"""Registered queries (filled in below)."""
+"""Registered text queries N1–N5 over conversations and documents."""
+
+from __future__ import annotations
+
+from zonepulse.functions.text import FOLD_FROM, FOLD_TO, PY_WS
+from zonepulse.operators import text as Tx
+from zonepulse.plans.registry import register
+from zonepulse.sources.tables import read_table
+
+WS = PY_WS
+
+
+def _q(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return f"regexp_replace({_strip(x)}, '{WS}+', ' ', 'g')"
+
+
+def _norm(x: str) -> str:
+    folded = f"regexp_replace(translate({x}, {_q(FOLD_FROM)}, {_q(FOLD_TO)}), '[^\\x{{00}}-\\x{{7F}}]', '', 'g')"
+    return _squeeze(f"lower({folded})")
+
+
+def _any(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {_q(w)})" for w in words) + ")"
+
+
+_TAG = "CASE " + " ".join(f"WHEN {_any('n', words)} THEN '{name}'" for name, words in Tx.BUSINESS_TERMS) + " END"
+_CLAR = "CASE tag " + " ".join(f"WHEN '{k}' THEN {_q(v)}" for k, v in Tx.CLARIFICATIONS.items()) + " END"
+
+
+@register("term_tags", f"""
+src AS (SELECT conv_id, turn, {_norm('text')} AS n, {_strip('text')} AS o FROM conversations),
+tagged AS (SELECT conv_id, turn, o, CASE WHEN contains(n, 'clarification:') OR o = '' THEN NULL ELSE {_TAG} END AS tag FROM src)
+SELECT conv_id, turn, tag AS term_tag,
+       CASE WHEN tag IS NOT NULL THEN o || ' Clarification: ' || {_CLAR} ELSE o END AS enriched_text
+FROM tagged""")
+def term_tags(spark, sf_dir):
+    """Business-term tags of every conversation turn (accent/case-insensitive)."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return Tx.tag_business_terms(conv).select("conv_id", "turn", "term_tag", "enriched_text")
+
+
+_FOLLOW = f"""CASE WHEN c = '' THEN false ELSE ({_any('c', Tx.FOLLOW_UP_MARKERS)}
+    OR (len(toks) <= {Tx.SHORT_QUESTION_MAX_TOKENS} AND len(list_intersect(toks, {[*Tx.SHORT_QUESTION_TOKENS]})) > 0)) END"""
+
+
+def _follow_src(table_filter: str = "") -> str:
+    return f"""fsrc AS (SELECT *, lower({_strip("coalesce(text, '')")}) AS c FROM conversations{table_filter}),
+ftok AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(c, '[?.]', ' ', 'g'), '{WS}+'), lambda t: t <> '') AS toks FROM fsrc)"""
+
+
+@register("follow_up", _follow_src() + f"""
+SELECT conv_id, turn, {_FOLLOW} AS follow_up FROM ftok""")
+def follow_up(spark, sf_dir):
+    """Follow-up flag of every conversation turn."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", Tx.follow_up_flag().alias("follow_up"))
+
+
+_METRIC = "CASE " + " ".join(
+    f"WHEN contains(lower(coalesce(text, '')), {_q(m.lower())}) THEN {_q(m)}" for m in Tx.DEFAULT_METRIC_VOCABULARY) + " END"
+
+
+@register("carry_forward", _follow_src(" WHERE role = 'user'") + f""",
+m AS (SELECT conv_id, turn, {_METRIC} AS metric, {_FOLLOW} AS follow_up FROM ftok),
+c AS (SELECT *, last(metric IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m)
+SELECT conv_id, turn, metric, follow_up,
+       CASE WHEN metric IS NOT NULL THEN metric WHEN follow_up THEN prev END AS resolved_metric FROM c""")
+def carry_forward(spark, sf_dir):
+    """Metric named in each user turn, carried forward into follow-ups."""
+    conv = read_table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return Tx.carry_forward_metric(conv).select("conv_id", "turn", "metric", "follow_up", "resolved_metric")
+
+
+@register("mask_email", f"""
+f AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') AS emails FROM documents),
+e AS (SELECT doc_id, CAST(generate_subscripts(emails, 1) AS INTEGER) AS pos, unnest(emails) AS email FROM f),
+s AS (SELECT doc_id, pos, {_strip('email')} AS v FROM e)
+SELECT doc_id, pos, CASE WHEN NOT contains(v, '@') THEN '***'
+       ELSE CASE WHEN length(split_part(v, '@', 1)) <= 2 THEN substring(split_part(v, '@', 1), 1, 1)
+                 ELSE substring(split_part(v, '@', 1), 1, 2) END || '***@' || substring(v, strpos(v, '@') + 1) END AS masked_email
+FROM s""")
+def mask_email(spark, sf_dir):
+    """E-mail addresses found in every document, masked."""
+    docs = read_table(spark, sf_dir, "documents")
+    return Tx.extract_masked_emails(docs)
+
+
+@register("preview", f"""
+s AS (SELECT conv_id, turn, {_squeeze('text')} AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(p) <= 96 THEN p ELSE substring(p, 1, 96) || '...' END AS preview FROM s""")
+def preview(spark, sf_dir):
+    """96-character one-line previews of every conversation turn."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return Tx.previews(conv, ["conv_id", "turn"])
