@@ -61,7 +61,7 @@ SELECT conv_id, turn, {_FOLLOW} AS follow_up FROM ftok""")
 def follow_up(spark, sf_dir):
     """Follow-up flag of every conversation turn."""
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.select("conv_id", "turn", Tx.follow_up_flag().alias("follow_up"))
+    return Tx.with_follow_up(conv).select("conv_id", "turn", "follow_up")
 
 
 _METRIC = "CASE " + " ".join(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from zonepulse.operators import curation as C
 from zonepulse.operators import detectors as D
 from zonepulse.operators import wording as W
-from zonepulse.session import ensure_checkpoint_dir
+from zonepulse.session import materialize
 
 EVIDENCE_COLUMNS = {
     "anomalies": ["week_1_value", "week_0_value", "pct_change", "baseline_abs", "abs_delta", "sign_flip",
@@ -135,12 +135,11 @@ def run_insights(
     max_summary = min(5, max(3, int(top_k_critical)))
     raw = collect_insights(metrics_df, orders_df)
     if checkpoint:
-        ensure_checkpoint_dir(raw.sparkSession)
-        raw = raw.checkpoint(eager=True)
+        raw = materialize(raw)
     filtered = C.filter_noise(raw)
     curated = C.deduplicate(C.ranked(filtered))
     if checkpoint:
-        curated = curated.checkpoint(eager=True)
+        curated = materialize(curated)
     candidates = C.limit_per_zone(curated, 1)
     summary = C.category_diversity(candidates, max_summary, 2)
     by_category = C.top_per_category(curated, max_per_category)

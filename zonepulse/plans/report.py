@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from zonepulse.model import CATEGORIES, CATEGORY_TITLES
 from zonepulse.operators.narrative import cross_cutting_recommendations, narrate
 from zonepulse.plans.insights import InsightRun
-from zonepulse.session import ensure_checkpoint_dir
+from zonepulse.session import materialize
 from zonepulse.sources.tables import write_report_lines
 
 # Report headings and empty-section sentences.
@@ -39,11 +39,10 @@ def _cat_index():
 def report_lines(run: InsightRun) -> DataFrame:
     """(ord, line) rows of the markdown report."""
     spark = run.curated.sparkSession
-    ensure_checkpoint_dir(spark)
     # ≤5 and ≤15 narrated rows, each used by several report branches:
     # checkpoint once instead of re-deriving the narrative per branch
-    summary = narrate(run.executive_summary).checkpoint(eager=True)
-    sections = narrate(run.by_category).checkpoint(eager=True)
+    summary = materialize(narrate(run.executive_summary))
+    sections = materialize(narrate(run.by_category))
     recs = cross_cutting_recommendations(summary, sections)
 
     template = [(0, REPORT_TITLE), (1, ""), (2, SUMMARY_HEADING), (200, ""), (201, CATEGORIES_HEADING),

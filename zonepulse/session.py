@@ -65,3 +65,20 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts)
+
+
+def materialize(df):
+    """Reliable checkpoint in the shared folder, computed once.
+
+    ``checkpoint(eager=True)`` alone runs the plan twice (one job to count,
+    one to write the files); persisting first lets the write reuse the
+    computed partitions. The cache is released once the files exist, and
+    the returned DataFrame reads the checkpoint, so a lost executor never
+    replays the lineage behind it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonepulse.session import ensure_checkpoint_dir
+from zonepulse.session import materialize as checkpoint_once
 from zonepulse.sources.tables import read_table
 
 # Fixed values of the adapter (must equal the oracle SQL below).
@@ -176,8 +176,7 @@ def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
     """
     facts = zone_week_facts(spark, sf_dir)
     if materialize:
-        ensure_checkpoint_dir(spark)
-        facts = facts.checkpoint(eager=True)
+        facts = checkpoint_once(facts)
     return metrics_long_from_facts(facts), orders_long_from_facts(facts)
 
 
