@@ -64,3 +64,21 @@ def test_growth_merges_same_zone_name(tables):
     z2 = [x for x in r if x.zone == "Z2"][0]
     assert z2.baseline_value == pytest.approx(30.0) and z2.current_value == pytest.approx(33.0)
     assert z2.growth_rate == pytest.approx(0.1)
+
+
+def test_result_envelope_and_approx_quantiles(tables):
+    from zonepulse.plans.results import run_query
+
+    m, o = tables
+    r = run_query("top_n_ranking", m, o, metric="Lead Penetration", n=3)
+    assert r.title == "Top 3 zone by Lead Penetration" and r.result_type == "table"
+    assert r.metadata["display"] == {"value_format": "number", "decimals": 2} and r.row_count() == 3
+    t = run_query("trend_analysis", m, o, metric="Orders", last_n_weeks=2, filters={"country": "MX"})
+    assert t.result_type == "timeseries" and t.title == "Orders trend over last 2 weeks"
+    d = run_query("aggregation", m, o, metric="Lead Penetration", group_by="country", filters={"country": "MX"})
+    assert d.metadata["group_by"] == "city"
+    conds = [("Lead Penetration", "high", None), ("Orders", "low", None)]
+    exact = {tuple(x) for x in Q.multivariable_filter(m, o, conds, "or").collect()}
+    approx = {tuple(x) for x in Q.multivariable_filter(m, o, conds, "or", exact=False).collect()}
+    assert approx  # approximate thresholds still select zones
+    assert len(approx ^ exact) <= len(exact)

@@ -296,7 +296,8 @@ def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
     )
 
 
-def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10) -> DataFrame:
+def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10,
+                               exact: bool = True) -> DataFrame:
     """Rule 1: orders grew ≥10% from week 3 to week 0 while Perfect Orders is
     below the country median. Growth uses every orders_long row (any metric)."""
     o = orders_df.select(*G, "week", "value").na.drop(subset=G + ["week", "value"])
@@ -311,7 +312,7 @@ def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_
         .filter(F.col("metric") == "Perfect Orders")
         .select(*G, "zone_type", F.col("value").alias("perfect_orders"))
     )
-    medians = quality.groupBy("country").agg(F.median("perfect_orders").alias("country_perfect_orders_median"))
+    medians = quality.groupBy("country").agg(quantile("perfect_orders", 0.5, exact).alias("country_perfect_orders_median"))
     j = growth.join(quality, G).join(medians, "country").filter(F.col("country_perfect_orders_median").isNotNull())
     j = j.filter(
         (F.col("orders_growth_pct") >= min_growth)
@@ -325,12 +326,19 @@ def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_
     ).withColumn("severity_score", round2("severity"))
 
 
-def opportunity_quality_penetration(metrics_df: DataFrame) -> DataFrame:
+def quantile(c: str, p: float, exact: bool = True) -> Column:
+    """Linear-interpolated quantile (exact), or ``percentile_approx`` for
+    very large groups: exact ``percentile`` keeps a value→count map per
+    group, the approximate one a bounded sketch."""
+    return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10000)
+
+
+def opportunity_quality_penetration(metrics_df: DataFrame, exact: bool = True) -> DataFrame:
     """Rule 2: Perfect Orders ≥ country p75 and Lead Penetration ≤ country p25."""
     wide = _wide(_metrics_snapshot(metrics_df), {"Perfect Orders": "perfect_orders", "Lead Penetration": "lead_penetration"})
     q = wide.groupBy("country").agg(
-        F.percentile("perfect_orders", 0.75).alias("country_quality_p75"),
-        F.percentile("lead_penetration", 0.25).alias("country_penetration_p25"),
+        quantile("perfect_orders", 0.75, exact).alias("country_quality_p75"),
+        quantile("lead_penetration", 0.25, exact).alias("country_penetration_p25"),
     )
     j = wide.join(q, "country").filter(
         (F.col("perfect_orders") >= F.col("country_quality_p75"))
@@ -346,12 +354,12 @@ def opportunity_quality_penetration(metrics_df: DataFrame) -> DataFrame:
     ).withColumn("severity_score", round2("severity"))
 
 
-def opportunity_replication(metrics_df: DataFrame) -> DataFrame:
+def opportunity_replication(metrics_df: DataFrame, exact: bool = True) -> DataFrame:
     """Rule 3: Gross Profit UE ≥ country p90 and Turbo Adoption > country median."""
     wide = _wide(_metrics_snapshot(metrics_df), {"Gross Profit UE": "gross_profit_ue", "Turbo Adoption": "turbo_adoption"})
     q = wide.groupBy("country").agg(
-        F.percentile("gross_profit_ue", 0.90).alias("country_gp_top_decile"),
-        F.median("turbo_adoption").alias("country_turbo_median"),
+        quantile("gross_profit_ue", 0.90, exact).alias("country_gp_top_decile"),
+        quantile("turbo_adoption", 0.5, exact).alias("country_turbo_median"),
     )
     j = wide.join(q, "country").filter(
         (F.col("gross_profit_ue") >= F.col("country_gp_top_decile"))
@@ -367,13 +375,14 @@ def opportunity_replication(metrics_df: DataFrame) -> DataFrame:
     ).withColumn("severity_score", round2("severity"))
 
 
-def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int = 250) -> DataFrame:
+def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int = 250,
+                         exact: bool = True) -> DataFrame:
     """All three rules, sorted by the two-decimal score, ties in rule then
     location order, capped."""
     rules = (
-        opportunity_growth_quality(metrics_df, orders_df)
-        .unionByName(opportunity_quality_penetration(metrics_df), allowMissingColumns=True)
-        .unionByName(opportunity_replication(metrics_df), allowMissingColumns=True)
+        opportunity_growth_quality(metrics_df, orders_df, exact=exact)
+        .unionByName(opportunity_quality_penetration(metrics_df, exact), allowMissingColumns=True)
+        .unionByName(opportunity_replication(metrics_df, exact), allowMissingColumns=True)
     )
     order = [F.col("severity_score").desc(), F.col("rule").asc()] + [
         F.col(c).asc() for c in G + ["zone_type"]
