@@ -11,8 +11,8 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,7 +23,7 @@ from zonepulse.operators import text as Tx  # noqa: E402
 from zonepulse.plans import queries as Q  # noqa: E402
 from zonepulse.plans.insights import run_insights  # noqa: E402
 from zonepulse.plans.report import report_lines  # noqa: E402
-from zonepulse.session import build_session  # noqa: E402
+from zonepulse.session import build_session, shared_path  # noqa: E402
 from zonepulse.sources import fixtures as X  # noqa: E402
 from zonepulse.sources.adapter import zone_tables  # noqa: E402
 from zonepulse.sources.tables import read_table  # noqa: E402
@@ -85,7 +85,7 @@ def main():
         ol = P.reshape_orders(wo)
         base = P.analytics_base(ml, ol)
         feats = P.metrics_features(ml)
-        out = tempfile.mkdtemp(prefix="zp-bench-", dir=spark.conf.get("spark.checkpoint.dir").replace("file:", ""))
+        out = shared_path(spark, f"bench-prep-{uuid.uuid4().hex}")
         base.write.mode("overwrite").parquet(os.path.join(out, "analytics_base"))
         feats.write.mode("overwrite").parquet(os.path.join(out, "metrics_features"))
 

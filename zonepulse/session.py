@@ -50,14 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) a private temporary folder is created.
     """
     global _LOCAL_CHECKPOINT_DIR
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
         if _LOCAL_CHECKPOINT_DIR is None:
             _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="zonepulse-ckpt-")
         configured = _LOCAL_CHECKPOINT_DIR
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
