@@ -9,7 +9,10 @@ needs imperative logic; it runs per (category, zone) group in
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,11 @@ from zonepulse.model import CATEGORIES, CATEGORY_BONUS
 
 SIGNATURE_CHARS = 120
 
+# The grouped-map function below runs in Python workers. Pickling this
+# module's functions by value means executors need only pandas, not this
+# package on their path (ship the package with --py-files all the same).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def zone_key() -> Column:
     """country|city|zone lower-cased, or '' when the finding has no zone."""
