@@ -62,3 +62,12 @@ def test_quality_flags(make_tables, spark):
     assert found[("metrics_long", "zone_type_conflicts")] == (1, "critical")
     assert found[("orders_long", "enrichment_unmatched")] == (1, "warning")
     assert Qy.overall_status(rep).collect()[0].status == "FAIL"
+
+
+def test_collapse_null_keys(make_tables):
+    m, _ = make_tables([("A", "B", None, "T", "P", "M", 0, 1.0), ("A", "B", "Z", "T", "P", "M", 0, 2.0)])
+    assert P.collapse_duplicate_grain(m).count() == 2  # no duplicates: null-key row kept
+    m2, _ = make_tables([("A", "B", None, "T", "P", "M", 0, 1.0), ("A", "B", "Z", "T", "P", "M", 0, 2.0),
+                         ("A", "B", "Z", "T", "P", "M", 0, 4.0)])
+    r = P.collapse_duplicate_grain(m2).collect()
+    assert [(x.zone, x.value) for x in r] == [("Z", 3.0)]  # duplicates: collapsed, null key dropped

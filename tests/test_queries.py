@@ -82,3 +82,13 @@ def test_result_envelope_and_approx_quantiles(tables):
     approx = {tuple(x) for x in Q.multivariable_filter(m, o, conds, "or", exact=False).collect()}
     assert approx  # approximate thresholds still select zones
     assert len(approx ^ exact) <= len(exact)
+
+
+def test_null_geography_groups(make_tables):
+    m, o = make_tables([("A", None, "Z1", "T", "P", "M", 0, 1.0), ("A", None, "Z2", "T", "P", "M", 0, 3.0),
+                        ("A", "C", "Z3", "T", "P", "M", 0, 5.0), ("A", "C", "Z3", "T", "P", "N", 0, 5.0),
+                        ("A", None, "Z1", "T", "P", "N", 0, 9.0)])
+    r = Q.aggregation(m, o, "M", "city", "mean").collect()
+    assert [(x.city, x.value) for x in r] == [("C", 5.0), (None, 2.0)]  # value DESC, null group kept
+    mv = Q.multivariable_filter(m, o, [("M", "gt", 0.5), ("N", "gt", 0.5)], "and").collect()
+    assert sorted((x.zone, x.matched_conditions) for x in mv) == [("Z1", 2), ("Z3", 2)]
