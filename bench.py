@@ -23,7 +23,7 @@ from zonepulse.operators import text as Tx  # noqa: E402
 from zonepulse.plans import queries as Q  # noqa: E402
 from zonepulse.plans.insights import run_insights  # noqa: E402
 from zonepulse.plans.report import report_lines  # noqa: E402
-from zonepulse.session import build_session, shared_path  # noqa: E402
+from zonepulse.session import build_session, materialize, shared_path  # noqa: E402
 from zonepulse.sources import fixtures as X  # noqa: E402
 from zonepulse.sources.adapter import zone_tables  # noqa: E402
 from zonepulse.sources.tables import read_table  # noqa: E402
@@ -93,7 +93,8 @@ def main():
 
     # J1–J11 on the dirty variants
     dm, do = X.dirty_tables(spark, sf_dir, materialize=True)
-    dbase, dfeat = P.analytics_base(dm, do), P.metrics_features(dm)
+    dm, do = materialize(dm), materialize(do)
+    dbase, dfeat = materialize(P.analytics_base(dm, do)), materialize(P.metrics_features(dm))
     q["j11_quality_suite"] = timed(lambda: Qy.overall_status(Qy.quality_report(dm, do, dbase, dfeat)).collect(), min(3, repeat))
 
     # N1–N5 over whole texts

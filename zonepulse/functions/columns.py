@@ -79,3 +79,20 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(field.name))
     return df.select(*out)
+
+
+def union_all(frames, allow_missing: bool = False) -> DataFrame:
+    """unionByName of many frames as a balanced tree: each union re-analyses
+    its inputs, so a left-deep chain costs quadratic planning time."""
+    frames = list(frames)
+    if not frames:
+        raise ValueError("nothing to union")
+    while len(frames) > 1:
+        nxt = []
+        for i in range(0, len(frames), 2):
+            if i + 1 < len(frames):
+                nxt.append(frames[i].unionByName(frames[i + 1], allowMissingColumns=allow_missing))
+            else:
+                nxt.append(frames[i])
+        frames = nxt
+    return frames[0]

@@ -25,6 +25,7 @@ from zonepulse.model import (
     WEEK_LABEL_PATTERN,
     require_columns,
 )
+from zonepulse.functions.columns import union_all
 from zonepulse.operators.slices import distinct_count_with_null
 
 FINDING_SCHEMA = "dataset string, check string, item string, count long, severity string"
@@ -46,7 +47,7 @@ def _flag(count: Column, level: str) -> Column:
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return union_all(frames)
 
 
 def _profile(df: DataFrame) -> DataFrame:

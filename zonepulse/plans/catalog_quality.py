@@ -6,6 +6,7 @@ from zonepulse.operators import prep as P
 from zonepulse.operators import quality as Qy
 from zonepulse.plans.catalog_prep import _DIRTY_SQL
 from zonepulse.plans.registry import register
+from zonepulse.session import materialize
 from zonepulse.sources import fixtures as X
 
 TABLES_SQL = _DIRTY_SQL + """,
@@ -30,8 +31,11 @@ CRIT = ("country", "city", "zone", "metric", "week", "value")
 
 
 def _tables(spark, sf_dir):
+    """Dirty metrics/orders plus their base and features, each checkpointed
+    once: every check reads them several times."""
     m, o = X.dirty_tables(spark, sf_dir, materialize=True)
-    return m, o, P.analytics_base(m, o), P.metrics_features(m)
+    m, o = materialize(m), materialize(o)
+    return m, o, materialize(P.analytics_base(m, o)), materialize(P.metrics_features(m))
 
 
 def _flag(expr: str, level: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonepulse.functions.columns import union_all
 from zonepulse.operators import curation as C
 from zonepulse.operators import detectors as D
 from zonepulse.operators import wording as W
@@ -94,9 +95,7 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
         k5, 4, "opportunities", rule_title, rule_metric, c("country"), c("city"), c("zone"),
         W.opportunity_summary(c("rule"), c("zone"), c("country")), rule_hint, F.lit(1),
     )
-    allins = k1
-    for part in (k2, k3, k4, k5):
-        allins = allins.unionByName(part, allowMissingColumns=True)
+    allins = union_all([k1, k2, k3, k4, k5], allow_missing=True)
     evidence_cols = [e for cat in EVIDENCE_COLUMNS.values() for e in cat if e != "confidence"]
     seen = []
     for e in evidence_cols:
