@@ -42,3 +42,22 @@ def test_report_structure_and_sink(spark):
     assert len(files) == 1
     with open(os.path.join(out, files[0]), encoding="utf-8") as fh:
         assert fh.read().strip() == text.strip()
+
+
+def test_prepare_and_validate(spark):
+    from zonepulse.plans.prep_run import prepare, validate
+    from zonepulse.sources import fixtures as X
+
+    m, o = zone_tables(spark, SMALL_SF)
+    work = tempfile.mkdtemp(prefix="zp-prep-")
+    X.wide_metrics(m).write.option("header", True).csv(os.path.join(work, "wide_metrics.csv"))
+    X.wide_orders(o).write.parquet(os.path.join(work, "wide_orders"))
+    paths = prepare(spark, os.path.join(work, "wide_metrics.csv"), os.path.join(work, "wide_orders"),
+                    os.path.join(work, "processed"))
+    parts = [d for d in os.listdir(os.path.join(work, "processed", "metrics_long")) if d.startswith("week=")]
+    assert len(parts) == m.select("week").distinct().count()
+    findings, status = validate(spark, paths)
+    assert status.collect()[0].status == "PASS"
+    back = spark.read.parquet(paths["metrics_long"]).select(*m.columns)
+    cols = ["country", "city", "zone", "metric", "week", "value"]
+    assert back.select(cols).exceptAll(m.select(cols)).count() == 0
