@@ -92,3 +92,10 @@ def test_null_geography_groups(make_tables):
     assert [(x.city, x.value) for x in r] == [("C", 5.0), (None, 2.0)]  # value DESC, null group kept
     mv = Q.multivariable_filter(m, o, [("M", "gt", 0.5), ("N", "gt", 0.5)], "and").collect()
     assert sorted((x.zone, x.matched_conditions) for x in mv) == [("Z1", 2), ("Z3", 2)]
+
+
+def test_approx_median_matches_exact_on_odd_groups(make_tables):
+    m, o = make_tables([("A", "B", f"z{i}", "T", "P", "M", 0, float(v)) for i, v in enumerate([5, 1, 3])])
+    exact = Q.aggregation(m, o, "M", "country", "median").collect()[0].value
+    approx = Q.aggregation(m, o, "M", "country", "median", exact=False).collect()[0].value
+    assert exact == approx == 3.0
