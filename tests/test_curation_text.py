@@ -1,7 +1,5 @@
 """Greedy de-duplication, diversity pick, text operators."""
 
-from pyspark.sql import functions as F
-
 from zonepulse.operators import curation as C
 from zonepulse.operators import text as Tx
 from zonepulse.plans.insights import collect_insights

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from zonepulse.functions.columns import EPS, clamp, rel_change, round2, strip_ws
 from zonepulse.model import CORRELATION_PAIRS, GEO_KEYS, LOWER_IS_BETTER
-from zonepulse.operators import wording as W
 
 BASE_COLS = ["country", "city", "zone", "metric", "week", "value"]
 G = list(GEO_KEYS)

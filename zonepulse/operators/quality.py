@@ -150,10 +150,6 @@ def check_geography(metrics: DataFrame, dataset: str = "metrics_long") -> DataFr
     ])
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def check_enrichment(orders: DataFrame, metrics: DataFrame, dataset: str = "orders_long") -> DataFrame:
     """The orders ⋈ geography-tuples join must not add rows (critical);
     order zones without a geography are reported (warning).
