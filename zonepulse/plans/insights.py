@@ -142,8 +142,5 @@ def run_insights(
     candidates = C.limit_per_zone(curated, 1)
     summary = C.category_diversity(candidates, max_summary, 2)
     by_category = C.top_per_category(curated, max_per_category)
-    if checkpoint:
-        # ≤5 and ≤15 rows, read by the report, the counts and the narrative
-        summary, by_category = materialize(summary), materialize(by_category)
     counts = C.stage_counts(raw, filtered, curated, summary, by_category)
     return InsightRun(raw, filtered, curated, candidates, summary, by_category, counts, max_summary)

@@ -175,17 +175,9 @@ def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
     a lost executor does not send them back to the line items.
     """
     facts = zone_week_facts(spark, sf_dir)
-    if not materialize:
-        return metrics_long_from_facts(facts), orders_long_from_facts(facts)
-    # the fact plan runs once (persisted); both long tables are checkpointed
-    # so every consumer starts from a plain scan of the checkpoint files
-    facts = facts.persist()
-    try:
-        metrics = checkpoint_once(metrics_long_from_facts(facts))
-        orders = checkpoint_once(orders_long_from_facts(facts))
-    finally:
-        facts.unpersist()
-    return metrics, orders
+    if materialize:
+        facts = checkpoint_once(facts)
+    return metrics_long_from_facts(facts), orders_long_from_facts(facts)
 
 
 # ---------------------------------------------------------------------------
