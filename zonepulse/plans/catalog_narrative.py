@@ -107,7 +107,83 @@ def formatted_values(spark, sf_dir):
     return agg.select("country", "metric", "value", format_metric_value("value", fmt, dec).alias("display"))
 
 
-@register("report_lines")
+def _report_sql() -> str:
+    from zonepulse.model import CATEGORY_TITLES
+    from zonepulse.plans import report as R
+
+    sec, blk = R.SECTION, R.BLOCK
+    loc_parts = ", ".join(f"CASE WHEN {_sq(c)} <> '' THEN {_sq(c)} END" for c in ("country", "city", "zone"))
+    loc = f"concat_ws(' | ', {loc_parts})"
+    happened = (f"CASE WHEN {loc} <> '' AND {_sq('metric')} <> '' THEN {_sq('summary')} || ' Location: ' || {loc} "
+                f"|| '. Metric: ' || {_sq('metric')} || '.' "
+                f"WHEN {loc} <> '' THEN {_sq('summary')} || ' Location: ' || {loc} || '.' "
+                f"WHEN {_sq('metric')} <> '' THEN {_sq('summary')} || ' Metric: ' || {_sq('metric')} || '.' "
+                f"ELSE {_sq('summary')} END")
+    lists = []
+    for cat, exprs in N.evidence_lines_sql().items():
+        lst = f"list_filter([{', '.join(exprs)}], lambda x: x IS NOT NULL)"
+        if cat == "opportunities":
+            lst = (f"CASE WHEN len(list_slice({lst}, 1, 4)) > 0 THEN list_slice({lst}, 1, 4) "
+                   f"ELSE [{_q(N.NO_OPPORTUNITY_EVIDENCE)}] END")
+        lists.append(f"WHEN '{cat}' THEN {lst}")
+    ev = f"CASE category {' '.join(lists)} END"
+    cat_idx = "CASE t.category " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _) in enumerate(CATEGORY_TITLES)) + " END"
+    template = [(0, R.REPORT_TITLE), (1, ""), (2, R.SUMMARY_HEADING), (200, ""), (201, R.CATEGORIES_HEADING),
+                (900 * sec, R.RECOMMENDATIONS_HEADING)]
+    for i, (_, title) in enumerate(CATEGORY_TITLES):
+        template += [(blk + (i + 1) * sec, ""), (blk + (i + 1) * sec + 1, f"### {title}")]
+    tmpl = " UNION ALL ".join(
+        (f"SELECT CAST({o} AS BIGINT) AS ord, {_q(t)} AS line" if k == 0 else f"SELECT CAST({o} AS BIGINT), {_q(t)}")
+        for k, (o, t) in enumerate(template))
+    empty_cats = " UNION ALL ".join(
+        f"SELECT CAST({blk + (i + 1) * sec + 2} AS BIGINT), {_q(R.NO_FINDINGS)} WHERE NOT EXISTS "
+        f"(SELECT 1 FROM top3 WHERE category = '{c}')" for i, (c, _) in enumerate(CATEGORY_TITLES))
+    return f""",
+narr AS (
+  SELECT n.*, {happened} AS what_happened, {ev} AS ev0 FROM narrated n),
+narr2 AS (SELECT *, CASE WHEN ev0 IS NULL OR len(ev0) = 0 THEN [{_q(N.NO_EVIDENCE)}] ELSE ev0 END AS ev FROM narr),
+recs AS (
+  SELECT row_number() OVER (ORDER BY ord) AS rec_ord, rec FROM (
+    SELECT rec, min(ord) AS ord FROM rec_src GROUP BY rec ORDER BY ord LIMIT 6)),
+blocks AS (
+  SELECT {blk} + ({cat_idx} + 1) * {sec} + t.category_rank * {blk} AS b, n.*
+  FROM top3 t JOIN narr2 n USING (insight_id)),
+lines AS (
+  {tmpl}
+  UNION ALL SELECT CAST(100 AS BIGINT), {_q('- ' + R.NO_FINDINGS)} WHERE NOT EXISTS (SELECT 1 FROM diversity)
+  UNION ALL SELECT CAST({900 * sec + 1} AS BIGINT), {_q(R.NO_ACTIONS)} WHERE NOT EXISTS (SELECT 1 FROM recs)
+  UNION ALL {empty_cats}
+  UNION ALL SELECT CAST(100 + d.summary_ord AS BIGINT), '- **' || n.title_text || '**: ' || n.what_happened
+            FROM diversity d JOIN narr2 n USING (insight_id)
+  UNION ALL SELECT CAST(b AS BIGINT), '#### ' || title_text FROM blocks
+  UNION ALL SELECT CAST(b + 1 AS BIGINT), '**What happened:** ' || what_happened FROM blocks
+  UNION ALL SELECT CAST(b + 2 AS BIGINT), '**Why it matters:** ' || why_it_matters FROM blocks
+  UNION ALL SELECT CAST(b + 3 AS BIGINT), '**Evidence:**' FROM blocks
+  UNION ALL SELECT CAST(b + 900 AS BIGINT), '**Recommended action:** ' || recommended_action FROM blocks
+  UNION ALL SELECT CAST(b + 901 AS BIGINT), '' FROM blocks
+  UNION ALL SELECT CAST(b + 10 + i - 1 AS BIGINT), '- ' || line FROM (
+      SELECT b, unnest(ev) AS line, generate_subscripts(ev, 1) AS i FROM blocks)
+  UNION ALL SELECT CAST({900 * sec + 1} + rec_ord AS BIGINT), '- ' || rec FROM recs)
+SELECT * FROM lines"""
+
+
+def _q(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+@register("report_lines", INSIGHTS_CTE + "," + _NARRATED + "__REPORT__")
 def report(spark, sf_dir):
-    """M6: the executive report as ordered lines (rows-only check)."""
+    """M6: the executive report as ordered (ord, line) rows."""
     return report_lines(_run(spark, sf_dir))
+
+
+def _patch_report_sql():
+    from zonepulse.plans.registry import SQL
+
+    sql = SQL["report_lines"]
+    body = _report_sql()
+    body = body.replace("SELECT * FROM lines", "SELECT ord, line FROM lines")
+    SQL["report_lines"] = sql.replace("__REPORT__", body)
+
+
+_patch_report_sql()
