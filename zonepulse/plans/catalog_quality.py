@@ -204,7 +204,7 @@ _ALL_FINDINGS = "\nUNION ALL ".join([
 ])
 
 
-@register("dq_status", TABLES_SQL + "," + GEO_SQL.replace("tuples AS", "tuples AS", 1) + "," + ENRICH_SQL.replace(
+@register("dq_status", TABLES_SQL + "," + GEO_SQL + "," + ENRICH_SQL.replace(
     "tuples AS (SELECT DISTINCT country, city, zone, zone_type, zone_prioritization FROM dirty_metrics),\n", "") + """,
 bo AS (SELECT * FROM dirty_base WHERE metric = 'Orders'),
 findings AS (""" + _ALL_FINDINGS + """
