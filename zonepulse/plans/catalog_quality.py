@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from zonepulse.functions.columns import union_all
 from zonepulse.operators import prep as P
 from zonepulse.operators import quality as Qy
 from zonepulse.plans.catalog_prep import _DIRTY_SQL
@@ -97,28 +98,28 @@ def _wrap(body: str) -> str:
 def dq_nulls(spark, sf_dir):
     """Null counts of the critical columns in the three tables."""
     m, o, b, _ = _tables(spark, sf_dir)
-    return Qy._union([Qy.check_nulls(m, "metrics_long"), Qy.check_nulls(o, "orders_long"), Qy.check_nulls(b, "analytics_base")])
+    return union_all([Qy.check_nulls(m, "metrics_long"), Qy.check_nulls(o, "orders_long"), Qy.check_nulls(b, "analytics_base")])
 
 
 @register("dq_weeks", TABLES_SQL + "\n" + _weeks_sql())
 def dq_weeks(spark, sf_dir):
     """Non-numeric and out-of-range weeks."""
     m, o, b, _ = _tables(spark, sf_dir)
-    return Qy._union([Qy.check_weeks(m, "metrics_long"), Qy.check_weeks(o, "orders_long"), Qy.check_weeks(b, "analytics_base")])
+    return union_all([Qy.check_weeks(m, "metrics_long"), Qy.check_weeks(o, "orders_long"), Qy.check_weeks(b, "analytics_base")])
 
 
 @register("dq_labels", TABLES_SQL + "\n" + _labels_sql())
 def dq_labels(spark, sf_dir):
     """Week labels not matching l[0-8]w(_roll)?."""
     m, o, b, _ = _tables(spark, sf_dir)
-    return Qy._union([Qy.check_labels(m, "metrics_long"), Qy.check_labels(o, "orders_long"), Qy.check_labels(b, "analytics_base")])
+    return union_all([Qy.check_labels(m, "metrics_long"), Qy.check_labels(o, "orders_long"), Qy.check_labels(b, "analytics_base")])
 
 
 @register("dq_duplicates", TABLES_SQL + "\n" + _wrap("\nUNION ALL ".join(_dup_sql(n, t, GRAIN) for n, t in DATASETS)))
 def dq_duplicates(spark, sf_dir):
     """Duplicate grain rows and keys."""
     m, o, b, _ = _tables(spark, sf_dir)
-    return Qy._union([Qy.check_duplicates(m, "metrics_long"), Qy.check_duplicates(o, "orders_long"),
+    return union_all([Qy.check_duplicates(m, "metrics_long"), Qy.check_duplicates(o, "orders_long"),
                       Qy.check_duplicates(b, "analytics_base")])
 
 
