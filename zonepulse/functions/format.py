@@ -9,11 +9,44 @@ from pyspark.sql import types as T
 from zonepulse.functions.columns import col
 
 
+def _split(a: Column) -> tuple[Column, Column]:
+    """Veltkamp split of a double into high and low halves (a = hi + lo)."""
+    t = a * 134217729.0  # 2^27 + 1
+    hi = t - (t - a)
+    return hi, a - hi
+
+
+def round_exact(c, decimals: int) -> Column:
+    """Round x·10^d to an integer as Python does: half to even on the exact
+    binary value of x.
+
+    p = x·10^d is rounded to the nearest double, which can land exactly on a
+    half although the true product is not (12.345·100 → 1234.5). The exact
+    error of that product (Dekker's TwoProduct, plain double arithmetic)
+    decides the direction; only a zero error is a true tie.
+    """
+    x = col(c).cast(T.DoubleType())
+    scale = float(10 ** decimals)
+    p = x * scale
+    xh, xl = _split(x)
+    sh, sl = _split(F.lit(scale))
+    err = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    fl = F.floor(p).cast(T.DoubleType())
+    half = (p - fl) == 0.5
+    tie_even = fl + F.when(F.pmod(fl, F.lit(2.0)) != 0, 1.0).otherwise(0.0)
+    return (
+        F.when(half & (err > 0), fl + 1.0)
+        .when(half & (err < 0), fl)
+        .when(half, tie_even)
+        .otherwise(F.rint(p))
+    )
+
+
 def fixed(c, decimals: int) -> Column:
-    """``%.<d>f`` like Python: round half to even on the binary value first
-    (Java's formatter rounds exact binary ties such as 0.28125 upwards)."""
+    """``%.<d>f`` with Python's rounding (half to even on the exact binary
+    value); Java's formatter alone rounds its shortest decimal string half up."""
     scale = float(10 ** decimals)
-    return F.format_string(f"%.{decimals}f", F.bround(col(c) * scale, 0) / scale)
+    return F.format_string(f"%.{decimals}f", round_exact(c, decimals) / scale)
 
 
 def format_number(c, decimals: int = 4) -> Column:
@@ -52,7 +85,7 @@ def format_metric_value(value, value_format: Column | str, decimals: Column | in
     pattern = F.concat(F.lit("%."), d.cast("string"), F.lit("f"))
     return (
         F.when(v.isNull() | F.isnan(v), F.lit("N/A"))
-        .when(fmt == "integer", F.bround(v, 0).cast(T.LongType()).cast(T.StringType()))
+        .when(fmt == "integer", round_exact(v, 0).cast(T.LongType()).cast(T.StringType()))
         .when(fmt == "percentage_ratio", F.concat(_printf(pattern, v * 100.0), F.lit("%")))
         .otherwise(_printf(pattern, v))
     )
