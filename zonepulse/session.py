@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CHECKPOINT_DIR: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def build_session(
@@ -46,8 +48,11 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is used as is. Only
-    when it is unset (local tests) a private temporary folder is created.
+    On a cluster the setting names shared storage and is used as is. Only in
+    local mode, where driver and executors are one process on one machine,
+    an unset folder is replaced by a private temporary one; anywhere else an
+    unset folder is an error, because a machine-local path would be another
+    folder on each executor.
     """
     global _LOCAL_CHECKPOINT_DIR
     sc = spark.sparkContext
@@ -56,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         if _LOCAL_CHECKPOINT_DIR is None:
             _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="zonepulse-ckpt-")
         configured = _LOCAL_CHECKPOINT_DIR
@@ -70,7 +78,29 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts)
 
 
-def materialize(df):
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (``addPyFile``), once per application.
+
+    Functions that run in tasks are pickled by reference, so the workers must
+    be able to import the package even where it is not installed.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    handle, target = tempfile.mkstemp(prefix="zonepulse-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, computed once.
 
     ``checkpoint(eager=True)`` alone runs the plan twice (one job to count,
