@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepulse.session import shared_path, ship_package
@@ -70,6 +70,10 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def bounded_int(spark: SparkSession) -> int:
-    """Number of partitions to deal rows out to by hand: what the session shuffles to."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def rows_named(docs: DataFrame, names: DataFrame, digest: Column, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, digest of the text) is in ``names`` (two columns); one of rows that share both."""
+    id_name, digest_name = names.columns
+    names = names.select(F.col(id_name).alias("__id"), F.col(digest_name).alias("__digest")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    found = docs.withColumn("__own", digest).join(names, same)
+    return found.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest", "__own")

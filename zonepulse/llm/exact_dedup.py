@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import stored, text_rows, with_row_id
+from zonepulse.llm.common import rows_named, stored, text_rows, with_row_id
 
 #: White-space runs that are not one plain space already.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -76,5 +76,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))).drop("__keep")
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
+    return rows_named(docs, keep, F.sha2(normalised(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256), id_col)
