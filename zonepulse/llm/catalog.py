@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from zonepulse.llm.bpe_codec import decode, digests, encode
 from zonepulse.llm.common import table
 from zonepulse.llm.exact_dedup import exact_dedup
+from zonepulse.llm.html_extract import extract
 from zonepulse.llm.near_dedup import near_dedup
 from zonepulse.llm.packing import packed_documents
+from zonepulse.llm.quality import quality_scores
 from zonepulse.llm.token_counts import token_counts
 from zonepulse.llm.vector_search import top_k
 
@@ -31,6 +33,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_md5", "stays")
 
@@ -40,7 +50,17 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op4_byte_bpe, op5_exact_dedup, op9_hyperminhash, op10_vector_search)
+    f.__name__: f
+    for f in (
+        op2_token_counts,
+        op3_best_fit_packing,
+        op4_byte_bpe,
+        op5_exact_dedup,
+        op6_html_extraction,
+        op8_quality_classifier,
+        op9_hyperminhash,
+        op10_vector_search,
+    )
 }
 
 SQL: dict[str, str] = {}

@@ -64,11 +64,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recipes = stored(recipes, "recipes")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     groups = recipes.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    # only recipes that repeat are joined back; a hot one is a skewed partition that the join can split
+    groups = stored(groups.where("group_size > 1"), "equal-recipes")
+    alone = F.col("group_size").isNull()
+    return recipes.join(groups, "recipe", "left").select(
         "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id") == F.col("first.row_id")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row_id") == F.col("first.row_id"))).alias("kept"),
         "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"),
     )
