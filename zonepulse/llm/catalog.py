@@ -13,10 +13,15 @@ from zonepulse.llm.html_extract import extract
 from zonepulse.llm.near_dedup import near_dedup
 from zonepulse.llm.packing import packed_documents
 from zonepulse.llm.quality import quality_scores
+from zonepulse.llm.substring_dedup import substring_dedup
 from zonepulse.llm.token_counts import token_counts
 from zonepulse.llm.vector_search import top_k
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_token_counts,
         op3_best_fit_packing,
         op4_byte_bpe,
