@@ -41,8 +41,8 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
-def anchors_of(items: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of item hashes: seed hash, context hash, first window start and number of windows of each anchor."""
+def anchors_of(items: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Of item hashes, for each anchor: seed hash, context hash, first window's start, number of windows, place of the seed behind that start."""
     found: list[tuple] = []
     at = 0
     while len(items) - at >= length:
@@ -55,15 +55,15 @@ def anchors_of(items: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, n
         context = span_hash(prefix_sums(part, 1), first, last + length - 1, 1)
         with np.errstate(over="ignore"):
             context = mix(context + (place - first).astype(U) * MIX2)
-        found.append((grams[place], context, first + at, last - first))
+        found.append((grams[place], context, first + at, last - first, place - first))
         at += PART
     if not found:
         none = np.zeros(0, np.int64)
-        return none.astype(U), none.astype(U), none, none
+        return none.astype(U), none.astype(U), none, none, none
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-ANCHOR_KIND = "doc_id long, text_hash long, seed long, context long, start long, n int"
+ANCHOR_KIND = "doc_id long, text_hash long, seed long, context long, start long, n int, anchor int"
 
 
 def anchor_table(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], length: int, seed: int) -> DataFrame:
@@ -85,6 +85,7 @@ def anchor_table(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], le
                         "context": cols[1].view(np.int64),
                         "start": cols[2].astype(np.int64),
                         "n": cols[3].astype(np.int32),
+                        "anchor": cols[4].astype(np.int32),
                     }
                 )
 
@@ -93,10 +94,11 @@ def anchor_table(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], le
     return stored(found.join(many, "seed"), "repeated-anchors")
 
 
-def windows_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows of some anchors, with a hash of each."""
+def windows_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows of some anchors, with two 64-bit hashes of each."""
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    return at, span_hash(prefix_sums(items), at, at + length)
+    hashes = [span_hash(prefix_sums(items, w), at, at + length, w).view(np.int64) for w in (0, 1)]
+    return at, hashes[0], hashes[1]
 
 
 def marked_ranges(*parts: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def marked_ranges(*parts: DataFrame) -> DataFrame:
     ranges = parts[0]
     for p in parts[1:]:
         ranges = ranges.unionByName(p)
-    return ranges.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("ranges"))
+    return ranges.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
 
 def covered(n_items: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:

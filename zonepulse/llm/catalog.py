@@ -14,6 +14,8 @@ from zonepulse.llm.near_dedup import near_dedup
 from zonepulse.llm.packing import packed_documents
 from zonepulse.llm.quality import quality_scores
 from zonepulse.llm.substring_dedup import substring_dedup
+from zonepulse.llm.suffix_dedup import digests as suffix_digests
+from zonepulse.llm.suffix_dedup import suffix_dedup
 from zonepulse.llm.token_counts import token_counts
 from zonepulse.llm.vector_search import top_k
 
@@ -42,6 +44,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_byte_bpe,
         op5_exact_dedup,
         op6_html_extraction,
+        op7_suffix_array_dedup,
         op8_quality_classifier,
         op9_hyperminhash,
         op10_vector_search,

@@ -54,7 +54,7 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     several = classes.groupBy("seed").agg(F.count("*").alias("classes")).where("classes > 1").select("seed")
     firsts = members.where("not later").join(several, "seed").select(*KEY, "start", "n").distinct()
-    wanted = firsts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("ranges"))
+    wanted = firsts.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,22 +62,23 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 items = _word_hashes(np.frombuffer(batch.column("text")[i].as_buffer() or b"", np.uint8))
                 ranges = batch.column("ranges")[i].values
                 counts = ranges.field("n").to_numpy().astype(np.int64)
-                at, hashes = windows_of(items, ranges.field("start").to_numpy(), counts, length)
+                at, high, low = windows_of(items, ranges.field("start").to_numpy(), counts, length)
                 of = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").take(of),
                         "text_hash": batch.column("text_hash").take(of),
                         "start": at,
-                        "window": hashes.view(np.int64),
+                        "high": high,
+                        "low": low,
                     }
                 )
 
     picked = texts.join(wanted, same_document(texts, wanted)).select(texts["doc_id"], texts["text_hash"], "text", "ranges")
-    windows = picked.mapInArrow(single, "doc_id long, text_hash long, start long, window long")
+    windows = picked.mapInArrow(single, "doc_id long, text_hash long, start long, high long, low long")
     windows = stored(windows, "single-windows")
-    repeated = windows.groupBy("window").agg(F.count("*").alias("uses"), F.min(place).alias("first")).where("uses > 1")
-    later = windows.join(repeated, "window").where(place > F.col("first")).select(*KEY, "start", F.lit(1).alias("n"))
+    repeated = windows.groupBy("high", "low").agg(F.count("*").alias("uses"), F.min(place).alias("first")).where("uses > 1")
+    later = windows.join(repeated, ["high", "low"]).where(place > F.col("first")).select(*KEY, "start", F.lit(1).alias("n"))
     return stored(marked_ranges(whole, later), "later-ranges")
 
 
