@@ -15,6 +15,9 @@ from zonepulse.session import shared_path, ship_package
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Folders that ``stored`` has written, in order.
+STORED: list[str] = []
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,18 +45,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``stored`` has written, in whatever file system they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        STORED.remove(path)
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A number for each row; steady only once the result is stored."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, as (doc_id long, text string); null text is empty."""
+def text_rows(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """Only the columns an operator reads, as (doc_id long, text string) and ``others``; null text is empty."""
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others
     )
 
 

@@ -303,3 +303,27 @@ def classify(docs: DataFrame, model: Model | float, threshold: float = 0.5, id_c
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     return classify(docs, train(docs, labels, **options), threshold)
+
+
+def kept_documents(docs: DataFrame, model: Model | float, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with all their columns (no shuffle)."""
+    if not isinstance(model, Model):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    view = F.struct(
+        text.alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long")).alias("n_chars"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                seen = batch.column(batch.num_columns - 1)
+                both = shared.value.scores(*_features(pa.RecordBatch.from_arrays(seen.flatten(), [f.name for f in seen.type])))[2]
+                yield batch.filter(pa.array(both >= threshold)).select(list(range(batch.num_columns - 1)))
+
+    return docs.withColumn("__view", view).mapInArrow(run, docs.schema)

@@ -234,10 +234,13 @@ def suffix_dedup(
     block_bytes: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_bytes, n_removed, n_spans, kept (bytes)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes), carried (the columns to ``carry``)."""
     texts = keyed(text_rows(docs, id_col, text_col))
     ranges = repeated_ranges(texts, length, seed, most_contexts, block_bytes)
+    carried = F.struct(F.lit(None).cast("int").alias("nothing"), *carry)
+    texts = keyed(text_rows(docs.withColumn("__carried", carried), id_col, text_col, "__carried"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,16 +263,31 @@ def suffix_dedup(
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id"),
-                        "text_hash": batch.column("text_hash"),
                         "n_bytes": pa.array(sizes, pa.int64()),
                         "n_removed": pa.array(removed, pa.int64()),
                         "n_spans": pa.array(spans, pa.int64()),
                         "kept": pa.array(kept, pa.binary()),
+                        "carried": batch.column("carried"),
                     }
                 )
 
-    all_texts = texts.join(ranges, same_document(texts, ranges), "left").select(texts["doc_id"], texts["text_hash"], "text", "ranges")
-    return all_texts.mapInArrow(remove, "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
+    all_texts = texts.join(ranges, same_document(texts, ranges), "left").select(
+        texts["doc_id"], "text", "ranges", F.col("__carried").alias("carried")
+    )
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, carried " + all_texts.schema["carried"].dataType.simpleString()
+    return all_texts.mapInArrow(remove, kind)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All rows of ``docs`` and their columns, the text without what repeats (and without halves of characters at the cuts)."""
+
+    @F.pandas_udf("string")
+    def characters(kept):
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    result = suffix_dedup(docs, id_col=id_col, text_col=text_col, carry=tuple(docs.columns), **options)
+    text = F.when(F.col("n_removed") == 0, F.col(f"carried.`{text_col}`")).otherwise(characters("kept"))
+    return result.select(*[text.alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(result: DataFrame) -> DataFrame:
