@@ -17,8 +17,8 @@ few kilobytes are broadcast.
 
 Defined results. Null text is empty; null language or source is a value of its
 own; a null length counts as the text's. Documents with several labels take
-their mean, above a half being good. If the sample has no labels of one kind,
-nothing can be told apart and every document is kept, its score the share of
+their mean, above a half being good. If the sample has fewer than two labels of one
+kind, nothing can be told apart and every document is kept, its score the share of
 good labels (1 if there are none). Repeated rows are scored each. An empty
 table gives an empty result. Extra columns are not read.
 """
@@ -271,9 +271,12 @@ def train(
     table = lambda rows, c: np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(len(rows), -1)
     known, free = [r for r in made if r["label"] is not None], [r for r in made if r["label"] is None]
     y = np.array([r["label"] for r in known], np.float64)
-    held = np.arange(len(y)) % 5 == 0
-    if not len(y) or any(len(set(part)) < 2 for part in (y[held], y[~held])):
+    kinds = [np.flatnonzero(y == label) for label in (0, 1)]
+    if min(map(len, kinds)) < 2:
         return float(y.mean()) if len(y) else 1.0
+    held = np.zeros(len(y), bool)
+    for kind in kinds:  # a fifth of each kind, one at least
+        held[kind[::5]] = True
     empty = np.zeros((0, N_TEXT), np.float32), np.zeros((0, N_META), np.float32)
     free_text, free_meta = (table(free, "text"), table(free, "meta")) if free else empty
     return cotrain(table(known, "text"), table(known, "meta"), y, held, free_text, free_meta, rounds, sure, per_round)

@@ -152,7 +152,7 @@ def top_k(
             (c, max(1, -(-n // chunk_rows)), max(1, -(-load[c] // block_queries))) for c, (n, _, _) in cells.items() if c in load
         ]
         if not sizes:
-            return spark.createDataFrame([], result_kind)
+            return _ranked(spark.createDataFrame([], result_kind), k)
         plan = F.broadcast(spark.createDataFrame(sizes, "cell int, chunks int, blocks int"))  # at most n_pivots rows
         left = sent.join(plan, "cell").select(
             "cell",
