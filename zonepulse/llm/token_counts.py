@@ -21,7 +21,8 @@ counted each. An empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-import re
+import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,85 +34,140 @@ from pyspark.sql import functions as F
 
 from zonepulse.llm.common import text_rows
 
-#: What the fast cut cannot take: a white-space pair, other white space, or white space at an end.
-IRREGULAR = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-
 WORKER: dict = {}
 
 
-def tokenizer_of(blob: str):
-    """The worker's tokenizer, made once per process."""
-    import os
-
-    key = ("tokenizer", hash(blob))
-    if key not in WORKER:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        WORKER[key] = Tokenizer.from_str(blob)
-        WORKER[key].no_truncation()
-        WORKER[key].no_padding()
-    return WORKER[key]
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 ones for themselves, the others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def cache_of(name: str, blob: str) -> dict:
-    return WORKER.setdefault((name, hash(blob)), {})
+TO_CHARACTERS = dict(enumerate(byte_characters()))
 
 
-def special_strings(blob: str) -> list[str]:
-    import json
+class Lengths:
+    """Token counts of pre-tokens and of words, in the library's own terms, with caches of bounded size.
 
-    return [t["content"] for t in json.loads(blob).get("added_tokens") or []]
+    ``table`` holds the frequent pre-tokens (broadcast), ``rare`` those that
+    this worker met, ``inner`` and ``heads`` whole words after a space and
+    without one. All are look-ups only: a full cache is emptied.
+    """
 
+    def __init__(self, blob: str, pattern: str, table: dict[str, int], words: int, pretokens: int):
+        import os
 
-def pieces(text: str) -> list[str]:
-    """A regular text, cut before each space and around each line end."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        head, _, rest = line.partition(" ")
-        out.append(head)
-        if rest:
-            out.extend([" " + word for word in rest.split(" ")])
-    return out
+        import regex
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def encode_lengths(tokenizer, strings: list[str]) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch(strings, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_str(blob)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        parts = json.loads(blob)
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
+        before = parts.get("pre_tokenizer") or {}
+        #: bytes stand for characters and nothing else happens before the merges: ask the merges directly
+        self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer")
+        self.find = regex.compile(pattern).findall
+        self.table, self.rare, self.most_words, self.most_rare = table, {}, words, pretokens
+        self.inner, self.heads = Words(self, " "), Words(self, "")
+
+    def encode(self, pretoken: str) -> int:
+        if self.plain:
+            return len(self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(TO_CHARACTERS)))
+        return len(self.tokenizer.encode(pretoken, add_special_tokens=False))
+
+    def pretoken(self, text: str) -> int:
+        n = self.table.get(text)
+        if n is None:
+            n = self.rare.get(text)
+            if n is None:
+                if len(self.rare) >= self.most_rare:
+                    self.rare.clear()
+                n = self.rare[text] = self.encode(text)
+        return n
+
+    def pretokens(self, text: str) -> list[str]:
+        # letters alone, after a space or not, are one pre-token
+        return [text] if text.lstrip(" ").isalpha() else self.find(text)
+
+    def text(self, text: str) -> int:
+        words = cut(text, self.special)
+        if words is None:
+            return len(self.tokenizer.encode(text, add_special_tokens=False)) if text else 0
+        heads, inner = words
+        line_ends = (len(heads) - 1) * self.pretoken("\n") if len(heads) > 1 else 0
+        return line_ends + sum(map(self.heads.__getitem__, heads)) + sum(map(self.inner.__getitem__, inner))
+
+
+class Words(dict):
+    """Tokens of a word behind ``before``, worked out when first asked for."""
+
+    def __init__(self, lengths: Lengths, before: str):
+        super().__init__()
+        self.lengths, self.before = lengths, before
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.lengths.most_words:
+            self.clear()
+        n = self[word] = sum(map(self.lengths.pretoken, self.lengths.pretokens(self.before + word)))
+        return n
+
+
+def cut(text: str, special: list[str]) -> tuple[list[str], list[str]] | None:
+    """The first words of the lines and all other words, if pre-tokens must end around each line end and before each space.
+
+    That is so where white space is single spaces and line ends between other
+    characters. None for other texts, empty ones and ones with a special string.
+    """
+    heads, inner = [], []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        heads.append(words[0])
+        inner += words[1:]
+    if "" in heads or "" in inner or len(text.split()) != len(heads) + len(inner) or any(s in text for s in special):
+        return None
+    return heads, inner
 
 
-def _cuttable(text: str, special: list[str]) -> bool:
-    return text != "" and IRREGULAR.search(text) is None and not any(s in text for s in special)
+def worker_lengths(shared, pattern: str, words: int, pretokens: int) -> Lengths:
+    """The worker's caches, kept from task to task; the least recent query's are dropped."""
+    if WORKER.get("of") != shared.value["key"]:
+        WORKER["of"] = shared.value["key"]
+        WORKER["lengths"] = Lengths(shared.value["blob"], pattern, shared.value["table"], words, pretokens)
+    return WORKER["lengths"]
 
 
-def frequent_pretokens(docs: DataFrame, blob: str, pattern: str, table_size: int, per_task: int) -> list[str]:
+def frequent_pretokens(docs: DataFrame, shared, pattern: str, table_size: int, per_task: int) -> list[str]:
     """The most frequent pre-tokens of the corpus by the tasks' own heaviest counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, special = regex.compile(pattern).findall, special_strings(blob)
+        lengths = Lengths(shared.value["blob"], pattern, {}, 0, 0)
         found: Counter = Counter()
-        units: Counter = Counter()
 
-        def settle() -> None:
-            for unit, n in units.items():
-                for pretoken in find(unit):
-                    found[pretoken] += n
-            units.clear()
+        def settle(inner: Counter) -> None:
+            for word, n in inner.items():
+                if n > 1:  # what a stretch of text holds once is not frequent
+                    for pretoken in lengths.pretokens(" " + word):
+                        found[pretoken] += n
             if len(found) > 40 * per_task:  # keep the heaviest, as in frequent-item summaries
                 keep = found.most_common(10 * per_task)
                 found.clear()
                 found.update(dict(keep))
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if _cuttable(text, special):
-                    units.update(pieces(text))
-                    if len(units) > 200_000:
-                        settle()
-        settle()
+            local: Counter = Counter()
+            for text in batch.column("text"):
+                words = cut(text.as_py(), lengths.special)
+                if words is not None:
+                    local.update(words[1])
+                    if len(local) > 30_000:  # small counters stay in the processor's caches
+                        settle(local)
+                        local = Counter()
+            settle(local)
         top = found.most_common(per_task)
         yield pa.RecordBatch.from_pydict(
             {"pretoken": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
@@ -131,7 +187,8 @@ def token_counts(
     pattern: str = public_tokenizers.PATTERN,
     table_size: int = 32_768,
     per_task: int = 8_192,
-    cache_size: int = 300_000,
+    cache_words: int = 400_000,
+    cache_pretokens: int = 700_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
@@ -139,49 +196,21 @@ def token_counts(
     """
     with open(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         blob = f.read()
+    sc = docs.sparkSession.sparkContext
     rows = text_rows(docs, id_col, text_col)
-    frequent = frequent_pretokens(rows, blob, pattern, table_size, per_task)
-    lengths = dict(zip(frequent, encode_lengths(tokenizer_of(blob), frequent) if frequent else [], strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((blob, lengths))
+    frequent = frequent_pretokens(rows, sc.broadcast({"blob": blob}), pattern, table_size, per_task)
+    own = Lengths(blob, pattern, {}, 0, 0)
+    table = {p: own.encode(p) for p in frequent}
+    shared = sc.broadcast({"key": uuid.uuid4().hex, "blob": blob, "table": table})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        blob, table = shared.value
-        tokenizer, special, find = tokenizer_of(blob), special_strings(blob), regex.compile(pattern).findall
-        known, rare = cache_of("pieces", blob), cache_of("pretokens", blob)
-
-        def learn(units: set[str]) -> None:
-            split = {u: find(u) for u in units}
-            lack = list({p for ps in split.values() for p in ps if p not in table and p not in rare})
-            if len(rare) + len(lack) > cache_size:
-                rare.clear()
-                lack = list({p for ps in split.values() for p in ps if p not in table})
-            if lack:
-                rare.update(zip(lack, encode_lengths(tokenizer, lack), strict=True))
-            for u, ps in split.items():
-                known[u] = sum(table[p] if p in table else rare[p] for p in ps)
-
+        lengths = worker_lengths(shared, pattern, cache_words, cache_pretokens)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n_tokens = []
-            for text in texts:
-                if _cuttable(text, special):
-                    units = pieces(text)
-                    counts = list(map(known.get, units))
-                    if None in counts:
-                        if len(known) > cache_size:
-                            known.clear()
-                        learn({u for u in units if u not in known})
-                        counts = list(map(known.__getitem__, units))
-                    n_tokens.append(sum(counts))
-                else:
-                    n_tokens.append(len(tokenizer.encode(text, add_special_tokens=False)) if text else 0)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
                     "n_bytes": pa.compute.binary_length(batch.column("text")).cast(pa.int64()),
-                    "n_tokens": pa.array(n_tokens, pa.int64()),
+                    "n_tokens": pa.array([lengths.text(t.as_py()) for t in batch.column("text")], pa.int64()),
                 }
             )
 
