@@ -6,10 +6,11 @@ from zonepulse.plans.insights import collect_insights
 
 
 def _insights(spark, rows):
-    schema = ("insight_id long, detector_ord int, emit_ord int, category string, title string, metric string, "
+    schema = ("insight_id string, detector_ord int, emit_a double, category string, title string, metric string, "
               "country string, city string, zone string, severity_score double, summary string, "
               "recommendation_hint string, confidence string, affected_zones_count long")
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame([(str(r[0]), r[1], -float(r[2]), *r[3:]) for r in rows], schema).selectExpr(
+        "*", "0.0D AS emit_b", "0 AS emit_rule", "0 AS emit_pair", "CAST(NULL AS STRING) AS emit_type")
 
 
 def test_greedy_dedup_chain(spark):
@@ -21,16 +22,16 @@ def test_greedy_dedup_chain(spark):
         (4, 3, 1, "correlations", "t", "P1", "X", None, None, 60.0, "S1", "h", None, 1),
         (5, 3, 2, "correlations", "t", "P1", "X", None, None, 50.0, "S1", "h", None, 1),
     ]
-    out = C.deduplicate(C.ranked(_insights(spark, rows)))
-    assert sorted(r.insight_id for r in out.collect()) == [1, 3, 4, 5]
+    out = C.deduplicate(C.with_priority(_insights(spark, rows)))
+    assert sorted(r.insight_id for r in out.collect()) == ["1", "3", "4", "5"]
 
 
 def test_diversity_phase_two(spark):
     rows = [(i, 0, i, "anomalies", "t", f"m{i}", "X", "Y", f"Z{i}", 100.0 - i, f"s{i}", "h", "high", 1) for i in range(1, 5)]
     rows.append((10, 1, 1, "trends", "t", "m", "X", "Y", "Q", 10.0, "s", "h", None, 1))
-    cand = C.limit_per_zone(C.deduplicate(C.ranked(_insights(spark, rows))), 1)
+    cand = C.limit_per_zone(C.deduplicate(C.with_priority(_insights(spark, rows))), 1)
     sel = C.category_diversity(cand, 5, 2).orderBy("summary_ord").collect()
-    assert [r.insight_id for r in sel] == [1, 10, 2]
+    assert [r.insight_id for r in sel] == ["1", "10", "2"]
 
 
 def test_business_terms(spark):
@@ -69,3 +70,26 @@ def test_insight_summary_formats(make_tables):
     r = collect_insights(m, o).collect()[0]
     assert r.title == "Large WoW improvement in Lead Penetration"
     assert r.summary == "Lead Penetration in Chapinero (Bogota, CO) shows a 30.00% week-over-week improvement."
+
+
+def test_dedup_compares_whole_summaries(spark):
+    long = "s" * 130
+    rows = [(i, 0, i, "anomalies", "t", f"m{i}", "X", "Y", "Z", 90.0 - i, long + str(i), "h", "high", 1) for i in range(3)]
+    assert C.deduplicate(C.with_priority(_insights(spark, rows))).count() == 3
+
+
+def test_fold_spells_ligatures_out(spark):
+    from zonepulse.functions.text import normalize_for_match
+
+    cases = {"\ufb01ne caf\u00e9": "fine cafe", "1\u00ba \uff21\uff42": "1o ab", "\u00bd\u00df\u4e2d x": "12 x", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.n for r in df.select("t", normalize_for_match("t").alias("n")).collect()}
+    assert got == cases
+
+
+def test_email_validity(spark):
+    from zonepulse.functions.text import is_email
+
+    cases = {" a@b.c ": True, "a@b": False, "a b@c.d": False, "a@@b.c": False, "": False, None: False, "x@y.z.w": True}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.v for r in df.select("t", is_email("t").alias("v")).collect()} == cases

@@ -20,7 +20,7 @@ def test_anomaly_fixture(make_tables):
     assert r.sign_flip is False
     assert r.confidence == "high"
     assert r.severity_score == pytest.approx(94.0)
-    pr = C.ranked(collect_insights(m, o)).collect()
+    pr = C.with_priority(collect_insights(m, o)).collect()
     assert [p.priority_score for p in pr] == [pytest.approx(80.5)]
 
 
@@ -35,7 +35,7 @@ def test_trend_fixture(make_tables):
     assert (r.run_length, r.start_week, r.end_week) == (3, 3, 0)
     assert r.net_change_pct == pytest.approx(-0.30)
     assert r.severity_score == pytest.approx(81.0)
-    pr = C.ranked(collect_insights(m, o)).collect()
+    pr = C.with_priority(collect_insights(m, o)).collect()
     assert [p.priority_score for p in pr] == [pytest.approx(71.75)]
 
 
@@ -52,7 +52,7 @@ def test_benchmark_fixture(make_tables):
     assert r.gap_pct == pytest.approx(0.40)
     assert r.peer_count == 6
     assert r.severity_score == pytest.approx(72.0)
-    pr = C.ranked(collect_insights(m, o)).collect()
+    pr = C.with_priority(collect_insights(m, o)).collect()
     assert [p.priority_score for p in pr] == [pytest.approx(68.0)]
 
 

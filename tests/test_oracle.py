@@ -7,8 +7,9 @@ import pytest
 import __spark_entry__ as E
 from scripts.compare_oracle import compare, oracle_connection
 from tests.conftest import SMALL_SF
+from zonepulse.plans import registry
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.SPARK)
 
 
 @pytest.fixture(scope="module")

@@ -9,12 +9,13 @@ from zonepulse.operators import quality as Qy
 
 
 def test_canonical_names_and_week_sets():
-    assert P.canonicalize_name(" Zone-Prioritization ") == "zone_prioritization"
-    assert P.canonicalize_name("ZONE  TYPE") == "zone_type"
-    sel, raw, roll, how = P.detect_week_columns(["country", "l1w", "l0w", "l1w_roll", "l0w_roll"])
-    assert how == "roll_preferred" and sel == ["l1w_roll", "l0w_roll"]
-    assert P.detect_week_columns(["l0w", "l2w"])[0] == ["l2w", "l0w"]
-    assert P.detect_week_columns(["x"])[3] == "none_found"
+    assert P.canonical_name(" Zone-Prioritization ") == "zone_prioritization"
+    assert P.canonical_name("ZONE  TYPE_") == "zone_type"
+    names = ["country", "l0w", "l1w", "l0w_roll", "l1w_roll"]
+    assert [w.name for w in P.week_columns(names)] == ["l1w_roll", "l0w_roll"]
+    assert [w.name for w in P.week_columns(names, rolled_first=False)] == ["l1w", "l0w"]
+    assert [w.week for w in P.week_columns(["l0w", "l10w", "l2w"])] == [10, 2, 0]
+    assert P.week_columns(["x", "l1", "xl1w"]) == []
 
 
 def test_numeric_text(spark):
@@ -70,4 +71,59 @@ def test_collapse_null_keys(make_tables):
     m2, _ = make_tables([("A", "B", None, "T", "P", "M", 0, 1.0), ("A", "B", "Z", "T", "P", "M", 0, 2.0),
                          ("A", "B", "Z", "T", "P", "M", 0, 4.0)])
     r = P.collapse_duplicate_grain(m2).collect()
-    assert [(x.zone, x.value) for x in r] == [("Z", 3.0)]  # duplicates: collapsed, null key dropped
+    # the null-key row stays whether or not other rows are duplicated
+    assert sorted((x.zone or "", x.value) for x in r) == [("", 1.0), ("Z", 3.0)]
+
+
+def test_csv_is_read_by_name_and_in_file_order(spark, tmp_path):
+    from zonepulse.sources.tables import read_long_table, read_wide_export
+
+    folder = tmp_path / "orders.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("value,week_label,week,metric,zone,city,country\n1.5,l0w,0,Orders,Z,C,NA\nx,l1w,y,Orders,Z,C,\n")
+    rows = read_long_table(spark, str(folder), "orders").orderBy("week_label").collect()
+    assert [(r.country, r.week, r.value) for r in rows] == [("NA", 0, 1.5), (None, None, None)]
+    (folder / "part-1.csv").write_text("week,value,week_label,metric,zone,city,country\n0,1.5,l0w,Orders,Z,C,MX\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_long_table(spark, str(folder), "orders").collect()
+
+    wide = tmp_path / "wide.csv"
+    wide.mkdir()
+    head = "country,city,zone,zone type,zone prioritization,metric,L0W\n"
+    # the larger file is read first by Spark, but comes later by name
+    (wide / "a.csv").write_text(head + "MX,C,Z,,P,M,1\nMX,C,Z,First,,M,2\n")
+    (wide / "b.csv").write_text(head + "MX,C,Z,Second,Q,M,3\n" + "MX,C,Other,T,P,M,1\n" * 500)
+    got = P.reshape_metrics(read_wide_export(spark, str(wide))).where("zone = 'Z'").collect()
+    assert [(r.zone_type, r.zone_prioritization, r.value) for r in got] == [("First", "P", 2.0)]
+
+
+def test_key_columns_reach_the_scan(make_tables, tmp_path, spark):
+    from zonepulse.operators.slices import apply_filters, filter_metric, snapshot_week
+    from zonepulse.sources.tables import read_long_table, write_table
+
+    m, _ = make_tables([("MX", "C", "Z", "T", "P", "Perfect Orders", w, 1.0 + w) for w in range(3)])
+    path = str(tmp_path / "metrics")
+    write_table(P.with_key_columns(m), path, partition_by=("week", "metric_key"))
+    rows = apply_filters(snapshot_week(filter_metric(read_long_table(spark, path), "PERFECT ORDERS "), 1), {"country": " mx"})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "week" in scan.split("PartitionFilters:")[1].split("]")[0] and "metric_key" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "EqualTo(country_key,mx)" in scan
+    assert [r.value for r in rows.collect()] == [2.0]
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    rows = [(1, "a", None), (2, "b", 0.5), (2, "b", 0.5)]
+    frame = lambda r: spark.createDataFrame(r, "x long, y string, z double")
+    one = P.fingerprint(frame(rows)).first()
+    assert one == P.fingerprint(frame(rows[::-1]).repartition(3)).first() and one.row_count == 3
+    assert one != P.fingerprint(frame(rows[:2])).first()
+    assert one != P.fingerprint(frame([(1, "a", 0.0), *rows[1:]])).first()
+
+
+def test_quality_lists_values_and_keys(make_tables):
+    m, _ = make_tables([("A", "B", "Z", "T", "P", "M", 9, 1.0), ("A", "B", None, "T", "P", "M", 0, 1.0), ("A", "B", None, "T", "P", "M", 0, 2.0)])
+    keys = Qy.duplicate_keys(m, "metrics_long").collect()
+    assert [(r.zone, r["count"]) for r in keys] == [(None, 2)]
+    values = {(r.field, r.value): (r.accepted, r["count"]) for r in Qy.week_values(m, "metrics_long").collect()}
+    assert values == {("week", "9"): (False, 1), ("week", "0"): (True, 2), ("week_label", "l9w"): (False, 1), ("week_label", "l0w"): (True, 2)}

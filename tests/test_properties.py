@@ -41,8 +41,7 @@ def test_curation_invariance(base):
     m, o = base
     a = run_insights(m, o)
     b = run_insights(m.orderBy(F.rand(3)).repartition(5), o.orderBy(F.rand(4)).repartition(5))
-    key = ["insight_id", "curation_rank"]
-    assert _rows(a.curated.select(key)) == _rows(b.curated.select(key))
+    assert _rows(a.curated.select("insight_id", "priority_score")) == _rows(b.curated.select("insight_id", "priority_score"))
     assert _rows(a.executive_summary.select("insight_id", "summary_ord")) == _rows(
         b.executive_summary.select("insight_id", "summary_ord"))
 
@@ -54,3 +53,14 @@ def test_trend_run_bounded_by_rows(base):
     joined = runs.join(per_key, ["country", "city", "zone", "metric"])
     assert joined.filter(F.col("run_length") > F.col("n") - 1).count() == 0
     assert joined.filter(F.col("start_week") - F.col("end_week") != F.col("run_length")).count() == 0
+
+
+def test_every_finding_reaches_the_insights(base):
+    m, o = base
+    run = run_insights(m, o, top_k_critical=12)
+    single = [D.detect_anomalies, D.detect_trends, D.detect_benchmarking, D.detect_correlations, D.detect_opportunities]
+    assert run.raw.count() == sum(f(m, o).count() for f in single)
+    assert run.raw.select("insight_id").distinct().count() == run.raw.count()
+    assert D.detect_anomalies(m, o, max_insights=3).count() == 3
+    per_category = {r.category: r["count"] for r in run.executive_candidates.groupBy("category").count().collect()}
+    assert run.executive_summary.count() == sum(min(2, n) for n in per_category.values())

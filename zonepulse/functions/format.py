@@ -1,4 +1,4 @@
-"""Number and text formatting as column expressions (and matching SQL)."""
+"""Number and text formatting as column expressions."""
 
 from __future__ import annotations
 
@@ -59,20 +59,11 @@ def format_number(c, decimals: int = 4) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(whole, x.cast(T.LongType()).cast(T.StringType())).otherwise(trimmed)
 
 
-def format_number_sql(x: str, decimals: int = 4) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
-            f"ELSE regexp_replace(regexp_replace(printf('%.{decimals}f', {x}), '0+$', ''), '[.]$', '') END")
-
-
 def format_pct_ratio(c, decimals: int = 2) -> Column:
     """Ratio as a percentage with ``decimals`` places, e.g. 0.1234 → 12.34%."""
     return F.concat(fixed(col(c).cast(T.DoubleType()) * 100.0, decimals), F.lit("%"))
 
 
-def format_pct_ratio_sql(x: str, decimals: int = 2) -> str:
-    return f"printf('%.{decimals}f%%', CAST({x} AS DOUBLE) * 100.0)"
-
-
 def format_metric_value(value, value_format: Column | str, decimals: Column | int) -> Column:
     """M7: display a value by its metric's format; null → "N/A".
 

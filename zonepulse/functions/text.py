@@ -2,12 +2,13 @@
 
 Whitespace follows Python's ``str.split()``/``strip()`` set exactly (one
 character class, valid in both Java and RE2 regex syntax). Accent folding
-(NFKD, then dropping non-ASCII) uses a ``translate`` table built from Unicode
-decompositions, then removes any remaining non-ASCII character.
+(NFKD, then dropping non-ASCII) uses tables built from the Unicode
+decompositions of all characters.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -19,20 +20,20 @@ from zonepulse.functions.columns import col
 PY_WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _fold_table() -> tuple[str, str]:
-    """Characters whose NFKD form keeps exactly one ASCII character, mapped
-    to it (Latin-1 Supplement through Latin Extended Additional)."""
-    src, dst = [], []
-    for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What NFKD decomposition and dropping non-ASCII make of each character
+    beyond ASCII: those that give one character, and those that give several.
+    (Characters that give none are left out; they are dropped at the end.)"""
+    one, several = {}, {}
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        ascii_ = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(ascii_) == 1:
-            src.append(ch)
-            dst.append(ascii_)
-    return "".join(src), "".join(dst)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if c < "\x80")
+        if plain:
+            (one if len(plain) == 1 else several)[ch] = plain
+    return one, several
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
+ONE, SEVERAL = _folds()
 
 
 def py_strip(c) -> Column:
@@ -45,7 +46,14 @@ def py_squeeze(c) -> Column:
 
 
 def fold_accents(c) -> Column:
-    return F.regexp_replace(F.translate(col(c), FOLD_FROM, FOLD_TO), r"[^\x{00}-\x{7F}]", "")
+    """NFKD, then ASCII only. Characters that give several letters (ligatures,
+    fractions, units) are looked up one by one, in texts that still hold a
+    character beyond ASCII after the simple ones are translated."""
+    simple = F.translate(col(c), "".join(ONE), "".join(ONE.values()))
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(simple, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    full = F.when(simple.rlike(r"[^\x{00}-\x{7F}]"), spelled).otherwise(simple)
+    return F.regexp_replace(full, r"[^\x{00}-\x{7F}]", "")
 
 
 def normalize_for_match(c) -> Column:
@@ -70,6 +78,16 @@ def mask_email(c) -> Column:
     return F.when(~v.contains("@"), F.lit("***")).otherwise(F.concat(keep, F.lit("***@"), domain))
 
 
+# Fixed value: what counts as an e-mail address.
+EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def is_email(c) -> Column:
+    """Whether the trimmed text is an e-mail address: one '@' with no
+    blank around it and a domain with a dot inside."""
+    return F.coalesce(py_strip(col(c)).rlike(EMAIL_PATTERN), F.lit(False))
+
+
 def preview(c, max_len: int = 96) -> Column:
     """One-line preview, cut to ``max_len`` characters plus '...'."""
     s = py_squeeze(col(c))

@@ -17,7 +17,6 @@ CONDITION_OPERATORS = ("high", "low", "gt", "lt", "eq")
 LOGICAL_OPERATORS = ("and", "or")
 ORDERS_METRIC = "Orders"
 MIN_WEEK, MAX_WEEK = 0, 8
-MAX_TOP_N = 50
 # group_by drill-down when the grouping dimension is also fixed in filters
 DRILL_DOWN = {
     "country": "city",
@@ -54,9 +53,7 @@ CRITICAL_FIELDS = ("country", "city", "zone", "metric", "week", "value")
 WEEK_LABEL_PATTERN = r"^l[0-8]w(_roll)?$"
 NULL_CRITICAL_RATIO = 0.05
 # week columns of the wide exports: L<n>W or L<n>W_ROLL (after canonical naming)
-WEEK_COLUMN_PATTERN = r"^l(\d+)w(?:_roll)?$"
-RAW_WEEK_COLUMN_PATTERN = r"^l(\d+)w$"
-ROLL_WEEK_COLUMN_PATTERN = r"^l(\d+)w_roll$"
+WEEK_COLUMN_PATTERN = r"^l(\d+)w(_roll)?$"
 # numbers accepted when coercing text to double (after trimming)
 NUMERIC_TEXT_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 # metric display formats (value_format, decimals); everything else: number, 2
@@ -100,10 +97,10 @@ ORDERS_LONG_SCHEMA = T.StructType(
 
 
 def require_columns(df, columns, context: str) -> None:
-    """Plan-time check: raise if any required column is missing (no job)."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"{context} is missing required columns: {missing}")
+    """Refuse at plan time, before any job, a frame without all of ``columns``."""
+    absent = sorted(set(columns) - set(df.columns))
+    if absent:
+        raise ValueError(f"{context}: no column named {', '.join(absent)} (there are {', '.join(df.columns)})")
 
 
 def check_choice(name: str, value, allowed) -> str:
@@ -116,17 +113,16 @@ def check_choice(name: str, value, allowed) -> str:
 def check_week(week) -> int:
     week = 0 if week is None else int(week)
     if week < MIN_WEEK or week > MAX_WEEK:
-        raise ValueError("week must be between 0 and 8.")
+        raise ValueError(f"week {week} lies outside {MIN_WEEK}..{MAX_WEEK}")
     return week
 
 
-def check_range(name: str, value, low: int, high: int) -> int:
-    if value is None:
-        raise ValueError(f"{name} is required.")
-    value = int(value)
-    if value < low or value > high:
-        raise ValueError(f"{name} must be between {low} and {high}.")
-    return value
+def check_range(name: str, value, low: int, high: int | None = None) -> int:
+    """``value`` as an int of at least ``low`` (and at most ``high``, if there is a limit)."""
+    number = None if value is None else int(value)
+    if number is None or number < low or (high is not None and number > high):
+        raise ValueError(f"{name}: expected {low} to {'any' if high is None else high}, got {value!r}")
+    return number
 
 
 def clean_filters(filters) -> dict:

@@ -1,31 +1,23 @@
 """Insight curation.
 
-Input is the unified insight table of the insight run. Its size is bounded by
-the detector caps (250 + 200 + 200 + 100 + 250 rows), so the global ranking
-windows below work on at most 1,000 rows. Only the greedy de-duplication
-needs imperative logic; it runs per (category, zone) group in
-``applyInPandas``, where a group holds a handful of findings.
+Findings are as many as the detectors make; no step numbers them all in one
+task. Order is carried by columns (``rank_order``); windows run per
+(category, zone), per zone or per category with a small k, which Spark cuts
+down before the shuffle. Only the greedy de-duplication needs imperative
+logic; it runs per (category, zone) group in ``applyInPandas``, where a group
+holds a handful of findings (one zone's metrics).
 """
 
 from __future__ import annotations
 
-import sys
-
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.functions.columns import round2, squeeze_lower, strip_ws
 from zonepulse.model import CATEGORIES, CATEGORY_BONUS
-
-SIGNATURE_CHARS = 120
-
-# The grouped-map function below runs in Python workers. Pickling this
-# module's functions by value means executors need only pandas, not this
-# package on their path (ship the package with --py-files all the same).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from zonepulse.session import ship_package
 
 
 def zone_key() -> Column:
@@ -72,57 +64,59 @@ def with_priority(insights: DataFrame) -> DataFrame:
 
 
 def rank_order() -> list[Column]:
-    """L3: priority DESC, severity DESC, then detector and emission order (stable)."""
-    return [
-        F.col("priority_score").desc(),
-        F.col("severity_score").desc(),
-        F.col("detector_ord").asc(),
-        F.col("emit_ord").asc(),
-    ]
-
-
-def ranked(insights: DataFrame) -> DataFrame:
-    """L2 + L3: priority score and a 1-based ``curation_rank``."""
-    scored = with_priority(insights)
-    return scored.withColumn("curation_rank", F.row_number().over(Window.orderBy(*rank_order())))
+    """L3: priority DESC, severity DESC, then detector and emission order. The columns are unique together."""
+    down = [F.desc(c) for c in ("priority_score", "severity_score")]
+    emitted = [F.desc_nulls_last(c) for c in ("emit_a", "emit_b")]
+    keys = ("emit_rule", "country", "city", "zone", "emit_pair", "metric", "emit_type")
+    return [*down, F.asc("detector_ord"), *emitted, *[F.asc_nulls_last(c) for c in keys]]
 
 
 def _greedy_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep a finding unless its metric or its summary signature was already
-    kept in this (category, zone) group; walk in rank order."""
-    pdf = pdf.sort_values("curation_rank")
-    seen_metric, seen_signature, keep = set(), set(), []
-    for iid, metric, signature in zip(pdf["insight_id"], pdf["metric_key"], pdf["signature"]):
-        if metric in seen_metric or signature in seen_signature:
-            continue
-        keep.append(iid)
-        seen_metric.add(metric)
-        seen_signature.add(signature)
-    return pd.DataFrame({"insight_id": pd.Series(keep, dtype="int64")})
-
-
-def deduplicate(ranked_insights: DataFrame) -> DataFrame:
-    """L4: greedy de-duplication within (category, zone); zone-less findings
-    are never dropped. Exact for any input (not only detector output)."""
-    keyed = ranked_insights.withColumn("zone_key", zone_key())
+    """Walk one (category, zone) group in rank order; a finding stays unless
+    an earlier one that stayed has its metric or its summary."""
+    stays, metrics, summaries = [], set(), set()
+    for finding in pdf.sort_values("place").itertuples():
+        if finding.metric_key not in metrics and finding.summary_key not in summaries:
+            stays.append(finding.insight_id)
+            metrics.add(finding.metric_key)
+            summaries.add(finding.summary_key)
+    return pd.DataFrame({"insight_id": pd.Series(stays, dtype="object")})
+
+
+def deduplicate(scored: DataFrame) -> DataFrame:
+    """L4: greedy de-duplication within (category, zone) by metric and whole
+    normalised summary; zone-less findings are never dropped. Exact for any
+    input (not only detector output). ``scored`` has the priority (L2)."""
+    ship_package(scored.sparkSession)
+    keyed = scored.withColumn("zone_key", zone_key())
+    place = F.row_number().over(Window.partitionBy("category", "zone_key").orderBy(*rank_order()))
     keys = keyed.filter(F.col("zone_key") != "").select(
-        "insight_id", "category", "zone_key", "curation_rank",
-        squeeze_lower("metric").alias("metric_key"),
-        F.substring(squeeze_lower("summary"), 1, SIGNATURE_CHARS).alias("signature"),
+        "insight_id", "category", "zone_key", place.alias("place"),
+        squeeze_lower("metric").alias("metric_key"), squeeze_lower("summary").alias("summary_key"),
     )
-    kept = keys.groupBy("category", "zone_key").applyInPandas(_greedy_group, "insight_id long")
+    kept = keys.groupBy("category", "zone_key").applyInPandas(_greedy_group, "insight_id string")
     zoned = keyed.filter(F.col("zone_key") != "").join(kept, "insight_id", "left_semi")
-    out = keyed.filter(F.col("zone_key") == "").unionByName(zoned).drop("curation_rank")
-    return out.withColumn("curation_rank", F.row_number().over(Window.orderBy(*rank_order())))
+    return keyed.filter(F.col("zone_key") == "").unionByName(zoned)
 
 
 def limit_per_zone(deduped: DataFrame, max_per_zone: int = 1) -> DataFrame:
-    """At most ``max_per_zone`` findings per zone (zone-less exempt)."""
-    max_per_zone = max(1, int(max_per_zone))
+    """At most ``max_per_zone`` findings per zone; zone-less ones, which
+    are exempt, do not pass through the window."""
     keyed = deduped.withColumn("zone_key", zone_key())
-    n = F.row_number().over(Window.partitionBy("zone_key").orderBy("curation_rank"))
-    out = keyed.withColumn("zone_rn", n).filter((F.col("zone_key") == "") | (F.col("zone_rn") <= max_per_zone))
-    return out.drop("zone_rn")
+    place = F.row_number().over(Window.partitionBy("zone_key").orderBy(*rank_order()))
+    zoned = keyed.filter(F.col("zone_key") != "").withColumn("zone_rn", place)
+    return keyed.filter(F.col("zone_key") == "").unionByName(zoned.filter(F.col("zone_rn") <= max(1, int(max_per_zone))).drop("zone_rn"))
+
+
+def _category_place() -> Column:
+    """Position of the category in the fixed order."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")) - 1, F.lit(len(CATEGORIES)))
+
+
+def _best_of_categories(findings: DataFrame, n: int, name: str) -> DataFrame:
+    """The first ``n`` findings of each category, with their place."""
+    place = F.row_number().over(Window.partitionBy("category").orderBy(*rank_order()))
+    return findings.filter(F.col("category").isin(*CATEGORIES)).withColumn(name, place).filter(F.col(name) <= n)
 
 
 def category_diversity(candidates: DataFrame, max_summary: int = 5, max_per_category: int = 2) -> DataFrame:
@@ -133,27 +127,17 @@ def category_diversity(candidates: DataFrame, max_summary: int = 5, max_per_cate
     Phase 2 only runs when phase 1 left room, i.e. when every non-empty
     category's best was already taken, so it reduces to ranks 2..cap.
     """
-    if max_summary <= 0:
-        return candidates.limit(0).withColumn("summary_ord", F.lit(0))
-    cat_ord = F.lit(len(CATEGORIES))
-    for i, cat in reversed(list(enumerate(CATEGORIES))):
-        cat_ord = F.when(F.col("category") == cat, F.lit(i)).otherwise(cat_ord)
-    rn = F.row_number().over(Window.partitionBy("category").orderBy("curation_rank"))
-    c = candidates.filter(F.col("category").isin(*CATEGORIES)).withColumn("cat_rn", rn)
-    phase = F.when(F.col("cat_rn") == 1, cat_ord).otherwise(F.lit(1000) + F.col("curation_rank"))
-    picked = c.filter(F.col("cat_rn") <= max(1, max_per_category)).withColumn("pick_key", phase)
-    top = picked.orderBy("pick_key").limit(max_summary)
-    return top.withColumn("summary_ord", F.row_number().over(Window.orderBy("pick_key"))).drop("pick_key", "cat_rn")
+    picked = _best_of_categories(candidates, max(1, max_per_category), "cat_rn")
+    first = F.col("cat_rn") == 1
+    order = [F.when(first, 0).otherwise(1), F.when(first, _category_place()), *rank_order()]
+    top = picked.orderBy(*order).limit(max(0, max_summary))
+    # the window holds max_summary rows
+    return top.withColumn("summary_ord", F.row_number().over(Window.orderBy(*order))).drop("cat_rn")
 
 
 def top_per_category(deduped: DataFrame, max_per_category: int = 3) -> DataFrame:
     """The best ``max_per_category`` findings of each category."""
-    rn = F.row_number().over(Window.partitionBy("category").orderBy("curation_rank"))
-    return (
-        deduped.filter(F.col("category").isin(*CATEGORIES))
-        .withColumn("category_rank", rn)
-        .filter(F.col("category_rank") <= max_per_category)
-    )
+    return _best_of_categories(deduped, max_per_category, "category_rank")
 
 
 def stage_counts(raw: DataFrame, filtered: DataFrame, deduped: DataFrame, summary: DataFrame,

@@ -2,16 +2,16 @@
 
 Each detector is one declarative plan over the long tables: union → mean to
 grain (nulls dropped) → conditional aggregation instead of pivots → column
-math → filter → a distributed top-k (``orderBy().limit(cap)``) → rank.
+math → filter. All findings are returned; a caller may ask for the
+first ``max_insights`` (a distributed top-k).
 
-Output columns: ``rank`` (1-based emission order after the detector's sort
-and cap), the location keys, typed evidence columns, ``severity`` (clamped,
-unrounded) and ``severity_score`` (two decimals), plus ``title``,
-``summary`` and ``recommendation_hint``.
+Output columns: the location keys, typed evidence columns, ``severity``
+(clamped, unrounded) and ``severity_score`` (two decimals).
 
-Sorting: K1 and K3 sort on the unrounded severity; K2, K4 and K5 sort on
-the two-decimal score with ties in emission order. Keys complete every
-order so that results are deterministic.
+``*_ORDER`` name the columns of each detector's order, which are unique
+together: K1 and K3 go by the unrounded severity, K2, K4 and K5 by the
+two-decimal score. ``in_order`` sorts by them; nothing numbers all findings in
+one task (``functions.ranks.numbered`` does it in a distributed way).
 """
 
 from __future__ import annotations
@@ -21,16 +21,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.functions.columns import EPS, clamp, rel_change, round2, strip_ws
+from zonepulse.functions.ranks import group_quantiles
 from zonepulse.model import CORRELATION_PAIRS, GEO_KEYS, LOWER_IS_BETTER
 
 BASE_COLS = ["country", "city", "zone", "metric", "week", "value"]
 G = list(GEO_KEYS)
 
 
-def _ranked(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
-    """Distributed top-k, then a rank over at most ``cap`` rows."""
-    top = df.orderBy(*order).limit(cap)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+ANOMALY_ORDER = ("-severity", "-pct_change", *G, "metric")
+TREND_ORDER = ("-severity_score", *G, "metric")
+BENCHMARK_ORDER = ("-severity", *G, "metric", "zone_type")
+CORRELATION_ORDER = ("-severity_score", "country", "pair")
+OPPORTUNITY_ORDER = ("-severity_score", "rule", *G, "zone_type")
+
+
+def in_order(findings: DataFrame, order) -> DataFrame:
+    """Sorted by column names; a leading minus sorts downwards, nulls come last."""
+    return findings.orderBy(*[F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in order])
+
+
+def _first(findings: DataFrame, order, n: int | None) -> DataFrame:
+    return findings if n is None else in_order(findings, order).limit(n)
 
 
 def _base(metrics_df: DataFrame, orders_df: DataFrame, with_zone_type: bool = False) -> DataFrame:
@@ -50,7 +61,7 @@ def detect_anomalies(
     metrics_df: DataFrame,
     orders_df: DataFrame,
     threshold: float = 0.10,
-    max_insights: int = 250,
+    max_insights: int | None = None,
     min_baseline: float = 0.10,
     min_abs_delta: float = 0.05,
     sign_flip_min_delta: float = 0.20,
@@ -93,11 +104,10 @@ def detect_anomalies(
     severity = severity * F.when(flip, 0.85).otherwise(1.0)
     severity = severity * F.when(F.col("confidence") == "medium", 0.93).otherwise(1.0)
     g = g.withColumn("severity", clamp(severity, 0.0, 100.0))
-    order = [F.col("severity").desc(), pct.desc()] + [F.col(c).asc() for c in G + ["metric"]]
-    out = _ranked(g, order, max_insights)
+    out = _first(g, ANOMALY_ORDER, max_insights)
     direction = F.when(F.col("pct_change") > 0, "improvement").otherwise("deterioration")
     return out.select(
-        "rank", *G, "metric", "week_0_value", "week_1_value", "pct_change", "abs_delta", "baseline_abs",
+        *G, "metric", "week_0_value", "week_1_value", "pct_change", "abs_delta", "baseline_abs",
         "sign_flip", "confidence", direction.alias("direction"), "severity",
         round2("severity").alias("severity_score"),
     )
@@ -110,7 +120,7 @@ def detect_trends(
     metrics_df: DataFrame,
     orders_df: DataFrame | None = None,
     min_consecutive_steps: int = 3,
-    max_insights: int = 200,
+    max_insights: int | None = None,
     lower_is_better=LOWER_IS_BETTER,
 ) -> DataFrame:
     """Per zone × metric, weeks oldest → newest; a step deteriorates when
@@ -156,9 +166,8 @@ def detect_trends(
         )
         .withColumn("severity_score", round2("severity"))
     )
-    order = [F.col("severity_score").desc()] + [F.col(c).asc() for c in keys]
-    return _ranked(best, order, max_insights).select(
-        "rank", *keys, "run_length", "start_week", "end_week", "start_value", "end_value",
+    return _first(best, TREND_ORDER, max_insights).select(
+        *keys, "run_length", "start_week", "end_week", "start_value", "end_value",
         "net_change_pct", "higher_is_better", "severity", "severity_score",
     )
 
@@ -171,7 +180,7 @@ def detect_benchmarking(
     orders_df: DataFrame,
     min_peer_count: int = 5,
     gap_threshold: float = 0.15,
-    max_insights: int = 200,
+    max_insights: int | None = None,
     include_untyped: bool = False,
 ) -> DataFrame:
     """Peer group = country × metric × zone_type; peer mean excludes the zone.
@@ -189,21 +198,18 @@ def detect_benchmarking(
         base = base.filter(F.col("zone_type").isNotNull())
     snap = base.groupBy(*G, "zone_type", "metric").agg(F.avg("value").alias("value"))
     typed = F.col("zone_type").isNotNull() & (strip_ws("zone_type") != "")
-    bucket = F.concat_ws(
-        "||", F.col("country"), F.col("metric"), F.when(typed, F.col("zone_type")).otherwise(F.lit("ALL"))
-    )
-    snap = snap.withColumn("peer_bucket", bucket)
-    stats = snap.groupBy("peer_bucket").agg(F.sum("value").alias("peer_sum"), F.count("value").alias("peer_count"))
-    j = snap.join(stats, "peer_bucket").filter(F.col("peer_count") >= min_peer_count)
+    snap = snap.withColumn("peer_type", F.when(typed, F.col("zone_type")).otherwise(F.lit("ALL")))
+    peers = ["country", "metric", "peer_type"]
+    stats = snap.groupBy(*peers).agg(F.sum("value").alias("peer_sum"), F.count("value").alias("peer_count"))
+    j = snap.join(stats, peers).filter(F.col("peer_count") >= min_peer_count)
     pm = (F.col("peer_sum") - F.col("value")) / F.greatest(F.col("peer_count") - 1, F.lit(1))
     j = j.withColumn("peer_mean", pm).filter((F.col("peer_count") > 1) & (F.abs(F.col("peer_mean")) > EPS))
-    j = j.withColumn("gap_pct", (F.col("value") - F.col("peer_mean")) / F.abs(F.col("peer_mean")))
+    j = j.withColumn("gap_pct", F.try_divide(F.col("value") - F.col("peer_mean"), F.abs(F.col("peer_mean"))))
     j = j.filter(F.abs(F.col("gap_pct")) >= gap_threshold)
     j = j.withColumn("severity", clamp(F.least(F.abs(F.col("gap_pct")) * 180.0, F.lit(100.0)), 0.0, 100.0))
-    order = [F.col("severity").desc()] + [F.col(c).asc_nulls_last() for c in G + ["metric", "zone_type"]]
-    out = _ranked(j, order, max_insights)
+    out = _first(j, BENCHMARK_ORDER, max_insights)
     return out.select(
-        "rank", *G, "metric", "zone_type", F.col("value").alias("zone_value"), "peer_mean", "gap_pct",
+        *G, "metric", "zone_type", F.col("value").alias("zone_value"), "peer_mean", "gap_pct",
         "peer_count", F.when(F.col("gap_pct") > 0, "above").otherwise("below").alias("direction"),
         "severity", round2("severity").alias("severity_score"),
     )
@@ -217,7 +223,7 @@ def detect_correlations(
     orders_df: DataFrame,
     min_sample_size: int = 8,
     corr_threshold: float = 0.45,
-    max_insights: int = 100,
+    max_insights: int | None = None,
     pairs=CORRELATION_PAIRS,
 ) -> DataFrame:
     """Pearson r per country and metric pair over zones having both metrics.
@@ -257,10 +263,9 @@ def detect_correlations(
     )
     sev = F.least(F.lit(100.0), F.abs(F.col("correlation")) * 100.0 + F.least(F.lit(20.0), F.col("sample_size") * 0.5))
     found = found.withColumn("severity", clamp(sev, 0.0, 100.0)).withColumn("severity_score", round2("severity"))
-    order = [F.col("severity_score").desc(), F.col("country").asc(), F.col("pair").asc()]
-    out = _ranked(found, order, max_insights)
+    out = _first(found, CORRELATION_ORDER, max_insights)
     return out.select(
-        "rank", "country", "pair", "metric_x", "metric_y", "correlation", "sample_size",
+        "country", "pair", "metric_x", "metric_y", "correlation", "sample_size",
         F.when(F.col("correlation") > 0, "positive").otherwise("negative").alias("direction"),
         "severity", "severity_score",
     )
@@ -295,8 +300,7 @@ def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
     )
 
 
-def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10,
-                               exact: bool = True) -> DataFrame:
+def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10) -> DataFrame:
     """Rule 1: orders grew ≥10% from week 3 to week 0 while Perfect Orders is
     below the country median. Growth uses every orders_long row (any metric)."""
     o = orders_df.select(*G, "week", "value").na.drop(subset=G + ["week", "value"])
@@ -311,7 +315,7 @@ def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_
         .filter(F.col("metric") == "Perfect Orders")
         .select(*G, "zone_type", F.col("value").alias("perfect_orders"))
     )
-    medians = quality.groupBy("country").agg(quantile("perfect_orders", 0.5, exact).alias("country_perfect_orders_median"))
+    medians = group_quantiles(quality, ["country"], {"country_perfect_orders_median": ("perfect_orders", 0.5)})
     j = growth.join(quality, G).join(medians, "country").filter(F.col("country_perfect_orders_median").isNotNull())
     j = j.filter(
         (F.col("orders_growth_pct") >= min_growth)
@@ -325,20 +329,11 @@ def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_
     ).withColumn("severity_score", round2("severity"))
 
 
-def quantile(c: str, p: float, exact: bool = True) -> Column:
-    """Linear-interpolated quantile (exact), or ``percentile_approx`` for
-    very large groups: exact ``percentile`` keeps a value→count map per
-    group, the approximate one a bounded sketch."""
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10000)
-
-
-def opportunity_quality_penetration(metrics_df: DataFrame, exact: bool = True) -> DataFrame:
+def opportunity_quality_penetration(metrics_df: DataFrame) -> DataFrame:
     """Rule 2: Perfect Orders ≥ country p75 and Lead Penetration ≤ country p25."""
     wide = _wide(_metrics_snapshot(metrics_df), {"Perfect Orders": "perfect_orders", "Lead Penetration": "lead_penetration"})
-    q = wide.groupBy("country").agg(
-        quantile("perfect_orders", 0.75, exact).alias("country_quality_p75"),
-        quantile("lead_penetration", 0.25, exact).alias("country_penetration_p25"),
-    )
+    q = group_quantiles(wide, ["country"], {
+        "country_quality_p75": ("perfect_orders", 0.75), "country_penetration_p25": ("lead_penetration", 0.25)})
     j = wide.join(q, "country").filter(
         (F.col("perfect_orders") >= F.col("country_quality_p75"))
         & (F.col("lead_penetration") <= F.col("country_penetration_p25"))
@@ -353,13 +348,11 @@ def opportunity_quality_penetration(metrics_df: DataFrame, exact: bool = True) -
     ).withColumn("severity_score", round2("severity"))
 
 
-def opportunity_replication(metrics_df: DataFrame, exact: bool = True) -> DataFrame:
+def opportunity_replication(metrics_df: DataFrame) -> DataFrame:
     """Rule 3: Gross Profit UE ≥ country p90 and Turbo Adoption > country median."""
     wide = _wide(_metrics_snapshot(metrics_df), {"Gross Profit UE": "gross_profit_ue", "Turbo Adoption": "turbo_adoption"})
-    q = wide.groupBy("country").agg(
-        quantile("gross_profit_ue", 0.90, exact).alias("country_gp_top_decile"),
-        quantile("turbo_adoption", 0.5, exact).alias("country_turbo_median"),
-    )
+    q = group_quantiles(wide, ["country"], {
+        "country_gp_top_decile": ("gross_profit_ue", 0.90), "country_turbo_median": ("turbo_adoption", 0.5)})
     j = wide.join(q, "country").filter(
         (F.col("gross_profit_ue") >= F.col("country_gp_top_decile"))
         & (F.col("turbo_adoption") > F.col("country_turbo_median"))
@@ -374,17 +367,11 @@ def opportunity_replication(metrics_df: DataFrame, exact: bool = True) -> DataFr
     ).withColumn("severity_score", round2("severity"))
 
 
-def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int = 250,
-                         exact: bool = True) -> DataFrame:
-    """All three rules, sorted by the two-decimal score, ties in rule then
-    location order, capped."""
+def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int | None = None) -> DataFrame:
+    """All findings of the three rules."""
     rules = (
-        opportunity_growth_quality(metrics_df, orders_df, exact=exact)
-        .unionByName(opportunity_quality_penetration(metrics_df, exact), allowMissingColumns=True)
-        .unionByName(opportunity_replication(metrics_df, exact), allowMissingColumns=True)
+        opportunity_growth_quality(metrics_df, orders_df)
+        .unionByName(opportunity_quality_penetration(metrics_df), allowMissingColumns=True)
+        .unionByName(opportunity_replication(metrics_df), allowMissingColumns=True)
     )
-    order = [F.col("severity_score").desc(), F.col("rule").asc()] + [
-        F.col(c).asc() for c in G + ["zone_type"]
-    ]
-    out = _ranked(rules, order, max_insights)
-    return out.select("rank", *[c for c in out.columns if c != "rank"])
+    return _first(rules, OPPORTUNITY_ORDER, max_insights)

@@ -28,8 +28,6 @@ from zonepulse.model import (
 from zonepulse.functions.columns import union_all
 from zonepulse.operators.slices import distinct_count_with_null
 
-FINDING_SCHEMA = "dataset string, check string, item string, count long, severity string"
-
 
 def _row(dataset: str, check: str, item: str | Column, count: Column, severity: Column) -> list[Column]:
     item_col = item if isinstance(item, Column) else F.lit(item)
@@ -64,65 +62,79 @@ def _profile(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def check_nulls(df: DataFrame, dataset: str, columns=CRITICAL_FIELDS) -> DataFrame:
-    """Null count per critical column; ≥5% critical, >0 warning."""
-    require_columns(df, columns, dataset)
-    prof = _profile(df)
+def _null_rows(dataset: str, columns) -> list[list[Column]]:
     rows = []
     for c in columns:
         n = F.col(f"null_{c}")
-        ratio = n / F.greatest(F.col("n_rows"), F.lit(1))
-        sev = F.when(n == 0, "ok").when(ratio >= NULL_CRITICAL_RATIO, "critical").otherwise("warning")
-        rows.append(prof.select(*_row(dataset, "nulls", c, n, sev)))
-    return _union(rows)
+        share = n / F.greatest(F.col("n_rows"), F.lit(1))
+        level = F.when(n == 0, "ok").when(share >= NULL_CRITICAL_RATIO, "critical").otherwise("warning")
+        rows.append(_row(dataset, "nulls", c, n, level))
+    return rows
+
+
+def _week_rows(dataset: str) -> list[list[Column]]:
+    return [_row(dataset, name, "", F.col(name), _flag(F.col(name), "critical")) for name in ("week_non_numeric", "week_out_of_range")]
+
+
+def _label_rows(dataset: str) -> list[list[Column]]:
+    return [_row(dataset, "week_label_format", "", F.col("bad_labels"), _flag(F.col("bad_labels"), "warning"))]
+
+
+def _exploded(profile: DataFrame, rows: list[list[Column]]) -> DataFrame:
+    """One row per finding from the one row of a profile."""
+    return profile.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("f")).select("f.*")
+
+
+def check_nulls(df: DataFrame, dataset: str, columns=CRITICAL_FIELDS) -> DataFrame:
+    """Null count per critical column; ≥5% critical, >0 warning."""
+    require_columns(df, columns, dataset)
+    return _exploded(_profile(df), _null_rows(dataset, columns))
 
 
 def check_weeks(df: DataFrame, dataset: str) -> DataFrame:
     """Non-numeric weeks and weeks outside 0–8 (both critical)."""
     require_columns(df, ["week"], dataset)
-    prof = _profile(df)
-    return _union([
-        prof.select(*_row(dataset, "week_non_numeric", "", F.col("week_non_numeric"), _flag(F.col("week_non_numeric"), "critical"))),
-        prof.select(*_row(dataset, "week_out_of_range", "", F.col("week_out_of_range"), _flag(F.col("week_out_of_range"), "critical"))),
-    ])
+    return _exploded(_profile(df), _week_rows(dataset))
 
 
 def check_labels(df: DataFrame, dataset: str) -> DataFrame:
     """Week labels not matching l[0-8]w(_roll)? (a null label is bad)."""
     require_columns(df, ["week_label"], dataset)
-    prof = _profile(df)
-    return prof.select(*_row(dataset, "week_label_format", "", F.col("bad_labels"), _flag(F.col("bad_labels"), "warning")))
+    return _exploded(_profile(df), _label_rows(dataset))
 
 
 def profile_findings(df: DataFrame, dataset: str) -> DataFrame:
     """J1 + J2 + J3 from a single aggregation pass over the table."""
-    require_columns(df, list(CRITICAL_FIELDS) + ["week_label"], dataset)
-    prof = _profile(df)
-    rows = []
-    for c in CRITICAL_FIELDS:
-        n = F.col(f"null_{c}")
-        ratio = n / F.greatest(F.col("n_rows"), F.lit(1))
-        sev = F.when(n == 0, "ok").when(ratio >= NULL_CRITICAL_RATIO, "critical").otherwise("warning")
-        rows.append(_row(dataset, "nulls", c, n, sev))
-    for name, level in (("week_non_numeric", "critical"), ("week_out_of_range", "critical")):
-        rows.append(_row(dataset, name, "", F.col(name), _flag(F.col(name), level)))
-    rows.append(_row(dataset, "week_label_format", "", F.col("bad_labels"), _flag(F.col("bad_labels"), "warning")))
-    # one row per finding from the single profile row
-    packed = F.array(*[F.struct(*r) for r in rows])
-    return prof.select(F.explode(packed).alias("f")).select("f.*")
+    require_columns(df, [*CRITICAL_FIELDS, "week_label"], dataset)
+    return _exploded(_profile(df), _null_rows(dataset, CRITICAL_FIELDS) + _week_rows(dataset) + _label_rows(dataset))
+
+
+def week_values(df: DataFrame, dataset: str) -> DataFrame:
+    """Every distinct week and label with its number of rows and
+    whether the checks accept it."""
+    week = F.col("week").cast(T.StringType())
+    label = F.col("week_label").cast(T.StringType())
+    number = week.try_cast(T.DoubleType())
+    cells = F.array(
+        F.struct(F.lit("week").alias("field"), week.alias("value"), F.coalesce(number.between(0, 8), F.lit(False)).alias("accepted")),
+        F.struct(F.lit("week_label").alias("field"), label.alias("value"), F.coalesce(label.rlike(WEEK_LABEL_PATTERN), F.lit(False)).alias("accepted")),
+    )
+    seen = df.select(F.explode(cells).alias("c")).groupBy("c.field", "c.value", "c.accepted").agg(F.count("*").alias("count"))
+    return seen.select(F.lit(dataset).alias("dataset"), "field", "value", "accepted", "count")
+
+
+def duplicate_keys(df: DataFrame, dataset: str, keys=GRAIN_KEYS) -> DataFrame:
+    """Every grain key that several rows share (null keys compare equal), with their number."""
+    require_columns(df, keys, dataset)
+    shared = df.groupBy(*keys).agg(F.count("*").alias("count")).filter(F.col("count") > 1)
+    return shared.select(F.lit(dataset).alias("dataset"), *keys, "count")
 
 
 def check_duplicates(df: DataFrame, dataset: str, keys=GRAIN_KEYS, level: str = "critical",
                      check: str = "duplicate") -> DataFrame:
-    """Rows sharing a grain key (null keys compare equal), and the keys."""
-    keys = list(keys)
-    require_columns(df, keys, dataset)
-    counts = df.groupBy(*keys).count().filter(F.col("count") > 1)
-    agg = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys"))
-    return _union([
-        agg.select(*_row(dataset, f"{check}_rows", "", F.col("rows"), _flag(F.col("rows"), level))),
-        agg.select(*_row(dataset, f"{check}_keys", "", F.col("keys"), _flag(F.col("keys"), level))),
-    ])
+    """How many rows share a grain key, and how many such keys there are."""
+    agg = duplicate_keys(df, dataset, keys).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys"))
+    return _exploded(agg, [_row(dataset, f"{check}_{c}", "", F.col(c), _flag(F.col(c), level)) for c in ("rows", "keys")])
 
 
 def geography_tuples(metrics: DataFrame) -> DataFrame:
@@ -189,27 +201,22 @@ def check_orders_in_base(orders: DataFrame, base: DataFrame, dataset: str = "ana
 def check_inventory(metrics: DataFrame, orders: DataFrame, base: DataFrame) -> DataFrame:
     """Distinct metrics; Orders missing from orders (warning) or from the
     base (critical); Orders rows inside metrics (warning, >50% critical)."""
-    def distinct_metrics(df):
-        return df.filter(F.col("metric").isNotNull()).agg(
-            F.count_distinct("metric").alias("n"),
-            F.count_if(F.col("metric").cast(T.StringType()) == ORDERS_METRIC).alias("orders_rows"),
-        )
-
-    m, o, b = distinct_metrics(metrics), distinct_metrics(orders), distinct_metrics(base)
-    in_metrics = metrics.agg(
-        F.count_if(F.col("metric").cast(T.StringType()) == ORDERS_METRIC).alias("k"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    ratio = F.col("k") / F.greatest(F.col("n"), F.lit(1))
+    is_orders = F.col("metric").cast(T.StringType()) == ORDERS_METRIC
+
+    def inventory(df):
+        return df.agg(F.count_distinct("metric").alias("n"), F.count_if(is_orders).alias("k"), F.count(F.lit(1)).alias("rows"))
+
+    missing = lambda level: ((F.col("k") == 0).cast("long"), F.when(F.col("k") == 0, level).otherwise("ok"))
+    share = F.col("k") / F.greatest(F.col("rows"), F.lit(1))
+    inside = F.when(share > 0.5, "critical").when(F.col("k") > 0, "warning").otherwise("ok")
     return _union([
-        m.select(*_row("metrics_long", "distinct_metrics", "", F.col("n"), F.lit("info"))),
-        b.select(*_row("analytics_base", "distinct_metrics", "", F.col("n"), F.lit("info"))),
-        o.select(*_row("orders_long", "orders_metric_missing", "", (F.col("orders_rows") == 0).cast("long"),
-                       F.when(F.col("orders_rows") == 0, "warning").otherwise("ok"))),
-        b.select(*_row("analytics_base", "orders_metric_missing", "", (F.col("orders_rows") == 0).cast("long"),
-                       F.when(F.col("orders_rows") == 0, "critical").otherwise("ok"))),
-        in_metrics.select(*_row("metrics_long", "orders_rows_in_metrics", "", F.col("k"),
-                                F.when(ratio > 0.5, "critical").when(F.col("k") > 0, "warning").otherwise("ok"))),
+        _exploded(inventory(metrics), [
+            _row("metrics_long", "distinct_metrics", "", F.col("n"), F.lit("info")),
+            _row("metrics_long", "orders_rows_in_metrics", "", F.col("k"), inside)]),
+        _exploded(inventory(base), [
+            _row("analytics_base", "distinct_metrics", "", F.col("n"), F.lit("info")),
+            _row("analytics_base", "orders_metric_missing", "", *missing("critical"))]),
+        _exploded(inventory(orders), [_row("orders_long", "orders_metric_missing", "", *missing("warning"))]),
     ])
 
 

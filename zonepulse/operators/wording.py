@@ -1,7 +1,7 @@
 """Insight titles, summaries and hints as column expressions.
 
 Titles and summaries follow fixed formats: later steps depend on them (the
-dedup signature is the first 120 characters of the normalised summary; the
+dedup compares the whole normalised summary; the
 narrative infers direction from summary words and picks actions from title
 words). Recommendation hints are this project's own wording.
 """
@@ -95,45 +95,33 @@ def opportunity_summary(rule, zone, country) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Recommendation hints (own wording).
+# Recommendation hints (own wording): the first rule whose word is in the
+# lower-cased metric and whose direction fits; the metric "orders" itself has
+# a hint of its own, all others the last one.
 # ---------------------------------------------------------------------------
-# (metric contains, direction or None, text); the exact metric "orders" is
-# matched by ANOMALY_ORDERS_HINT; anything else gets ANOMALY_DEFAULT_HINT.
 ANOMALY_HINT_RULES = (
-    ("gross profit", "deterioration", "Break down last week's margin by price, discount, mix and variable cost to find what eroded it."),
-    ("gross profit", None, "Identify the price or cost lever behind the margin gain and trial it in comparable zones."),
-    ("perfect orders", None, "Review cancellations, delays and defects in the zone against its recent peers."),
-    ("lead penetration", None, "Check lead acquisition, merchant activation and assortment for a conversion bottleneck."),
-    ("adoption", None, "Check availability, demand coverage and local supply limits behind the adoption shift."),
+    ("gross profit", "deterioration", "See which cost or discount took the margin."),
+    ("gross profit", None, "See which price or cost gave the margin."),
+    ("perfect orders", None, "Sort the week's failed orders by cause."),
+    ("lead penetration", None, "Count the shops signed and switched on."),
+    ("adoption", None, "Look at availability during the busiest hours."),
 )
-ANOMALY_ORDERS_HINT = "Confirm the demand and supply drivers of the swing before changing spend or capacity."
-ANOMALY_DEFAULT_HINT = "Confirm the operational driver of this swing and give one owner a short corrective cycle."
+ANOMALY_ORDERS_HINT = "Look for events that moved demand before changing spend."
+ANOMALY_DEFAULT_HINT = "Ask the zone what changed within the week."
+TREND_HINT = "Start from the week in which the decline began."
+BENCHMARK_HINT = "Compare this zone with the best of its group."
+CORRELATION_HINT = "Watch the two numbers side by side."
+OPPORTUNITY_HINTS = {
+    1: "Bring quality up before adding demand.",
+    2: "Add shops and customers while quality is high.",
+    3: "Write down how this zone works.",
+}
 
 
 def anomaly_hint(metric: Column, direction: Column) -> Column:
-    m = F.lower(metric)
-    out = F.when(m == "orders", F.lit(ANOMALY_ORDERS_HINT)).otherwise(F.lit(ANOMALY_DEFAULT_HINT))
-    for word, dirn, text in reversed(ANOMALY_HINT_RULES):
-        cond = m.contains(word) if dirn is None else m.contains(word) & (direction == dirn)
-        out = F.when(cond, F.lit(text)).otherwise(out)
-    return out
-
-
-def anomaly_hint_sql(metric: str, direction: str) -> str:
-    m = f"lower({metric})"
-    q = lambda t: "'" + t.replace("'", "''") + "'"
-    whens = []
-    for word, dirn, text in ANOMALY_HINT_RULES:
-        cond = f"contains({m}, '{word}')" + (f" AND {direction} = '{dirn}'" if dirn else "")
-        whens.append(f"WHEN {cond} THEN {q(text)}")
-    return f"CASE {' '.join(whens)} WHEN {m} = 'orders' THEN {q(ANOMALY_ORDERS_HINT)} ELSE {q(ANOMALY_DEFAULT_HINT)} END"
-
-
-TREND_HINT = "Review the whole deterioration window for a root cause and trial targeted fixes."
-BENCHMARK_HINT = "Compare operating levers with peers of the same group; copy practices where the gap is favourable."
-CORRELATION_HINT = "Plan actions for both metrics together and track them side by side."
-OPPORTUNITY_HINTS = {
-    1: "Add quality safeguards in this zone before pushing more demand.",
-    2: "Trial acquisition and assortment actions to turn quality strength into penetration.",
-    3: "Write down this zone's operating playbook and trial it in similar zones.",
-}
+    name = F.lower(metric)
+    chosen = [
+        F.when(name.contains(word) & (F.lit(True) if way is None else direction == way), F.lit(hint))
+        for word, way, hint in ANOMALY_HINT_RULES
+    ]
+    return F.coalesce(*chosen, F.when(name == "orders", F.lit(ANOMALY_ORDERS_HINT)), F.lit(ANOMALY_DEFAULT_HINT))

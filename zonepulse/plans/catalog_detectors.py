@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from zonepulse.functions.ranks import numbered
 from zonepulse.operators import detectors as D
 from zonepulse.plans.registry import register
 from zonepulse.sources.adapter import zone_tables
@@ -53,17 +54,17 @@ s AS (SELECT *, CASE WHEN bl < 0.3 AND abs(pct) > 2.5 THEN 'low' WHEN pts >= 5 T
 k AS (SELECT *, """ + clamp_sql("(abs(pct) * 180.0 + least(d, 2.0) * 20.0) * (CASE WHEN flip THEN 0.85 ELSE 1.0 END) * (CASE WHEN confidence = 'medium' THEN 0.93 ELSE 1.0 END)") + """ AS sev
       FROM s WHERE confidence IN ('high', 'medium')),
 r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, pct DESC, country, city, zone, metric) AS rnk FROM k),
-res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric,
+res AS (SELECT CAST(rnk AS BIGINT) AS "rank", country, city, zone, metric,
        w0 AS week_0_value, w1 AS week_1_value, pct AS pct_change,
        d AS abs_delta, bl AS baseline_abs, flip AS sign_flip, confidence,
        CASE WHEN pct > 0 THEN 'improvement' ELSE 'deterioration' END AS direction,
        sev AS severity, """ + r2_sql("sev") + """ AS severity_score
-FROM r WHERE rnk <= 250)""", ["week_0_value", "week_1_value", "pct_change", "abs_delta", "baseline_abs", "severity", "severity_score"]),
+FROM r)""", ["week_0_value", "week_1_value", "pct_change", "abs_delta", "baseline_abs", "severity", "severity_score"]),
 )
 def anomalies(spark, sf_dir):
-    """K1: week-over-week anomalies (cap 250)."""
+    """K1: week-over-week anomalies."""
     m, o = zone_tables(spark, sf_dir)
-    return D.detect_anomalies(m, o)
+    return numbered(D.in_order(D.detect_anomalies(m, o), D.ANOMALY_ORDER), "rank")
 
 
 @register(
@@ -90,16 +91,16 @@ t AS (SELECT *, CASE WHEN abs(start_value) > 1e-9 THEN (end_value - start_value)
 k AS (SELECT *, {clamp_sql("least(100.0, run_length * 15.0 + coalesce(abs(net) * 120.0, 0.0))")} AS sev FROM t),
 k2 AS (SELECT *, {r2_sql("sev")} AS sev2 FROM k),
 r AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, city, zone, metric) AS rnk FROM k2),
-res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, run_length, start_week, end_week,
+res AS (SELECT CAST(rnk AS BIGINT) AS "rank", country, city, zone, metric, run_length, start_week, end_week,
        start_value, end_value, net AS net_change_pct,
        metric NOT IN ('Restaurants Markdowns / GMV', 'Non-Pro PTC > OP') AS higher_is_better,
        sev AS severity, sev2 AS severity_score
-FROM r WHERE rnk <= 200)""", ["start_value", "end_value", "net_change_pct", "severity", "severity_score"]),
+FROM r)""", ["start_value", "end_value", "net_change_pct", "severity", "severity_score"]),
 )
 def trends(spark, sf_dir):
-    """K2: longest deteriorating runs of ≥3 weeks (cap 200)."""
+    """K2: longest deteriorating runs of ≥3 weeks."""
     m, o = zone_tables(spark, sf_dir)
-    return D.detect_trends(m, o)
+    return numbered(D.in_order(D.detect_trends(m, o), D.TREND_ORDER), "rank")
 
 
 @register(
@@ -118,23 +119,21 @@ j AS (SELECT b.*, ps, pc, (ps - v) / greatest(pc - 1, 1) AS pm FROM b JOIN st US
 g AS (SELECT *, (v - pm) / abs(pm) AS gap FROM j WHERE pc > 1 AND abs(pm) > 1e-9),
 k AS (SELECT *, {clamp_sql("least(abs(gap) * 180.0, 100.0)")} AS sev FROM g WHERE abs(gap) >= 0.15),
 r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, country, city, zone, metric, zone_type NULLS LAST) AS rnk FROM k),
-res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, city, zone, metric, zone_type, v AS zone_value,
+res AS (SELECT CAST(rnk AS BIGINT) AS "rank", country, city, zone, metric, zone_type, v AS zone_value,
        pm AS peer_mean, gap AS gap_pct, pc AS peer_count,
        CASE WHEN gap > 0 THEN 'above' ELSE 'below' END AS direction,
        sev AS severity, {r2_sql("sev")} AS severity_score
-FROM r WHERE rnk <= 200)""", ["zone_value", "peer_mean", "gap_pct", "severity", "severity_score"]),
+FROM r)""", ["zone_value", "peer_mean", "gap_pct", "severity", "severity_score"]),
 )
 def benchmarking(spark, sf_dir):
-    """K3: zones ≥15% away from their peer group's mean (cap 200)."""
+    """K3: zones ≥15% away from their peer group's mean."""
     m, o = zone_tables(spark, sf_dir)
-    return D.detect_benchmarking(m, o)
+    return numbered(D.in_order(D.detect_benchmarking(m, o), D.BENCHMARK_ORDER), "rank")
 
 
-_PAIRS_SQL = "\n  UNION ALL ".join(
-    f"SELECT country, {i} AS pair, '{x}' AS metric_x, '{y}' AS metric_y, m{sorted(['Gross Profit UE','Lead Penetration','Orders','Perfect Orders']).index(x)} AS x, "
-    f"m{sorted(['Gross Profit UE','Lead Penetration','Orders','Perfect Orders']).index(y)} AS y FROM wide"
-    for i, (x, y) in enumerate(D.CORRELATION_PAIRS)
-)
+_PAIRS_SQL = """SELECT country, 0 AS pair, 'Lead Penetration' AS metric_x, 'Perfect Orders' AS metric_y, m1 AS x, m3 AS y FROM wide
+  UNION ALL SELECT country, 1, 'Perfect Orders', 'Orders', m3, m2 FROM wide
+  UNION ALL SELECT country, 2, 'Gross Profit UE', 'Orders', m0, m2 FROM wide"""
 
 
 @register(
@@ -158,15 +157,15 @@ k AS (SELECT *, """ + clamp_sql("least(100.0, abs(r) * 100.0 + least(20.0, n * 0
       FROM c WHERE n >= 8 AND r IS NOT NULL AND abs(r) >= 0.45),
 k2 AS (SELECT *, """ + r2_sql("sev") + """ AS sev2 FROM k),
 rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, country, pair) AS rnk FROM k2),
-res AS (SELECT CAST(rnk AS INTEGER) AS "rank", country, pair, metric_x, metric_y, r AS correlation,
+res AS (SELECT CAST(rnk AS BIGINT) AS "rank", country, pair, metric_x, metric_y, r AS correlation,
        n AS sample_size, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction,
        sev AS severity, sev2 AS severity_score
-FROM rk WHERE rnk <= 100)""", ["correlation", "severity", "severity_score"]),
+FROM rk)""", ["correlation", "severity", "severity_score"]),
 )
 def correlations(spark, sf_dir):
-    """K4: metric-pair correlations per country at week 0 (cap 100)."""
+    """K4: metric-pair correlations per country at week 0."""
     m, o = zone_tables(spark, sf_dir)
-    return D.detect_correlations(m, o)
+    return numbered(D.in_order(D.detect_correlations(m, o), D.CORRELATION_ORDER), "rank")
 
 
 MSNAP = f"""
@@ -261,11 +260,11 @@ def _padded(name, cols):
 allr AS ({_padded('rule1', _R1_COLS)} UNION ALL {_padded('rule2', _R2_COLS)} UNION ALL {_padded('rule3', _R3_COLS)}),
 k AS (SELECT *, {r2_sql('severity')} AS sev2 FROM allr),
 rk AS (SELECT *, row_number() OVER (ORDER BY sev2 DESC, rule, country, city, zone, zone_type) AS rnk FROM k),
-res AS (SELECT CAST(rnk AS INTEGER) AS "rank", rule, country, city, zone, zone_type,
+res AS (SELECT CAST(rnk AS BIGINT) AS "rank", rule, country, city, zone, zone_type,
        {', '.join(_ALL_OPP_COLS)}, severity, sev2 AS severity_score
-FROM rk WHERE rnk <= 250)"""), _ALL_OPP_COLS + ["severity", "severity_score"]),
+FROM rk)"""), _ALL_OPP_COLS + ["severity", "severity_score"]),
 )
 def opportunities(spark, sf_dir):
-    """K5: the three opportunity rules together (cap 250)."""
+    """K5: the three opportunity rules together."""
     m, o = zone_tables(spark, sf_dir)
-    return D.detect_opportunities(m, o)
+    return numbered(D.in_order(D.detect_opportunities(m, o), D.OPPORTUNITY_ORDER), "rank")

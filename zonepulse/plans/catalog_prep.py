@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonepulse.operators import prep as P
+from zonepulse.operators.slices import filter_metric, snapshot_week
 from zonepulse.plans.registry import register
+from zonepulse.session import shared_path
 from zonepulse.sources import fixtures as X
 from zonepulse.sources.adapter import zone_tables
+from zonepulse.sources.tables import read_long_table, read_wide_export, write_report_lines, write_table
 
 
 @register("unpivot_metrics", """
@@ -114,8 +119,68 @@ def features(spark, sf_dir):
     return P.metrics_features(m)
 
 
-@register("fingerprint")
+_MILLIONTHS = "CAST(floor(abs(\"value\") * 1000000 + 0.5) * sign(\"value\") AS BIGINT)"
+
+
+@register("fingerprint", f"""
+texts AS (SELECT concat_ws(chr(31), country, city, zone, zone_type, zone_prioritization, metric, CAST(week AS VARCHAR), week_label,
+                           CAST({_MILLIONTHS} AS VARCHAR)) AS t FROM metrics_long),
+summed AS (SELECT count(*) AS row_count, sum(CAST('0x' || substring(md5(t), 1, 15) AS BIGINT)) AS total FROM texts)
+SELECT sha256('country|city|zone|zone_type|zone_prioritization|metric|week|week_label|millionths#' || CAST(row_count AS VARCHAR) || '#'
+              || CAST(total AS VARCHAR)) AS fingerprint, row_count FROM summed""")
 def fingerprint(spark, sf_dir):
-    """A5: order-insensitive fingerprint of metrics_long (rows-only check)."""
+    """A5: order-insensitive fingerprint of metrics_long, values in whole millionths."""
+    m, _ = zone_tables(spark, sf_dir)
+    whole = (F.floor(F.abs("value") * 1000000 + 0.5) * F.signum("value")).cast("long")
+    return P.fingerprint(m.withColumn("millionths", whole).drop("value"))
+
+
+# ---------------------------------------------------------------------------
+# A1–A4: written to the shared folder and read again
+# ---------------------------------------------------------------------------
+def _folder(spark, name: str) -> str:
+    return shared_path(spark, "roundtrip", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("wide_export_csv", """
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, 'l' || CAST(week AS VARCHAR) || 'w_roll' AS week_label,
+       round("value", 6) AS "value" FROM metrics_long""")
+def wide_export_csv(spark, sf_dir):
+    """A1: the wide metrics export written as CSV files, read as text and reshaped."""
+    m, _ = zone_tables(spark, sf_dir)
+    path = _folder(spark, "wide") + ".csv"
+    write_table(X.wide_metrics(m), path, fmt="csv")
+    return P.reshape_metrics(read_wide_export(spark, path))
+
+
+@register("long_table_csv", """
+SELECT country, city, zone, metric, week, week_label, round("value", 6) AS "value" FROM orders_long""")
+def long_table_csv(spark, sf_dir):
+    """A2, A3: orders_long written as CSV with its columns in another order and read by name."""
+    _, o = zone_tables(spark, sf_dir)
+    path = _folder(spark, "orders") + ".csv"
+    write_table(o.select(*reversed(o.columns)), path, fmt="csv")
+    return read_long_table(spark, path, "orders")
+
+
+@register("long_table_parquet", """
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, week_label, round("value", 6) AS "value",
+       lower(metric) AS metric_key FROM metrics_long WHERE week = 2 AND metric = 'Perfect Orders'""")
+def long_table_parquet(spark, sf_dir):
+    """metrics_long partitioned by week and metric key; one snapshot read from its folder."""
+    m, _ = zone_tables(spark, sf_dir)
+    path = _folder(spark, "metrics")
+    write_table(P.with_key_columns(m), path, partition_by=("week", "metric_key"))
+    rows = snapshot_week(filter_metric(read_long_table(spark, path, "metrics"), " perfect orders"), 2)
+    return rows.select(*m.columns, "metric_key")
+
+
+@register("report_file", """
+SELECT zone || ' ' || metric AS line, CAST(count(*) AS BIGINT) AS n FROM metrics_long GROUP BY zone, metric""")
+def report_file(spark, sf_dir):
+    """A4: ordered lines written as one text file and read again."""
     m, _ = zone_tables(spark, sf_dir)
-    return P.fingerprint(m)
+    path = _folder(spark, "lines")
+    text = F.concat_ws(" ", "zone", "metric")
+    write_report_lines(m.select(F.hash("zone", "metric", "week").cast("long").alias("ord"), text.alias("line")), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from zonepulse.functions.columns import union_all
 from zonepulse.operators import prep as P
 from zonepulse.operators import quality as Qy
@@ -22,10 +24,11 @@ dirty_base AS (
   UNION ALL
   SELECT o.country, o.city, o.zone, l.zone_type, l.zone_prioritization, o.metric, o.week, o.week_label, o."value"
   FROM dirty_orders o LEFT JOIN lookup l ON o.country = l.country AND o.city = l.city AND o.zone = l.zone),
-dirty_features AS (
+features0 AS (
   SELECT country, city, zone, metric FROM dirty_metrics
   WHERE country IS NOT NULL AND city IS NOT NULL AND zone IS NOT NULL AND metric IS NOT NULL AND week IS NOT NULL AND "value" IS NOT NULL
-  GROUP BY country, city, zone, metric)"""
+  GROUP BY country, city, zone, metric),
+dirty_features AS (SELECT * FROM features0 UNION ALL SELECT * FROM features0 WHERE metric = 'Turbo Adoption')"""
 
 DATASETS = (("metrics_long", "dirty_metrics"), ("orders_long", "dirty_orders"), ("analytics_base", "dirty_base"))
 CRIT = ("country", "city", "zone", "metric", "week", "value")
@@ -36,7 +39,14 @@ def _tables(spark, sf_dir):
     once: every check reads them several times."""
     m, o = X.dirty_tables(spark, sf_dir, materialize=True)
     m, o = materialize(m), materialize(o)
-    return m, o, materialize(P.analytics_base(m, o)), materialize(P.metrics_features(m))
+    features = P.metrics_features(m)
+    twice = features.unionByName(features.where("metric = 'Turbo Adoption'"))
+    return m, o, materialize(P.analytics_base(m, o)), materialize(twice)
+
+
+def _text_weeks(df):
+    """Weeks as text, those of one market segment spelled out."""
+    return df.withColumn("week", F.when(F.col("zone").endswith("MACHINERY"), F.concat(F.lit("week "), F.col("week"))).otherwise(F.col("week").cast("string")))
 
 
 def _flag(expr: str, level: str) -> str:
@@ -58,17 +68,14 @@ def _nulls_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def _weeks_sql() -> str:
+def _weeks_sql(spelled: bool = False) -> str:
     parts = []
     for name, table in DATASETS:
-        parts.append(
-            f"SELECT '{name}', 'week_non_numeric', '', CAST(count(*) FILTER (WHERE week IS NULL) AS BIGINT), "
-            f"{_flag('count(*) FILTER (WHERE week IS NULL)', 'critical')} FROM {table}"
-        )
-        parts.append(
-            f"SELECT '{name}', 'week_out_of_range', '', CAST(count(*) FILTER (WHERE week IS NOT NULL AND week NOT BETWEEN 0 AND 8) AS BIGINT), "
-            f"{_flag('count(*) FILTER (WHERE week IS NOT NULL AND week NOT BETWEEN 0 AND 8)', 'critical')} FROM {table}"
-        )
+        words = "zone LIKE '%MACHINERY'" if spelled else "false"
+        odd = f"count(*) FILTER (WHERE week IS NULL OR {words})"
+        out = f"count(*) FILTER (WHERE week NOT BETWEEN 0 AND 8 AND NOT ({words}))"
+        parts.append(f"SELECT '{name}', 'week_non_numeric', '', CAST({odd} AS BIGINT), {_flag(odd, 'critical')} FROM {table}")
+        parts.append(f"SELECT '{name}', 'week_out_of_range', '', CAST({out} AS BIGINT), {_flag(out, 'critical')} FROM {table}")
     return ("SELECT * FROM (" + "\nUNION ALL ".join(parts)
             + ') t(dataset, "check", item, "count", severity)')
 
@@ -101,10 +108,10 @@ def dq_nulls(spark, sf_dir):
     return union_all([Qy.check_nulls(m, "metrics_long"), Qy.check_nulls(o, "orders_long"), Qy.check_nulls(b, "analytics_base")])
 
 
-@register("dq_weeks", TABLES_SQL + "\n" + _weeks_sql())
+@register("dq_weeks", TABLES_SQL + "\n" + _weeks_sql(spelled=True))
 def dq_weeks(spark, sf_dir):
-    """Non-numeric and out-of-range weeks."""
-    m, o, b, _ = _tables(spark, sf_dir)
+    """Non-numeric and out-of-range weeks, where one segment's weeks are words."""
+    m, o, b, _ = (_text_weeks(t) if "week" in t.columns else t for t in _tables(spark, sf_dir))
     return union_all([Qy.check_weeks(m, "metrics_long"), Qy.check_weeks(o, "orders_long"), Qy.check_weeks(b, "analytics_base")])
 
 
@@ -123,6 +130,32 @@ def dq_duplicates(spark, sf_dir):
                       Qy.check_duplicates(b, "analytics_base")])
 
 
+_KEYS_SQL = "\nUNION ALL ".join(
+    f"SELECT '{n}' AS dataset, country, city, zone, metric, week, CAST(count(*) AS BIGINT) AS \"count\" FROM {t} "
+    f"GROUP BY country, city, zone, metric, week HAVING count(*) > 1" for n, t in DATASETS)
+
+
+@register("dq_duplicate_keys", TABLES_SQL + "\n" + _KEYS_SQL)
+def dq_duplicate_keys(spark, sf_dir):
+    """The duplicated grain keys themselves."""
+    m, o, b, _ = _tables(spark, sf_dir)
+    return union_all([Qy.duplicate_keys(m, "metrics_long"), Qy.duplicate_keys(o, "orders_long"), Qy.duplicate_keys(b, "analytics_base")])
+
+
+_VALUES_SQL = "\nUNION ALL ".join(
+    f"""SELECT '{n}' AS dataset, 'week' AS field, CAST(week AS VARCHAR) AS "value", coalesce(week BETWEEN 0 AND 8, false) AS accepted,
+       CAST(count(*) AS BIGINT) AS "count" FROM {t} GROUP BY week
+UNION ALL SELECT '{n}', 'week_label', week_label, coalesce(regexp_full_match(week_label, 'l[0-8]w(_roll)?'), false), CAST(count(*) AS BIGINT)
+       FROM {t} GROUP BY week_label""" for n, t in DATASETS)
+
+
+@register("dq_week_values", TABLES_SQL + "\n" + _VALUES_SQL)
+def dq_week_values(spark, sf_dir):
+    """Distinct weeks and labels, and which of them offend."""
+    m, o, b, _ = _tables(spark, sf_dir)
+    return union_all([Qy.week_values(m, "metrics_long"), Qy.week_values(o, "orders_long"), Qy.week_values(b, "analytics_base")])
+
+
 GEO_SQL = """
 tuples AS (SELECT DISTINCT country, city, zone, zone_type, zone_prioritization FROM dirty_metrics),
 per_zone AS (SELECT country, city, zone,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.functions.columns import union_all
+from zonepulse.model import check_range
 from zonepulse.operators import curation as C
 from zonepulse.operators import detectors as D
 from zonepulse.operators import wording as W
@@ -26,18 +27,24 @@ EVIDENCE_COLUMNS = {
                       "country_gp_top_decile", "turbo_adoption", "country_turbo_median"],
 }
 
-INSIGHT_COLUMNS = [
-    "insight_id", "detector_ord", "emit_ord", "category", "title", "metric", "country", "city", "zone",
-    "severity_score", "summary", "recommendation_hint", "confidence", "affected_zones_count",
-]
-
-
 def _common(df: DataFrame, ord_: int, category: str, title, metric, country, city, zone, summary, hint,
-            affected, confidence=None) -> DataFrame:
+            affected, emit: tuple, key: tuple, confidence=None) -> DataFrame:
+    """The shared columns of a finding.
+
+    ``insight_id`` is the MD5 of the category and the finding's own keys: the
+    same in every run, whatever else is found. ``emit_a`` and ``emit_b`` (both
+    downwards), then ``emit_rule``, the location, ``emit_pair``, the metric and
+    the zone type (all upwards) are the detector's order.
+    """
+    a, b, rule, pair = emit
+    name = F.concat_ws("|", F.lit(category), *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key])
     cols = [
-        (F.lit(ord_ * 1000) + F.col("rank")).cast(T.LongType()).alias("insight_id"),
+        F.md5(name).alias("insight_id"),
         F.lit(ord_).alias("detector_ord"),
-        F.col("rank").alias("emit_ord"),
+        a.cast("double").alias("emit_a"),
+        b.cast("double").alias("emit_b"),
+        rule.cast("int").alias("emit_rule"),
+        pair.cast("int").alias("emit_pair"),
         F.lit(category).alias("category"),
         title.alias("title"),
         metric.alias("metric"),
@@ -51,7 +58,8 @@ def _common(df: DataFrame, ord_: int, category: str, title, metric, country, cit
         affected.cast(T.LongType()).alias("affected_zones_count"),
     ]
     evidence = [c for c in EVIDENCE_COLUMNS[category] if c != "confidence"]
-    return df.select(*cols, *evidence)
+    kind = [F.col("zone_type").alias("emit_type") if "zone_type" in df.columns else F.lit(None).cast("string").alias("emit_type")]
+    return df.select(*cols, *kind, *evidence)
 
 
 def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untyped: bool = False) -> DataFrame:
@@ -60,32 +68,35 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
     Evidence fields are typed nullable columns (a finding fills those of its
     category); ``evidence_json`` carries them as one JSON object.
     """
-    c = F.col
+    c, zero = F.col, F.lit(0)
+    metrics_df, orders_df = weekly_means(metrics_df, orders_df)
     k1 = D.detect_anomalies(metrics_df, orders_df)
     k1 = _common(
         k1, 0, "anomalies", W.anomaly_title(c("direction"), c("metric")), c("metric"), c("country"), c("city"),
         c("zone"), W.anomaly_summary(c("metric"), c("zone"), c("city"), c("country"), c("pct_change"),
                                      c("direction"), c("sign_flip")),
-        W.anomaly_hint(c("metric"), c("direction")), F.lit(1), c("confidence"),
+        W.anomaly_hint(c("metric"), c("direction")), F.lit(1), (c("severity"), c("pct_change"), zero, zero),
+        ("country", "city", "zone", "metric"), c("confidence"),
     )
     k2 = D.detect_trends(metrics_df, orders_df)
     k2 = _common(
         k2, 1, "trends", W.trend_title(c("metric")), c("metric"), c("country"), c("city"), c("zone"),
         W.trend_summary(c("metric"), c("zone"), c("city"), c("country"), c("run_length")),
-        F.lit(W.TREND_HINT), F.lit(1),
+        F.lit(W.TREND_HINT), F.lit(1), (c("severity_score"), zero, zero, zero), ("country", "city", "zone", "metric"),
     )
     k3 = D.detect_benchmarking(metrics_df, orders_df, include_untyped=include_untyped)
     k3 = _common(
         k3, 2, "benchmarking", W.benchmark_title(c("zone"), c("metric")), c("metric"), c("country"), c("city"),
         c("zone"), W.benchmark_summary(c("zone"), c("gap_pct"), c("metric"), c("country")),
-        F.lit(W.BENCHMARK_HINT), c("peer_count"),
+        F.lit(W.BENCHMARK_HINT), c("peer_count"), (c("severity"), zero, zero, zero),
+        ("country", "city", "zone", "metric", "zone_type"),
     )
     k4 = D.detect_correlations(metrics_df, orders_df)
     k4 = _common(
         k4, 3, "correlations", W.correlation_title(c("metric_x"), c("metric_y"), c("direction")),
         F.concat(c("metric_x"), F.lit(" vs "), c("metric_y")), c("country"), F.lit(None), F.lit(None),
         W.correlation_summary(c("country"), c("metric_x"), c("metric_y"), c("direction"), c("correlation")),
-        F.lit(W.CORRELATION_HINT), c("sample_size"),
+        F.lit(W.CORRELATION_HINT), c("sample_size"), (c("severity_score"), zero, zero, c("pair")), ("country", "pair"),
     )
     k5 = D.detect_opportunities(metrics_df, orders_df)
     rule_title = F.when(c("rule") == 1, W.OPPORTUNITY_RULES[1][0]).when(c("rule") == 2, W.OPPORTUNITY_RULES[2][0]).otherwise(W.OPPORTUNITY_RULES[3][0])
@@ -94,6 +105,7 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
     k5 = _common(
         k5, 4, "opportunities", rule_title, rule_metric, c("country"), c("city"), c("zone"),
         W.opportunity_summary(c("rule"), c("zone"), c("country")), rule_hint, F.lit(1),
+        (c("severity_score"), zero, c("rule"), zero), ("rule", "country", "city", "zone", "zone_type"),
     )
     allins = union_all([k1, k2, k3, k4, k5], allow_missing=True)
     evidence_cols = [e for cat in EVIDENCE_COLUMNS.values() for e in cat if e != "confidence"]
@@ -105,6 +117,12 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
     return allins.withColumn("evidence_json", evidence)
 
 
+def weekly_means(metrics_df: DataFrame, orders_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables stored once for the five detectors, which each read a part of them."""
+    return materialize(metrics_df.select("country", "city", "zone", "zone_type", "metric", "week", "value")), materialize(
+        orders_df.select("country", "city", "zone", "metric", "week", "value"))
+
+
 @dataclass
 class InsightRun:
     raw: DataFrame
@@ -127,16 +145,17 @@ def run_insights(
     """K6 + L1–L8.
 
     With ``checkpoint=True`` (default) the raw insight table and the curated
-    table (each ≤1,000 rows by the detector caps) are checkpointed to the
-    shared checkpoint folder: every later stage reuses them, and the long
-    detector lineage is cut once instead of being replayed per stage.
+    table are checkpointed to the shared checkpoint folder: every later stage
+    reuses them, and the long detector lineage is cut once instead of being
+    replayed per stage. Nothing is capped: the summary has ``top_k_critical``
+    findings at most, every other table all of them.
     """
-    max_summary = min(5, max(3, int(top_k_critical)))
+    max_summary = check_range("top_k_critical", top_k_critical, 0)
     raw = collect_insights(metrics_df, orders_df)
     if checkpoint:
         raw = materialize(raw)
     filtered = C.filter_noise(raw)
-    curated = C.deduplicate(C.ranked(filtered))
+    curated = C.deduplicate(C.with_priority(filtered))
     if checkpoint:
         curated = materialize(curated)
     candidates = C.limit_per_zone(curated, 1)

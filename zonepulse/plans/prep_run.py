@@ -2,55 +2,55 @@
 
 ``prepare`` reads the two wide exports (A1), reshapes them (B1–B6), builds
 the analytics base and features (B7–B9) and writes the four tables (A3).
-Long tables are partitioned by ``week`` (at most 9 values), so the week
-filters every query starts with prune whole partitions at read time.
 ``validate`` reads them back with explicit schemas (A2) and runs J1–J11.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from zonepulse.model import FEATURE_COLUMNS, GEO_KEYS
 from zonepulse.operators import prep as P
 from zonepulse.operators import quality as Qy
-from zonepulse.sources.tables import read_long_table, read_wide_export, write_table
+from zonepulse.sources.tables import path_exists, read_csv_text, read_long_table, read_wide_export, write_table
 
 TABLES = ("metrics_long", "orders_long", "analytics_base", "metrics_features")
 
 
 def prepare(spark: SparkSession, wide_metrics_path: str, wide_orders_path: str, out_dir: str,
             fmt: str = "parquet") -> dict[str, str]:
-    metrics = P.reshape_metrics(read_wide_export(spark, wide_metrics_path))
-    orders = P.reshape_orders(read_wide_export(spark, wide_orders_path))
-    outputs = {
-        "metrics_long": metrics,
-        "orders_long": orders,
-        "analytics_base": P.analytics_base(metrics, orders),
-        "metrics_features": P.metrics_features(metrics),
-    }
-    paths = {}
-    for name, df in outputs.items():
-        path = os.path.join(out_dir, name + (".csv" if fmt == "csv" else ""))
-        partition = ("week",) if name != "metrics_features" and fmt != "csv" else None
-        write_table(df, path, fmt=fmt, partition_by=partition)
-        paths[name] = path
+    """Write the four tables and return their paths.
+
+    The base and the features are made from the written long tables, so each
+    export is read and reshaped once. Parquet tables carry the key columns and
+    are partitioned by week and metric: the tests every query starts with
+    (``week = 0``, metric) prune folders, the filters reach the statistics.
+    """
+    paths = {name: f"{out_dir.rstrip('/')}/{name}{'.csv' if fmt == 'csv' else ''}" for name in TABLES}
+
+    def write(name: str, df: DataFrame) -> None:
+        if fmt == "csv":
+            write_table(df, paths[name], fmt="csv")
+        else:
+            by_week = ("week", "metric_key") if "week" in df.columns else ("metric_key",)
+            write_table(P.with_key_columns(df), paths[name], partition_by=by_week)
+
+    write("metrics_long", P.reshape_metrics(read_wide_export(spark, wide_metrics_path)))
+    write("orders_long", P.reshape_orders(read_wide_export(spark, wide_orders_path)))
+    metrics, orders = read_long_table(spark, paths["metrics_long"], "metrics"), read_long_table(spark, paths["orders_long"], "orders")
+    write("analytics_base", P.analytics_base(metrics, orders))
+    write("metrics_features", P.metrics_features(metrics))
     return paths
 
 
 def load_processed(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    out = {
-        "metrics_long": read_long_table(spark, paths["metrics_long"], "metrics"),
-        "orders_long": read_long_table(spark, paths["orders_long"], "orders"),
-        "analytics_base": read_long_table(spark, paths["analytics_base"], "metrics"),
-    }
-    feats = paths.get("metrics_features")
-    if feats and os.path.exists(feats.replace("file:", "")):
-        out["metrics_features"] = (
-            spark.read.option("header", True).option("inferSchema", True).csv(feats)
-            if feats.endswith(".csv") else spark.read.parquet(feats)
-        )
+    out = {name: read_long_table(spark, paths[name], "orders" if name == "orders_long" else "metrics") for name in TABLES[:3]}
+    features = paths.get("metrics_features")
+    if features and path_exists(spark, features):
+        df = read_csv_text(spark, features) if features.rstrip("/").lower().endswith(".csv") else spark.read.parquet(features)
+        numbers = [c for c in FEATURE_COLUMNS if c not in (*GEO_KEYS, "metric")]
+        out["metrics_features"] = df.withColumns({c: F.col(c).try_cast("double") for c in numbers if c in df.columns})
     return out
 
 

@@ -1,9 +1,13 @@
 """Deterministic executive report (M6) and its sink (A4).
 
 The report is a DataFrame of ordered lines: fixed headings, one bullet per
-executive-summary finding, up to three blocks per category and up to six
-recommendations. Every data line comes from the narrated, bounded curated
-tables; the fixed template lines are a small literal table.
+executive-summary finding, a block for each finding of the category sections
+and all their recommendations. Every data line comes from the narrated
+tables, whose sizes the run's arguments set; the fixed template lines are a
+small literal table.
+
+``ord`` numbers leave room for 10^8 blocks in a section and 10^4 lines in a
+block, so that lines never meet.
 """
 
 from __future__ import annotations
@@ -25,50 +29,49 @@ RECOMMENDATIONS_HEADING = "## Cross-Cutting Recommendations"
 NO_FINDINGS = "No material findings this week."
 NO_ACTIONS = "- No cross-cutting actions were identified this week."
 
-SECTION = 100_000
-BLOCK = 1_000
+BLOCK = 10**4
+SECTION = 10**12
+#: Sections: title and summary 0, the categories' heading 1, the categories from 2 on, the recommendations last.
+FIRST_CATEGORY = 2
+RECOMMENDATIONS = FIRST_CATEGORY + len(CATEGORIES)
 
 
-def _cat_index():
-    idx = F.lit(len(CATEGORIES))
-    for i, cat in reversed(list(enumerate(CATEGORIES))):
-        idx = F.when(F.col("category") == cat, F.lit(i)).otherwise(idx)
-    return idx
+def _section_of_category():
+    return F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")) - 1 + FIRST_CATEGORY
 
 
 def report_lines(run: InsightRun) -> DataFrame:
     """(ord, line) rows of the markdown report."""
     spark = run.curated.sparkSession
-    # ≤5 and ≤15 narrated rows, each used by several report branches:
-    # checkpoint once instead of re-deriving the narrative per branch
+    # each is used by several branches: stored once instead of narrated per branch
     summary = materialize(narrate(run.executive_summary))
     sections = materialize(narrate(run.by_category))
     recs = cross_cutting_recommendations(summary, sections)
 
-    template = [(0, REPORT_TITLE), (1, ""), (2, SUMMARY_HEADING), (200, ""), (201, CATEGORIES_HEADING),
-                (900 * SECTION, RECOMMENDATIONS_HEADING)]
+    template = [(0, REPORT_TITLE), (1, ""), (2, SUMMARY_HEADING), (SECTION, ""), (SECTION + 1, CATEGORIES_HEADING),
+                (RECOMMENDATIONS * SECTION, RECOMMENDATIONS_HEADING)]
     for i, (_, title) in enumerate(CATEGORY_TITLES):
-        base = BLOCK + (i + 1) * SECTION
+        base = (FIRST_CATEGORY + i) * SECTION
         template += [(base, ""), (base + 1, f"### {title}")]
     fixed = spark.createDataFrame(template, "ord long, line string")
 
-    n_summary = run.executive_summary.select(F.count(F.lit(1))).scalar()
+    n_summary = summary.select(F.count(F.lit(1))).scalar()
     n_recs = recs.select(F.count(F.lit(1))).scalar()
     placeholders = spark.createDataFrame(
-        [(100, f"- {NO_FINDINGS}", "summary"), (900 * SECTION + 1, NO_ACTIONS, "recs")]
-        + [(BLOCK + (i + 1) * SECTION + 2, NO_FINDINGS, cat) for i, (cat, _) in enumerate(CATEGORY_TITLES)],
+        [(3, f"- {NO_FINDINGS}", "summary"), (RECOMMENDATIONS * SECTION + 1, NO_ACTIONS, "recs")]
+        + [((FIRST_CATEGORY + i) * SECTION + 2, NO_FINDINGS, cat) for i, (cat, _) in enumerate(CATEGORY_TITLES)],
         "ord long, line string, category string",
     )
-    present = run.by_category.select("category").distinct()
+    present = sections.select("category").distinct()
     empty_lines = placeholders.join(present, "category", "left_anti").filter(
         ((F.col("category") != "summary") | (n_summary == 0)) & ((F.col("category") != "recs") | (n_recs == 0))
     ).select("ord", "line")
 
     bullets = summary.select(
-        (F.lit(100) + F.col("summary_ord")).cast("long").alias("ord"),
+        (F.col("summary_ord").cast("long") * BLOCK).alias("ord"),
         F.concat(F.lit("- **"), F.col("title_text"), F.lit("**: "), F.col("what_happened")).alias("line"),
     )
-    block_base = F.lit(BLOCK) + (_cat_index() + 1) * SECTION + F.col("category_rank") * BLOCK
+    block_base = _section_of_category().cast("long") * SECTION + F.col("category_rank").cast("long") * BLOCK
     blocks = sections.select(
         block_base.cast("long").alias("b"),
         F.array(
@@ -76,8 +79,8 @@ def report_lines(run: InsightRun) -> DataFrame:
             F.struct(F.lit(1).alias("k"), F.concat(F.lit("**What happened:** "), F.col("what_happened")).alias("line")),
             F.struct(F.lit(2).alias("k"), F.concat(F.lit("**Why it matters:** "), F.col("why_it_matters")).alias("line")),
             F.struct(F.lit(3).alias("k"), F.lit("**Evidence:**").alias("line")),
-            F.struct(F.lit(900).alias("k"), F.concat(F.lit("**Recommended action:** "), F.col("recommended_action")).alias("line")),
-            F.struct(F.lit(901).alias("k"), F.lit("").alias("line")),
+            F.struct(F.lit(9000).alias("k"), F.concat(F.lit("**Recommended action:** "), F.col("recommended_action")).alias("line")),
+            F.struct(F.lit(9001).alias("k"), F.lit("").alias("line")),
         ).alias("parts"),
         "evidence_lines",
     )
@@ -88,7 +91,7 @@ def report_lines(run: InsightRun) -> DataFrame:
         (F.col("b") + 10 + F.col("i")).alias("ord"), F.concat(F.lit("- "), F.col("e")).alias("line")
     )
     rec_lines = recs.select(
-        (F.lit(900 * SECTION + 1) + F.col("rec_ord")).cast("long").alias("ord"),
+        (F.lit(RECOMMENDATIONS * SECTION + 1) + F.col("rec_ord")).cast("long").alias("ord"),
         F.concat(F.lit("- "), F.col("recommendation")).alias("line"),
     )
     return fixed.unionByName(empty_lines).unionByName(bullets).unionByName(block_lines).unionByName(
@@ -96,7 +99,7 @@ def report_lines(run: InsightRun) -> DataFrame:
 
 
 def report_text(lines: DataFrame) -> str:
-    """The report as one string (bounded: a few hundred lines at most)."""
+    """The report as one string (its size is set by the run's arguments)."""
     rows = lines.orderBy("ord").select("line").collect()
     return "\n".join(r.line for r in rows).strip() + "\n"
 

@@ -23,6 +23,13 @@ TITLES = {
     "multivariable_filter": "Multivariable filter matches",
     "growth_analysis": "Top {top_k} zones by Orders growth",
 }
+# Display format and decimals of the growth columns.
+GROWTH_DISPLAY = {
+    "current_value": ("integer", 0),
+    "baseline_value": ("integer", 0),
+    "absolute_growth": ("integer", 0),
+    "growth_rate": ("percentage_ratio", 2),
+}
 RESULT_TYPES = {"trend_analysis": "timeseries"}
 
 
@@ -75,6 +82,8 @@ def run_query(intent: str, metrics_df: DataFrame, orders_df: DataFrame, **params
                                       params.get("filters"), params.get("week", 0))
         meta["conditions"] = [c[0] if not isinstance(c, dict) else c["metric"] for c in params["conditions"]]
     elif intent == "growth_analysis":
+        oldest = Q.growth_window(metrics_df, orders_df, params["last_n_weeks"], params.get("filters")).selectExpr("max(week)").first()[0]
+        meta["baseline_week"], meta["column_display"] = oldest, dict(GROWTH_DISPLAY)
         rows = Q.growth(metrics_df, orders_df, params["last_n_weeks"], params.get("top_k", 5), params.get("filters"),
                         params.get("include_driver_analysis", False))
         meta.setdefault("top_k", params.get("top_k", 5))

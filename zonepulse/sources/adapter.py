@@ -5,8 +5,8 @@ The driver's tables carry no zones or weeks, so they are derived:
 * country = region name, city = nation name, zone = nation + '_' + market segment
 * zone_type = 'Wealthy' for AUTOMOBILE / FURNITURE segments, else 'Non Wealthy'
 * zone_prioritization from nation key mod 3
-* week = whole 182-day periods between the order date and the newest order
-  date, kept 0..8
+* week = which of nine equal periods, counted back from the newest order date
+  to the oldest, the order date lies in: every order falls into weeks 0..8
 
 Plan (scales with line items, not with zones):
 
@@ -31,7 +31,7 @@ from zonepulse.session import materialize as checkpoint_once
 from zonepulse.sources.tables import read_table
 
 # Fixed values of the adapter (must equal the oracle SQL below).
-PERIOD_DAYS = 182
+WEEKS = 9
 WEALTHY_SEGMENTS = ("AUTOMOBILE", "FURNITURE")
 PRIORITIZATION_BY_MOD3 = ("High Priority", "Prioritized", "Not Prioritized")
 LEAD_PRIORITIES = ("1-URGENT", "2-HIGH")
@@ -99,14 +99,12 @@ def zone_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )
-    # newest order date as a scalar subquery: evaluated once, no join
-    anchor = orders.select(F.max(F.to_date("o_orderdate"))).scalar()
-    week = F.floor(F.datediff(anchor, F.to_date("o_orderdate")) / PERIOD_DAYS).cast(T.IntegerType())
-    dated = (
-        orders.withColumn("week", week)
-        .filter(F.col("week").between(0, 8))
-        .select("o_orderkey", "o_custkey", "week", "o_orderpriority")
-    )
+    # first and last order date as scalar subqueries: evaluated once, no join
+    newest = orders.select(F.max(F.to_date("o_orderdate"))).scalar()
+    oldest = orders.select(F.min(F.to_date("o_orderdate"))).scalar()
+    age, days = F.datediff(newest, F.to_date("o_orderdate")), F.datediff(newest, oldest) + 1
+    week = F.floor(age * WEEKS / days).cast(T.IntegerType())
+    dated = orders.withColumn("week", week).select("o_orderkey", "o_custkey", "week", "o_orderpriority")
     pieces = _line_pieces(spark, sf_dir)
     facts = dated.join(pieces, dated.o_orderkey == pieces.l_orderkey).join(
         zone_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")
@@ -164,15 +162,14 @@ def orders_long_from_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(metrics_long, orders_long) derived from the TPC-H-style tables.
 
-    Both come from the same lazy fact plan; when one query uses both,
-    Spark reuses the shared exchanges instead of scanning twice. With
-    ``materialize=True`` the fact table (zones × 9 weeks, independent of the
-    line-item volume) is checkpointed once to the shared checkpoint folder,
-    so several consumers (the five detectors) do not repeat the big join and
-    a lost executor does not send them back to the line items.
+    The fact table (zones × 9 weeks, independent of the line-item volume) is
+    checkpointed once to the shared checkpoint folder: both tables and all
+    their consumers read it, the line items are scanned once, and a lost
+    executor does not send anyone back to them. ``materialize=False`` leaves
+    the plan lazy; then each use scans again.
     """
     facts = zone_week_facts(spark, sf_dir)
     if materialize:
@@ -185,14 +182,15 @@ def zone_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
 # per line item, without the per-order pre-aggregation used above.
 # ---------------------------------------------------------------------------
 ORACLE_BASE_CTE = """
-anchor AS (SELECT max(CAST(o_orderdate AS DATE)) AS max_date FROM orders),
+anchor AS (SELECT max(CAST(o_orderdate AS DATE)) AS max_date, min(CAST(o_orderdate AS DATE)) AS min_date FROM orders),
 zone_orders AS (
   SELECT o.o_orderkey, o.o_orderpriority,
          r.r_name AS country, n.n_name AS city,
          n.n_name || '_' || c.c_mktsegment AS zone,
          CASE WHEN c.c_mktsegment IN ('AUTOMOBILE', 'FURNITURE') THEN 'Wealthy' ELSE 'Non Wealthy' END AS zone_type,
          CASE n.n_nationkey % 3 WHEN 0 THEN 'High Priority' WHEN 1 THEN 'Prioritized' ELSE 'Not Prioritized' END AS zone_prioritization,
-         CAST(floor(date_diff('day', CAST(o.o_orderdate AS DATE), (SELECT max_date FROM anchor)) / 182) AS INTEGER) AS week
+         CAST(floor(date_diff('day', CAST(o.o_orderdate AS DATE), (SELECT max_date FROM anchor)) * 9
+              / (SELECT date_diff('day', min_date, max_date) + 1 FROM anchor)) AS INTEGER) AS week
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -202,7 +200,6 @@ zone_lines AS (
   SELECT z.*, l.l_returnflag, CAST(l.l_extendedprice AS DECIMAL(15, 2)) AS price,
          CAST(l.l_discount AS DECIMAL(15, 2)) AS disc, CAST(l.l_tax AS DECIMAL(15, 2)) AS tax
   FROM lineitem l JOIN zone_orders z ON l.l_orderkey = z.o_orderkey
-  WHERE z.week BETWEEN 0 AND 8
 ),
 zone_week AS (
   SELECT country, city, zone, zone_type, zone_prioritization, week,

@@ -50,7 +50,7 @@ def wide_orders(orders_long: DataFrame) -> DataFrame:
     )
 
 
-def dirty_tables(spark: SparkSession, sf_dir: str, materialize: bool = False):
+def dirty_tables(spark: SparkSession, sf_dir: str, materialize: bool = True):
     """(metrics, orders) with planted defects:
 
     * zone_type null for HOUSEHOLD zones in week 3 (geography conflict)
@@ -80,3 +80,51 @@ def dirty_tables(spark: SparkSession, sf_dir: str, materialize: bool = False):
     stray = o.filter(F.col("city") == "NATION_3").withColumn("zone", F.concat(F.col("zone"), F.lit("_X")))
     orders = o.unionByName(stray)
     return metrics, orders
+
+
+def _at(insights: DataFrame, place: int, digits: str):
+    return F.substring("insight_id", place, 1).isin(*digits)
+
+
+def noisy_insights(insights: DataFrame) -> DataFrame:
+    """Findings altered by the first digit of their id, an arm of the noise
+    filter for each of 0-9: blank title, no metric, empty summary, unknown
+    category, low confidence, tiny baseline and change, huge ratio on a small
+    change, hardly any change, small sign flip, tiny baseline from the week
+    before. The others stay as they are."""
+    null = F.lit(None)
+    arm = lambda digit, value, column: F.when(_at(insights, 1, digit), value).otherwise(F.col(column))
+    first = F.substring("insight_id", 1, 1)
+    change = F.when(first.isin("5", "9"), 0.03).when(first.isin("6", "8"), 0.15).when(first == "7", 0.005)
+    return insights.withColumns({
+        "title": arm("0", F.lit("  "), "title"),
+        "metric": arm("1", null, "metric"),
+        "summary": arm("2", F.lit(""), "summary"),
+        "category": arm("3", F.lit("other"), "category"),
+        "confidence": arm("4", F.lit("LOW"), "confidence"),
+        "baseline_abs": F.when(first == "5", 0.01).when(first == "9", null).otherwise(F.col("baseline_abs")),
+        "week_1_value": arm("9", F.lit(0.02), "week_1_value"),
+        "pct_change": arm("6", F.lit(9.0), "pct_change"),
+        "abs_delta": F.coalesce(change, F.col("abs_delta")),
+        "sign_flip": F.when(first == "8", True).when(first == "6", False).otherwise(F.col("sign_flip")),
+    })
+
+
+def copied_insights(insights: DataFrame) -> DataFrame:
+    """Findings with copies by the second digit of their id: 0-3 the same
+    metric written otherwise, 4-7 the same summary written otherwise (and
+    ranked before the original), 8-9 neither the same."""
+    def copy(digits: str, mark: str, metric, summary, more: float) -> DataFrame:
+        return insights.filter(_at(insights, 2, digits)).withColumns({
+            "insight_id": F.concat("insight_id", F.lit(mark)), "metric": metric, "summary": summary,
+            "severity_score": F.col("severity_score") + more,
+        })
+
+    metric, summary = F.col("metric"), F.col("summary")
+    doubled = F.upper(F.regexp_replace(summary, " ", "  "))
+    return (
+        insights
+        .unionByName(copy("0123", "-a", F.concat(F.lit("  "), F.upper(metric), F.lit(" ")), F.concat(summary, F.lit(" Again.")), -1.0))
+        .unionByName(copy("4567", "-b", F.concat(F.lit("Other "), metric), doubled, 1.0))
+        .unionByName(copy("89", "-c", F.concat(F.lit("Third "), metric), F.concat(summary, F.lit(" Third.")), -1.0))
+    )

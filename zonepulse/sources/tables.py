@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonepulse.model import METRICS_LONG_SCHEMA, ORDERS_LONG_SCHEMA
+from zonepulse.model import METRICS_LONG_SCHEMA, ORDERS_LONG_SCHEMA, require_columns
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,50 +16,67 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _is_csv(path: str) -> bool:
+    return path.lower().rstrip("/").endswith(".csv")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system that it belongs to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """CSV cells as text under the names of the header.
+
+    ``enforceSchema=false`` compares the header of every file with the names;
+    a file whose columns stand in another order is refused instead of being
+    read into the wrong columns.
+    """
+    return spark.read.options(header=True, inferSchema=False, enforceSchema=False, nullValue="", encoding="UTF-8").csv(path)
+
+
 def read_wide_export(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A1: one wide export per path, CSV (header, all text) or Parquet.
 
     CSV cells stay text; the reshape step coerces them to numbers so that
     text such as "1,000" or "n/a" becomes null exactly like the export tool.
+    Column ``_ord`` is the input order: file, place of the split in the file,
+    row in the split, whatever task reads it.
     """
-    fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
-        return (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("nullValue", "")
-            .option("encoding", "UTF-8")
-            .csv(path)
-        )
-    return spark.read.parquet(path)
+    fmt = fmt or ("csv" if _is_csv(path) else "parquet")
+    df = read_csv_text(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.select("*", place.alias("_ord"))
 
 
 def read_long_table(spark: SparkSession, path: str, kind: str = "metrics") -> DataFrame:
-    """A2: a processed long table with an explicit schema (no inference).
+    """A2: a processed long table with the model's types; columns are found by
+    name. Stored key columns (``<name>_key``) are kept.
 
     Only empty cells are null; the text "NA" stays a value (it is a country code).
     """
     schema = METRICS_LONG_SCHEMA if kind == "metrics" else ORDERS_LONG_SCHEMA
-    if path.lower().endswith(".csv"):
-        df = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("nullValue", "")
-            .option("mode", "PERMISSIVE")
-            .csv(path)
-        )
-    else:
-        df = spark.read.parquet(path)
-        missing = [f.name for f in schema.fields if f.name not in df.columns]
-        if missing:
-            raise ValueError(f"{path} is missing required columns: {missing}")
-        df = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
+    df = read_csv_text(spark, path) if _is_csv(path) else spark.read.parquet(path)
+    require_columns(df, schema.fieldNames(), path)
+    keys = [c for c in df.columns if c.endswith("_key")]
+    df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *keys)
     # NaN and null both mean missing.
     return df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
-    """A3: write a table (CSV with header, or Parquet), replacing the target."""
+    """A3: write a table (CSV with header, or Parquet), replacing the target.
+
+    Rows are dealt out by the partition columns first, so that a folder gets
+    few files; adaptive execution splits a folder that outgrows a task.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -72,8 +89,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
 def write_report_lines(lines: DataFrame, path: str) -> None:
     """A4: write ordered report lines (columns ``ord``, ``line``) as one text file.
 
-    The report is bounded (headings + at most 5 + 15 insight blocks + 6
-    recommendations), so a single output partition is safe.
+    The arguments of the insight run set the report's size (the summary and
+    the sections' findings), so a single output partition is safe.
     """
     (
         lines.repartition(1)
