@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from zonepulse.functions.columns import EPS, clamp, rel_change, round2, strip_ws
 from zonepulse.functions.ranks import group_quantiles
 from zonepulse.model import CORRELATION_PAIRS, GEO_KEYS, LOWER_IS_BETTER
+from zonepulse.session import materialize
 
 BASE_COLS = ["country", "city", "zone", "metric", "week", "value"]
 G = list(GEO_KEYS)
@@ -283,14 +284,27 @@ def _metrics_snapshot(metrics_df: DataFrame) -> DataFrame:
     )
 
 
-def _wide(snapshot: DataFrame, names: dict[str, str]) -> DataFrame:
-    """(zone, zone_type) rows with one conditional mean per metric; rows with
-    none of the metrics do not appear (filter before grouping)."""
-    return (
-        snapshot.filter(F.col("metric").isin(*names))
-        .groupBy(*G, "zone_type")
-        .agg(*[F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(a) for m, a in names.items()])
-    )
+OPPORTUNITY_METRICS = {
+    "Perfect Orders": "perfect_orders", "Lead Penetration": "lead_penetration",
+    "Gross Profit UE": "gross_profit_ue", "Turbo Adoption": "turbo_adoption",
+}
+OPPORTUNITY_QUANTILES = {
+    "country_perfect_orders_median": ("perfect_orders", 0.5),
+    "country_quality_p75": ("perfect_orders", 0.75),
+    "country_penetration_p25": ("lead_penetration", 0.25),
+    "country_gp_top_decile": ("gross_profit_ue", 0.90),
+    "country_turbo_median": ("turbo_adoption", 0.5),
+}
+
+
+def opportunity_view(metrics_df: DataFrame) -> DataFrame:
+    """What the three rules look at: per zone and zone type the snapshot means
+    of four metrics, and the quantiles of its country, all from one sort. A
+    zone without a metric has null there, which no rule accepts."""
+    snapshot = _metrics_snapshot(metrics_df).filter(F.col("metric").isin(*OPPORTUNITY_METRICS))
+    means = [F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(a) for m, a in OPPORTUNITY_METRICS.items()]
+    wide = materialize(snapshot.groupBy(*G, "zone_type").agg(*means))
+    return wide.join(group_quantiles(wide, ["country"], OPPORTUNITY_QUANTILES), "country")
 
 
 def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
@@ -300,7 +314,9 @@ def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
     )
 
 
-def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10) -> DataFrame:
+def opportunity_growth_quality(
+    metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10, view: DataFrame | None = None
+) -> DataFrame:
     """Rule 1: orders grew ≥10% from week 3 to week 0 while Perfect Orders is
     below the country median. Growth uses every orders_long row (any metric)."""
     o = orders_df.select(*G, "week", "value").na.drop(subset=G + ["week", "value"])
@@ -309,69 +325,45 @@ def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_
         F.avg(F.when(F.col("week") == 0, F.col("value"))).alias("orders_week_0"),
         F.avg(F.when(F.col("week") == 3, F.col("value"))).alias("orders_week_3"),
     ).withColumn("orders_growth_pct", rel_change("orders_week_0", "orders_week_3"))
-    growth = growth.filter(F.col("orders_growth_pct").isNotNull())
-    quality = (
-        _metrics_snapshot(metrics_df)
-        .filter(F.col("metric") == "Perfect Orders")
-        .select(*G, "zone_type", F.col("value").alias("perfect_orders"))
-    )
-    medians = group_quantiles(quality, ["country"], {"country_perfect_orders_median": ("perfect_orders", 0.5)})
-    j = growth.join(quality, G).join(medians, "country").filter(F.col("country_perfect_orders_median").isNotNull())
-    j = j.filter(
-        (F.col("orders_growth_pct") >= min_growth)
-        & (F.col("perfect_orders") < F.col("country_perfect_orders_median"))
-    )
-    gap = _ratio_excess(F.col("perfect_orders"), F.col("country_perfect_orders_median"), sign=-1)
+    growth = growth.filter(F.col("orders_growth_pct") >= min_growth)
+    view = opportunity_view(metrics_df) if view is None else view
+    median = F.col("country_perfect_orders_median")
+    j = growth.join(view, G).filter(F.col("perfect_orders") < median)
+    gap = _ratio_excess(F.col("perfect_orders"), median, sign=-1)
     sev = F.greatest(F.lit(0.0), F.col("orders_growth_pct") - min_growth) * 260.0 + gap * 120.0 + 25.0
-    return j.select(
-        F.lit(1).alias("rule"), *G, "zone_type", "orders_growth_pct", "perfect_orders",
-        "country_perfect_orders_median", clamp(F.least(F.lit(100.0), sev), 0.0, 100.0).alias("severity"),
-    ).withColumn("severity_score", round2("severity"))
+    return _rule(j, 1, sev, "orders_growth_pct", "perfect_orders", "country_perfect_orders_median")
+
+
+def _rule(rows: DataFrame, number: int, severity: Column, *evidence: str) -> DataFrame:
+    scored = rows.withColumn("severity", clamp(F.least(F.lit(100.0), severity), 0.0, 100.0))
+    return scored.select(
+        F.lit(number).alias("rule"), *G, "zone_type", *evidence, "severity", round2("severity").alias("severity_score"))
 
 
-def opportunity_quality_penetration(metrics_df: DataFrame) -> DataFrame:
+def opportunity_quality_penetration(metrics_df: DataFrame, view: DataFrame | None = None) -> DataFrame:
     """Rule 2: Perfect Orders ≥ country p75 and Lead Penetration ≤ country p25."""
-    wide = _wide(_metrics_snapshot(metrics_df), {"Perfect Orders": "perfect_orders", "Lead Penetration": "lead_penetration"})
-    q = group_quantiles(wide, ["country"], {
-        "country_quality_p75": ("perfect_orders", 0.75), "country_penetration_p25": ("lead_penetration", 0.25)})
-    j = wide.join(q, "country").filter(
-        (F.col("perfect_orders") >= F.col("country_quality_p75"))
-        & (F.col("lead_penetration") <= F.col("country_penetration_p25"))
-    )
-    excess = _ratio_excess(F.col("perfect_orders"), F.col("country_quality_p75"))
-    gap = _ratio_excess(F.col("lead_penetration"), F.col("country_penetration_p25"), sign=-1)
-    sev = 30.0 + excess * 120.0 + gap * 140.0
-    return j.select(
-        F.lit(2).alias("rule"), *G, "zone_type", "perfect_orders", "lead_penetration",
-        "country_quality_p75", "country_penetration_p25",
-        clamp(F.least(F.lit(100.0), sev), 0.0, 100.0).alias("severity"),
-    ).withColumn("severity_score", round2("severity"))
+    view = opportunity_view(metrics_df) if view is None else view
+    quality, penetration = F.col("country_quality_p75"), F.col("country_penetration_p25")
+    j = view.filter((F.col("perfect_orders") >= quality) & (F.col("lead_penetration") <= penetration))
+    sev = 30.0 + _ratio_excess(F.col("perfect_orders"), quality) * 120.0 + _ratio_excess(F.col("lead_penetration"), penetration, sign=-1) * 140.0
+    return _rule(j, 2, sev, "perfect_orders", "lead_penetration", "country_quality_p75", "country_penetration_p25")
 
 
-def opportunity_replication(metrics_df: DataFrame) -> DataFrame:
+def opportunity_replication(metrics_df: DataFrame, view: DataFrame | None = None) -> DataFrame:
     """Rule 3: Gross Profit UE ≥ country p90 and Turbo Adoption > country median."""
-    wide = _wide(_metrics_snapshot(metrics_df), {"Gross Profit UE": "gross_profit_ue", "Turbo Adoption": "turbo_adoption"})
-    q = group_quantiles(wide, ["country"], {
-        "country_gp_top_decile": ("gross_profit_ue", 0.90), "country_turbo_median": ("turbo_adoption", 0.5)})
-    j = wide.join(q, "country").filter(
-        (F.col("gross_profit_ue") >= F.col("country_gp_top_decile"))
-        & (F.col("turbo_adoption") > F.col("country_turbo_median"))
-    )
-    excess = _ratio_excess(F.col("gross_profit_ue"), F.col("country_gp_top_decile"))
-    turbo = _ratio_excess(F.col("turbo_adoption"), F.col("country_turbo_median"))
-    sev = 25.0 + excess * 160.0 + turbo * 100.0
-    return j.select(
-        F.lit(3).alias("rule"), *G, "zone_type", "gross_profit_ue", "turbo_adoption",
-        "country_gp_top_decile", "country_turbo_median",
-        clamp(F.least(F.lit(100.0), sev), 0.0, 100.0).alias("severity"),
-    ).withColumn("severity_score", round2("severity"))
+    view = opportunity_view(metrics_df) if view is None else view
+    decile, turbo = F.col("country_gp_top_decile"), F.col("country_turbo_median")
+    j = view.filter((F.col("gross_profit_ue") >= decile) & (F.col("turbo_adoption") > turbo))
+    sev = 25.0 + _ratio_excess(F.col("gross_profit_ue"), decile) * 160.0 + _ratio_excess(F.col("turbo_adoption"), turbo) * 100.0
+    return _rule(j, 3, sev, "gross_profit_ue", "turbo_adoption", "country_gp_top_decile", "country_turbo_median")
 
 
 def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int | None = None) -> DataFrame:
     """All findings of the three rules."""
+    view = opportunity_view(metrics_df)
     rules = (
-        opportunity_growth_quality(metrics_df, orders_df)
-        .unionByName(opportunity_quality_penetration(metrics_df), allowMissingColumns=True)
-        .unionByName(opportunity_replication(metrics_df), allowMissingColumns=True)
+        opportunity_growth_quality(metrics_df, orders_df, view=view)
+        .unionByName(opportunity_quality_penetration(metrics_df, view), allowMissingColumns=True)
+        .unionByName(opportunity_replication(metrics_df, view), allowMissingColumns=True)
     )
     return _first(rules, OPPORTUNITY_ORDER, max_insights)

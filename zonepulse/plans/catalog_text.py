@@ -113,12 +113,16 @@ def mask_email(spark, sf_dir):
 
 
 @register("valid_emails", r"""
-w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*')) AS word FROM documents)
-SELECT doc_id, word, regexp_full_match(word, '[^@]+@[^@]+\.[^@]+') AS valid, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY doc_id, word""")
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*')) AS w0 FROM documents),
+v AS (SELECT doc_id, unnest([w0, replace(w0, '.', ''), w0 || '@x.y']) AS word FROM w)
+SELECT doc_id, word, regexp_full_match(word, '[^@]+@[^@]+\.[^@]+') AS valid, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY doc_id, word""")
 def valid_emails(spark, sf_dir):
-    """Every word with an '@' of every document, and whether it is an e-mail address."""
+    """Every word with an '@' of every document, as it is, without dots and
+    with a second '@', and whether it is an e-mail address."""
     docs = read_table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
     words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*"), F.lit(0))).alias("word"))
+    variants = F.array("word", F.replace("word", F.lit("."), F.lit("")), F.concat("word", F.lit("@x.y")))
+    words = words.select("doc_id", F.explode(variants).alias("word"))
     return words.groupBy("doc_id", "word", is_email("word").alias("valid")).agg(F.count("*").alias("n"))
 
 
