@@ -65,6 +65,11 @@ BODIES = [
         "Heading\nUnclosed paragraph one, with marks.\nParagraph two, with more of them; yes.\nThree.",
     ),
     ("<main><header><h1>Inside</h1></header><p>Text, of the main part; with marks.</p></main>", "Inside\nText, of the main part; with marks."),
+    (
+        '<main><div class="post-header"><h1>Title</h1></div><p>Text, of some length; with marks.</p><div class="cookiebar"><p>Cookies, again, and again.</p></div>'
+        '<section id="readerComments"><article class="comment"><p>A comment, longer than the text of the page, with marks; and more.</p></article></section></main>',
+        "Title\nText, of some length; with marks.",
+    ),
     ("<article></article>", ""),
     ("<article><p>One</p></article>", "One"),
 ]

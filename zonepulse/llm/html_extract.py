@@ -56,11 +56,12 @@ CLOSES = {
 WALLS = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote".split())
 #: Words of a class or id that mark what is not the article.
 HINTS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright discussion disqus "
-    "dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination pager paywall popup promo "
-    "promoted promotion recommendation recommendations recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription taboola tags teaser toolbar topbar trending widget".split()
+    "ad ads adv alert alerts announcement banner captcha consent copyright discussion disqus dialog feedback gdpr guestbook header login masthead menu modal nav notice notices "
+    "notification outbrain overlay pagination pager paywall reactions related replies reply respond responses search share sharing signup skip social taboola tags talkback "
+    "teaser toolbar topbar trending widget".split()
 )
+#: Beginnings of such words.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "navig", "newsletter", "popup", "promo", "recommend", "sidebar", "sponsor", "subscri")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(".,;:!?…،。，！？；：、")
 CUT_TAG = re.compile(r"<(?:[a-zA-Z/][^<>]*|!--(?:(?!-->).)*|![^<>]*)\Z", re.S)
@@ -96,9 +97,10 @@ def _apart(tag: str, attrs: dict[str, str | None], parent: Element) -> bool:
     if tag in ("html", "body", "main"):
         return False
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    if tag == "article":  # its names may tell what it has, not what it is
-        return any(n.lower() in HINTS for n in names.split())
-    return any(w.lower() in HINTS for w in WORDS.findall(names))
+    # an article's names may tell what it has, not what it is
+    words = names.split() if tag == "article" else WORDS.findall(names)
+    # the article's own header is part of it
+    return any((w in HINTS or w.startswith(STEMS)) and not (w == "header" and parent.main) for w in map(str.lower, words))
 
 
 class Page(HTMLParser):
