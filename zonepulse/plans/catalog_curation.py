@@ -9,7 +9,6 @@ or summary is unique); the Spark side runs the general greedy rule.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from zonepulse.functions.ranks import numbered
 from zonepulse.operators import curation as C
