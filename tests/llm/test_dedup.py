@@ -67,10 +67,24 @@ def test_equal_stretches_give_equal_chunks(spark):
     assert len(one & two) >= len(one) - 2
 
 
+def family_rows(n=90):
+    """Copies of one text with other edits each: some linked with each other, some with none."""
+    rng = random.Random(3)
+    base = prose(77, 80, words=4000).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 2 + i % 9):
+            words[at] = f"w{rng.random()}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 4000])
 @pytest.mark.parametrize("width", [2, 5])
-@pytest.mark.parametrize("rows", [short_edge_rows(), planted_rows()], ids=["edge", "planted"])
-def test_near_dedup(spark, rows, width):
-    found = near_dedup.near_dedup(documents(spark, rows), width=width, percent=80)
+@pytest.mark.parametrize("rows", [short_edge_rows(), planted_rows(), family_rows()], ids=["edge", "planted", "family"])
+def test_near_dedup(spark, rows, width, block_bytes):
+    found = near_dedup.near_dedup(documents(spark, rows), width=width, percent=80, block_bytes=block_bytes)
     same_rows(found.select("doc_id", "n_shingles", "component_id").collect(), brute.near_components(rows, width, 80))
     assert found.where("kept <> (doc_id <=> component_id)").count() == 0
 
@@ -112,6 +126,17 @@ def test_bands_find_and_registers_estimate(size):
     assert not errors or abs(np.mean(errors)) < 0.04 and max(map(abs, errors)) < 0.2
 
 
+def test_common_counts_of_many_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(12)]
+    before, near_dedup.COLUMNS = near_dedup.COLUMNS, 500
+    try:
+        found = near_dedup.common_counts(sets[:5], sets)
+    finally:
+        near_dedup.COLUMNS = before
+    assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:5]]
+
+
 def test_unrelated_sets_are_estimated_near_zero():
     rng = np.random.default_rng(5)
     a, b = sets_of_similarity(rng, 50_000, 0.0)

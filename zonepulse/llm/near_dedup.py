@@ -10,14 +10,17 @@
    sets of similarity 0.8 have one scheme in common.
 2. Documents with equal sets form a class; only its representative goes on.
 3. Representatives that share a band are candidates. First each is paired with
-   the least member of one of its bands only (the one it shares most bands
-   with); links found join components. Then, in each band with members of
-   several components, the pairs across components are tested. Pairs within a
-   component cannot change the result and are never made.
-4. A pair is tested on registers first: Jaccard similarity estimated from equal
+   the least member of one of its bands (the one it shares most bands with).
+   A pair is tested on registers: Jaccard similarity estimated from equal
    registers, corrected for the registers that two unrelated sets of these
-   sizes would share; what is far too low (six standard errors) is dropped.
-   The rest is verified on the full sets by whole-number arithmetic.
+   sizes would share; what is far too low (six standard errors) is dropped, the
+   rest is verified on the full sets by whole-number arithmetic. Links found
+   join components.
+4. In bands whose members are of several components still, members outside
+   the largest one are verified against all members, in blocks of bounded
+   bytes; common items of all sets of two blocks are counted at once, without
+   a row for a pair. Pairs within a component cannot change the result and are
+   left out where a whole side is one.
 5. Components of the links, spread to all members of the classes.
 
 At similarity 0.8 a pair shares no band with probability 5e-6, above it less.
@@ -166,11 +169,10 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return with_row_id(text_rows(docs, id_col, text_col).withColumn("text_md5", F.md5("text")).mapInArrow(run, kind))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The links among ``pairs`` (a, b: representatives): estimated, then counted on the full sets."""
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = reps.join(ends, "rep").select("rep", F.col("doc_id").alias("rep_doc"), "set_hi", "set_lo")
-    texts = text_rows(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_doc"))).drop("rep_doc", "doc_id")
+def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, items: the whole sets of the representatives in ``wanted`` (column rep), read from the texts again."""
+    named = reps.join(wanted.select("rep").distinct(), "rep").select("rep", F.col("doc_id").alias("rep_doc"), "set_hi", "set_lo")
+    texts = text_rows(docs, id_col, text_col).join(named, F.col("doc_id").eqNullSafe(F.col("rep_doc"))).drop("rep_doc", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,7 +186,13 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, per
                 )
 
     full = texts.mapInArrow(sets, "rep long, items binary").groupBy("rep").agg(F.first("items").alias("items"))
-    full = stored(full, "sets")
+    return stored(full, "sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links among ``pairs`` (a, b: representatives): estimated, then counted on the full sets."""
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    full = full_sets(docs, ends, reps, width, id_col, text_col)
     both = pairs.join(full.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a").join(
         full.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b"
     )
@@ -201,6 +209,107 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, per
     return stored(both.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long"), "verified")
 
 
+def linked_across(
+    docs: DataFrame, mixed: DataFrame, reps: DataFrame, width: int, percent: int, block_bytes: int, id_col: str, text_col: str
+) -> DataFrame:
+    """Links across components inside bands: enough of them to join what is linked.
+
+    ``mixed``: key, rep, component, n_shingles of all bands with several
+    components. In each band the members outside its largest component meet
+    all members. Members are dealt into blocks of at most ``block_bytes`` of
+    sets on either side, and a task tests two blocks at a time, by counting
+    common items of all sets at once. No row is made for a pair; a task returns
+    a link only where it joins two components that it has not joined yet.
+    """
+    groups = mixed.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("items"))
+    groups = groups.groupBy("key").agg(F.max(F.struct("rows", "component", "items")).alias("big"), F.sum("items").alias("items"))
+    blocks = lambda items: F.greatest(F.lit(1), F.ceil(items * 8 / block_bytes)).cast("int")
+    plan = groups.select(
+        "key", F.col("big.component").alias("big"), blocks(F.col("items") - F.col("big.items")).alias("lefts"), blocks(F.col("items")).alias("rights")
+    )
+    rows = mixed.join(plan, "key")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("key", "rep", "component")
+    left = rows.where("component <> big").select(*columns, F.lit(0).alias("side"), own("lefts").alias("left"), every("rights").alias("right"))
+    right = rows.select(*columns, F.lit(1).alias("side"), own("rights").alias("right"), every("lefts").alias("left"))
+    sets = full_sets(docs, mixed, reps, width, id_col, text_col)
+    task = ("key", "left", "right")
+    dealt = left.unionByName(right).join(sets, "rep").repartition(*task).sortWithinPartitions(*task, "side")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in (*task, "side", "rep", "component")), strict=True)
+            for (*key, side, rep, component), items in zip(names, batch.column("items"), strict=True):
+                if key != now:
+                    yield _joining_links(*sides, percent)
+                    now, sides = key, ([], [])
+                sides[side].append((rep, component, np.frombuffer(items.as_buffer().to_pybytes(), U)))
+        yield _joining_links(*sides, percent)
+
+    return stored(dealt.select(*task, "side", "rep", "component", "items").mapInArrow(test, "a long, b long"), "across")
+
+
+TILE = 256
+COLUMNS = 8192
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items any left and any right set share."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if len(left) * len(right) <= 4:
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                out[i, j] = len(np.intersect1d(a, b, assume_unique=True))
+        return out
+    known = np.unique(np.concatenate(left))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        items, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        here = known[at] == items
+        order = np.argsort(at[here], kind="stable")
+        return row[here][order], at[here][order]
+
+    (rows_l, at_l), (rows_r, at_r) = places(left), places(right)
+    for start in range(0, len(known), COLUMNS):
+        parts = []
+        for rows, at, n in ((rows_l, at_l, len(left)), (rows_r, at_r, len(right))):
+            a, b = np.searchsorted(at, (start, start + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(known) - start)), np.float32)
+            m[rows[a:b], at[a:b] - start] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _joining_links(left: list[tuple], right: list[tuple], percent: int) -> pa.RecordBatch:
+    """Links between left and right members of different components that join components not yet joined here."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    a_out, b_out = [], []
+    for x in range(0, len(left), TILE):
+        for y in range(0, len(right), TILE):
+            ls, rs = left[x : x + TILE], right[y : y + TILE]
+            common = common_counts([s for _, _, s in ls], [s for _, _, s in rs])
+            sizes = np.array([len(s) for _, _, s in ls])[:, None] + np.array([len(s) for _, _, s in rs])[None, :]
+            apart = np.array([c for _, c, _ in ls])[:, None] != np.array([c for _, c, _ in rs])[None, :]
+            for i, j in zip(*np.nonzero((100 * common >= percent * (sizes - common)) & apart), strict=True):
+                p, q = root(ls[i][1]), root(rs[j][1])
+                if p != q:
+                    parent[p] = q
+                    a_out.append(min(ls[i][0], rs[j][0]))
+                    b_out.append(max(ls[i][0], rs[j][0]))
+    return pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * common >= percent * union, on sorted sets; the estimate spares the count where it is far off."""
     small, large = min(len(a), len(b)), max(len(a), len(b))
@@ -215,7 +324,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(
+    docs: DataFrame, width: int = 5, percent: int = 80, block_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_md5, stays (the one row of the component that stays)."""
     signed = stored(signatures(docs, width, id_col, text_col), "signatures")
     name = ["set_hi", "set_lo", "n_shingles"]
@@ -237,11 +348,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    mixed = stored(named.join(spread, "key"), "mixed-bands")
-    other = mixed.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-    across = mixed.join(other, "key").where("component < other").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "second-pairs")
-    more = verified(docs, across, classes, width, percent, id_col, text_col)
+    mixed = named.join(spread, "key").join(classes.select("rep", "n_shingles"), "rep")
+    more = linked_across(docs, stored(mixed, "mixed-bands"), classes, width, percent, block_bytes, id_col, text_col)
     found = components(links.unionByName(more))
 
     nodes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -265,5 +373,5 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns."""
-    keep = near_dedup(docs, width, percent, id_col, text_col).where("stays")
+    keep = near_dedup(docs, width, percent, id_col=id_col, text_col=text_col).where("stays")
     return rows_named(docs, keep.select("doc_id", "text_md5"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col)
