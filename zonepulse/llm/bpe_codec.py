@@ -28,6 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonepulse.llm.common import stored, text_rows, with_row_id
 
@@ -157,12 +158,16 @@ def decode(coded: DataFrame, ranks_path: str | None = None, ids_col: str = "ids"
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         shared = coded.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("binary")
-    def to_bytes(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(shared.value, pattern)
-        return ids.map(lambda x: None if x is None else encoding.decode_bytes(np.frombuffer(x, "<u4").tolist()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in part.column(ids_col).to_pylist()]
+                decoded = pa.array([None if x is None else encoding.decode_bytes(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
-    return coded.withColumn("decoded", to_bytes(ids_col))
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(coded: DataFrame) -> DataFrame:
