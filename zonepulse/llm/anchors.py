@@ -17,6 +17,7 @@ All groups are summed on the map side; no pairs of a group are made.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,78 @@ def windows_of(items: np.ndarray, starts: np.ndarray, counts: np.ndarray, length
     return at, hashes[0], hashes[1]
 
 
+def refined_ranges(contexts: DataFrame, items: Callable[[np.ndarray], np.ndarray], width: int, length: int, most: int) -> DataFrame:
+    """doc_id, text_hash, start, n: the repeated windows among contexts of seeds that have very many of them.
+
+    ``contexts`` has one row per distinct context: doc_id, text_hash, seed,
+    start, n, anchor and the context itself (``width`` bytes an item; ``items``
+    gives the items' hashes). The windows of a context are cut into blocks by
+    their offset from the seed. Blocks with equal contents repeat whole. What
+    all windows of a block have in common must occur in two different blocks,
+    else none of them can repeat; the first members of the others are cut into
+    smaller blocks, down to single windows. So an edge of a passage that very
+    many documents share costs a few rows a document, not one a window.
+    """
+    found = []
+    sizes = [b for b in (32, 8, 2) if b < most] + [1]
+    for size in sizes:
+        if contexts.isEmpty():
+            break
+        blocks = stored(contexts.mapInArrow(_cut_blocks(items, width, length, size), BLOCK_KIND), "blocks")
+        key = ["seed", "block", "common", "content"]
+        place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY, "start", "n", "anchor", "context")).alias("first")
+        classes = blocks.groupBy(*key).agg(F.count("*").alias("uses"), place)
+        classes = stored(classes, "block-classes")
+        whole = blocks.drop("context").join(classes.where("uses > 1").select(*key), key)
+        found.append(stored(whole.select(*KEY, "start", F.col("n").cast("long").alias("n")), "whole-blocks"))
+        if size > 1:
+            mixed = classes.groupBy(*key[:3]).agg(F.count("*").alias("contents")).where("contents > 1").select(*key[:3])
+            contexts = classes.join(mixed, key[:3]).select("seed", "first.*").drop("no_id")
+    return reduce(DataFrame.unionByName, found) if found else contexts.select(*KEY, "start", F.col("n").cast("long").alias("n"))
+
+
+BLOCK_KIND = (
+    "doc_id long, text_hash long, seed long, start long, n int, anchor int, block int, common long, content long, context binary"
+)
+
+
+def _cut_blocks(items: Callable[[np.ndarray], np.ndarray], width: int, length: int, size: int):
+    """Task: the blocks of ``size`` offsets of each context, with a hash of what their windows share and one of all they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in range(batch.num_rows):
+                data = batch.column("context")[r].as_buffer().to_pybytes()
+                n, anchor, start = (batch.column(c)[r].as_py() for c in ("n", "anchor", "start"))
+                hashes = items(np.frombuffer(data, np.uint8))
+                block = (anchor - np.arange(n)) // size
+                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                last = np.concatenate([first[1:], [n]])
+                low = block[first] * size
+                one, two = prefix_sums(hashes, 0), prefix_sums(hashes, 1)
+                common = span_hash(one, anchor - low, anchor + length - (low + size - 1), 0)
+                content = span_hash(two, first, last + length - 1, 1)
+                for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+                    rows.append((r, start + a, b - a, anchor - a, int(block[a]), common[k], content[k], data[a * width : (b + length - 1) * width]))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            of = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_pydict(
+                {c: batch.column(c).take(of) for c in (*KEY, "seed")}
+                | {
+                    "start": pa.array(cols[1], pa.int64()),
+                    "n": pa.array(cols[2], pa.int32()),
+                    "anchor": pa.array(cols[3], pa.int32()),
+                    "block": pa.array(cols[4], pa.int32()),
+                    "common": pa.array(np.array(cols[5], U).view(np.int64)),
+                    "content": pa.array(np.array(cols[6], U).view(np.int64)),
+                    "context": pa.array(cols[7], pa.binary()),
+                }
+            )
+
+    return run
+
+
 def marked_ranges(*parts: DataFrame) -> DataFrame:
     """doc_id, text_hash, ranges: the windows to remove of each document, as (first start, number)."""
     ranges = parts[0]

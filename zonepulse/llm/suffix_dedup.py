@@ -19,9 +19,10 @@ holds about ``block_bytes`` of text, 4 in 13 positions' ranks, and nothing of
 the rest of the corpus.
 
 A bucket with more than ``most_contexts`` different contexts (a common line in
-many surroundings) could outgrow a block; its suffixes are compared by two
-64-bit hashes of their ``length`` bytes in an aggregation that is summed on
-the map side. Both ways cover every suffix.
+many surroundings) could outgrow a block; its suffixes are compared by hashes in
+aggregations that are summed on the map side, many neighbouring suffixes at
+once where they repeat or differ together (see ``anchors.refined_ranges``).
+Both ways cover every suffix.
 
 Defined results. Null and empty texts have no bytes. Strings do not cross
 documents; every row is a document, so all of a repeated row of ``length``
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.anchors import KEY, anchor_table, covered, keyed, marked_ranges, runs, same_document, windows_of
+from zonepulse.llm.anchors import KEY, anchor_table, covered, keyed, marked_ranges, refined_ranges, runs, same_document
 from zonepulse.llm.common import stored, text_rows
 from zonepulse.llm.hashing import BYTES
 
@@ -208,21 +209,7 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int, most_contexts: int
     blocks = cut.where("not hot").select(*KEY, "start", "n", "anchor", "seed", "context").repartition("seed").sortWithinPartitions("seed")
     sorted_ranges = stored(blocks.mapInArrow(sort, RANGE_KIND), "sorted")
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("context")[i].as_buffer(), np.uint8)
-                n = batch.column("n")[i].as_py()
-                at, high, low = windows_of(_byte_hashes(data), np.zeros(1, np.int64), np.array([n]), length)
-                of = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_pydict(
-                    {c: batch.column(c).take(of) for c in KEY} | {"start": at + batch.column("start")[i].as_py(), "high": high, "low": low}
-                )
-
-    windows = cut.where("hot").mapInArrow(single, "doc_id long, text_hash long, start long, high long, low long")
-    windows = stored(windows, "hot-windows")
-    repeated = windows.groupBy("high", "low").agg(F.count("*").alias("uses")).where("uses > 1").select("high", "low")
-    hot = windows.join(repeated, ["high", "low"]).select(*KEY, "start", F.lit(1).cast("long").alias("n"))
+    hot = refined_ranges(cut.where("hot").drop("hot"), _byte_hashes, 1, length, length - seed + 1)
     return stored(marked_ranges(whole, sorted_ranges, hot), "ranges")
 
 
