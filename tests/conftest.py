@@ -6,15 +6,32 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+import zonepulse.sources.adapter as adapter  # noqa: E402
 from zonepulse.model import METRICS_LONG_SCHEMA, ORDERS_LONG_SCHEMA  # noqa: E402
 from zonepulse.session import build_session  # noqa: E402
 
+_FACTS = {}
+_zone_tables = adapter.zone_tables
+
+
+def _zone_tables_once(spark, sf_dir, materialize=True):
+    """The stored facts of a folder, made once for all tests (before the catalogs import the function)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if not materialize:
+        return _zone_tables(spark, sf_dir, materialize=False)
+    if key not in _FACTS:
+        _FACTS[key] = _zone_tables(spark, sf_dir)
+    return _FACTS[key]
+
+
+adapter.zone_tables = _zone_tables_once
+
 SMALL_SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", shuffle_partitions=8)
+    s = build_session("local[*]", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
