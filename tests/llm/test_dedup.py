@@ -80,9 +80,18 @@ def family_rows(n=90):
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 4000])
-@pytest.mark.parametrize("width", [2, 5])
-@pytest.mark.parametrize("rows", [short_edge_rows(), planted_rows(), family_rows()], ids=["edge", "planted", "family"])
+@pytest.mark.parametrize(
+    ("rows", "width", "block_bytes"),
+    [
+        (short_edge_rows(), 2, 1 << 25),
+        (short_edge_rows(), 5, 4000),
+        (planted_rows(), 2, 1 << 25),
+        (planted_rows(), 5, 4000),
+        (family_rows(), 2, 4000),
+        (family_rows(), 2, 1 << 25),
+    ],
+    ids=["edge-2", "edge-5-blocks", "planted-2", "planted-5-blocks", "family-2-blocks", "family-2"],
+)
 def test_near_dedup(spark, rows, width, block_bytes):
     found = near_dedup.near_dedup(documents(spark, rows), width=width, percent=80, block_bytes=block_bytes)
     same_rows(found.select("doc_id", "n_shingles", "component_id").collect(), brute.near_components(rows, width, 80))
