@@ -40,6 +40,13 @@ def test_top_k_of_large_components(spark):
     same_rows(vector_search.top_k(vectors(spark, rows)).collect(), brute.top_k(rows, 5, 50))
 
 
+def test_top_k_of_a_cell_larger_than_a_batch(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=3).astype(np.float32)]) for i in range(2600)]
+    found = vector_search.top_k(vectors(spark, rows), n_pivots=1, chunk_rows=10_000, query_every=500)
+    same_rows(found.collect(), brute.top_k(rows, 5, 500))
+
+
 def test_top_k_of_no_rows(spark):
     for rows in ([], [(50, None)], [(50, [1.0])]):
         assert vector_search.top_k(vectors(spark, rows)).collect() == []
@@ -134,15 +141,23 @@ def test_views_teach_each_other():
     truth = (rng.random(400) < 0.5).astype(float)
     view = lambda t, noise: np.stack([t + rng.normal(0, noise, len(t)), rng.normal(size=len(t))], 1).astype(np.float32)
     text, meta, pool_text, pool_meta = view(y, 0.1), view(y, 0.6), view(truth, 0.1), view(truth, 0.6)
-    held = np.arange(60) % 5 == 0
-    alone = quality.cotrain(text, meta, y, held, pool_text, pool_meta, 0, 0.9, 50)
-    taught = quality.cotrain(text, meta, y, held, pool_text, pool_meta, 3, 0.9, 50)
+    alone = quality.cotrain(text, meta, y, pool_text, pool_meta, 0, 0.9, 50)
+    taught = quality.cotrain(text, meta, y, pool_text, pool_meta, 3, 0.9, 50)
     fresh = (rng.random(2000) < 0.5).astype(float)
     seen = view(fresh, 0.1), view(fresh, 0.6)
     right = lambda model, v: ((model.scores(*seen)[v] > 0.5) == (fresh > 0.5)).mean()
     assert right(taught, 1) >= right(alone, 1) - 0.02 and right(taught, 2) > 0.95
 
 
+def test_calibration_of_separated_margins():
+    y = np.array([0.0] * 5 + [1.0] * 40)
+    slope, shift = quality.platt(np.where(y > 0, 25.0, -25.0), y)
+    p = quality.sigmoid(slope * np.array([-25.0, 25.0]) + shift)
+    assert slope > 0 and p[0] < 0.3 and p[1] > 0.9
+    slope, shift = quality.platt(np.tile([-3.0, 3.0], 50), np.tile([0.0, 1.0, 1.0, 1.0], 25))
+    assert abs(quality.sigmoid(slope * -3.0 + shift) - 0.5) < 0.05
+
+
 def test_text_features_see_the_worst_line():
     clean, junk = prose(1, 200), prose(1, 200) + "\n" + "BUY!! " * 12
     a, b = (quality.text_features(np.frombuffer(t.encode(), np.uint8)) for t in (clean, junk))

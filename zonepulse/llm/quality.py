@@ -5,12 +5,11 @@ words, and the same for the worst line, all over the whole text. Metadata view:
 language, source and length as the table gives them.
 
 Training uses a bounded sample (``most_labelled`` labelled and ``most_pool``
-unlabelled rows, the smallest hashes of the ids): a fifth of the labelled rows
-is held out for calibration. In each round both views are fitted anew
-(logistic regression), calibrated on the held-out rows, and each hands its
-most confident pseudo-labels for pool rows to the other view; a view that is
-never confident hands over none. At last the two calibrated views are combined
-by a logistic model fitted on the held-out rows, and every document is scored.
+unlabelled rows, the smallest hashes of the ids). In each round both views are
+fitted anew (logistic regression), calibrated on a held-out fifth, and each
+hands its most confident pseudo-labels for pool rows to the other view; a view
+that is never confident hands over none. At last both views are calibrated and
+combined (logistic, five folds), and every document is scored.
 
 Only the sample's features (about 2 kB a row) come to the driver; weights of a
 few kilobytes are broadcast.
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import stored
+from zonepulse.llm.common import stored, worker_state
 from zonepulse.llm.hashing import words_of
 
 #: Kinds of bytes: other, upper, lower, digit, space, line end, sentence mark, symbol.
@@ -152,16 +151,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift that turn margins into probabilities (targets smoothed as Platt proposed)."""
+def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift that turn margins into probabilities (targets smoothed as Platt proposed).
+
+    Newton steps, halved until the loss falls: margins may be separated widely.
+    """
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (bad + 2))
     z = np.stack([margin, np.ones_like(margin)], 1)
-    w = np.array([1.0, 0.0])
+    prior, penalty = np.array([1.0, 0.0]), 1e-2
+
+    def loss(w: np.ndarray) -> float:
+        x = z @ w
+        return float((np.logaddexp(0, x) - target * x).sum() + penalty / 2 * ((w - prior) ** 2).sum())
+
+    w, best = prior, loss(prior)
     for _ in range(steps):
         p = sigmoid(z @ w)
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-3 * np.eye(2), z.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
-        w = w - np.clip(step, -2, 2)
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty * np.eye(2), z.T @ (p - target) + penalty * (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) >= best:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
+        best = loss(w)
     return max(0.0, float(w[0])), float(w[1])
 
 
@@ -185,39 +199,62 @@ class Model:
         return sigmoid(views[:, 0]), sigmoid(views[:, 1]), sigmoid(views @ self.combination)
 
 
+FOLDS = 5
+
+
+def folds_of(y: np.ndarray) -> np.ndarray:
+    """Each row's fold, every kind of label dealt evenly."""
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        fold[rows] = np.arange(len(rows)) % FOLDS
+    return fold
+
+
 def cotrain(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int, sure: float, per_round: int,
-) -> Model:
-    """Fit both views over rounds in which each teaches the other what it is sure of."""
-    train = ~held
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int, sure: float, per_round: int
+) -> Model:
+    """Fit both views over rounds in which each teaches the other what it is sure of.
+
+    In the rounds the first fold is held out for calibration. At the end the
+    views are fitted on all labelled rows; calibration and combination use
+    the margins that each row gets from a fit without its fold.
+    """
+    fold = folds_of(y)
     # labels that the other view gave: row of the pool -> 0 or 1
     given: tuple[dict[int, int], dict[int, int]] = ({}, {})
     views, pools = (text, meta), (pool_text, pool_meta)
-    for turn in range(rounds + 1):
-        fitted, calibrated, chance = [], [], []
+
+    def fitted(v: int, use: np.ndarray) -> Logistic:
+        rows = sorted(given[v])
+        return Logistic.fit(np.vstack([views[v][use], pools[v][rows]]), np.concatenate([y[use], [given[v][r] for r in rows]]))
+
+    for _ in range(rounds):
+        chance = []
         for v in (0, 1):
-            rows = sorted(given[v])
-            x = np.vstack([views[v][train], pools[v][rows]]) if rows else views[v][train]
-            labels = np.concatenate([y[train], [given[v][r] for r in rows]])
-            model = Logistic.fit(x, labels)
-            curve = platt(model.margin(views[v][held]), y[held])
-            fitted.append(model)
-            calibrated.append(curve)
-            chance.append(sigmoid(curve[0] * model.margin(pools[v]) + curve[1]) if len(pools[v]) else np.zeros(0))
-        if turn == rounds:
-            break
+            model = fitted(v, fold > 0)
+            slope, shift = platt(model.margin(views[v][fold == 0]), y[fold == 0])
+            chance.append(sigmoid(slope * model.margin(pools[v]) + shift))
         for v in (0, 1):
             for label, p in ((1, chance[v]), (0, 1 - chance[v])):
                 best = [r for r in np.argsort(-p, kind="stable")[: per_round + len(given[1 - v])] if p[r] >= sure and r not in given[1 - v]]
                 given[1 - v].update({int(r): label for r in best[:per_round]})
-    model = Model(fitted[0], fitted[1], calibrated[0], calibrated[1], np.array([1.0, 0.0, 0.0]))
-    logits = model.view_logits(text[held], meta[held])
-    joint = Logistic.fit(logits[:, :2], y[held], penalty=1.0)
-    slope, shift = platt(joint.margin(logits[:, :2]), y[held])
+
+    calibrated, logits = [], []
+    for v in (0, 1):
+        margin = np.zeros(len(y))
+        for f in range(FOLDS):
+            if (fold == f).any():
+                margin[fold == f] = fitted(v, fold != f).margin(views[v][fold == f])
+        calibrated.append(platt(margin, y))
+        logits.append(calibrated[v][0] * margin + calibrated[v][1])
+    both = np.stack(logits, 1)
+    joint = Logistic.fit(both, y, penalty=0.1)
+    slope, shift = platt(joint.margin(both), y)
     w = slope * joint.weights[:-1] / joint.scale
-    model.combination = np.array([w[0], w[1], slope * (joint.weights[-1] - (joint.weights[:-1] / joint.scale * joint.mean).sum()) + shift])
-    return model
+    rest = slope * (joint.weights[-1] - (joint.weights[:-1] / joint.scale * joint.mean).sum()) + shift
+    every = np.ones(len(y), bool)
+    return Model(fitted(0, every), fitted(1, every), calibrated[0], calibrated[1], np.array([w[0], w[1], rest]))
 
 
 def _rows(docs: DataFrame, id_col: str) -> DataFrame:
@@ -252,6 +289,7 @@ def train(
     sample = stored(chosen.unionByName(pool.withColumn("label", F.lit(None).cast("int"))), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -271,15 +309,11 @@ def train(
     table = lambda rows, c: np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(len(rows), -1)
     known, free = [r for r in made if r["label"] is not None], [r for r in made if r["label"] is None]
     y = np.array([r["label"] for r in known], np.float64)
-    kinds = [np.flatnonzero(y == label) for label in (0, 1)]
-    if min(map(len, kinds)) < 2:
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
         return float(y.mean()) if len(y) else 1.0
-    held = np.zeros(len(y), bool)
-    for kind in kinds:  # a fifth of each kind, one at least
-        held[kind[::5]] = True
     empty = np.zeros((0, N_TEXT), np.float32), np.zeros((0, N_META), np.float32)
     free_text, free_meta = (table(free, "text"), table(free, "meta")) if free else empty
-    return cotrain(table(known, "text"), table(known, "meta"), y, held, free_text, free_meta, rounds, sure, per_round)
+    return cotrain(table(known, "text"), table(known, "meta"), y, free_text, free_meta, rounds, sure, per_round)
 
 
 def classify(docs: DataFrame, model: Model | float, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
@@ -292,6 +326,7 @@ def classify(docs: DataFrame, model: Model | float, threshold: float = 0.5, id_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -322,6 +357,7 @@ def kept_documents(docs: DataFrame, model: Model | float, threshold: float = 0.5
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
