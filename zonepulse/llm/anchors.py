@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import stored
+from zonepulse.llm.common import stored, worker_state
 from zonepulse.llm.hashing import MIX2, U, mix, prefix_sums, sliding_argmin, span_hash, windows
 
 #: Items of a long text that are worked on at once (each further part starts with the windows not yet served).
@@ -71,6 +71,7 @@ def anchor_table(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], le
     """The anchors of all texts whose seed occurs more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("anchors")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -141,6 +142,7 @@ def _cut_blocks(items: Callable[[np.ndarray], np.ndarray], width: int, length: i
     """Task: the blocks of ``size`` offsets of each context, with a hash of what their windows share and one of all they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("anchors")
         for batch in batches:
             rows: list[tuple] = []
             for r in range(batch.num_rows):

@@ -30,22 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonepulse.llm.common import stored, text_rows, with_row_id
+from zonepulse.llm.common import stored, text_rows, with_row_id, worker_state
 
 SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
 
-WORKER: dict = {}
-
 
 def encoding_of(blob: bytes, pattern: str):
     """The worker's encoding, made once per process."""
     import tiktoken
 
-    key = (hash(blob), pattern)
-    if key not in WORKER:
+    state = worker_state(f"codec {hash(blob)} {pattern}")
+    if "encoding" not in state:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        WORKER[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return WORKER[key]
+        state["encoding"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return state["encoding"]
 
 
 def boundaries(text: str, pattern: str, start: int, stop: int, whole: bool) -> list[int]:

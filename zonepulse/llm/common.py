@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +15,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Folders that ``stored`` has written, in order.
 STORED: list[str] = []
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: drop its shuffle files at the end; hand texts to Python in batches of bounded rows and bytes.
+WHILE_STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,19 +38,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_STORING}
     try:
+        for key, value in WHILE_STORING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WORKER: dict = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What this Python worker keeps from task to task for one run of an operator.
+
+    Workers outlive an operator; what another one has kept (tokenizers, word
+    caches) is dropped here, so that memory does not add up over a pipeline.
+    """
+    if _WORKER.get("owner") != owner:
+        _WORKER.clear()
+        _WORKER["owner"] = owner
+    return _WORKER
+
+
 def drop_stored(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders that ``stored`` has written, in whatever file system they are."""
     for path in paths:
@@ -69,23 +88,22 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Data
     )
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part holds much more than ``most_bytes`` of a text column (one row at least)."""
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
+def rows_named(docs: DataFrame, verdicts: DataFrame, digest: Column, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, one of those that share id and text.
 
-def rows_named(docs: DataFrame, names: DataFrame, digest: Column, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose (id, digest of the text) is in ``names`` (two columns); one of rows that share both."""
-    id_name, digest_name = names.columns
-    names = names.select(F.col(id_name).alias("__id"), F.col(digest_name).alias("__digest")).distinct()
+    ``verdicts`` has a row for each of ``docs``: id, digest of the text, and
+    whether it stays. Only ids that share a text with themselves (repeated
+    rows) pass through a grouping of whole rows.
+    """
+    id_name, digest_name, stays = verdicts.columns
+    names = verdicts.groupBy(F.col(id_name).alias("__id"), F.col(digest_name).alias("__digest")).agg(
+        F.count("*").alias("__copies"), F.max(stays).alias("__stays")
+    )
+    names = stored(names.where("__stays").drop("__stays"), "names")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    found = docs.withColumn("__own", digest).join(names, same)
-    return found.dropDuplicates(["__id", "__digest"]).drop("__id", "__digest", "__own")
+    marked = docs.withColumn("__own", digest)
+    found = marked.join(names.where("__copies = 1"), same)
+    repeated = names.where("__copies > 1")
+    if not repeated.isEmpty():
+        found = found.unionByName(marked.join(repeated, same).dropDuplicates(["__id", "__digest"]))
+    return found.drop("__id", "__digest", "__own", "__copies")

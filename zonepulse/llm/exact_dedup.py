@@ -79,5 +79,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
-    return rows_named(docs, keep, F.sha2(normalised(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256), id_col)
+    verdicts = exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept")
+    return rows_named(docs, verdicts, F.sha2(normalised(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256), id_col)

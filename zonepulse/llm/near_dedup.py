@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import rows_named, stored, text_rows, with_row_id
+from zonepulse.llm.common import rows_named, stored, text_rows, with_row_id, worker_state
 from zonepulse.llm.components import components
 from zonepulse.llm.hashing import MIX1, MIX2, U, mix, shingle_set, words_of
 
@@ -143,6 +143,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """row_id, doc_id, text_md5, n_shingles, set_hi, set_lo, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -175,6 +176,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, i
     texts = text_rows(docs, id_col, text_col).join(named, F.col("doc_id").eqNullSafe(F.col("rep_doc"))).drop("rep_doc", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -198,6 +200,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, per
     )
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_dedup")
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("items_a"), batch.column("items_b"), strict=True)):
@@ -238,6 +241,7 @@ def linked_across(
     dealt = left.unionByName(right).join(sets, "rep").repartition(*task).sortWithinPartitions(*task, "side")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_dedup")
         now, sides = None, ([], [])
         for batch in batches:
             names = zip(*(batch.column(c).to_pylist() for c in (*task, "side", "rep", "component")), strict=True)
@@ -373,5 +377,5 @@ def near_dedup(
 
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns."""
-    keep = near_dedup(docs, width, percent, id_col=id_col, text_col=text_col).where("stays")
-    return rows_named(docs, keep.select("doc_id", "text_md5"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col)
+    verdicts = near_dedup(docs, width, percent, id_col=id_col, text_col=text_col).select("doc_id", "text_md5", "stays")
+    return rows_named(docs, verdicts, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonepulse.llm.anchors import KEY, anchor_table, covered, keyed, marked_ranges, same_document, windows_of
-from zonepulse.llm.common import stored, text_rows
+from zonepulse.llm.common import stored, text_rows, worker_state
 from zonepulse.llm.hashing import words_of
 
 LAST = 2**63 - 1
@@ -57,6 +57,7 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int) -> DataFrame:
     wanted = firsts.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring_dedup")
         for batch in batches:
             for i in range(batch.num_rows):
                 items = _word_hashes(np.frombuffer(batch.column("text")[i].as_buffer() or b"", np.uint8))
@@ -90,6 +91,7 @@ def substring_dedup(
     ranges = repeated_ranges(texts, length, seed)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -32,10 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import text_rows
-
-WORKER: dict = {}
-
+from zonepulse.llm.common import text_rows, worker_state
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: visible Latin-1 ones for themselves, the others from 256 on."""
@@ -134,11 +131,11 @@ def cut(text: str, special: list[str]) -> tuple[list[str], list[str]] | None:
 
 
 def worker_lengths(shared, pattern: str, words: int, pretokens: int) -> Lengths:
-    """The worker's caches, kept from task to task; the least recent query's are dropped."""
-    if WORKER.get("of") != shared.value["key"]:
-        WORKER["of"] = shared.value["key"]
-        WORKER["lengths"] = Lengths(shared.value["blob"], pattern, shared.value["table"], words, pretokens)
-    return WORKER["lengths"]
+    """The worker's caches, kept from task to task."""
+    state = worker_state(shared.value["key"])
+    if "lengths" not in state:
+        state["lengths"] = Lengths(shared.value["blob"], pattern, shared.value["table"], words, pretokens)
+    return state["lengths"]
 
 
 def frequent_pretokens(docs: DataFrame, shared, pattern: str, table_size: int, per_task: int) -> list[str]:
@@ -187,8 +184,8 @@ def token_counts(
     pattern: str = public_tokenizers.PATTERN,
     table_size: int = 32_768,
     per_task: int = 8_192,
-    cache_words: int = 400_000,
-    cache_pretokens: int = 700_000,
+    cache_words: int = 300_000,
+    cache_pretokens: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import stored, with_row_id
+from zonepulse.llm.common import stored, with_row_id, worker_state
 
 EXACT = float(2**53)
 
@@ -120,6 +120,7 @@ def top_k(
     pivots = np.unique(pivots, axis=0)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("vector_search")
         p = pivots.astype(np.float64)
         for batch in batches:
             v = matrix(batch.column("vec"), width).astype(np.float64)
@@ -177,6 +178,7 @@ def top_k(
     floors = near.where(F.col("rank") == k).select("query_row", F.col("score").alias("floor"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("vector_search")
         order = sorted(cells)
         p = pivots[order].astype(np.float64)
         radius, norm = np.array([cells[c][1] for c in order]), np.array([cells[c][2] for c in order])
