@@ -203,7 +203,8 @@ def detect_benchmarking(
     peers = ["country", "metric", "peer_type"]
     stats = snap.groupBy(*peers).agg(F.sum("value").alias("peer_sum"), F.count("value").alias("peer_count"))
     j = snap.join(stats, peers).filter(F.col("peer_count") >= min_peer_count)
-    pm = (F.col("peer_sum") - F.col("value")) / F.greatest(F.col("peer_count") - 1, F.lit(1))
+    # twelve decimals: the last bit of a sum depends on the order of its rows, and figures are shown with four
+    pm = F.round((F.col("peer_sum") - F.col("value")) / F.greatest(F.col("peer_count") - 1, F.lit(1)), 12)
     j = j.withColumn("peer_mean", pm).filter((F.col("peer_count") > 1) & (F.abs(F.col("peer_mean")) > EPS))
     j = j.withColumn("gap_pct", F.try_divide(F.col("value") - F.col("peer_mean"), F.abs(F.col("peer_mean"))))
     j = j.filter(F.abs(F.col("gap_pct")) >= gap_threshold)

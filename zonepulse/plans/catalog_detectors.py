@@ -115,7 +115,7 @@ snap AS (SELECT country, city, zone, zone_type, metric, avg("value") AS v FROM b
 b AS (SELECT *, country || '||' || metric || '||' ||
              CASE WHEN zone_type IS NOT NULL AND trim(zone_type) <> '' THEN zone_type ELSE 'ALL' END AS bucket FROM snap),
 st AS (SELECT bucket, sum(v) AS ps, count(v) AS pc FROM b GROUP BY bucket),
-j AS (SELECT b.*, ps, pc, (ps - v) / greatest(pc - 1, 1) AS pm FROM b JOIN st USING (bucket) WHERE pc >= 5),
+j AS (SELECT b.*, ps, pc, round((ps - v) / greatest(pc - 1, 1), 12) AS pm FROM b JOIN st USING (bucket) WHERE pc >= 5),
 g AS (SELECT *, (v - pm) / abs(pm) AS gap FROM j WHERE pc > 1 AND abs(pm) > 1e-9),
 k AS (SELECT *, {clamp_sql("least(abs(gap) * 180.0, 100.0)")} AS sev FROM g WHERE abs(gap) >= 0.15),
 r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, country, city, zone, metric, zone_type NULLS LAST) AS rnk FROM k),

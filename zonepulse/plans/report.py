@@ -43,9 +43,10 @@ def _section_of_category():
 def report_lines(run: InsightRun) -> DataFrame:
     """(ord, line) rows of the markdown report."""
     spark = run.curated.sparkSession
-    # each is used by several branches: stored once instead of narrated per branch
-    summary = materialize(narrate(run.executive_summary))
-    sections = materialize(narrate(run.by_category))
+    # used by several branches: narrated and stored once
+    chosen = run.executive_summary.unionByName(run.by_category, allowMissingColumns=True)
+    told = materialize(narrate(chosen))
+    summary, sections = told.where("summary_ord IS NOT NULL"), told.where("category_rank IS NOT NULL")
     recs = cross_cutting_recommendations(summary, sections)
 
     template = [(0, REPORT_TITLE), (1, ""), (2, SUMMARY_HEADING), (SECTION, ""), (SECTION + 1, CATEGORIES_HEADING),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,17 +102,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, computed once.
+    """Write ``df`` once below the shared folder and read it back.
 
-    ``checkpoint(eager=True)`` alone runs the plan twice (one job to count,
-    one to write the files); persisting first lets the write reuse the
-    computed partitions. The cache is released once the files exist, and
-    the returned DataFrame reads the checkpoint, so a lost executor never
-    replays the lineage behind it.
+    The lineage ends there: a lost executor never replays the plan behind it,
+    and filters and column choices of later plans reach the written table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    path = shared_path(df.sparkSession, "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
