@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonepulse.llm.anchors import KEY, anchor_table, covered, keyed, marked_ranges, refined_ranges, runs, same_document
-from zonepulse.llm.common import stored, text_rows
+from zonepulse.llm.common import stored, text_rows, worker_state
 from zonepulse.llm.hashing import BYTES
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -163,13 +163,15 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int, most_contexts: int
     found = anchor_table(texts, _byte_hashes, length, seed)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY, "start", "n", "anchor")
     classes = stored(found.groupBy("seed", "context").agg(F.count("*").alias("uses"), F.min(place).alias("first")), "classes")
-    whole = found.join(classes.where("uses > 1").select("seed", "context"), ["seed", "context"]).select(*KEY, "start", F.col("n").cast("long").alias("n"))
+    members = stored(found.join(classes.select("seed", "context", "uses"), ["seed", "context"]).select(*KEY, "start", "n", "uses"), "members")
+    whole = members.where("uses > 1").select(*KEY, "start", F.col("n").cast("long").alias("n"))
 
     several = classes.groupBy("seed").agg(F.count("*").alias("contexts")).where("contexts > 1")
     firsts = classes.join(several, "seed").select("seed", (F.col("contexts") > most_contexts).alias("hot"), "first.*")
     wanted = firsts.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor", "seed", "hot")).alias("ranges"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column("text")[i].as_buffer().to_pybytes()
@@ -187,6 +189,7 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int, most_contexts: int
     cut = stored(picked.mapInArrow(contexts, kind), "contexts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         rows: list[tuple] = []
         size = 0
 
@@ -218,7 +221,7 @@ def suffix_dedup(
     length: int = 200,
     seed: int = 64,
     most_contexts: int = 512,
-    block_bytes: int = 1 << 20,
+    block_bytes: int = 1 << 18,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
@@ -230,6 +233,7 @@ def suffix_dedup(
     texts = keyed(text_rows(docs.withColumn("__carried", carried), id_col, text_col, "__carried"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
