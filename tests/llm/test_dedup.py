@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import documents, edge_rows, prose, same_rows
 from zonepulse.llm import exact_dedup, near_dedup, substring_dedup, suffix_dedup
+from zonepulse.llm.common import STORED
 from zonepulse.llm.components import components
 from zonepulse.llm.hashing import shingle_set, sliding_argmin, words_of
 
@@ -159,6 +160,17 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    far = [*range(1, 1000), 0]
+    shuffled = random.Random(1).sample(range(1000, 2000), 1000)
+    versions = random.Random(2).sample(range(2000, 3000), 1000)  # each linked to its next four
+    links = [*zip(far, far[1:]), *zip(shuffled, shuffled[1:]), *((versions[i], b) for i in range(999) for b in versions[i + 1 : i + 5])]
+    before = len(STORED)
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {n: n // 1000 * 1000 for n in range(3000)}
+    assert len(STORED) - before <= 25  # a table of labels a round
+
+
 @pytest.mark.parametrize("rows", [short_edge_rows(), planted_rows()], ids=["edge", "planted"])
 @pytest.mark.parametrize(("length", "seed"), [(20, 6), (7, 3)])
 def test_substring_dedup(spark, rows, length, seed):
