@@ -98,6 +98,15 @@ def test_pages_of_an_empty_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_body_outside_of_article_cards():
+    body = [f"Paragraph {n} of the body, with marks, and a good length; enough to tell it from cards." for n in range(4)]
+    cards = "".join(f'<article class="card"><h3>Card {n}</h3><p>Short words</p></article>' for n in range(3))
+    text = "".join(f"<p>{b}</p>" for b in body)
+    for page in (f'<div class="story">{text}</div><section>{cards}</section>', f"<section>{cards}</section><div>{text}</div>", f"<div>{text}{cards}</div>"):
+        assert html_extract.main_text(PAGE % page) == "\n".join(body)
+    assert html_extract.main_text(PAGE % f"<article>{text}</article><div><p>Short words</p></div>") == "\n".join(body)
+
+
 def test_path_scores_favour_text_over_links():
     blocks, _ = html_extract.read_blocks(PAGE % BODIES[0][0])
     scores = html_extract.path_scores(blocks)

@@ -8,9 +8,13 @@ added up: characters, punctuation marks, blocks, characters in links. A path's
 text ratio (characters a block) and punctuation ratio (marks a block) are
 smoothed over the paths in page order by a Gaussian, fused into one score, less
 the share of links, and compared with a threshold from the spread of all paths.
-The paths above it mark the content; the least element around all their blocks
-(or the article it lies in) is the main part, and all its blocks are taken in
-page order, apart from those put aside and from blocks that are mostly links.
+The paths above it mark the content, over the whole page. Where most of the
+marked text lies in named parts (article, main), the least element around it
+is widened to the article, and all blocks of named parts inside are taken;
+where most lies outside them, articles are cards or the like: the least element
+around the marked blocks outside is the main part, and of named parts inside it
+those are taken whose text is mostly marked. Blocks stay in page order, apart
+from those put aside and from blocks that are mostly links.
 
 Pages are independent rows: no shuffle, one page in memory at a time.
 
@@ -242,32 +246,47 @@ def around(elements: list[Element]) -> Element:
     return top
 
 
+def whole_part(e: Element) -> Element:
+    """The outermost article or main part that an element lies in, or else itself."""
+    while e.main and e.parent is not None and e.parent.main:
+        e = e.parent
+    return e
+
+
 def main_text(html: str | None, strength: float = 0.5) -> str:
     """The article's blocks, joined by line ends. ``strength``: standard deviations below the mean score that a path may lie."""
     if not html:
         return ""
     blocks, _ = read_blocks(html)
     mine = [b for b in blocks if not b.element.aside]
-    if any(b.element.main for b in mine):  # the page names its article; ratios choose inside
-        mine = [b for b in mine if b.element.main]
     if not mine:
         return ""
     scores = path_scores(mine)
     mean = sum(scores.values()) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
     content = {p for p, s in scores.items() if s > 0 and s >= mean - strength * spread}
-    marked = [b.element for b in mine if b.element.path in content]
+    marked = [b for b in mine if b.element.path in content]
     if not marked:
         return ""
-    top = around(marked)
-    while top.main and top.parent is not None and top.parent.main:  # up to the whole article
-        top = top.parent
+    # the side that holds more of the marked text: the parts that the page names, or the rest
+    named = sum((len(b.text) - b.links) * (1 if b.element.main else -1) for b in marked) >= 0 and any(b.element.main for b in marked)
+    top = around([b.element for b in marked if b.element.main == named])
+    top = whole_part(top)
 
     def inside(e: Element) -> bool:
         while e.depth > top.depth:
             e = e.parent  # type: ignore[assignment]
         return e is top
 
+    if named:
+        mine = [b for b in mine if b.element.main]
+    else:
+        balance: dict[Element, int] = {}
+        for b in mine:
+            if b.element.main:
+                part = whole_part(b.element)
+                balance[part] = balance.get(part, 0) + len(b.text) * (1 if b.element.path in content else -1)
+        mine = [b for b in mine if not b.element.main or balance[whole_part(b.element)] > 0]
     taken = [b for b in mine if inside(b.element) and (2 * b.links <= len(b.text) or b.element.path in content)]
     return "\n".join(b.text for b in taken)
 
