@@ -1,6 +1,7 @@
 """Token counts, byte-level codec and packing against the tokenizer libraries."""
 
 import base64
+import random
 import zlib
 
 import numpy as np
@@ -37,6 +38,24 @@ def test_token_counts_of_an_empty_table(no_docs):
     assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and found.collect() == []
 
 
+def test_texts_of_any_white_space_are_looked_up():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        blob = f.read()
+    library = Tokenizer.from_str(blob)
+    lengths = token_counts.Lengths(blob, P.PATTERN, {}, 100_000, 100_000)
+    whole = []
+    lengths.tokenizer = type("Watched", (), {"model": lengths.tokenizer.model, "encode": lambda self, text, **_: whole.append(text)})()
+    rng = random.Random(4)
+    marks = ["\n\n", "  ", "\t", " \n", "\r\n", "\u00a0", "\u2028", "\x85", "\u3000", " ", "'ll", "12", "!?", "漢字", "é́", *lengths.special]
+    texts = ["", " a", "a ", "\n", *("".join(rng.choice([*marks, prose(n, 3)]) for _ in range(12)) for n in range(400))]
+    assert [lengths.text(t) for t in texts] == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    assert not whole and lengths.rare
+    # white space inside a word must not make up for a word that is none
+    assert token_counts.cut("a\n\u00a0 2\u20282", []) is None
+    lengths.table = {" second": 5}
+    assert lengths.text("first\n\n second") == lengths.pretoken("first") + lengths.pretoken("\n\n") + 5
+
+
 def test_cut_refuses_what_the_pattern_joins():
     assert token_counts.cut("a b\nc d", []) == (["a", "c"], ["b", "d"])
     for text in ("", "a  b", " a", "a ", "a\n\nb", "a \nb", "a\tb", "a b", "a <s> b"):

@@ -13,7 +13,11 @@ worker's pre-token cache, and only then encoded by the tokenizer library.
 Counts do not depend on the table or the caches; they save time only.
 
 Texts with other white space, or that hold one of the tokenizer's special
-strings, are encoded whole by the library. Every text is read whole.
+strings, are cut at those strings and by the pre-token pattern itself; their
+pre-tokens are looked up in the same table and cache. Only texts that hold one
+of the four separators U+001C to U+001F (white space to Python alone), and all
+such texts of a tokenizer that is not plainly byte-level or whose special
+strings take in their surroundings, are encoded whole by the library.
 
 Defined results. Null and empty texts: 0 bytes, 0 tokens. Repeated rows are
 counted each. An empty table gives an empty result. Extra columns are not read.
@@ -22,6 +26,7 @@ counted each. An empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +46,8 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+#: White space to Python's patterns, but not to the library's.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 TO_CHARACTERS = dict(enumerate(byte_characters()))
 
 
@@ -68,6 +75,10 @@ class Lengths:
         before = parts.get("pre_tokenizer") or {}
         #: bytes stand for characters and nothing else happens before the merges: ask the merges directly
         self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer")
+        added = parts.get("added_tokens") or []
+        #: special strings stand for one token each, the longest first, and take in nothing around them
+        self.alone = not any(t.get(f) for t in added for f in ("lstrip", "rstrip", "single_word"))
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else lambda t: [t]
         self.find = regex.compile(pattern).findall
         self.table, self.rare, self.most_words, self.most_rare = table, {}, words, pretokens
         self.inner, self.heads = Words(self, " "), Words(self, "")
@@ -91,10 +102,23 @@ class Lengths:
         # letters alone, after a space or not, are one pre-token
         return [text] if text.lstrip(" ").isalpha() else self.find(text)
 
+    def pieces(self, text: str) -> tuple[int, list[str]] | None:
+        """How many special strings any text holds, and the pre-tokens between them; None if only the library can tell."""
+        if not (self.plain and self.alone) or SEPARATORS.search(text):
+            return None
+        parts = self.split(text)
+        found = [p for part in parts for p in self.find(part)]
+        if sum(map(len, found)) != sum(map(len, parts)):
+            return None  # the pattern leaves something out
+        return len(parts) - 1, found
+
     def text(self, text: str) -> int:
         words = cut(text, self.special)
         if words is None:
-            return len(self.tokenizer.encode(text, add_special_tokens=False)) if text else 0
+            pieces = self.pieces(text)
+            if pieces is None:
+                return len(self.tokenizer.encode(text, add_special_tokens=False))
+            return pieces[0] + sum(map(self.pretoken, pieces[1]))
         heads, inner = words
         line_ends = (len(heads) - 1) * self.pretoken("\n") if len(heads) > 1 else 0
         return line_ends + sum(map(self.heads.__getitem__, heads)) + sum(map(self.inner.__getitem__, inner))
@@ -125,7 +149,7 @@ def cut(text: str, special: list[str]) -> tuple[list[str], list[str]] | None:
         words = line.split(" ")
         heads.append(words[0])
         inner += words[1:]
-    if "" in heads or "" in inner or len(text.split()) != len(heads) + len(inner) or any(s in text for s in special):
+    if "" in heads or "" in inner or text.split() != text.replace("\n", " ").split(" ") or any(s in text for s in special):
         return None
     return heads, inner
 
@@ -145,11 +169,14 @@ def frequent_pretokens(docs: DataFrame, shared, pattern: str, table_size: int, p
         lengths = Lengths(shared.value["blob"], pattern, {}, 0, 0)
         found: Counter = Counter()
 
-        def settle(inner: Counter) -> None:
+        def settle(inner: Counter, others: Counter) -> None:
             for word, n in inner.items():
                 if n > 1:  # what a stretch of text holds once is not frequent
                     for pretoken in lengths.pretokens(" " + word):
                         found[pretoken] += n
+            for pretoken, n in others.items():
+                if n > 1:
+                    found[pretoken] += n
             if len(found) > 40 * per_task:  # keep the heaviest, as in frequent-item summaries
                 keep = found.most_common(10 * per_task)
                 found.clear()
@@ -157,14 +184,20 @@ def frequent_pretokens(docs: DataFrame, shared, pattern: str, table_size: int, p
 
         for batch in batches:
             local: Counter = Counter()
-            for text in batch.column("text"):
-                words = cut(text.as_py(), lengths.special)
+            others: Counter = Counter()
+            for value in batch.column("text"):
+                text = value.as_py()
+                words = cut(text, lengths.special)
                 if words is not None:
                     local.update(words[1])
-                    if len(local) > 30_000:  # small counters stay in the processor's caches
-                        settle(local)
-                        local = Counter()
-            settle(local)
+                else:
+                    pieces = lengths.pieces(text)
+                    if pieces is not None:
+                        others.update(pieces[1])
+                if len(local) + len(others) > 30_000:  # small counters stay in the processor's caches
+                    settle(local, others)
+                    local, others = Counter(), Counter()
+            settle(local, others)
         top = found.most_common(per_task)
         yield pa.RecordBatch.from_pydict(
             {"pretoken": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
