@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from zonepulse.llm.bpe_codec import decode, digests, encode
 from zonepulse.llm.catalog_sql import SQL
 from zonepulse.llm.common import table
+from zonepulse.llm.conversation_repair import damaged, repair
 from zonepulse.llm.exact_dedup import exact_dedup
+from zonepulse.llm.filter_audit import filter_audit
 from zonepulse.llm.html_extract import extract
 from zonepulse.llm.near_dedup import near_dedup
 from zonepulse.llm.packing import packed_documents
@@ -18,6 +20,7 @@ from zonepulse.llm.substring_dedup import substring_dedup
 from zonepulse.llm.suffix_dedup import digests as suffix_digests
 from zonepulse.llm.suffix_dedup import suffix_dedup
 from zonepulse.llm.token_counts import token_counts
+from zonepulse.llm.url_filter import RULES, judge
 from zonepulse.llm.vector_search import top_k
 
 
@@ -61,6 +64,18 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES, default="allow")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_hyperminhash,
         op10_vector_search,
+        op11_conversation_repair,
+        op12_filter_audit,
+        op13_url_filters,
     )
 }
 

@@ -106,10 +106,128 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+#: Same DP as a table: states 0 nothing yet, 1 after system, 2 after user, 3 after assistant; insertions come before an edit.
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n] || range(8), LAMBDA c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) AS r(n)
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), hit AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(key, '')],
+             LAMBDA c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+  FROM keyed, crc
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, unnest(CASE WHEN h = 0 THEN [] WHEN h = 3 THEN [1, 2] ELSE [1] END) AS c(copy)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM rows
+), judged AS (
+  SELECT *, left(role, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), faults AS (
+  SELECT conv_id, i, turn, role, text, initial, before,
+         CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM judged
+), moves(p, kind, q) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3), (0, 'R', 2), (1, 'R', 2), (2, 'R', 3), (3, 'R', 2),
+         (0, 'D', 0), (1, 'D', 1), (2, 'D', 2), (3, 'D', 3)
+), ins(p, q, cost, audit, lines) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'),
+         (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edits AS (
+  SELECT conv_id, i, p, q, CASE kind WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN fault = 'truncated' AND kind <> 'D' THEN 5 ELSE 0 END AS cost,
+         CASE kind WHEN 'D' THEN 'D' WHEN 'R' THEN 'R' ELSE 'K' END AS audit,
+         CASE WHEN kind = 'D' THEN '' ELSE chr(10) || CASE WHEN kind <> 'R' THEN role WHEN q = 2 THEN 'user' ELSE 'assistant' END || ':' || text END AS lines
+  FROM faults JOIN moves ON kind IN ('D', 'R') OR kind = initial WHERE kind = 'D' OR fault NOT IN ('blank', 'duplicate')
+), best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'lines': ''} AS w FROM conversations
+  UNION ALL
+  SELECT b.conv_id, e.i, e.q, min({'cost': b.w.cost + n.cost + e.cost, 'audit': b.w.audit || n.audit || e.audit, 'lines': b.w.lines || n.lines || e.lines}) AS w
+  FROM best b JOIN ins n ON n.p = b.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.p = n.q
+  GROUP BY b.conv_id, e.i, e.q
+), sizes AS (
+  SELECT c.conv_id, count(f.i) AS n, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0) AS gaps,
+         count(*) FILTER (f.fault = 'blank') AS blank, count(*) FILTER (f.fault = 'duplicate') AS duplicate,
+         count(*) FILTER (f.fault = 'truncated') AS truncated, count(*) FILTER (f.before || f.initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), goals AS (
+  SELECT b.conv_id, min({'cost': b.w.cost + n.cost, 'audit': b.w.audit || n.audit, 'lines': b.w.lines || n.lines}) AS w
+  FROM best b JOIN ins n ON n.p = b.q JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.n = b.i WHERE n.q IN (0, 3) GROUP BY b.conv_id
+)
+SELECT s.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, w.cost::BIGINT AS cost, w.audit AS audit, sha256(substr(w.lines, 2)) AS repaired_sha256
+FROM sizes s JOIN goals g ON g.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+OP12 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), marked AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM words
+), given AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), docs AS (
+  SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM marked LEFT JOIN given USING (doc_id)
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY part, fails
+), orders(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS l(x) WHERE NOT contains(filter_order, x)
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, substr(filter_order, step::BIGINT, 1) AS letter,
+         [ascii(x) - 64 FOR x IN string_split(substr(filter_order, 1, step::BIGINT - 1), '') IF x <> ''] AS earlier, ascii(substr(filter_order, step::BIGINT, 1)) - 64 AS own
+  FROM orders, unnest(range(1, 6)) AS s(step) WHERE length(filter_order) = 5
+), judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails[own] AS fails_own,
+         len([k FOR k IN earlier IF fails[k]]) > 0 AS gone, len([x FOR x IN fails IF x]) = 1 AS alone
+  FROM steps, cells
+), metrics AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fails_own), 0) AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND fails_own), 0) AS removed, coalesce(sum(n) FILTER (gone AND fails_own), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails_own AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fails_own), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND fails_own), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM metrics
+"""
+
+OP13 = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS row_no
+  FROM rests
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT p.*, rule_host || rule_path AS rule, verdict
+  FROM parts p LEFT JOIN rules r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op5_exact_dedup": OP5,
     "op7_suffix_array_dedup": OP7,
     "op9_hyperminhash": OP9,
     "op10_vector_search": OP10,
+    "op11_conversation_repair": OP11,
+    "op12_filter_audit": OP12,
+    "op13_url_filters": OP13,
 }
