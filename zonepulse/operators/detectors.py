@@ -1,9 +1,12 @@
 """The five insight detectors (K1–K5).
 
-Each detector is one declarative plan over the long tables: union → mean to
-grain (nulls dropped) → conditional aggregation instead of pivots → column
-math → filter. All findings are returned; a caller may ask for the
-first ``max_insights`` (a distributed top-k).
+All of them read week vectors: one row per zone and metric with a cell for
+each week and zone type (sum and number of its values, and whether the orders
+table gave it). Building them is the only pass over the long tables, one
+aggregation that adds up before its shuffle; an insight run stores them once.
+K1 and K2 then need no further shuffle: they fold a row's cells. All findings
+are returned; a caller may ask for the first ``max_insights`` (a distributed
+top-k).
 
 Output columns: the location keys, typed evidence columns, ``severity``
 (clamped, unrounded) and ``severity_score`` (two decimals).
@@ -16,14 +19,13 @@ one task (``functions.ranks.numbered`` does it in a distributed way).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.functions.columns import EPS, clamp, rel_change, round2, strip_ws
 from zonepulse.functions.ranks import group_quantiles
 from zonepulse.model import CORRELATION_PAIRS, GEO_KEYS, LOWER_IS_BETTER
-from zonepulse.session import materialize
 
 BASE_COLS = ["country", "city", "zone", "metric", "week", "value"]
 G = list(GEO_KEYS)
@@ -45,14 +47,40 @@ def _first(findings: DataFrame, order, n: int | None) -> DataFrame:
     return findings if n is None else in_order(findings, order).limit(n)
 
 
-def _base(metrics_df: DataFrame, orders_df: DataFrame, with_zone_type: bool = False) -> DataFrame:
-    """Metrics ∪ orders with null keys/values dropped (orders carry no zone_type)."""
-    cols = BASE_COLS + (["zone_type"] if with_zone_type else [])
-    m = metrics_df.select(*cols)
-    o = orders_df.select(*BASE_COLS)
-    if with_zone_type:
-        o = o.withColumn("zone_type", F.lit(None).cast(T.StringType()))
-    return m.unionByName(o).na.drop(subset=BASE_COLS)
+def zone_vectors(metrics_df: DataFrame, orders_df: DataFrame | None, weeks=None, metrics=None) -> DataFrame:
+    """One row per (country, city, zone, metric) with ``cells``: an array of
+    (week, zone_type, orders, total, n), as long as a zone's weeks and types.
+
+    Rows with a null key or value are left out; orders carry no zone_type.
+    ``weeks`` and ``metrics`` keep only those, before anything is added up.
+    """
+
+    def rows(df: DataFrame, orders: bool) -> DataFrame:
+        kind = F.lit(None).cast(T.StringType()) if orders else F.col("zone_type")
+        df = df.na.drop(subset=BASE_COLS)
+        df = df if weeks is None else df.where(F.col("week").isin(*weeks))
+        df = df if metrics is None else df.where(F.col("metric").isin(*metrics))
+        return df.select(*G, "metric", F.col("week").cast("int").alias("week"), kind.alias("zone_type"), F.lit(orders).alias("orders"), "value")
+
+    base = rows(metrics_df, False)
+    if orders_df is not None:
+        base = base.unionByName(rows(orders_df, True))
+    cells = base.groupBy(*G, "metric", "week", "zone_type", "orders").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    cell = F.struct("week", "zone_type", "orders", "total", "n")
+    return cells.groupBy(*G, "metric").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def _mean(test: str, cells: str = "cells") -> str:
+    """SQL: mean of the values in the cells ``c`` that pass a test, null without any."""
+    add = f"aggregate(filter({cells}, c -> {test}), named_struct('t', 0D, 'n', 0L), (s, c) -> named_struct('t', s.t + c.total, 'n', s.n + c.n), s -> IF(s.n > 0, s.t / s.n, NULL))"
+    return add
+
+
+def _typed_values(vectors: DataFrame, test: str) -> DataFrame:
+    """(G, metric, zone_type, value): the week 0 means per zone type over the cells ``c`` that pass a test."""
+    here = vectors.withColumn("_here", F.expr(f"filter(cells, c -> c.week = 0 AND {test})"))
+    kinds = here.select(*G, "metric", "_here", F.explode(F.expr("array_distinct(transform(_here, c -> c.zone_type))")).alias("zone_type"))
+    return kinds.select(*G, "metric", "zone_type", F.expr(_mean("c.zone_type <=> zone_type", "_here")).alias("value"))
 
 
 # ---------------------------------------------------------------------------
@@ -66,12 +94,11 @@ def detect_anomalies(
     min_baseline: float = 0.10,
     min_abs_delta: float = 0.05,
     sign_flip_min_delta: float = 0.20,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    base = _base(metrics_df, orders_df).filter(F.col("week").isin(0, 1))
-    g = base.groupBy(*G, "metric").agg(
-        F.avg(F.when(F.col("week") == 0, F.col("value"))).alias("week_0_value"),
-        F.avg(F.when(F.col("week") == 1, F.col("value"))).alias("week_1_value"),
-    )
+    if vectors is None:
+        vectors = zone_vectors(metrics_df, orders_df, weeks=(0, 1))
+    g = vectors.select(*G, "metric", F.expr(_mean("c.week = 0")).alias("week_0_value"), F.expr(_mean("c.week = 1")).alias("week_1_value"))
     w0, w1 = F.col("week_0_value"), F.col("week_1_value")
     g = (
         g.filter(w0.isNotNull() & w1.isNotNull())
@@ -123,44 +150,39 @@ def detect_trends(
     min_consecutive_steps: int = 3,
     max_insights: int | None = None,
     lower_is_better=LOWER_IS_BETTER,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Per zone × metric, weeks oldest → newest; a step deteriorates when
     the next week is adjacent and the value falls (rises for lower-is-better
-    metrics). Each break row starts an island holding its following steps;
-    the longest island wins, the oldest on ties. At most 9 rows per key, so
-    the window partitions are tiny and evenly spread; the run aggregation and
-    the pick reuse the window's partitioning (one shuffle in total).
+    metrics). The longest run of such steps wins, the oldest on ties. One fold
+    over a row's weeks; orders do not take part.
     """
     keys = G + ["metric"]
-    base = metrics_df.select(*BASE_COLS).na.drop(subset=BASE_COLS)
-    weekly = base.groupBy(*keys, "week").agg(F.avg("value").alias("value"))
-    w = Window.partitionBy(*keys).orderBy(F.col("week").desc())
-    higher_better = ~F.col("metric").isin(*lower_is_better)
-    prev_week, prev_value = F.lag("week").over(w), F.lag("value").over(w)
-    falling = F.when(higher_better, F.col("value") < prev_value).otherwise(F.col("value") > prev_value)
-    steps = weekly.withColumn("step", F.coalesce((prev_week - F.col("week") == 1) & falling, F.lit(False)))
-    steps = steps.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    steps = steps.withColumn(
-        "island", F.sum(F.when(F.col("step"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if vectors is None:
+        vectors = zone_vectors(metrics_df, None)
+    weekly = vectors.select(*keys, F.expr("filter(cells, c -> NOT c.orders)").alias("_own")).withColumn(
+        "_weeks", F.expr("sort_array(array_distinct(transform(_own, c -> c.week)), false)")
     )
-    runs = steps.groupBy(*keys, "island").agg(
-        F.count_if("step").alias("run_length"),
-        F.max("week").alias("start_week"),
-        F.min("week").alias("end_week"),
-        F.max_by("value", "week").alias("start_value"),
-        F.min_by("value", "week").alias("end_value"),
-        F.max("n_rows").alias("n_rows"),
+    points = weekly.where(F.size("_weeks") >= 4).select(
+        *keys, F.expr(f"transform(_weeks, w -> named_struct('week', w, 'value', {_mean('c.week = w', '_own')}))").alias("_points")
     )
-    pick = Window.partitionBy(*keys).orderBy(F.col("run_length").desc(), F.col("start_week").desc())
-    best = (
-        runs.filter((F.col("n_rows") >= 4) & (F.col("run_length") >= 1))
-        .withColumn("pick", F.row_number().over(pick))
-        .filter((F.col("pick") == 1) & (F.col("run_length") >= min_consecutive_steps))
+    points = points.withColumn("higher_is_better", ~F.col("metric").isin(*lower_is_better))
+    falls = "(s.at.week - p.week = 1 AND IF(higher_is_better, p.value < s.at.value, p.value > s.at.value))"
+    oldest = "get(_points, 0)"
+    first = f"named_struct('at', {oldest}, 'start', {oldest}, 'run', 0, 'best', named_struct('run', 0, 'start', {oldest}, 'end', {oldest}))"
+    step = (
+        f"named_struct('at', p, 'start', IF({falls}, s.start, p), 'run', IF({falls}, s.run + 1, 0), "
+        f"'best', IF({falls} AND s.run + 1 > s.best.run, named_struct('run', s.run + 1, 'start', s.start, 'end', p), s.best))"
     )
+    folded = points.withColumn("_best", F.expr(f"aggregate(slice(_points, 2, size(_points)), {first}, (s, p) -> {step}, s -> s.best)"))
+    best = folded.select(
+        *keys, "higher_is_better", F.col("_best.run").cast("long").alias("run_length"),
+        F.col("_best.start.week").alias("start_week"), F.col("_best.end.week").alias("end_week"),
+        F.col("_best.start.value").alias("start_value"), F.col("_best.end.value").alias("end_value"),
+    ).filter((F.col("run_length") >= 1) & (F.col("run_length") >= min_consecutive_steps))
     net = rel_change("end_value", "start_value")
     best = (
         best.withColumn("net_change_pct", net)
-        .withColumn("higher_is_better", ~F.col("metric").isin(*lower_is_better))
         .withColumn(
             "severity",
             clamp(F.least(F.lit(100.0), F.col("run_length") * 15.0 + F.coalesce(F.abs(net) * 120.0, F.lit(0.0))), 0.0, 100.0),
@@ -183,6 +205,7 @@ def detect_benchmarking(
     gap_threshold: float = 0.15,
     max_insights: int | None = None,
     include_untyped: bool = False,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Peer group = country × metric × zone_type; peer mean excludes the zone.
 
@@ -194,10 +217,9 @@ def detect_benchmarking(
     aggregation (partial before the shuffle) joined back; AQE turns that
     join into a broadcast once the statistics' real size is known.
     """
-    base = _base(metrics_df, orders_df, with_zone_type=True).filter(F.col("week") == 0)
-    if not include_untyped:
-        base = base.filter(F.col("zone_type").isNotNull())
-    snap = base.groupBy(*G, "zone_type", "metric").agg(F.avg("value").alias("value"))
+    if vectors is None:
+        vectors = zone_vectors(metrics_df, orders_df, weeks=(0,))
+    snap = _typed_values(vectors, "true" if include_untyped else "c.zone_type IS NOT NULL")
     typed = F.col("zone_type").isNotNull() & (strip_ws("zone_type") != "")
     snap = snap.withColumn("peer_type", F.when(typed, F.col("zone_type")).otherwise(F.lit("ALL")))
     peers = ["country", "metric", "peer_type"]
@@ -227,6 +249,7 @@ def detect_correlations(
     corr_threshold: float = 0.45,
     max_insights: int | None = None,
     pairs=CORRELATION_PAIRS,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Pearson r per country and metric pair over zones having both metrics.
 
@@ -238,10 +261,11 @@ def detect_correlations(
     """
     names = sorted({m for p in pairs for m in p})
     slot = {m: f"m{i}" for i, m in enumerate(names)}
-    base = _base(metrics_df, orders_df).filter((F.col("week") == 0) & F.col("metric").isin(*names))
-    snap = base.groupBy(*G, "metric").agg(F.avg("value").alias("value"))
+    if vectors is None:
+        vectors = zone_vectors(metrics_df, orders_df, weeks=(0,), metrics=names)
+    snap = vectors.where(F.col("metric").isin(*names)).select(*G, "metric", F.expr(_mean("c.week = 0")).alias("value"))
     wide = snap.groupBy(*G).agg(
-        *[F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(slot[m]) for m in names]
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(slot[m]) for m in names]
     )
     pair_rows = F.array(*[
         F.struct(F.lit(i).alias("pair"), F.lit(x).alias("metric_x"), F.lit(y).alias("metric_y"),
@@ -276,15 +300,6 @@ def detect_correlations(
 # ---------------------------------------------------------------------------
 # K5 opportunities (three rules)
 # ---------------------------------------------------------------------------
-def _metrics_snapshot(metrics_df: DataFrame) -> DataFrame:
-    cols = G + ["zone_type", "metric", "week", "value"]
-    data = metrics_df.select(*cols).na.drop(subset=BASE_COLS).filter(F.col("week") == 0)
-    # zone_type is a grouping key, so rows without one drop out
-    return data.filter(F.col("zone_type").isNotNull()).groupBy(*G, "zone_type", "metric").agg(
-        F.avg("value").alias("value")
-    )
-
-
 OPPORTUNITY_METRICS = {
     "Perfect Orders": "perfect_orders", "Lead Penetration": "lead_penetration",
     "Gross Profit UE": "gross_profit_ue", "Turbo Adoption": "turbo_adoption",
@@ -298,14 +313,20 @@ OPPORTUNITY_QUANTILES = {
 }
 
 
-def opportunity_view(metrics_df: DataFrame) -> DataFrame:
-    """What the three rules look at: per zone and zone type the snapshot means
-    of four metrics, and the quantiles of its country, all from one sort. A
-    zone without a metric has null there, which no rule accepts."""
-    snapshot = _metrics_snapshot(metrics_df).filter(F.col("metric").isin(*OPPORTUNITY_METRICS))
-    means = [F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(a) for m, a in OPPORTUNITY_METRICS.items()]
-    wide = materialize(snapshot.groupBy(*G, "zone_type").agg(*means))
-    return wide.join(group_quantiles(wide, ["country"], OPPORTUNITY_QUANTILES), "country")
+def opportunity_view(vectors: DataFrame) -> DataFrame:
+    """What the three rules look at: per zone and zone type the week 0 means of
+    four metrics, the quantiles of its country (by radix selection) and the
+    zone's growth in orders. A zone without a metric, or without orders in week
+    0 or 3, has null there, which no rule accepts. Rows without a zone_type
+    drop out. Growth uses every row of the orders table (any metric)."""
+    snapshot = _typed_values(vectors.where(F.col("metric").isin(*OPPORTUNITY_METRICS)), "NOT c.orders AND c.zone_type IS NOT NULL")
+    means = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(a) for m, a in OPPORTUNITY_METRICS.items()]
+    wide = snapshot.groupBy(*G, "zone_type").agg(*means)
+    ordered = vectors.select(*G, F.explode(F.expr("filter(cells, c -> c.orders AND c.week IN (0, 3))")).alias("c"))
+    sums = [F.sum(F.when(F.col("c.week") == w, F.col(f"c.{x}"))).alias(f"_{x}{w}") for w in (0, 3) for x in ("total", "n")]
+    growth = ordered.groupBy(*G).agg(*sums).select(*G, rel_change(F.col("_total0") / F.col("_n0"), F.col("_total3") / F.col("_n3")).alias("orders_growth_pct"))
+    view = wide.join(group_quantiles(wide, ["country"], OPPORTUNITY_QUANTILES), "country")
+    return view.join(growth, G, "left")
 
 
 def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
@@ -315,56 +336,69 @@ def _ratio_excess(value: Column, ref: Column, sign: int = 1) -> Column:
     )
 
 
-def opportunity_growth_quality(
-    metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10, view: DataFrame | None = None
+def _opportunity_rules(min_growth: float) -> dict[int, tuple[Column, Column, tuple[str, ...]]]:
+    """Rule number -> (test, severity, evidence).
+
+    1: orders grew by ``min_growth`` or more from week 3 to week 0 while Perfect
+    Orders is below the country's median. 2: Perfect Orders ≥ country p75 and
+    Lead Penetration ≤ country p25. 3: Gross Profit UE ≥ country p90 and Turbo
+    Adoption > country median.
+    """
+    c = F.col
+    grown, median = c("orders_growth_pct"), c("country_perfect_orders_median")
+    quality, penetration = c("country_quality_p75"), c("country_penetration_p25")
+    decile, turbo = c("country_gp_top_decile"), c("country_turbo_median")
+    return {
+        1: (
+            (grown >= min_growth) & (c("perfect_orders") < median),
+            F.greatest(F.lit(0.0), grown - min_growth) * 260.0 + _ratio_excess(c("perfect_orders"), median, sign=-1) * 120.0 + 25.0,
+            ("orders_growth_pct", "perfect_orders", "country_perfect_orders_median"),
+        ),
+        2: (
+            (c("perfect_orders") >= quality) & (c("lead_penetration") <= penetration),
+            30.0 + _ratio_excess(c("perfect_orders"), quality) * 120.0 + _ratio_excess(c("lead_penetration"), penetration, sign=-1) * 140.0,
+            ("perfect_orders", "lead_penetration", "country_quality_p75", "country_penetration_p25"),
+        ),
+        3: (
+            (c("gross_profit_ue") >= decile) & (c("turbo_adoption") > turbo),
+            25.0 + _ratio_excess(c("gross_profit_ue"), decile) * 160.0 + _ratio_excess(c("turbo_adoption"), turbo) * 100.0,
+            ("gross_profit_ue", "turbo_adoption", "country_gp_top_decile", "country_turbo_median"),
+        ),
+    }
+
+
+def _findings(view: DataFrame, numbers, min_growth: float = 0.10) -> DataFrame:
+    """The findings of some rules, all from one reading of the view."""
+    rules = {k: rule for k, rule in _opportunity_rules(min_growth).items() if k in numbers}
+    evidence = list(dict.fromkeys(e for _, _, names in rules.values() for e in names))
+    told = []
+    for number, (test, severity, names) in rules.items():
+        fields = [F.when(F.lit(e in names), F.col(e)).alias(e) for e in evidence]
+        finding = F.struct(F.lit(number).alias("rule"), *fields, clamp(F.least(F.lit(100.0), severity), 0.0, 100.0).alias("severity"))
+        told.append(F.when(test, finding))
+    each = view.select(*G, "zone_type", F.explode(F.array(*told)).alias("f")).where("f IS NOT NULL")
+    return each.select("f.rule", *G, "zone_type", *[f"f.{e}" for e in evidence], "f.severity", round2("f.severity").alias("severity_score"))
+
+
+def opportunity_growth_quality(metrics_df: DataFrame, orders_df: DataFrame, min_growth: float = 0.10) -> DataFrame:
+    """Rule 1."""
+    return _findings(opportunity_view(zone_vectors(metrics_df, orders_df, weeks=(0, 3))), (1,), min_growth)
+
+
+def opportunity_quality_penetration(metrics_df: DataFrame) -> DataFrame:
+    """Rule 2."""
+    return _findings(opportunity_view(zone_vectors(metrics_df, None, weeks=(0,), metrics=OPPORTUNITY_METRICS)), (2,))
+
+
+def opportunity_replication(metrics_df: DataFrame) -> DataFrame:
+    """Rule 3."""
+    return _findings(opportunity_view(zone_vectors(metrics_df, None, weeks=(0,), metrics=OPPORTUNITY_METRICS)), (3,))
+
+
+def detect_opportunities(
+    metrics_df: DataFrame, orders_df: DataFrame, max_insights: int | None = None, vectors: DataFrame | None = None
 ) -> DataFrame:
-    """Rule 1: orders grew ≥10% from week 3 to week 0 while Perfect Orders is
-    below the country median. Growth uses every orders_long row (any metric)."""
-    o = orders_df.select(*G, "week", "value").na.drop(subset=G + ["week", "value"])
-    o = o.filter(F.col("week").isin(0, 3))
-    growth = o.groupBy(*G).agg(
-        F.avg(F.when(F.col("week") == 0, F.col("value"))).alias("orders_week_0"),
-        F.avg(F.when(F.col("week") == 3, F.col("value"))).alias("orders_week_3"),
-    ).withColumn("orders_growth_pct", rel_change("orders_week_0", "orders_week_3"))
-    growth = growth.filter(F.col("orders_growth_pct") >= min_growth)
-    view = opportunity_view(metrics_df) if view is None else view
-    median = F.col("country_perfect_orders_median")
-    j = growth.join(view, G).filter(F.col("perfect_orders") < median)
-    gap = _ratio_excess(F.col("perfect_orders"), median, sign=-1)
-    sev = F.greatest(F.lit(0.0), F.col("orders_growth_pct") - min_growth) * 260.0 + gap * 120.0 + 25.0
-    return _rule(j, 1, sev, "orders_growth_pct", "perfect_orders", "country_perfect_orders_median")
-
-
-def _rule(rows: DataFrame, number: int, severity: Column, *evidence: str) -> DataFrame:
-    scored = rows.withColumn("severity", clamp(F.least(F.lit(100.0), severity), 0.0, 100.0))
-    return scored.select(
-        F.lit(number).alias("rule"), *G, "zone_type", *evidence, "severity", round2("severity").alias("severity_score"))
-
-
-def opportunity_quality_penetration(metrics_df: DataFrame, view: DataFrame | None = None) -> DataFrame:
-    """Rule 2: Perfect Orders ≥ country p75 and Lead Penetration ≤ country p25."""
-    view = opportunity_view(metrics_df) if view is None else view
-    quality, penetration = F.col("country_quality_p75"), F.col("country_penetration_p25")
-    j = view.filter((F.col("perfect_orders") >= quality) & (F.col("lead_penetration") <= penetration))
-    sev = 30.0 + _ratio_excess(F.col("perfect_orders"), quality) * 120.0 + _ratio_excess(F.col("lead_penetration"), penetration, sign=-1) * 140.0
-    return _rule(j, 2, sev, "perfect_orders", "lead_penetration", "country_quality_p75", "country_penetration_p25")
-
-
-def opportunity_replication(metrics_df: DataFrame, view: DataFrame | None = None) -> DataFrame:
-    """Rule 3: Gross Profit UE ≥ country p90 and Turbo Adoption > country median."""
-    view = opportunity_view(metrics_df) if view is None else view
-    decile, turbo = F.col("country_gp_top_decile"), F.col("country_turbo_median")
-    j = view.filter((F.col("gross_profit_ue") >= decile) & (F.col("turbo_adoption") > turbo))
-    sev = 25.0 + _ratio_excess(F.col("gross_profit_ue"), decile) * 160.0 + _ratio_excess(F.col("turbo_adoption"), turbo) * 100.0
-    return _rule(j, 3, sev, "gross_profit_ue", "turbo_adoption", "country_gp_top_decile", "country_turbo_median")
-
-
-def detect_opportunities(metrics_df: DataFrame, orders_df: DataFrame, max_insights: int | None = None) -> DataFrame:
     """All findings of the three rules."""
-    view = opportunity_view(metrics_df)
-    rules = (
-        opportunity_growth_quality(metrics_df, orders_df, view=view)
-        .unionByName(opportunity_quality_penetration(metrics_df, view), allowMissingColumns=True)
-        .unionByName(opportunity_replication(metrics_df, view), allowMissingColumns=True)
-    )
-    return _first(rules, OPPORTUNITY_ORDER, max_insights)
+    if vectors is None:
+        vectors = zone_vectors(metrics_df, orders_df, weeks=(0, 3))
+    return _first(_findings(opportunity_view(vectors), (1, 2, 3)), OPPORTUNITY_ORDER, max_insights)

@@ -15,6 +15,7 @@ from zonepulse.operators import detectors as D
 from zonepulse.operators import wording as W
 from zonepulse.session import materialize
 
+# Evidence fields of each category, in order.
 EVIDENCE_COLUMNS = {
     "anomalies": ["week_1_value", "week_0_value", "pct_change", "baseline_abs", "abs_delta", "sign_flip",
                   "direction", "confidence"],
@@ -66,11 +67,12 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
     """K6: the five detectors in fixed order, as one table.
 
     Evidence fields are typed nullable columns (a finding fills those of its
-    category); ``evidence_json`` carries them as one JSON object.
+    category); ``evidence_json`` carries them as one JSON object. The long
+    tables are read once, into stored week vectors that all detectors share.
     """
     c, zero = F.col, F.lit(0)
-    metrics_df, orders_df = weekly_means(metrics_df, orders_df)
-    k1 = D.detect_anomalies(metrics_df, orders_df)
+    vectors = materialize(D.zone_vectors(metrics_df, orders_df))
+    k1 = D.detect_anomalies(metrics_df, orders_df, vectors=vectors)
     k1 = _common(
         k1, 0, "anomalies", W.anomaly_title(c("direction"), c("metric")), c("metric"), c("country"), c("city"),
         c("zone"), W.anomaly_summary(c("metric"), c("zone"), c("city"), c("country"), c("pct_change"),
@@ -78,27 +80,27 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
         W.anomaly_hint(c("metric"), c("direction")), F.lit(1), (c("severity"), c("pct_change"), zero, zero),
         ("country", "city", "zone", "metric"), c("confidence"),
     )
-    k2 = D.detect_trends(metrics_df, orders_df)
+    k2 = D.detect_trends(metrics_df, orders_df, vectors=vectors)
     k2 = _common(
         k2, 1, "trends", W.trend_title(c("metric")), c("metric"), c("country"), c("city"), c("zone"),
         W.trend_summary(c("metric"), c("zone"), c("city"), c("country"), c("run_length")),
         F.lit(W.TREND_HINT), F.lit(1), (c("severity_score"), zero, zero, zero), ("country", "city", "zone", "metric"),
     )
-    k3 = D.detect_benchmarking(metrics_df, orders_df, include_untyped=include_untyped)
+    k3 = D.detect_benchmarking(metrics_df, orders_df, include_untyped=include_untyped, vectors=vectors)
     k3 = _common(
         k3, 2, "benchmarking", W.benchmark_title(c("zone"), c("metric")), c("metric"), c("country"), c("city"),
         c("zone"), W.benchmark_summary(c("zone"), c("gap_pct"), c("metric"), c("country")),
         F.lit(W.BENCHMARK_HINT), c("peer_count"), (c("severity"), zero, zero, zero),
         ("country", "city", "zone", "metric", "zone_type"),
     )
-    k4 = D.detect_correlations(metrics_df, orders_df)
+    k4 = D.detect_correlations(metrics_df, orders_df, vectors=vectors)
     k4 = _common(
         k4, 3, "correlations", W.correlation_title(c("metric_x"), c("metric_y"), c("direction")),
         F.concat(c("metric_x"), F.lit(" vs "), c("metric_y")), c("country"), F.lit(None), F.lit(None),
         W.correlation_summary(c("country"), c("metric_x"), c("metric_y"), c("direction"), c("correlation")),
         F.lit(W.CORRELATION_HINT), c("sample_size"), (c("severity_score"), zero, zero, c("pair")), ("country", "pair"),
     )
-    k5 = D.detect_opportunities(metrics_df, orders_df)
+    k5 = D.detect_opportunities(metrics_df, orders_df, vectors=vectors)
     rule_title = F.when(c("rule") == 1, W.OPPORTUNITY_RULES[1][0]).when(c("rule") == 2, W.OPPORTUNITY_RULES[2][0]).otherwise(W.OPPORTUNITY_RULES[3][0])
     rule_metric = F.when(c("rule") == 1, W.OPPORTUNITY_RULES[1][1]).when(c("rule") == 2, W.OPPORTUNITY_RULES[2][1]).otherwise(W.OPPORTUNITY_RULES[3][1])
     rule_hint = F.when(c("rule") == 1, W.OPPORTUNITY_HINTS[1]).when(c("rule") == 2, W.OPPORTUNITY_HINTS[2]).otherwise(W.OPPORTUNITY_HINTS[3])
@@ -117,12 +119,6 @@ def collect_insights(metrics_df: DataFrame, orders_df: DataFrame, include_untype
     return allins.withColumn("evidence_json", evidence)
 
 
-def weekly_means(metrics_df: DataFrame, orders_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables stored once for the five detectors, which each read a part of them."""
-    return materialize(metrics_df.select("country", "city", "zone", "zone_type", "metric", "week", "value")), materialize(
-        orders_df.select("country", "city", "zone", "metric", "week", "value"))
-
-
 @dataclass
 class InsightRun:
     raw: DataFrame
