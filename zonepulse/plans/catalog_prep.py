@@ -1,4 +1,4 @@
-"""Registered prep queries B4–B9 and A5 with oracle SQL."""
+"""Registered prep queries A1–A5 and B4–B9 with oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from zonepulse.operators import fingerprint as Fp
 from zonepulse.operators import prep as P
 from zonepulse.operators.slices import filter_metric, snapshot_week
 from zonepulse.plans.registry import register
 from zonepulse.session import shared_path
 from zonepulse.sources import fixtures as X
 from zonepulse.sources.adapter import zone_tables
+from zonepulse.sources.exports import METRICS_EXPORT, find_exports
 from zonepulse.sources.tables import read_long_table, read_wide_export, write_report_lines, write_table
 
 
@@ -122,17 +124,39 @@ def features(spark, sf_dir):
 _MILLIONTHS = "CAST(floor(abs(\"value\") * 1000000 + 0.5) * sign(\"value\") AS BIGINT)"
 
 
-@register("fingerprint", f"""
-texts AS (SELECT concat_ws(chr(31), country, city, zone, zone_type, zone_prioritization, metric, CAST(week AS VARCHAR), week_label,
-                           CAST({_MILLIONTHS} AS VARCHAR)) AS t FROM metrics_long),
-summed AS (SELECT count(*) AS row_count, sum(CAST('0x' || substring(md5(t), 1, 15) AS BIGINT)) AS total FROM texts)
-SELECT sha256('country|city|zone|zone_type|zone_prioritization|metric|week|week_label|millionths#' || CAST(row_count AS VARCHAR) || '#'
-              || CAST(total AS VARCHAR)) AS fingerprint, row_count FROM summed""")
+_FP_COLUMNS = ("country", "city", "zone", "zone_type", "zone_prioritization", "metric", "week", "week_label", "millionths")
+_FP_STRUCTURE = "|".join(f"{c}:{ {'week': 'int', 'millionths': 'bigint'}.get(c, 'string') }" for c in _FP_COLUMNS)
+_FP_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in _FP_COLUMNS)
+_FP_SQL = f"""
+texts AS (SELECT {_FP_TEXT} AS t FROM (SELECT *, {_MILLIONTHS} AS millionths FROM {{table}})),
+summed AS (SELECT count(*) AS row_count, coalesce(sum(CAST('0x' || substring(md5(t), 1, 15) AS BIGINT)), 0) AS sum_a,
+                  coalesce(sum(CAST('0x' || substring(md5(t), 18, 15) AS BIGINT)), 0) AS sum_b FROM texts)
+SELECT sha256('{_FP_STRUCTURE}#' || CAST(row_count AS VARCHAR) || '#' || CAST(sum_a AS VARCHAR) || '#' || CAST(sum_b AS VARCHAR)) AS fingerprint,
+       row_count FROM summed"""
+
+
+def _whole_millionths(df):
+    whole = (F.floor(F.abs("value") * 1000000 + 0.5) * F.signum("value")).cast("long")
+    return df.select(*_FP_COLUMNS[:-1], whole.alias("millionths"))
+
+
+@register("fingerprint", _FP_SQL.format(table="metrics_long"))
 def fingerprint(spark, sf_dir):
     """A5: order-insensitive fingerprint of metrics_long, values in whole millionths."""
     m, _ = zone_tables(spark, sf_dir)
-    whole = (F.floor(F.abs("value") * 1000000 + 0.5) * F.signum("value")).cast("long")
-    return P.fingerprint(m.withColumn("millionths", whole).drop("value"))
+    return Fp.fingerprint(_whole_millionths(m))
+
+
+@register("fingerprint_weeks", """
+changed AS (SELECT * REPLACE (CASE WHEN week = 0 THEN "value" + 1 ELSE "value" END AS "value") FROM metrics_long WHERE week <> 3),"""
+          + _FP_SQL.format(table="changed"))
+def fingerprint_weeks(spark, sf_dir):
+    """A5: sums kept per week; week 3 is left out, week 0 replaced, and only week 0 is read again."""
+    m, _ = zone_tables(spark, sf_dir)
+    known = Fp.partition_sums(_whole_millionths(m), ["week"]).where("week <> 3")
+    fresh = _whole_millionths(m.where("week = 0").withColumn("value", F.col("value") + 1))
+    sums = Fp.with_partitions(known, Fp.partition_sums(fresh, ["week"]), ["week"])
+    return Fp.combined(sums, Fp.structure(fresh))
 
 
 # ---------------------------------------------------------------------------
@@ -184,3 +208,34 @@ def report_file(spark, sf_dir):
     text = F.concat_ws(" ", "zone", "metric")
     write_report_lines(m.select(F.hash("zone", "metric", "week").cast("long").alias("ord"), text.alias("line")), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@register("wide_exports_by_name", """
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, 'l' || CAST(week AS VARCHAR) || 'w_roll' AS week_label,
+       round("value", 6) AS "value" FROM metrics_long""")
+def wide_exports_by_name(spark, sf_dir):
+    """A1: an export found by name beside a summary; its files differ in the order and number of columns."""
+    m, _ = zone_tables(spark, sf_dir)
+    folder = _folder(spark, "exports")
+    wide = X.wide_metrics(m)
+    tidy = P.with_canonical_names(wide)
+    for part, (df, test) in enumerate(((wide, "Zone"), (tidy.select(*reversed(tidy.columns)), "zone"), (tidy.withColumn("remark", F.lit("x, y")), "zone"))):
+        own = df.where(F.pmod(F.xxhash64(F.col(f"`{test}`")), F.lit(3)) == part)
+        write_table(own, f"{folder}/Raw Input-Metrics/{part}", fmt="csv")
+    write_table(tidy.groupBy("metric").count(), f"{folder}/RAW_SUMMARY", fmt="csv")
+    path = find_exports(spark, folder, (METRICS_EXPORT,))[METRICS_EXPORT]
+    return P.reshape_metrics(read_wide_export(spark, f"{path}/*", "csv"))
+
+
+@register("replaced_weeks", """
+SELECT country, city, zone, zone_type, zone_prioritization, metric, week, week_label,
+       round(CASE WHEN week = 2 THEN "value" * 2 ELSE "value" END, 6) AS "value" FROM metrics_long
+WHERE week <> 2 OR metric <> 'Perfect Orders'""")
+def replaced_weeks(spark, sf_dir):
+    """A3: one week of a partitioned table written anew (without one of its metrics); the others stay."""
+    m, _ = zone_tables(spark, sf_dir)
+    path = _folder(spark, "weeks")
+    write_table(P.with_key_columns(m), path, partition_by=("week", "metric_key"))
+    week = m.where("week = 2 AND metric <> 'Perfect Orders'").withColumn("value", F.col("value") * 2)
+    write_table(P.with_key_columns(week), path, partition_by=("week", "metric_key"), only_partitions=True)
+    return read_long_table(spark, path, "metrics").select(*m.columns)

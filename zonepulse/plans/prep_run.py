@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from zonepulse.model import FEATURE_COLUMNS, GEO_KEYS
 from zonepulse.operators import prep as P
 from zonepulse.operators import quality as Qy
-from zonepulse.sources.tables import path_exists, read_csv_text, read_long_table, read_wide_export, write_table
+from zonepulse.sources.exports import METRICS_EXPORT, ORDERS_EXPORT, find_exports, read_csv_by_name
+from zonepulse.sources.tables import path_exists, read_long_table, read_wide_export, write_table
 
 TABLES = ("metrics_long", "orders_long", "analytics_base", "metrics_features")
 
@@ -44,11 +45,17 @@ def prepare(spark: SparkSession, wide_metrics_path: str, wide_orders_path: str,
     return paths
 
 
+def prepare_folder(spark: SparkSession, folder: str, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    """``prepare`` for a folder whose tables are found by their canonical names."""
+    found = find_exports(spark, folder)
+    return prepare(spark, found[METRICS_EXPORT], found[ORDERS_EXPORT], out_dir, fmt)
+
+
 def load_processed(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     out = {name: read_long_table(spark, paths[name], "orders" if name == "orders_long" else "metrics") for name in TABLES[:3]}
     features = paths.get("metrics_features")
     if features and path_exists(spark, features):
-        df = read_csv_text(spark, features) if features.rstrip("/").lower().endswith(".csv") else spark.read.parquet(features)
+        df = read_csv_by_name(spark, features) if features.rstrip("/").lower().endswith(".csv") else spark.read.parquet(features)
         numbers = [c for c in FEATURE_COLUMNS if c not in (*GEO_KEYS, "metric")]
         out["metrics_features"] = df.withColumns({c: F.col(c).try_cast("double") for c in numbers if c in df.columns})
     return out

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.model import METRICS_LONG_SCHEMA, ORDERS_LONG_SCHEMA, require_columns
+from zonepulse.operators.prep import ORD
+from zonepulse.sources.exports import read_csv_by_name
+from zonepulse.sources.storage import Folders, replace_table, settle
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,46 +25,39 @@ def _is_csv(path: str) -> bool:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, asked of the file system that it belongs to."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV cells as text under the names of the header.
-
-    ``enforceSchema=false`` compares the header of every file with the names;
-    a file whose columns stand in another order is refused instead of being
-    read into the wrong columns.
-    """
-    return spark.read.options(header=True, inferSchema=False, enforceSchema=False, nullValue="", encoding="UTF-8").csv(path)
+    return Folders(spark).exists(path)
 
 
 def read_wide_export(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A1: one wide export per path, CSV (header, all text) or Parquet.
 
-    CSV cells stay text; the reshape step coerces them to numbers so that
-    text such as "1,000" or "n/a" becomes null exactly like the export tool.
-    Column ``_ord`` is the input order: file, place of the split in the file,
-    row in the split, whatever task reads it.
+    CSV files may differ in the order of their columns and carry further ones
+    (``exports.read_csv_by_name``). Cells stay text; the reshape step coerces
+    them to numbers so that text such as "1,000" or "n/a" becomes null exactly
+    like the export tool. Column ``_ord`` is the input order: file, place of
+    the split in the file, row in the split, whatever task reads it.
     """
     fmt = fmt or ("csv" if _is_csv(path) else "parquet")
-    df = read_csv_text(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    settle(spark, path)
+    if fmt == "csv":
+        return read_csv_by_name(spark, path, with_order=True)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return df.select("*", place.alias("_ord"))
+    return spark.read.parquet(path).select("*", place.alias(ORD))
 
 
 def read_long_table(spark: SparkSession, path: str, kind: str = "metrics") -> DataFrame:
     """A2: a processed long table with the model's types; columns are found by
-    name. Stored key columns (``<name>_key``) are kept.
+    name in every file. Stored key columns (``<name>_key``) are kept.
 
     Only empty cells are null; the text "NA" stays a value (it is a country code).
     """
     schema = METRICS_LONG_SCHEMA if kind == "metrics" else ORDERS_LONG_SCHEMA
-    df = read_csv_text(spark, path) if _is_csv(path) else spark.read.parquet(path)
+    settle(spark, path)
+    df = read_csv_by_name(spark, path) if _is_csv(path) else spark.read.parquet(path)
     require_columns(df, schema.fieldNames(), path)
     keys = [c for c in df.columns if c.endswith("_key")]
     df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *keys)
@@ -69,21 +65,20 @@ def read_long_table(spark: SparkSession, path: str, kind: str = "metrics") -> Da
     return df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
-    """A3: write a table (CSV with header, or Parquet), replacing the target.
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, only_partitions: bool = False) -> list[str]:
+    """A3: write a table (CSV with header, or Parquet); returns the folders replaced.
 
-    Rows are dealt out by the partition columns first, so that a folder gets
-    few files; adaptive execution splits a folder that outgrows a task.
+    The rows go to a staging folder and are swapped in when they are whole, so
+    a write that fails leaves the old table readable. ``only_partitions``
+    replaces just the top-level partitions that ``df`` has (a week that newly
+    arrived), not the table. Rows are dealt out by the partition columns first,
+    so that a folder gets few files; adaptive execution splits a folder that
+    outgrows a task.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.option("header", True).option("encoding", "UTF-8").csv(path)
-    else:
-        writer.parquet(path)
+    options = {"header": "true", "encoding": "UTF-8"} if fmt == "csv" else {}
+    return replace_table(df, path, fmt, options, partition_by, only_partitions)
 
 
 def write_report_lines(lines: DataFrame, path: str) -> None:
