@@ -93,3 +93,54 @@ def test_email_validity(spark):
     cases = {" a@b.c ": True, "a@b": False, "a b@c.d": False, "a@@b.c": False, "": False, None: False, "x@y.z.w": True}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.v for r in df.select("t", is_email("t").alias("v")).collect()} == cases
+
+
+def test_carry_forward_with_null_keys_and_repeated_turns(spark):
+    import random
+
+    rng = random.Random(6)
+    say = ["Orders here", "same now", "tell me more about the weather of that place please", "Perfect Orders only", "for it?", None, ""]
+    rows = [(rng.choice([None, None, 1, 2]), rng.choice([None, *range(-3, 5010, 7)]), rng.choice(say)) for _ in range(900)]
+    rows += [(None, 1, "Lead Penetration?"), (None, 5000, "and now"), (1, 3, "Orders"), (1, 3, "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    want = []
+    for key in {r[0] for r in rows}:
+        last = None
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or ""))
+        for _, turn, text in own:
+            metric = next((m for m in Tx.DEFAULT_METRIC_VOCABULARY if m.lower() in (text or "").lower()), None)
+            low = (text or "").strip().lower()
+            tokens = low.replace("?", " ").replace(".", " ").split()
+            follow = low != "" and (any(m in low for m in Tx.FOLLOW_UP_MARKERS) or len(tokens) <= 5 and bool({*tokens} & {*Tx.SHORT_QUESTION_TOKENS}))
+            want.append((key, turn, text, metric or (last if follow else None)))
+            last = metric or last
+    order = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
+    for chunk in (4096, 3):
+        got = Tx.carry_forward_metric(df, chunk=chunk).select("conv_id", "turn", "text", "resolved_metric")
+        assert order(map(tuple, got.collect())) == order(want)
+
+
+def test_greedy_dedup_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [
+        (i, rng.randrange(3), rng.randrange(50), rng.choice(["anomalies", "trends"]), "t", rng.choice(["M1", " m1 ", "M2", "M3", "M4", ""]), "X", "Y",
+         rng.choice(["Z1", "z1 ", "Z2", None]), float(rng.randrange(5)), rng.choice(["S1", "s1", "S2", "S3", "S 4"]), "h", None, rng.randrange(9))
+        for i in range(400)
+    ]
+    scored = C.with_priority(_insights(spark, rows))
+    walk = [r.asDict() for r in scored.withColumn("zone_key", C.zone_key()).orderBy(*C.rank_order(), "insight_id").collect()]
+    seen, stays = {}, []
+    squeeze = lambda x: " ".join((x or "").lower().split())
+    for r in walk:
+        if r["zone_key"]:
+            metrics, summaries = seen.setdefault((r["category"], r["zone_key"]), (set(), set()))
+            if squeeze(r["metric"]) in metrics or squeeze(r["summary"]) in summaries:
+                continue
+            metrics.add(squeeze(r["metric"]))
+            summaries.add(squeeze(r["summary"]))
+        stays.append(r["insight_id"])
+    found = C.deduplicate(scored)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.insight_id for r in found.collect()) == sorted(stays)

@@ -118,3 +118,20 @@ def test_quality_lists_values_and_keys(make_tables):
     assert [(r.zone, r["count"]) for r in keys] == [(None, 2)]
     values = {(r.field, r.value): (r.accepted, r["count"]) for r in Qy.week_values(m, "metrics_long").collect()}
     assert values == {("week", "9"): (False, 1), ("week", "0"): (True, 2), ("week_label", "l9w"): (False, 1), ("week_label", "l0w"): (True, 2)}
+
+
+def test_prepare_gives_the_findings_of_its_writes(make_tables, tmp_path, spark):
+    from zonepulse.plans.prep_run import load_processed, prepare_checked
+
+    head = ["country", "city", "zone", "zone_type", "zone_prioritization", "metric", "L0W", "L1W", "L9W"]
+    rows = [("MX", "C", f"Z{i}", "T", "P", ("M", "Orders", "N")[i % 3], "1", "2", "3" if i == 4 else None) for i in range(40)]
+    rows += [(None, "C", "Z", None, "P", "M", "5", None, None), ("MX", "C", None, None, "P", "m", "5", None, None)]
+    spark.createDataFrame(rows, head).write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame([("MX", "C", f"Z{i}", "7", "x") for i in range(9)], ["country", "city", "zone", "L0W", "L1W"]).write.parquet(str(tmp_path / "o"))
+    for fmt in ("parquet", "csv"):
+        paths, found = prepare_checked(spark, str(tmp_path / "m"), str(tmp_path / "o"), str(tmp_path / fmt), fmt)
+        t = load_processed(spark, paths)
+        want = [Qy.profile_findings(t[n], n) for n in ("metrics_long", "orders_long", "analytics_base")]
+        want.append(Qy.check_inventory(t["metrics_long"], t["orders_long"], t["analytics_base"]))
+        assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for w in want for r in w.collect())
+        assert ("metrics_long", "week_out_of_range", "", 1, "critical") in map(tuple, found.collect())

@@ -3,21 +3,18 @@
 Findings are as many as the detectors make; no step numbers them all in one
 task. Order is carried by columns (``rank_order``); windows run per
 (category, zone), per zone or per category with a small k, which Spark cuts
-down before the shuffle. Only the greedy de-duplication needs imperative
-logic; it runs per (category, zone) group in ``applyInPandas``, where a group
-holds a handful of findings (one zone's metrics).
+down before the shuffle. The greedy de-duplication is a fold over the findings
+of a (category, zone) group, a handful of rows (one zone's metrics).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.functions.columns import round2, squeeze_lower, strip_ws
 from zonepulse.model import CATEGORIES, CATEGORY_BONUS
-from zonepulse.session import ship_package
 
 
 def zone_key() -> Column:
@@ -63,38 +60,48 @@ def with_priority(insights: DataFrame) -> DataFrame:
     return insights.withColumn("priority_score", round2(score))
 
 
+#: L3: priority and severity downwards, then detector and emission order ("-": downwards). Unique together.
+_RANK = ("-priority_score", "-severity_score", "detector_ord", "-emit_a", "-emit_b",
+         "emit_rule", "country", "city", "zone", "emit_pair", "metric", "emit_type")
+
+
 def rank_order() -> list[Column]:
-    """L3: priority DESC, severity DESC, then detector and emission order. The columns are unique together."""
-    down = [F.desc(c) for c in ("priority_score", "severity_score")]
-    emitted = [F.desc_nulls_last(c) for c in ("emit_a", "emit_b")]
-    keys = ("emit_rule", "country", "city", "zone", "emit_pair", "metric", "emit_type")
-    return [*down, F.asc("detector_ord"), *emitted, *[F.asc_nulls_last(c) for c in keys]]
+    """L3 as sort columns; nulls come last."""
+    return [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in _RANK]
 
 
-def _greedy_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one (category, zone) group in rank order; a finding stays unless
-    an earlier one that stayed has its metric or its summary."""
-    stays, metrics, summaries = [], set(), set()
-    for finding in pdf.sort_values("place").itertuples():
-        if finding.metric_key not in metrics and finding.summary_key not in summaries:
-            stays.append(finding.insight_id)
-            metrics.add(finding.metric_key)
-            summaries.add(finding.summary_key)
-    return pd.DataFrame({"insight_id": pd.Series(stays, dtype="object")})
+def _ascending(name: str) -> Column:
+    """A struct that sorts upwards as ``rank_order`` sorts by one column."""
+    column = F.col(name.lstrip("-"))
+    value = -column if name[0] == "-" else column
+    return F.struct(value.isNull().alias("n"), value.alias("v")).alias(name.lstrip("-"))
 
 
 def deduplicate(scored: DataFrame) -> DataFrame:
     """L4: greedy de-duplication within (category, zone) by metric and whole
     normalised summary; zone-less findings are never dropped. Exact for any
-    input (not only detector output). ``scored`` has the priority (L2)."""
-    ship_package(scored.sparkSession)
+    input (not only detector output). ``scored`` has the priority (L2).
+
+    Of findings with the same metric and summary only the first can stay, so
+    each group is brought down to its different pairs before the shuffle. A
+    fold over them in rank order, with the metrics and summaries seen as its
+    state, tells which stay.
+    """
     keyed = scored.withColumn("zone_key", zone_key())
-    place = F.row_number().over(Window.partitionBy("category", "zone_key").orderBy(*rank_order()))
-    keys = keyed.filter(F.col("zone_key") != "").select(
+    place = F.struct(*[_ascending(c) for c in _RANK])
+    pairs = keyed.filter(F.col("zone_key") != "").select(
         "insight_id", "category", "zone_key", place.alias("place"),
         squeeze_lower("metric").alias("metric_key"), squeeze_lower("summary").alias("summary_key"),
     )
-    kept = keys.groupBy("category", "zone_key").applyInPandas(_greedy_group, "insight_id string")
+    first = pairs.groupBy("category", "zone_key", "metric_key", "summary_key").agg(F.min(F.struct("place", "insight_id")).alias("f"))
+    groups = first.groupBy("category", "zone_key").agg(
+        F.array_sort(F.collect_list(F.struct("f.place", "f.insight_id", "metric_key", "summary_key"))).alias("found")
+    )
+    fold = """aggregate(found, named_struct('ids', CAST(array() AS ARRAY<STRING>), 'metrics', CAST(array() AS ARRAY<STRING>), 'summaries', CAST(array() AS ARRAY<STRING>)),
+      (s, f) -> IF(array_contains(s.metrics, f.metric_key) OR array_contains(s.summaries, f.summary_key), s,
+        named_struct('ids', array_append(s.ids, f.insight_id), 'metrics', array_append(s.metrics, f.metric_key), 'summaries', array_append(s.summaries, f.summary_key))),
+      s -> s.ids)"""
+    kept = groups.select(F.explode(F.expr(fold)).alias("insight_id"))
     zoned = keyed.filter(F.col("zone_key") != "").join(kept, "insight_id", "left_semi")
     return keyed.filter(F.col("zone_key") == "").unionByName(zoned)
 

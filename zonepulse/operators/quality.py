@@ -48,8 +48,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return union_all(frames)
 
 
-def _profile(df: DataFrame) -> DataFrame:
-    """One pass: row count, nulls per critical field, bad weeks, bad labels."""
+def profile_columns() -> list[Column]:
+    """Aggregates of one pass: row count, nulls per critical field, bad weeks, bad labels."""
     week_num = F.col("week").cast(T.StringType()).try_cast(T.DoubleType())
     label_ok = F.coalesce(F.col("week_label").cast(T.StringType()).rlike(WEEK_LABEL_PATTERN), F.lit(False))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
@@ -59,7 +59,11 @@ def _profile(df: DataFrame) -> DataFrame:
         F.count_if(week_num.isNotNull() & ~week_num.between(0, 8)).alias("week_out_of_range"),
         F.count_if(~label_ok).alias("bad_labels"),
     ]
-    return df.agg(*aggs)
+    return aggs
+
+
+def _profile(df: DataFrame) -> DataFrame:
+    return df.agg(*profile_columns())
 
 
 def _null_rows(dataset: str, columns) -> list[list[Column]]:
@@ -198,26 +202,46 @@ def check_orders_in_base(orders: DataFrame, base: DataFrame, dataset: str = "ana
     ])
 
 
-def check_inventory(metrics: DataFrame, orders: DataFrame, base: DataFrame) -> DataFrame:
-    """Distinct metrics; Orders missing from orders (warning) or from the
-    base (critical); Orders rows inside metrics (warning, >50% critical)."""
+def inventory_columns() -> list[Column]:
+    """Aggregates of J9: rows, and how many of them are Orders rows."""
     is_orders = F.col("metric").cast(T.StringType()) == ORDERS_METRIC
+    return [F.count_if(is_orders).alias("k"), F.count(F.lit(1)).alias("rows")]
 
-    def inventory(df):
-        return df.agg(F.count_distinct("metric").alias("n"), F.count_if(is_orders).alias("k"), F.count(F.lit(1)).alias("rows"))
 
+def _inventory_rows(dataset: str) -> list[list[Column]]:
+    """J9 findings of one of the long tables from (n, k, rows)."""
     missing = lambda level: ((F.col("k") == 0).cast("long"), F.when(F.col("k") == 0, level).otherwise("ok"))
     share = F.col("k") / F.greatest(F.col("rows"), F.lit(1))
     inside = F.when(share > 0.5, "critical").when(F.col("k") > 0, "warning").otherwise("ok")
-    return _union([
-        _exploded(inventory(metrics), [
-            _row("metrics_long", "distinct_metrics", "", F.col("n"), F.lit("info")),
-            _row("metrics_long", "orders_rows_in_metrics", "", F.col("k"), inside)]),
-        _exploded(inventory(base), [
-            _row("analytics_base", "distinct_metrics", "", F.col("n"), F.lit("info")),
-            _row("analytics_base", "orders_metric_missing", "", *missing("critical"))]),
-        _exploded(inventory(orders), [_row("orders_long", "orders_metric_missing", "", *missing("warning"))]),
-    ])
+    distinct = _row(dataset, "distinct_metrics", "", F.col("n"), F.lit("info"))
+    return {
+        "metrics_long": [distinct, _row(dataset, "orders_rows_in_metrics", "", F.col("k"), inside)],
+        "analytics_base": [distinct, _row(dataset, "orders_metric_missing", "", *missing("critical"))],
+        "orders_long": [_row(dataset, "orders_metric_missing", "", *missing("warning"))],
+    }[dataset]
+
+
+def check_inventory(metrics: DataFrame, orders: DataFrame, base: DataFrame) -> DataFrame:
+    """Distinct metrics; Orders missing from orders (warning) or from the
+    base (critical); Orders rows inside metrics (warning, >50% critical)."""
+    tables = {"metrics_long": metrics, "analytics_base": base, "orders_long": orders}
+    counted = {name: df.agg(F.count_distinct("metric").alias("n"), *inventory_columns()) for name, df in tables.items()}
+    return _union([_exploded(counts, _inventory_rows(name)) for name, counts in counted.items()])
+
+
+# ---------------------------------------------------------------------------
+# The same findings from figures that a write has gathered on its way
+# ---------------------------------------------------------------------------
+def observed_columns() -> list[Column]:
+    """What to observe while a long table is written: J1–J3 and J9."""
+    metrics = F.size(F.collect_set("metric")).cast("long").alias("n")  # a short list of names
+    return [*profile_columns(), *inventory_columns(), metrics]
+
+
+def findings_of(figures: DataFrame, dataset: str) -> DataFrame:
+    """J1–J3 and J9 of a long table from one row of observed figures."""
+    rows = _null_rows(dataset, CRITICAL_FIELDS) + _week_rows(dataset) + _label_rows(dataset) + _inventory_rows(dataset)
+    return _exploded(figures, rows)
 
 
 def check_features(features: DataFrame, dataset: str = "metrics_features") -> DataFrame:

@@ -88,7 +88,9 @@ def _swap(folders: Folders, fresh: str, target: str) -> None:
         folders.delete(old)
 
 
-def replace_table(df: DataFrame, path: str, fmt: str, options: dict, partition_by=None, only_partitions: bool = False) -> list[str]:
+def replace_table(
+    df: DataFrame, path: str, fmt: str, options: dict, partition_by=None, only_partitions: bool = False
+) -> list[str]:
     """Write ``df`` and swap it in; returns the folders that were replaced.
 
     With ``only_partitions`` just the top-level partitions that ``df`` has rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,8 @@ def read_long_table(spark: SparkSession, path: str, kind: str = "metrics") -> Da
     return df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, only_partitions: bool = False) -> list[str]:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, only_partitions: bool = False,
+                observed: tuple[Observation, list[Column]] | None = None) -> list[str]:
     """A3: write a table (CSV with header, or Parquet); returns the folders replaced.
 
     The rows go to a staging folder and are swapped in when they are whole, so
@@ -73,10 +74,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     replaces just the top-level partitions that ``df`` has (a week that newly
     arrived), not the table. Rows are dealt out by the partition columns first,
     so that a folder gets few files; adaptive execution splits a folder that
-    outgrows a task.
+    outgrows a task. ``observed`` gathers figures of the rows in the tasks that
+    write them, so that they cost no further scan.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if observed is not None:
+        df = df.observe(observed[0], *observed[1])
     options = {"header": "true", "encoding": "UTF-8"} if fmt == "csv" else {}
     return replace_table(df, path, fmt, options, partition_by, only_partitions)
 
