@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 import numpy as np
 
 U = np.uint64
@@ -68,9 +71,79 @@ SEGMENT = 1 << 21
 def words_of(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of bytes, with each word's start and stop. Words are runs without the six white-space bytes.
 
-    Long texts are taken in segments that end at white space, so that the
-    working arrays stay small; a word longer than a segment stays whole.
+    These hashes are for features: two long words may be made to share one.
+    ``named_words`` tells words apart.
     """
+
+    def name(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return span_hash(prefix_sums((BYTES_FOLDED if fold else BYTES)[part]), start, stop)
+
+    return _words(data, name)
+
+
+def named_words(data: np.ndarray, key: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words_of``, with names by which words may be taken for equal.
+
+    A word of up to seven bytes is its own name (its bytes and length under a
+    bijection). A longer one has a keyed BLAKE2b of 64 bits; ``key`` is drawn
+    anew for each run (``new_key``), so that no text can be made for it.
+    """
+    seed = U(int.from_bytes(key[:8], "little"))
+
+    def name(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        part = FOLD[part] if fold else part
+        size = stop - start
+        names = np.zeros(len(start), U)
+        short = size <= OWN_NAME
+        n = size[short]
+        at = np.concatenate([part, np.zeros(OWN_NAME, np.uint8)])
+        packed = n.astype(U) << U(8 * OWN_NAME)
+        for i in range(OWN_NAME):
+            packed |= np.where(n > i, at[start[short] + i], 0).astype(U) << U(8 * i)
+        names[short] = mix(packed ^ seed)
+        text, known = part.tobytes(), _names_of(key)
+        long = np.flatnonzero(~short)
+        out = []
+        for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True):
+            word = text[a:b]
+            found = known.get(word)
+            if found is None:
+                found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+                if b - a <= 64:
+                    known[word] = found
+            out.append(found)
+        names[long] = np.array(out, U)
+        if len(known) > MOST_NAMES:
+            known.clear()
+        return names
+
+    return _words(data, name)
+
+
+#: Bytes up to which a word is its own name; words of at most 64 bytes whose names a worker remembers.
+OWN_NAME, MOST_NAMES = 7, 100_000
+
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] = FOLD[97:123]
+
+_NAMES: dict[bytes, dict[bytes, int]] = {}
+
+
+def new_key() -> bytes:
+    """A secret for one run of an operator; its tasks get it with their code."""
+    return os.urandom(16)
+
+
+def _names_of(key: bytes) -> dict[bytes, int]:
+    if key not in _NAMES:
+        _NAMES.clear()
+        _NAMES[key] = {}
+    return _NAMES[key]
+
+
+def _words(data: np.ndarray, name) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, starts and stops. Long texts are taken in segments that end at white space, so that
+    the working arrays stay small; a word longer than a segment stays whole."""
     parts: list[tuple] = []
     at = 0
     while at < len(data):
@@ -81,21 +154,17 @@ def words_of(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarr
                 stop = at + int(gap[-1]) + 1
                 break
             stop = min(len(data), stop + SEGMENT)
-        parts.append(_segment_words(data[at:stop], fold, at))
+        part = data[at:stop]
+        solid = np.concatenate([[False], ~SPACE[part], [False]])
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        first, last = edge[0::2], edge[1::2]
+        parts.append((name(part, first, last), first + at, last + at))
         at = stop
     if not parts:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def _segment_words(data: np.ndarray, fold: bool, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = np.concatenate([[False], ~SPACE[data], [False]])
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    start, stop = edge[0::2], edge[1::2]
-    sums = prefix_sums((BYTES_FOLDED if fold else BYTES)[data])
-    return span_hash(sums, start, stop), start + at, stop + at
-
-
 def windows(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """Hash of every run of ``width`` items (empty if there are fewer)."""
     n = len(hashes) - width + 1

@@ -1,6 +1,7 @@
 """Near-duplicate documents by HyperMinHash, banding and verification.
 
-1. Every document's set of word runs is hashed. Its items are dealt into
+1. Every document's set of word runs is hashed, from names of the words
+   (``named_words``) under a key that is drawn for the run. Its items are dealt into
    buckets; a bucket keeps, of its least hash, the number of leading zeros and
    ten mantissa bits (16-bit register). 240 registers in 40 bands of six. A
    large set fills 240 buckets in one dealing; a small one is dealt several
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from zonepulse.llm.common import rows_named, stored, text_rows, with_row_id, worker_state
 from zonepulse.llm.components import components
-from zonepulse.llm.hashing import MIX1, MIX2, U, mix, shingle_set, words_of
+from zonepulse.llm.hashing import MIX1, MIX2, U, mix, named_words, new_key, shingle_set
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
@@ -133,13 +134,13 @@ def set_hashes(items: np.ndarray) -> tuple[int, int]:
     return int(np.array([hi]).view(np.int64)[0]), int(np.array([lo]).view(np.int64)[0])
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, width: int, key: bytes) -> Iterator[tuple[int, np.ndarray]]:
     for i, text in enumerate(batch.column("text")):
         data = np.frombuffer(text.as_buffer() or b"", np.uint8)
-        yield i, shingle_set(words_of(data, fold=True)[0], width)
+        yield i, shingle_set(named_words(data, key, fold=True)[0], width)
 
 
-def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, width: int, key: bytes, id_col: str, text_col: str) -> DataFrame:
     """row_id, doc_id, text_md5, n_shingles, set_hi, set_lo, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sizes, names, bands = [], [], []
-                for _, items in _sets(batch, width):
+                for _, items in _sets(batch, width, key):
                     sizes.append(len(items))
                     names.append(set_hashes(items))
                     keys = [band_keys(registers(items, p), p) for p in powers_of(len(items))] if len(items) else []
@@ -170,7 +171,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return with_row_id(text_rows(docs, id_col, text_col).withColumn("text_md5", F.md5("text")).mapInArrow(run, kind))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, key: bytes, id_col: str, text_col: str) -> DataFrame:
     """rep, items: the whole sets of the representatives in ``wanted`` (column rep), read from the texts again."""
     named = reps.join(wanted.select("rep").distinct(), "rep").select("rep", F.col("doc_id").alias("rep_doc"), "set_hi", "set_lo")
     texts = text_rows(docs, id_col, text_col).join(named, F.col("doc_id").eqNullSafe(F.col("rep_doc"))).drop("rep_doc", "doc_id")
@@ -182,7 +183,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, i
                 batch = whole.slice(at, 256)
                 names = list(zip(batch.column("set_hi").to_pylist(), batch.column("set_lo").to_pylist(), strict=True))
                 # rows that share an id have other sets; only the representative's own set is taken
-                out = [(i, s.tobytes()) for i, s in _sets(batch, width) if set_hashes(s) == names[i]]
+                out = [(i, s.tobytes()) for i, s in _sets(batch, width, key) if set_hashes(s) == names[i]]
                 yield pa.RecordBatch.from_pydict(
                     {"rep": batch.column("rep").take(pa.array([i for i, _ in out], pa.int64())), "items": pa.array([s for _, s in out], pa.binary())}
                 )
@@ -191,10 +192,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, width: int, i
     return stored(full, "sets")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, key: bytes, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links among ``pairs`` (a, b: representatives): estimated, then counted on the full sets."""
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    full = full_sets(docs, ends, reps, width, id_col, text_col)
+    full = full_sets(docs, ends, reps, width, key, id_col, text_col)
     both = pairs.join(full.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a").join(
         full.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b"
     )
@@ -213,7 +214,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, per
 
 
 def linked_across(
-    docs: DataFrame, mixed: DataFrame, reps: DataFrame, width: int, percent: int, block_bytes: int, id_col: str, text_col: str
+    docs: DataFrame, mixed: DataFrame, reps: DataFrame, width: int, secret: bytes, percent: int, block_bytes: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Links across components inside bands: enough of them to join what is linked.
 
@@ -236,7 +237,7 @@ def linked_across(
     columns = ("key", "rep", "component")
     left = rows.where("component <> big").select(*columns, F.lit(0).alias("side"), own("lefts").alias("left"), every("rights").alias("right"))
     right = rows.select(*columns, F.lit(1).alias("side"), own("rights").alias("right"), every("lefts").alias("left"))
-    sets = full_sets(docs, mixed, reps, width, id_col, text_col)
+    sets = full_sets(docs, mixed, reps, width, secret, id_col, text_col)
     task = ("key", "left", "right")
     dealt = left.unionByName(right).join(sets, "rep").repartition(*task).sortWithinPartitions(*task, "side")
 
@@ -332,7 +333,8 @@ def near_dedup(
     docs: DataFrame, width: int = 5, percent: int = 80, block_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_md5, stays (the one row of the component that stays)."""
-    signed = stored(signatures(docs, width, id_col, text_col), "signatures")
+    key = new_key()
+    signed = stored(signatures(docs, width, key, id_col, text_col), "signatures")
     name = ["set_hi", "set_lo", "n_shingles"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     classes = signed.where("n_shingles > 0").groupBy(*name).agg(first)
@@ -345,7 +347,7 @@ def near_dedup(
     votes = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
     best = votes.groupBy("rep").agg(F.max(F.struct("n", "leader")).alias("best"))
     pairs = stored(best.select(F.col("best.leader").alias("a"), F.col("rep").alias("b")), "first-pairs")
-    links = verified(docs, pairs, classes, width, percent, id_col, text_col)
+    links = verified(docs, pairs, classes, width, key, percent, id_col, text_col)
     found = components(links)
 
     named = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -353,7 +355,7 @@ def near_dedup(
     )
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = named.join(spread, "key").join(classes.select("rep", "n_shingles"), "rep")
-    more = linked_across(docs, stored(mixed, "mixed-bands"), classes, width, percent, block_bytes, id_col, text_col)
+    more = linked_across(docs, stored(mixed, "mixed-bands"), classes, width, key, percent, block_bytes, id_col, text_col)
     found = components(links.unionByName(more))
 
     nodes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

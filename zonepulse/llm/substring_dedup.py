@@ -11,8 +11,9 @@ removed.
 
 An occurrence is later if the same words also start in a smaller doc_id, or
 earlier in the same document; all is judged on the input. Words are runs
-without the six white-space bytes and are compared by 64-bit hashes, windows
-by two of them (seed and window).
+without the six white-space bytes and are compared by names (``named_words``:
+their own bytes, or from eight bytes on a BLAKE2b under a key drawn for the
+run), windows by two 64-bit hashes of the names.
 
 Defined results. Null and empty texts have no words and the digest of the empty
 text. Rows that repeat a doc_id and its text count as one document: none is
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,19 @@ from pyspark.sql import functions as F
 
 from zonepulse.llm.anchors import KEY, anchor_table, covered, keyed, marked_ranges, same_document, windows_of
 from zonepulse.llm.common import stored, text_rows, worker_state
-from zonepulse.llm.hashing import words_of
+from zonepulse.llm.hashing import named_words, new_key
 
 LAST = 2**63 - 1
 
 
-def _word_hashes(data: np.ndarray) -> np.ndarray:
-    return words_of(data)[0]
+def _word_names(data: np.ndarray, key: bytes) -> np.ndarray:
+    return named_words(data, key)[0]
 
 
 def repeated_ranges(texts: DataFrame, length: int, seed: int) -> DataFrame:
     """doc_id, text_hash, ranges: the later windows of each document."""
-    found = anchor_table(texts, _word_hashes, length, seed)
+    key = new_key()
+    found = anchor_table(texts, partial(_word_names, key=key), length, seed)
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "start")
     classes = found.groupBy("seed", "context").agg(F.min(place).alias("first"))
     classes = stored(classes, "classes")
@@ -60,7 +63,7 @@ def repeated_ranges(texts: DataFrame, length: int, seed: int) -> DataFrame:
         worker_state("substring_dedup")
         for batch in batches:
             for i in range(batch.num_rows):
-                items = _word_hashes(np.frombuffer(batch.column("text")[i].as_buffer() or b"", np.uint8))
+                items = _word_names(np.frombuffer(batch.column("text")[i].as_buffer() or b"", np.uint8), key)
                 ranges = batch.column("ranges")[i].values
                 counts = ranges.field("n").to_numpy().astype(np.int64)
                 at, high, low = windows_of(items, ranges.field("start").to_numpy(), counts, length)
