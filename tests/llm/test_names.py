@@ -41,11 +41,13 @@ def test_names_do_not_depend_on_segments():
         hashing.SEGMENT = before
 
 
-def test_names_stay_right_when_the_memory_is_full(monkeypatch):
-    monkeypatch.setattr(hashing, "MOST_NAMES", 10)
-    text = prose(5, 600)
-    found = dict(zip(brute.words(text), names(text), strict=True))
-    assert names(text) == [found[w] for w in brute.words(text)]
+def test_words_of_every_length_have_their_own_names():
+    words = {prose(n, 40).replace(" ", "")[:n] for n in range(1, 90)}
+    words |= {w[:k] + "#" + w[k + 1 :] for w in list(words) for k in range(len(w))} | {w + "\x00" for w in words}
+    text = " ".join(sorted(words)) + "x"  # the last word ends at the end of the text
+    assert len(set(names(text))) == len(set(brute.words(text)))
+    assert names(text[:-1])[:-1] == names(text)[:-1]
+    assert names(text + " " + text) == names(text) * 2
 
 
 def colliding_rows():

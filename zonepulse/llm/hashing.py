@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -85,48 +86,57 @@ def named_words(data: np.ndarray, key: bytes, fold: bool = False) -> tuple[np.nd
     """As ``words_of``, with names by which words may be taken for equal.
 
     A word of up to seven bytes is its own name (its bytes and length under a
-    bijection). A longer one has a keyed BLAKE2b of 64 bits; ``key`` is drawn
-    anew for each run (``new_key``), so that no text can be made for it.
+    bijection). Up to 32 bytes a multilinear hash names it: two sums of its
+    four-byte pieces times secret 64-bit numbers, of which the upper halves are
+    taken; whatever two different words are, they share it with probability
+    2^-64. Longer words have a keyed BLAKE2b of 64 bits. ``key`` is drawn anew
+    for each run (``new_key``), so that no text can be made for it.
     """
-    seed = U(int.from_bytes(key[:8], "little"))
+    secrets = _secrets(key)
 
     def name(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         part = FOLD[part] if fold else part
         size = stop - start
-        names = np.zeros(len(start), U)
-        short = size <= OWN_NAME
-        n = size[short]
-        at = np.concatenate([part, np.zeros(OWN_NAME, np.uint8)])
-        packed = n.astype(U) << U(8 * OWN_NAME)
-        for i in range(OWN_NAME):
-            packed |= np.where(n > i, at[start[short] + i], 0).astype(U) << U(8 * i)
-        names[short] = mix(packed ^ seed)
-        text, known = part.tobytes(), _names_of(key)
-        long = np.flatnonzero(~short)
-        out = []
-        for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True):
-            word = text[a:b]
-            found = known.get(word)
-            if found is None:
-                found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
-                if b - a <= 64:
-                    known[word] = found
-            out.append(found)
-        names[long] = np.array(out, U)
-        if len(known) > MOST_NAMES:
-            known.clear()
+        padded = np.concatenate([part, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        piece = eight[start] & LOW_BYTES[np.minimum(size, 8)]
+        names = mix((piece | (size.astype(U) << U(56))) ^ secrets[0])
+        middle = np.flatnonzero(size > OWN_NAME)
+        if not len(middle):
+            return names
+        n, at, piece = size[middle], start[middle], piece[middle]
+        with np.errstate(over="ignore"):
+            one, two = (secrets[16 + 2 * k] + n.astype(U) * secrets[17 + 2 * k] for k in (0, 1))
+            for i in range(MIDDLE // 8):
+                if i:
+                    if not (n > 8 * i).any():
+                        break
+                    piece = eight[np.minimum(at + 8 * i, len(part))] & LOW_BYTES[np.clip(n - 8 * i, 0, 8)]
+                low, high = piece & U(0xFFFFFFFF), piece >> U(32)
+                one += low * secrets[2 * i] + high * secrets[2 * i + 1]
+                two += low * secrets[8 + 2 * i] + high * secrets[9 + 2 * i]
+        names[middle] = (one & U(0xFFFFFFFF00000000)) | (two >> U(32))
+        if n.max() <= MIDDLE:
+            return names
+        text = part.tobytes()
+        for i in np.flatnonzero(size > MIDDLE).tolist():
+            names[i] = int.from_bytes(hashlib.blake2b(text[start[i] : stop[i]], digest_size=8, key=key).digest(), "little")
         return names
 
     return _words(data, name)
 
 
-#: Bytes up to which a word is its own name; words of at most 64 bytes whose names a worker remembers.
-OWN_NAME, MOST_NAMES = 7, 100_000
+#: Bytes up to which a word is its own name, and up to which the multilinear hash names it.
+OWN_NAME, MIDDLE = 7, 32
+LOW_BYTES = np.array([2 ** (8 * n) - 1 for n in range(9)], U)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] = FOLD[97:123]
 
-_NAMES: dict[bytes, dict[bytes, int]] = {}
+@lru_cache(4)
+def _secrets(key: bytes) -> np.ndarray:
+    """Twenty 64-bit numbers drawn from the key."""
+    return np.frombuffer(b"".join(hashlib.blake2b(b"%d" % i, digest_size=8, key=key).digest() for i in range(20)), "<u8")
 
 
 def new_key() -> bytes:
@@ -134,13 +144,6 @@ def new_key() -> bytes:
     return os.urandom(16)
 
 
-def _names_of(key: bytes) -> dict[bytes, int]:
-    if key not in _NAMES:
-        _NAMES.clear()
-        _NAMES[key] = {}
-    return _NAMES[key]
-
-
 def _words(data: np.ndarray, name) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, starts and stops. Long texts are taken in segments that end at white space, so that
     the working arrays stay small; a word longer than a segment stays whole."""
