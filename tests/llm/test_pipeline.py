@@ -87,7 +87,7 @@ def test_stages_on_an_empty_table(spark, tmp_path, no_docs):
 @needs_data
 def test_run_is_registered(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 

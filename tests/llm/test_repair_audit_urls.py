@@ -9,14 +9,11 @@ from math import factorial
 import pyarrow as pa
 import pytest
 
-from scripts.compare_oracle import compare, oracle_connection
 from tests.llm import brute
 from tests.llm.conftest import documents, edge_rows, same_rows
 from zonepulse.llm import conversation_repair as cr
 from zonepulse.llm import filter_audit, url_filter
 
-SF = "/root/testdata/sf0.01"
-
 # ---- conversations ---------------------------------------------------------------------------------------------------
 
 CONV = "conv_id long, turn long, role string, text string, copies string, at string, first string, rows string, conv_key string, digest string"
@@ -316,12 +313,3 @@ def test_no_pages_or_no_rules(spark):
         url_filter.judge(one, [("deny", "a.org", "/")])
     with pytest.raises(ValueError):
         url_filter.judge(one, [], default="maybe")
-
-
-# ---- queries ---------------------------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_filter_audit", "op13_url_filters"])
-def test_query_matches_sql(spark, name):
-    line, ok = compare(spark, oracle_connection(SF), name, SF)
-    assert ok, line
