@@ -77,10 +77,37 @@ BODIES = [
         '<section id="readerComments"><article class="comment"><p>A comment, longer than the text of the page, with marks; and more.</p></article></section></main>',
         "Title\nText, of some length; with marks.",
     ),
+    (
+        '<article><h1>Head</h1><p>Opening, of some length; with marks.</p><section id="discussion"><h2>Discussion</h2><p>What it means, at length; with marks.</p></section>'
+        '<h2 id="related-work">Related work</h2><p>Others did it, too; with marks.</p><h2 id="search-methods">Search methods</h2><p class="menu">Soup, bread, and salt; a full menu.</p>'
+        '<div class="legal-notice-law"><p>The law asks for a notice, in writing; always.</p></div><h2>Sources</h2><ul><li><a href="a">First source</a></li><li><a href="b">Second source</a></li></ul>'
+        '<div class="notice"><p>Our terms changed, please read them, all of them.</p></div><div class="related-posts"><p>Another post, as long as this one; really.</p></div></article>',
+        "Head\nOpening, of some length; with marks.\nDiscussion\nWhat it means, at length; with marks.\nRelated work\nOthers did it, too; with marks.\nSearch methods\n"
+        "Soup, bread, and salt; a full menu.\nThe law asks for a notice, in writing; always.\nSources\nFirst source\nSecond source",
+    ),
+    (
+        "<article><p>One, with marks; here. <button><div>Buy now!</div></button> Two.</p><p>Three, with marks. <noscript><div>No script</div></noscript></p><p>Four, yes. <svg><text>Label</text><p>x</p></svg></p>"
+        '<p>Five, too. <object><p>Plug-in</p></object></p><p>Six, with marks; <span class="ad"><div>Cheap!</div></span> end.</p><select><option>Pick<p>one</select><p>Seven, at last.</p></article>',
+        "One, with marks; here.\nTwo.\nThree, with marks.\nFour, yes.\nFive, too.\nSix, with marks;\nend.\nSeven, at last.",
+    ),
     ("<article></article>", ""),
     ("<article><p>One</p></article>", "One"),
 ]
 
+NAMES = [
+    ("p", 'class="menu"', True), ("h2", 'id="comments-on-kant"', True), ("section", 'id="commentary"', True), ("section", 'id="recommendations"', True), ("div", 'class="related-work"', True),
+    ("section", 'id="cookie-recipes"', True), ("div", 'class="notice"', False), ("div", 'class="site-notice notice--warning"', False), ("div", 'class="cookie-notice"', False), ("p", 'class="notice"', False),
+    ("section", 'id="comments"', False), ("div", 'id="disqus_thread"', False), ("div", 'class="newsletter-signup"', False), ("div", 'class="ad"', False), ("div", 'class="comment-list"', False),
+    ("div", 'role="navigation"', False), ("ul", 'class="tags"', False), ("div", 'class="related-links"', False),
+]
+
+
+@pytest.mark.parametrize(("tag", "names", "kept"), NAMES)
+def test_names_inside_an_article(tag, names, kept):
+    page = PAGE % f"<article><p>Before it, with marks; some.</p><{tag} {names}>Inside, of some length; with marks.</{tag}><p>After it, with marks; some.</p></article>"
+    assert ("Inside" in html_extract.main_text(page)) == kept
+    assert html_extract.main_text(page).replace("Inside, of some length; with marks.\n", "") == "Before it, with marks; some.\nAfter it, with marks; some."
+
 
 def test_pages(spark):
     rows = [(n, f"http://x/{n}", PAGE % body) for n, (body, _) in enumerate(BODIES)]

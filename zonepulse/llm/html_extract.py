@@ -3,7 +3,12 @@
 A page is read once into blocks: the text between the starts and ends of block
 elements, with the path of tags from the root to it. Blocks below elements
 that say what they are (navigation, footers, asides, forms, adverts, notices,
-comments, hidden parts) are put aside. For each tag path the page's blocks are
+comments, hidden parts) are put aside. Outside article and main any such word of
+a class or id counts. Inside them names also tell what the text is about (an id
+made from a heading, a class "menu" on a paragraph): there a subject word counts
+only as the last word of a name, layout words left out ("related-posts", but not
+"related-work"), never on headings and sections by their id; on other elements
+an id of this kind halves the score of its paths. For each tag path the page's blocks are
 added up: characters, punctuation marks, blocks, characters in links. A path's
 text ratio (characters a block) and punctuation ratio (marks a block) are
 smoothed over the paths in page order by a Gaussian, fused into one score, less
@@ -14,7 +19,8 @@ is widened to the article, and all blocks of named parts inside are taken;
 where most lies outside them, articles are cards or the like: the least element
 around the marked blocks outside is the main part, and of named parts inside it
 those are taken whose text is mostly marked. Blocks stay in page order, apart
-from those put aside and from blocks that are mostly links.
+from those put aside. Blocks that are mostly links (lists of sources, say) stay
+in an article after its first other block; elsewhere only between other blocks.
 
 Pages are independent rows: no shuffle, one page in memory at a time.
 
@@ -59,15 +65,30 @@ CLOSES = {
     "tfoot": {"tbody", "tr", "td", "th"},
 }
 #: Elements that an implied end does not reach through.
-WALLS = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote".split())
-#: Words of a class or id that mark what is not the article.
+WALLS = SILENT | frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote dialog fieldset details figure menu td th".split())
+#: What may stand in a page's head; anything else ends it.
+IN_HEAD = frozenset("title style script noscript template object base link meta".split())
+#: Words of a class or id that mark what is not the article, wherever they stand.
 HINTS = frozenset(
-    "ad ads adv alert alerts announcement banner captcha consent copyright discussion disqus dialog feedback gdpr guestbook header login masthead menu modal nav notice notices "
-    "notification outbrain overlay pagination pager paywall reactions related replies reply respond responses search share sharing signup skip social taboola tags talkback "
-    "teaser toolbar topbar trending widget".split()
+    "ad ads adv banner captcha comment commenter comments commentlist commenting consent disqus gdpr guestbook login masthead modal nav outbrain overlay pager pagination "
+    "paywall share sharing signup skip social taboola toolbar".split()
 )
 #: Beginnings of such words.
-STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "navig", "newsletter", "popup", "promo", "recommend", "sidebar", "sponsor", "subscri")
+STEMS = ("advert", "breadcrumb", "cookie", "footer", "navbar", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
+#: Words that do so, but may also be what an article is about.
+SUBJECTS = frozenset(
+    "alert alerts announcement copyright dialog discussion feedback header menu notice notices notification reactions related replies reply respond responses search tags "
+    "talkback teaser topbar trending widget navigation navig recommend recommended recommendation recommendations".split()
+)
+#: Those of them that also count on a paragraph or a list item.
+NOTES = frozenset("alert alerts announcement copyright notice notices notification tags teaser".split())
+#: Words that tell the layout of a name's last word, not its kind.
+LAYOUT = frozenset(
+    "area articles bar block bottom box button buttons container content form icons inner items left links list module outer panel pages post posts right row section stories "
+    "text top widget wrap wrapper info warning".split()
+)
+#: Elements that hold text, not parts of a page.
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(".,;:!?…،。，！？；：、")
 CUT_TAG = re.compile(r"<(?:[a-zA-Z/][^<>]*|!--(?:(?!-->).)*|![^<>]*)\Z", re.S)
@@ -77,10 +98,11 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 class Element:
     """An open or closed element: what the selection needs of the tree."""
 
-    __slots__ = ("aside", "depth", "main", "parent", "path", "tag")
+    __slots__ = ("aside", "depth", "main", "parent", "path", "tag", "weight")
 
-    def __init__(self, tag: str, parent: Element | None, path: int, aside: bool, main: bool):
-        self.tag, self.parent, self.path, self.aside, self.main = tag, parent, path, aside, main
+    def __init__(self, tag: str, parent: Element | None, path: int, weight: float, main: bool):
+        self.tag, self.parent, self.path, self.weight, self.main = tag, parent, path, weight, main
+        self.aside = weight == 0
         self.depth = 0 if parent is None else parent.depth + 1
 
 
@@ -92,21 +114,46 @@ class Block:
         self.marks = sum(map(MARKS.__contains__, text))
 
 
-def _apart(tag: str, attrs: dict[str, str | None], parent: Element) -> bool:
-    """Whether an element says that it is not part of the article."""
+def _hinted(word: str) -> bool:
+    return word in HINTS or word.startswith(STEMS)
+
+
+def _kinds(names: str) -> list[str]:
+    """The word of each name that tells its kind: the last one, layout words and modifiers left out."""
+    kinds = []
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name.split("--")[0])]
+        while len(words) > 1 and words[-1] in LAYOUT:
+            words.pop()
+        kinds += words[-1:]
+    return kinds
+
+
+def _apart(tag: str, attrs: dict[str, str | None], parent: Element) -> float:
+    """The weight that an element's own words leave to its text: 0 for what is not part of the article."""
     if tag in ASIDE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "") in ROLES:
-        return True
+        return 0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
-        return True
+        return 0
     if tag == "header" and not parent.main:
-        return True
+        return 0
     if tag in ("html", "body", "main"):
-        return False
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        return 1
+    classes, name = attrs.get("class") or "", attrs.get("id") or ""
     # an article's names may tell what it has, not what it is
-    words = names.split() if tag == "article" else WORDS.findall(names)
-    # the article's own header is part of it
-    return any((w in HINTS or w.startswith(STEMS)) and not (w == "header" and parent.main) for w in map(str.lower, words))
+    words = [w.lower() for w in (f"{classes} {name}".split() if tag == "article" else WORDS.findall(classes))]
+    if not parent.main:
+        words += [w.lower() for w in WORDS.findall(name)] if tag != "article" else []
+        return 0 if any(_hinted(w) or w in SUBJECTS or w.startswith(("comment", "navig", "recommend")) for w in words) else 1
+    if any(map(_hinted, words)):
+        return 0
+    if tag not in HEADINGS and any(k in (NOTES if tag in TEXTUAL else SUBJECTS) and k != "header" for k in _kinds(classes)):
+        return 0
+    titled = tag in TEXTUAL or tag in ("section", "article")  # such ids are often made from a title
+    kinds = _kinds(name) if tag not in HEADINGS else []
+    if any(map(_hinted, kinds if titled else [w.lower() for w in WORDS.findall(name)])):
+        return 0
+    return 0.5 if not titled and any(k in SUBJECTS and k != "header" for k in kinds) else 1
 
 
 class Page(HTMLParser):
@@ -114,8 +161,8 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.paths: dict[tuple[int, str], int] = {}
-        self.root = Element("", None, 0, False, False)
+        self.paths: dict[tuple[int, str, float], int] = {}
+        self.root = Element("", None, 0, 1, False)
         self.open = [self.root]
         self.blocks: list[Block] = []
         self.parts: list[str] = []
@@ -131,9 +178,10 @@ class Page(HTMLParser):
 
     def push(self, tag: str, attrs: dict[str, str | None]) -> None:
         parent = self.open[-1]
-        path = self.paths.setdefault((parent.path, tag), len(self.paths) + 1)
+        weight = parent.weight and min(parent.weight, _apart(tag, attrs, parent))
+        path = self.paths.setdefault((parent.path, tag, weight), len(self.paths) + 1)
         main = parent.main or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        self.open.append(Element(tag, parent, path, parent.aside or _apart(tag, attrs, parent), main))
+        self.open.append(Element(tag, parent, path, weight, main))
 
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
@@ -147,7 +195,8 @@ class Page(HTMLParser):
             if tag in tags:
                 self.pop_to(depth)
                 return
-            if tag in WALLS:
+            # what is put aside keeps what starts in it
+            if tag in WALLS or (self.open[depth].aside and not self.open[depth - 1].aside):
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -156,6 +205,8 @@ class Page(HTMLParser):
                 self.flush()
             self.parts.append(" ") if self.parts else None
             return
+        if tag not in IN_HEAD and self.open[-1].tag == "head":
+            self.pop_to(len(self.open) - 1)
         if tag not in INLINE:
             self.flush()
             self.close_implied(CLOSES.get(tag, set()) | ({"p"} | HEADINGS if tag not in SILENT else set()))
@@ -182,6 +233,8 @@ class Page(HTMLParser):
                 return
             if tag in INLINE and self.open[depth].tag not in INLINE:
                 return  # an end without a start inside this block
+            if tag in TEXTUAL and self.open[depth].tag in SILENT:
+                return  # an end without a start inside what is not read
 
     def handle_data(self, data):
         if self.silent:
@@ -231,7 +284,8 @@ def path_scores(blocks: list[Block], width: float = 1.0) -> dict[int, float]:
         return out
 
     fused = [math.sqrt(t * (1 + m)) for t, m in zip(smooth(text), smooth(marks), strict=True)]
-    return {p: f * (1 - min(1.0, sums[p][3] / sums[p][1])) for p, f in zip(paths, fused, strict=True)}
+    weight = {b.element.path: b.element.weight for b in blocks}
+    return {p: f * weight[p] * (1 - min(1.0, sums[p][3] / sums[p][1])) for p, f in zip(paths, fused, strict=True)}
 
 
 def around(elements: list[Element]) -> Element:
@@ -253,6 +307,12 @@ def whole_part(e: Element) -> Element:
     return e
 
 
+def in_article(e: Element) -> bool:
+    while e.parent is not None and e.tag != "article":
+        e = e.parent
+    return e.tag == "article"
+
+
 def main_text(html: str | None, strength: float = 0.5) -> str:
     """The article's blocks, joined by line ends. ``strength``: standard deviations below the mean score that a path may lie."""
     if not html:
@@ -287,8 +347,13 @@ def main_text(html: str | None, strength: float = 0.5) -> str:
                 part = whole_part(b.element)
                 balance[part] = balance.get(part, 0) + len(b.text) * (1 if b.element.path in content else -1)
         mine = [b for b in mine if not b.element.main or balance[whole_part(b.element)] > 0]
-    taken = [b for b in mine if inside(b.element) and (2 * b.links <= len(b.text) or b.element.path in content)]
-    return "\n".join(b.text for b in taken)
+    rest = [b for b in mine if inside(b.element) and (b.element.weight == 1 or b.element.path in content)]
+    plain = [n for n, b in enumerate(rest) if 2 * b.links <= len(b.text) or b.element.path in content]
+    if not plain:
+        return ""
+    taken = set(plain)
+    taken.update(n for n, b in enumerate(rest) if n > plain[0] and (n < plain[-1] or in_article(b.element)))
+    return "\n".join(b.text for n, b in enumerate(rest) if n in taken)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
