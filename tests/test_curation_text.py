@@ -144,3 +144,33 @@ def test_greedy_dedup_equals_a_plain_walk(spark):
     found = C.deduplicate(scored)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.insight_id for r in found.collect()) == sorted(stays)
+
+
+def test_many_terms_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcz .+(é") for _ in range(n))
+    rules = tuple((f"g{i}", tuple(w for w in (word(rng.randint(3, 7)) for _ in range(4000)) if w == " ".join(w.split()) and w.isascii())) for i in range(3))
+    rules = (*rules, ("few", ("(", "z+")))
+    texts = [word(rng.randint(0, 14)) for _ in range(600)] + [None, "", " \t", "(", "x" * 5000 + rules[2][1][0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = {r.id: r.term_tag for r in Tx.tag_business_terms(df, rules=rules, clarifications={}).select("id", "term_tag").collect()}
+    for i, t in enumerate(texts):
+        plain = " ".join((t or "").replace("é", "e").split())
+        assert found[i] == next((g for g, words in rules if any(w in plain for w in words)), None), t
+
+
+def test_fold_equals_unicode_decomposition(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3400), rng.randrange(0xF900, 0xFFFE), rng.randrange(0x1D400, 0x1F300)])) for _ in range(40))
+             for _ in range(300)] + ["\ue000\ufb01", "\ue000", "", None]
+    from zonepulse.functions.text import fold_accents
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = {r.id: r.n for r in df.select("id", fold_accents("t").alias("n")).collect()}
+    want = {i: t and "".join(c for c in unicodedata.normalize("NFKD", t) if c < "\x80") for i, t in enumerate(texts)}
+    assert got == want

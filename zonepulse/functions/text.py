@@ -2,14 +2,18 @@
 
 Whitespace follows Python's ``str.split()``/``strip()`` set exactly (one
 character class, valid in both Java and RE2 regex syntax). Accent folding
-(NFKD, then dropping non-ASCII) uses tables built from the Unicode
-decompositions of all characters.
+(NFKD, then dropping non-ASCII) uses tables of the characters that decompose,
+built on first use.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import unicodedata
+from functools import cache, reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,22 +24,27 @@ from zonepulse.functions.columns import col
 PY_WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _folds() -> tuple[dict[str, str], dict[str, str]]:
+# Stands for a character that is spelled with several letters (private use; a
+# text that holds it is only folded by the longer way).
+SPELLED = "\ue000"
+BEYOND_ASCII = r"[^\x{00}-\x{7F}]"
+
+
+@cache
+def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
     """What NFKD decomposition and dropping non-ASCII make of each character
     beyond ASCII: those that give one character, and those that give several.
-    (Characters that give none are left out; they are dropped at the end.)"""
+    (Characters that give none are left out; they are dropped at the end.)
+    Built when first asked for, from the characters that decompose at all."""
     one, several = {}, {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        ch = chr(cp)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if c < "\x80")
-        if plain:
-            (one if len(plain) == 1 else several)[ch] = plain
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.decomposition(ch):
+            plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if c < "\x80")
+            if plain:
+                (one if len(plain) == 1 else several)[ch] = plain
     return one, several
 
 
-ONE, SEVERAL = _folds()
-
-
 def py_strip(c) -> Column:
     return F.regexp_replace(col(c), f"^{PY_WS}+|{PY_WS}+$", "")
 
@@ -46,14 +55,17 @@ def py_squeeze(c) -> Column:
 
 
 def fold_accents(c) -> Column:
-    """NFKD, then ASCII only. Characters that give several letters (ligatures,
-    fractions, units) are looked up one by one, in texts that still hold a
-    character beyond ASCII after the simple ones are translated."""
-    simple = F.translate(col(c), "".join(ONE), "".join(ONE.values()))
-    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(simple, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    full = F.when(simple.rlike(r"[^\x{00}-\x{7F}]"), spelled).otherwise(simple)
-    return F.regexp_replace(full, r"[^\x{00}-\x{7F}]", "")
+    """NFKD, then ASCII only. Texts of ASCII stay as they are; in others the
+    simple characters are translated, and only texts with a character that
+    gives several letters (ligatures, fractions, units) are spelled out."""
+    text = col(c)
+    one, several = fold_tables()
+    simple = F.translate(text, "".join(one) + "".join(several), "".join(one.values()) + SPELLED * len(several))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda x: F.coalesce(F.when(x.rlike(BEYOND_ASCII), F.try_element_at(table, x)), x))
+    spelled = F.translate(F.array_join(letters, ""), "".join(one), "".join(one.values()))
+    full = F.when(simple.contains(SPELLED), spelled).otherwise(simple)
+    return F.when(text.rlike(BEYOND_ASCII), F.regexp_replace(full, BEYOND_ASCII, "")).otherwise(text)
 
 
 def normalize_for_match(c) -> Column:
@@ -61,11 +73,34 @@ def normalize_for_match(c) -> Column:
     return py_squeeze(F.lower(fold_accents(c)))
 
 
-def contains_any(c: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+def any_of(words) -> str:
+    """One pattern for all words (sorted, none the beginning of another), shared beginnings written once."""
+    if len(words) == 1:
+        return re.escape(words[0])
+    head = os.path.commonprefix([words[0], words[-1]])
+    arms = [any_of([w[len(head):] for w in group]) for _, group in groupby(words, key=lambda w: w[: len(head) + 1])]
+    return f"{re.escape(head)}(?:{'|'.join(arms)})"
+
+
+def contains_any(c: Column, words, most_tests: int = 8, pattern_chars: int = 12_000) -> Column:
+    """Whether the text holds any of the words as a substring. Up to
+    ``most_tests`` words are tested one by one; more are written as a tree of
+    shared beginnings, so that a place of the text is compared with the letters
+    that may follow there, not with each word. A pattern is a constant of the
+    generated code, hence of bounded length; neighbouring words share one."""
+    needed: list[str] = []
+    for w in sorted(set(words)):
+        if not needed or not w.startswith(needed[-1]):  # found wherever its beginning is
+            needed.append(w)
+    if len(needed) <= most_tests:
+        return reduce(lambda out, w: out | c.contains(w), needed, F.lit(False))
+    runs, size = [[]], 0
+    for w in needed:
+        if runs[-1] and size + len(w) > pattern_chars:
+            runs, size = [*runs, []], 0
+        runs[-1].append(w)
+        size += len(w)
+    return reduce(lambda out, run: out | c.rlike(any_of(run)), runs, F.lit(False))
 
 
 def mask_email(c) -> Column:

@@ -36,14 +36,16 @@ TERMS = (
 
 
 def _marked(conversations):
-    """Every seventh turn says that it is clarified already, every eleventh is blank."""
-    text = F.when(F.col("turn") % 7 == 6, F.concat("text", F.lit(" CLARIFICATION: given"))).when(
-        F.col("conv_id") % 11 == 10, F.lit(" \t ")).otherwise(F.col("text"))
-    return conversations.withColumn("text", text)
+    """All turns, every seventh says that it is clarified already; and a blank
+    turn more for each turn of every eleventh conversation."""
+    text = F.when(F.col("turn") % 7 == 6, F.concat("text", F.lit(" CLARIFICATION: given"))).otherwise(F.col("text"))
+    blank = conversations.where(F.col("conv_id") % 11 == 10).withColumn("text", F.lit(" \t "))
+    return conversations.withColumn("text", text).unionByName(blank)
 
 
 @register("term_tags", f"""
-src AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN text || ' CLARIFICATION: given' WHEN conv_id % 11 = 10 THEN ' ' || chr(9) || ' ' ELSE text END AS t FROM conversations),
+src AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN text || ' CLARIFICATION: given' ELSE text END AS t FROM conversations
+  UNION ALL SELECT conv_id, turn, ' ' || chr(9) || ' ' FROM conversations WHERE conv_id % 11 = 10),
 norm AS (SELECT conv_id, turn, {_strip('t')} AS o,
                 {_squeeze("lower(regexp_replace(strip_accents(t), '[^' || chr(1) || '-' || chr(127) || ']', '', 'g'))")} AS n FROM src),
 tagged AS (SELECT conv_id, turn, o,
