@@ -6,9 +6,10 @@ into their successor. Chunks are dealt out and pre-tokenised in parallel, each
 from its own start, which may lie inside a pre-token. The splitting pattern
 looks at most three characters ahead, so two neighbours fall in step soon after
 the later one's start; the first boundary that both have in the overlap is the
-cut. A cut must also stand before one plain space between two ASCII letters
-or digits, where a pre-token starts whatever lies around. Where neighbours have
-no such boundary in common, their chunks are joined. The pieces between cuts
+cut. A cut must also stand behind a letter or digit of any script and before
+either one plain space and a letter or digit, or a mark other than an
+apostrophe: the runs of the splitting pattern end there whatever lies around.
+Where neighbours have no such boundary in common, their chunks are joined. The pieces between cuts
 are encoded by the tiktoken library and put in order again; decoding joins
 the bytes of the ids.
 
@@ -20,19 +21,28 @@ strings are ordinary text.
 from __future__ import annotations
 
 import base64
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonepulse.llm.common import stored, text_rows, with_row_id, worker_state
 
-SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
+SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}]|[^\s\p{L}\p{N}'])")
+
+#: Kinds of characters as of Unicode 3.2: what was a letter or a mark then is one to every library since.
+KINDS = unicodedata.ucd_3_2_0.category
+
+
+def safe_cut(text: str, at: int) -> bool:
+    """Whether all libraries agree on the characters around a place that SAFE matches."""
+    return KINDS(text[at - 1])[0] in "LN" and (KINDS(text[at + 1])[0] in "LN" if text[at] == " " else KINDS(text[at])[0] in "PS")
 
 
 def encoding_of(blob: bytes, pattern: str):
@@ -48,10 +58,8 @@ def encoding_of(blob: bytes, pattern: str):
 
 def boundaries(text: str, pattern: str, start: int, stop: int, whole: bool) -> list[int]:
     """Starts of pre-tokens in [start, stop) that are also safe to cut at; the last three characters of a cut text count for nothing."""
-    import regex
-
     stop = min(stop, len(text) + 1 if whole else len(text) - 3)
-    safe = {m.start() for m in SAFE.finditer(text, max(0, start - 1), min(len(text), stop + 2))}
+    safe = {m.start() for m in SAFE.finditer(text, max(0, start), min(len(text), stop + 2)) if safe_cut(text, m.start())}
     found = []
     for m in regex.finditer(pattern, text):
         if m.start() >= stop:
@@ -67,7 +75,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     pattern: str = public_tokenizers.PATTERN,
-    chunk_chars: int = 32_768,
+    chunk_chars: int = 8_192,
     overlap: int = 512,
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
@@ -99,13 +107,24 @@ def encode(
 def _long_texts(long: DataFrame, run, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
     """Chunk, find boundaries, cut, encode and join the long texts."""
     n = long.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    last = F.floor((F.length("text") - 1) / chunk_chars).cast("int")
-    chunks = long.select("row_id", "doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk")).select(
-        "row_id",
-        "doc_id",
-        "chunk",
-        F.substring("text", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("text"),
-    )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column("text")[i].as_py()
+                for at in range(0, len(text), 256 * chunk_chars):
+                    starts = range(at, min(len(text), at + 256 * chunk_chars), chunk_chars)
+                    of = pa.array([i] * len(starts))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "row_id": batch.column("row_id").take(of),
+                            "doc_id": batch.column("doc_id").take(of),
+                            "chunk": pa.array([k // chunk_chars for k in starts], pa.int32()),
+                            "text": pa.array([text[k : k + chunk_chars + overlap] for k in starts], pa.string()),
+                        }
+                    )
+
+    chunks = long.select("row_id", "doc_id", "text").mapInArrow(deal, "row_id long, doc_id long, chunk int, text string")
     chunks = chunks.repartition(int(n), "row_id", "chunk")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
