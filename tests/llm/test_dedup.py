@@ -68,6 +68,20 @@ def test_equal_stretches_give_equal_chunks(spark):
     assert len(one & two) >= len(one) - 2
 
 
+@pytest.mark.parametrize(
+    ("letters", "between"),
+    [("ABDEILNORST", " "), ("0123456789", ""), ("абвгдежиклмнопрсту", " "), ("".join(map(chr, range(0x4E00, 0x4F00))), ""), ("אבגדהולמנרת", " "), ("abcdefghij", "")],
+    ids=["capitals", "digits", "cyrillic", "han", "hebrew", "lower case without spaces"],
+)
+def test_equal_stretches_of_any_script_give_equal_chunks(spark, letters, between):
+    rng = random.Random(4)
+    text = between.join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(5000))
+    frame = spark.createDataFrame([(text,), ("1" + letters[3] + text,)], "norm string")
+    one, two = (r[0] for r in frame.select(exact_dedup.chunk_list(F.col("norm"))).collect())
+    assert "".join(one) == text and all(1 <= len(c) <= 4096 for c in one)
+    assert len(set(one) & set(two)) >= len(set(one)) - 3 and len(one) > 10
+
+
 def family_rows(n=90):
     """Copies of one text with other edits each: some linked with each other, some with none."""
     rng = random.Random(3)

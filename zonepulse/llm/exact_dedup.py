@@ -25,8 +25,10 @@ from zonepulse.llm.common import rows_named, stored, text_rows, with_row_id
 #: White-space runs that are not one plain space already.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
-#: A chunk ends after 256 to 4,096 characters: at the first vowel, letter, space, early letter; else at 4,096.
-CHUNK = r"(?s).{256,4095}?[aeiou][a-zß-ÿ] (?=[a-d])|.{1,4096}"
+#: A chunk ends after 256 to 4,096 characters, at the first of: vowel, letter, space, early letter; a doubled
+#: character of any script but lower-case Latin letters, spaces and common marks; a doubled lower-case letter
+#: inside 48 of them without a space. Else at 4,096.
+CHUNK = r"(?s).{256,4094}?(?:[aeiou][a-zß-ÿ] (?=[a-d])|([^a-zß-ÿ\x20-\x2F])\1|([a-z])\2(?=[a-z]{46}))|.{1,4096}"
 
 
 def normalised(text: Column) -> Column:
