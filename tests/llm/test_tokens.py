@@ -148,3 +148,52 @@ def test_evolution_never_loses_to_best_fit():
     start = packing.founder(lengths, 100, None)
     grown = packing.evolve(lengths, [], 0, 0, 4, 30, 100)
     assert max(grown[0]) + 1 <= len(start)
+
+
+def test_evolution_beats_best_fit_where_it_errs():
+    import random
+
+    rng = random.Random(1)
+    thirds = []  # three to a sequence without a gap: 200 sequences are enough
+    for _ in range(200):
+        a = rng.randint(500, 900)
+        b = rng.randint(500, 2048 - a - 400)
+        thirds += [a, b, 2048 - a - b]
+    rng.shuffle(thirds)
+    pairs = [820] * 100 + [614] * 200  # best fit puts two of 820 together
+    for lengths, least in ((thirds, 200), (pairs, 100)):
+        alone = len(packing.founder(lengths, 2048, None))
+        islands = [[], []]
+        for epoch in range(2):
+            islands = [packing.evolve(lengths, p, i, epoch, 3, 40, 2048) for i, p in enumerate(islands)]
+            islands = [islands[0] + [islands[1][0]], islands[1] + [islands[0][0]]]
+        assert least <= min(max(p[0]) + 1 for p in islands) < alone
+        assert all(sum(lengths[i] for i in b) <= 2048 for b in packing.to_bins(islands[0][0]))
+
+
+SCRIPTS = {
+    "russian": "Кошка сидела на окне, и смотрела во двор; \"день\" был ясный. ",
+    "greek": "Η γάτα καθόταν στο παράθυρο και κοίταζε έξω (όλη μέρα). ",
+    "arabic": "جلست القطة على النافذة، ونظرت إلى الخارج طوال اليوم. ",
+    "chinese": "猫坐在窗边，看着外面的院子。天气很好！",
+    "japanese": "猫は窓辺に座って、外を見ていた。「いい天気だ」と言った。",
+    "hindi": "बिल्ली खिड़की पर बैठी थी, और बाहर देख रही थी। ",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_long_texts_of_any_script_are_cut(script):
+    text = SCRIPTS[script] * 40
+    cuts = bpe_codec.boundaries(text, P.PATTERN, 0, len(text), False)
+    assert len(cuts) > 30
+    import regex
+
+    whole = regex.findall(P.PATTERN, text)
+    for at in cuts:
+        assert regex.findall(P.PATTERN, text[:at]) + regex.findall(P.PATTERN, text[at:]) == whole
+
+
+def test_long_texts_of_any_script_are_encoded_as_a_whole(spark, encoding):
+    texts = [s * 60 for s in SCRIPTS.values()] + ["ab'sé don't.'s x'S " * 90, "字" * 3000, "a. " * 900 + "\n\n" * 400]
+    found = bpe_codec.encode(documents(spark, list(enumerate(texts))), chunk_chars=600, overlap=100).collect()
+    assert {r["doc_id"]: bytes(r["ids"]) for r in found} == {i: np.array(encoding.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts)}

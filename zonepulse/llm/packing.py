@@ -5,7 +5,9 @@ blocks of about ``block_items`` pieces by a hash. A block is evolved on several
 islands, each with a population of groupings; a grouping is a list of bins.
 Crossover injects a random half of one parent's well-filled bins into the
 other, drops the receiver's bins that hold a piece already placed and puts
-their other pieces back by best fit, longest first. After each epoch every
+their other pieces back by best fit, longest first or in a shaken order. An
+epoch ends at the lower bound of a block, or after eight children in a row
+without a better grouping. After each epoch every
 island's best grouping migrates to the next island of its block (a join of the
 stored populations). Fitness is the mean squared fill, so fewer and fuller
 bins win. The first individual of the first island starts as best-fit
@@ -172,10 +174,16 @@ def longest_first(items, lengths: list[int]) -> list[int]:
     return sorted(items, key=lambda i: (-lengths[i], i))
 
 
+def shaken(items, lengths: list[int], rng: random.Random) -> list[int]:
+    """Longest first, but with each length taken up to a quarter, a half or three quarters shorter."""
+    most = rng.choice((0.25, 0.5, 0.75))
+    return sorted(items, key=lambda i: -lengths[i] * (1 - most * rng.random()))
+
+
 def founder(lengths: list[int], capacity: int, rng: random.Random | None) -> list[list[int]]:
-    """Best-fit decreasing; with ``rng``, in an order shaken by up to a quarter of each length."""
+    """Best-fit decreasing; with ``rng``, in a shaken order."""
     order = range(len(lengths))
-    order = longest_first(order, lengths) if rng is None else sorted(order, key=lambda i: -lengths[i] * (1 - rng.random() / 4))
+    order = longest_first(order, lengths) if rng is None else shaken(order, lengths, rng)
     bins: list[list[int]] = []
     best_fit(bins, [], order, lengths, capacity)
     return bins
@@ -187,7 +195,7 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
 
 
 def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Whole well-filled bins of the giver, what they leave whole of the taker, displaced pieces by best fit."""
+    """Whole well-filled bins of the giver, what they leave whole of the taker, displaced pieces by best fit (longest first or shaken)."""
     good = [b for b in giver if sum(lengths[i] for i in b) >= 0.98 * capacity and rng.random() < 0.5]
     placed = {i for b in good for i in b}
     child, displaced = [list(b) for b in good], []
@@ -196,7 +204,8 @@ def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int]
             child.append(list(b))
         else:
             displaced += [i for i in b if i not in placed]
-    best_fit(child, [sum(lengths[i] for i in b) for b in child], longest_first(displaced, lengths), lengths, capacity)
+    order = longest_first(displaced, lengths) if rng.random() < 0.5 else shaken(displaced, lengths, rng)
+    best_fit(child, [sum(lengths[i] for i in b) for b in child], order, lengths, capacity)
     return child
 
 
@@ -215,21 +224,32 @@ def to_bins(labels: list[int]) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def evolve(lengths: list[int], population: list[list[int]], island: int, epoch: int, size: int, generations: int, capacity: int) -> list[list[int]]:
-    """The next population, best first."""
+def evolve(
+    lengths: list[int], population: list[list[int]], island: int, epoch: int, size: int, generations: int, capacity: int, stall: int = 8
+) -> list[list[int]]:
+    """The next population, best first.
+
+    Ends at the lower bound of the number of bins, after ``generations``, or
+    after ``stall`` of them in a row without a better best grouping. A child as
+    fit as a member of the population is that member again, or as good as it,
+    and is not taken, so that the population stays mixed.
+    """
     rng = random.Random(len(lengths) * 1_000_003 + island * 101 + epoch)
+    least, idle = -(-sum(lengths) // capacity), 0
     groups = [to_bins(p) for p in population]
-    while len(groups) < size:
+    while len(groups) < size and min(map(len, groups), default=least + 1) > least:
         groups.append(founder(lengths, capacity, None if island == 0 and not groups else rng))
-    score = lambda g: fitness(g, lengths, capacity)
-    groups.sort(key=score, reverse=True)
-    least = -(-sum(lengths) // capacity)
+    ranked = sorted(((fitness(g, lengths, capacity), g) for g in groups), key=lambda r: r[0], reverse=True)
     for _ in range(generations):
-        if len(groups[0]) == least:
+        if -ranked[0][0][0] == least or idle >= stall or len(ranked) < 2:
             break
-        a, b = rng.sample(groups, 2) if len(groups) > 1 else (groups[0], groups[0])
-        groups = sorted([*groups, crossover(a, b, lengths, capacity, rng)], key=score, reverse=True)[:size]
-    return [to_labels(g, len(lengths)) for g in groups[:size]]
+        (_, a), (_, b) = rng.sample(ranked, 2)
+        child = crossover(a, b, lengths, capacity, rng)
+        score, best = fitness(child, lengths, capacity), ranked[0][0]
+        if all(score != other for other, _ in ranked):
+            ranked = sorted([*ranked, (score, child)], key=lambda r: r[0], reverse=True)[:size]
+        idle = 0 if ranked[0][0] > best else idle + 1
+    return [to_labels(g, len(lengths)) for _, g in ranked[:size]]
 
 
 def _pack_blocks(items: DataFrame, n_blocks: int, capacity: int, islands: int, epochs: int, size: int, generations: int) -> DataFrame:
@@ -307,7 +327,7 @@ def pack(
     islands: int = 2,
     epochs: int = 2,
     size: int = 3,
-    generations: int = 3,
+    generations: int = 40,
     reopen: float = 0.97,
 ) -> DataFrame:
     """``items`` (uid long, length long of 1..capacity) placed: uid, sequence_id, offset."""
