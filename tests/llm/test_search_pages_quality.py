@@ -177,12 +177,25 @@ def test_views_teach_each_other():
     truth = (rng.random(400) < 0.5).astype(float)
     view = lambda t, noise: np.stack([t + rng.normal(0, noise, len(t)), rng.normal(size=len(t))], 1).astype(np.float32)
     text, meta, pool_text, pool_meta = view(y, 0.1), view(y, 0.6), view(truth, 0.1), view(truth, 0.6)
-    alone = quality.cotrain(text, meta, y, pool_text, pool_meta, 0, 0.9, 50)
-    taught = quality.cotrain(text, meta, y, pool_text, pool_meta, 3, 0.9, 50)
+    alone = quality.cotrain(text, meta, y, pool_text, pool_meta, 0, 50)
+    taught = quality.cotrain(text, meta, y, pool_text, pool_meta, 3, 50)
     fresh = (rng.random(2000) < 0.5).astype(float)
     seen = view(fresh, 0.1), view(fresh, 0.6)
     right = lambda model, v: ((model.scores(*seen)[v] > 0.5) == (fresh > 0.5)).mean()
     assert right(taught, 1) >= right(alone, 1) - 0.02 and right(taught, 2) > 0.95
+    assert [h[:2] for h in taught.handed] == [(n, v) for n in range(3) for v in ("text", "meta")]
+    assert all(good > 0 and bad > 0 and weight > 0 for *_, good, bad, weight in taught.handed)
+
+
+def test_a_view_that_knows_nothing_teaches_nothing_wrong():
+    rng = np.random.default_rng(1)
+    y, truth = (rng.random(300) < 0.8).astype(float), (rng.random(500) < 0.8).astype(float)
+    view = lambda t: np.stack([t + rng.normal(0, 0.2, len(t)), rng.normal(size=len(t))], 1).astype(np.float32)
+    noise = lambda t: rng.normal(size=(len(t), 3)).astype(np.float32)
+    model = quality.cotrain(view(y), noise(y), y, view(truth), noise(truth), 3, 60)
+    fresh = (rng.random(2000) < 0.8).astype(float)
+    for v in (0, 2):
+        assert ((model.scores(view(fresh), noise(fresh))[v] > 0.5) == (fresh > 0.5)).mean() > 0.95
 
 
 def test_calibration_of_separated_margins():

@@ -7,8 +7,12 @@ language, source and length as the table gives them.
 Training uses a bounded sample (``most_labelled`` labelled and ``most_pool``
 unlabelled rows, the smallest hashes of the ids). In each round both views are
 fitted anew (logistic regression), calibrated on a held-out fifth, and each
-hands its most confident pseudo-labels for pool rows to the other view; a view
-that is never confident hands over none. At last both views are calibrated and
+hands its most confident pseudo-labels for pool rows to the other view: the
+first ``per_round`` by rank (a tenth of a small pool), of both classes in
+proportion to the labels. A pseudo-label weighs as much as its giver's chance
+lies above the class's share, times how well the giver ranks the held-out rows
+(1 if certain and never wrong, nothing if it ranks them like a coin), so a weak
+view teaches only as much as it knows. At last both views are calibrated and
 combined (logistic, five folds), and every document is scored.
 
 Only the sample's features (about 2 kB a row) come to the driver; weights of a
@@ -18,7 +22,9 @@ Defined results. Null text is empty; null language or source is a value of its
 own; a null length counts as the text's. Documents with several labels take
 their mean, above a half being good. If the sample has fewer than two labels of one
 kind, nothing can be told apart and every document is kept, its score the share of
-good labels (1 if there are none). Repeated rows are scored each. An empty
+good labels (1 if there are none). Repeated rows are scored each; of rows that
+share an id, training takes the one with the smallest text, language, source
+and length. An empty
 table gives an empty result. Extra columns are not read.
 """
 
@@ -26,7 +32,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,15 +130,18 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> Logistic:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25, trust: np.ndarray | None = None) -> Logistic:
+        """``trust`` weighs the rows; both classes weigh the same in sum."""
         x = x.astype(np.float64)
+        trust = np.ones(len(y)) if trust is None else trust
         mean, scale = x.mean(0), x.std(0)
         scale[scale < 1e-6] = np.inf  # a constant column says nothing
         z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
         w = np.zeros(z.shape[1])
         ridge = np.full(len(w), penalty)
         ridge[-1] = 1e-6
-        balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+        share = (trust * y).sum() / trust.sum()
+        balance = trust * np.where(y > 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             gradient = z.T @ (balance * (p - y)) + ridge * w
@@ -181,13 +191,14 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
 
 @dataclass
 class Model:
-    """Two calibrated views and their combination."""
+    """Two calibrated views and their combination; ``handed``: per round and view, how many good and bad labels it gave, and their weight."""
 
     text: Logistic
     meta: Logistic
     text_platt: tuple[float, float]
     meta_platt: tuple[float, float]
     combination: np.ndarray
+    handed: list[tuple[int, str, int, int, float]] = field(default_factory=list)
 
     def view_logits(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         a = self.text_platt[0] * self.text.margin(text) + self.text_platt[1]
@@ -199,6 +210,15 @@ class Model:
         return sigmoid(views[:, 0]), sigmoid(views[:, 1]), sigmoid(views @ self.combination)
 
 
+def rank_skill(margin: np.ndarray, y: np.ndarray) -> float:
+    """How much more often a good row lies above a bad one than below: 1 always, 0 like a coin or worse (ties count half)."""
+    good, bad = margin[y > 0.5], np.sort(margin[y < 0.5])
+    if not len(good) or not len(bad):
+        return 0.0
+    above, not_below = np.searchsorted(bad, good, "left"), np.searchsorted(bad, good, "right")
+    return max(0.0, float((above + not_below).sum() / (len(good) * len(bad)) - 1))
+
+
 FOLDS = 5
 
 
@@ -212,33 +232,43 @@ def folds_of(y: np.ndarray) -> np.ndarray:
 
 
 def cotrain(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int, sure: float, per_round: int
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int, per_round: int
 ) -> Model:
-    """Fit both views over rounds in which each teaches the other what it is sure of.
+    """Fit both views over rounds in which each teaches the other what it is most sure of.
 
     In the rounds the first fold is held out for calibration. At the end the
     views are fitted on all labelled rows; calibration and combination use
     the margins that each row gets from a fit without its fold.
     """
     fold = folds_of(y)
-    # labels that the other view gave: row of the pool -> 0 or 1
-    given: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    views, pools = (text, meta), (pool_text, pool_meta)
+    # labels that the other view gave: row of the pool -> label and weight
+    given: tuple[dict[int, tuple[int, float]], dict[int, tuple[int, float]]] = ({}, {})
+    views, pools, handed = (text, meta), (pool_text, pool_meta), []
 
     def fitted(v: int, use: np.ndarray) -> Logistic:
         rows = sorted(given[v])
-        return Logistic.fit(np.vstack([views[v][use], pools[v][rows]]), np.concatenate([y[use], [given[v][r] for r in rows]]))
+        told, trust = (np.array([given[v][r][k] for r in rows], np.float64) for k in (0, 1))
+        x = np.vstack([views[v][use], pools[v][rows]])
+        return Logistic.fit(x, np.concatenate([y[use], told]), trust=np.concatenate([np.ones(use.sum()), trust]))
 
-    for _ in range(rounds):
-        chance = []
+    for turn in range(rounds):
+        chance, skill = [], []
         for v in (0, 1):
             model = fitted(v, fold > 0)
-            slope, shift = platt(model.margin(views[v][fold == 0]), y[fold == 0])
+            held = model.margin(views[v][fold == 0])
+            slope, shift = platt(held, y[fold == 0])
+            skill.append(rank_skill(held, y[fold == 0]))
             chance.append(sigmoid(slope * model.margin(pools[v]) + shift))
         for v in (0, 1):
-            for label, p in ((1, chance[v]), (0, 1 - chance[v])):
-                best = [r for r in np.argsort(-p, kind="stable")[: per_round + len(given[1 - v])] if p[r] >= sure and r not in given[1 - v]]
-                given[1 - v].update({int(r): label for r in best[:per_round]})
+            counts, weight = [], 0.0
+            for label, p, share in ((1, chance[v], y.mean()), (0, 1 - chance[v], 1 - y.mean())):
+                wanted = max(1, round(min(per_round, len(p) / 10) * share))
+                free = (int(r) for r in np.argsort(-p, kind="stable") if p[r] > share and int(r) not in given[1 - v])
+                taken = {r: (label, skill[v] * float((p[r] - share) / (1 - share))) for r in islice(free, wanted)}
+                given[1 - v].update(taken)
+                counts.append(len(taken))
+                weight += sum(w for _, w in taken.values())
+            handed.append((turn, ("text", "meta")[v], counts[0], counts[1], weight))
 
     calibrated, logits = [], []
     for v in (0, 1):
@@ -254,7 +284,7 @@ def cotrain(
     w = slope * joint.weights[:-1] / joint.scale
     rest = slope * (joint.weights[-1] - (joint.weights[:-1] / joint.scale * joint.mean).sum()) + shift
     every = np.ones(len(y), bool)
-    return Model(fitted(0, every), fitted(1, every), calibrated[0], calibrated[1], np.array([w[0], w[1], rest]))
+    return Model(fitted(0, every), fitted(1, every), calibrated[0], calibrated[1], np.array([w[0], w[1], rest]), handed)
 
 
 def _rows(docs: DataFrame, id_col: str) -> DataFrame:
@@ -276,7 +306,7 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-    most_labelled: int = 6000, most_pool: int = 3000, rounds: int = 3, sure: float = 0.98, per_round: int = 300,
+    most_labelled: int = 6000, most_pool: int = 3000, rounds: int = 3, per_round: int = 300,
 ) -> Model | float:
     """The model, or the share of good labels if only one kind is there. The sample is bounded by the two ``most``."""
     rows = _rows(docs, id_col)
@@ -304,7 +334,8 @@ def train(
                 )
 
     # the sample has at most most_labelled + most_pool rows
-    picked = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    row = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    picked = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(row).select("doc_id", "label", "row.*")
     made = picked.mapInArrow(run, "doc_id long, label int, text binary, meta binary").orderBy("doc_id").collect()
     table = lambda rows, c: np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(len(rows), -1)
     known, free = [r for r in made if r["label"] is not None], [r for r in made if r["label"] is None]
@@ -313,7 +344,7 @@ def train(
         return float(y.mean()) if len(y) else 1.0
     empty = np.zeros((0, N_TEXT), np.float32), np.zeros((0, N_META), np.float32)
     free_text, free_meta = (table(free, "text"), table(free, "meta")) if free else empty
-    return cotrain(table(known, "text"), table(known, "meta"), y, free_text, free_meta, rounds, sure, per_round)
+    return cotrain(table(known, "text"), table(known, "meta"), y, free_text, free_meta, rounds, per_round)
 
 
 def classify(docs: DataFrame, model: Model | float, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
