@@ -75,7 +75,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     pattern: str = public_tokenizers.PATTERN,
-    chunk_chars: int = 8_192,
+    chunk_chars: int = 16_384,
     overlap: int = 512,
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
